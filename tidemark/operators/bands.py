@@ -73,14 +73,10 @@ def whipsaws(path: DataFrame, name: str, window: int = 21, key: str = "strategy"
         path.withColumn("frm", F.lag(name).over(w)).withColumn("to", F.col(name))
         .filter(F.col("frm").isNotNull() & (F.col("frm") != F.col("to"))).select(key, F.col("pos").alias("i"), "frm", "to")
     )
-    pair = W.partitionBy(key, F.least("frm", "to"), F.greatest("frm", "to")).orderBy("i")
-    opposite = F.first(F.when(F.lit(True), F.struct("i", "frm", "to"))).over(pair.rowsBetween(1, 1))
-    nxt = switches.withColumn("nx", opposite)
-    # Within one pair the directions alternate only if nothing else intervenes; look past repeats.
-    same_dir = F.min(F.when(F.col("frm") < F.col("to"), F.col("i"))).over(pair.rowsBetween(1, W.unboundedFollowing))
-    other_dir = F.min(F.when(F.col("frm") > F.col("to"), F.col("i"))).over(pair.rowsBetween(1, W.unboundedFollowing))
-    back = F.when(F.col("frm") < F.col("to"), other_dir).otherwise(same_dir)
-    return nxt.withColumn("back_i", back).filter(F.col("back_i") - F.col("i") <= window).select(key, "i", "frm", "to", "back_i")
+    later = W.partitionBy(key, F.least("frm", "to"), F.greatest("frm", "to")).orderBy("i").rowsBetween(1, W.unboundedFollowing)
+    upward = F.col("frm") < F.col("to")
+    back = F.when(upward, F.min(F.when(~upward, F.col("i"))).over(later)).otherwise(F.min(F.when(upward, F.col("i"))).over(later))
+    return switches.withColumn("back_i", back).filter(F.col("back_i") - F.col("i") <= window).select(key, "i", "frm", "to", "back_i")
 
 
 def bin_lookup(values: DataFrame, bins: DataFrame, value: str) -> DataFrame:

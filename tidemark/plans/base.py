@@ -41,26 +41,26 @@ rets AS (SELECT *, fpx / lag(fpx) OVER (PARTITION BY entity ORDER BY pos) - 1 AS
 rates AS (
   SELECT *, round(ust_10y - ust_2y, 4) AS spread_10y_2y, round(ust_10y - ust_3m, 4) AS spread_10y_3m FROM (
     SELECT o_orderdate::DATE AS obs_d,
-      round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) / 50000.0, 4) AS effr,
-      round(avg(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END) / 50000.0, 4) AS ust_3m,
-      round(avg(CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice END) / 50000.0, 4) AS ust_2y,
-      round(avg(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_totalprice END) / 50000.0, 4) AS ust_10y
+      round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) / 50021.1373, 4) AS effr,
+      round(avg(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END) / 50021.1373, 4) AS ust_3m,
+      round(avg(CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice END) / 50021.1373, 4) AS ust_2y,
+      round(avg(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_totalprice END) / 50021.1373, 4) AS ust_10y
     FROM orders GROUP BY 1)),
 rates_av AS (
   SELECT *, (obs_d + CASE isodow(obs_d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END::INTEGER)::DATE AS available_on FROM rates),
 rates_last AS (
   SELECT * FROM rates_av QUALIFY row_number() OVER (PARTITION BY available_on ORDER BY obs_d DESC) = 1),
 rel AS (
-  SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice) / 1000.0, 4) AS cpi,
+  SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice) / 997.1357, 4) AS cpi,
          round(100.0 * avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END), 4) AS unemp
   FROM orders GROUP BY 1),
 risk AS (
-  SELECT o_orderdate::DATE AS obs_d, round(avg(o_totalprice) / 1000.0, 4) AS idx,
-         round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1000.0, 4) AS acts,
-         round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1000.0, 4) AS threats
+  SELECT o_orderdate::DATE AS obs_d, round(avg(o_totalprice) / 977.3391, 4) AS idx,
+         round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 977.3391, 4) AS acts,
+         round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 977.3391, 4) AS threats
   FROM orders GROUP BY 1),
 quotes AS (
-  SELECT o_orderdate::DATE AS obs_d, round(avg(o_totalprice) / 10000.0, 4) AS quote FROM orders
+  SELECT o_orderdate::DATE AS obs_d, round(avg(o_totalprice) / 10007.3911, 4) AS quote FROM orders
   WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY 1),
 fwdprob AS (
   SELECT last_day((month + INTERVAL 12 MONTH)::DATE) AS fwd_d, prob FROM (

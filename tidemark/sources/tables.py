@@ -126,7 +126,7 @@ def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     levels = {"effr": "1-URGENT", "ust_3m": "2-HIGH", "ust_2y": "3-MEDIUM", "ust_10y": "4-NOT SPECIFIED"}
     out = orders.groupBy("obs_d").agg(*[
-        F.round(F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 50000.0, 4).alias(name)
+        F.round(F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 50021.1373, 4).alias(name)
         for name, p in levels.items()
     ])
     return out.select(
@@ -143,7 +143,7 @@ def monthly_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), "o_totalprice", "o_orderstatus")
         .groupBy("month")
         .agg(
-            F.round(F.avg("o_totalprice") / 1000.0, 4).alias("cpi"),
+            F.round(F.avg("o_totalprice") / 997.1357, 4).alias("cpi"),
             F.round(100.0 * F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 4).alias("unemp"),
         )
     )
@@ -157,9 +157,9 @@ def risk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.to_date("o_orderdate").alias("obs_d"), "o_totalprice", "o_orderstatus")
         .groupBy("obs_d")
         .agg(
-            F.round(F.avg(value) / 1000.0, 4).alias("idx"),
-            F.round(F.avg(F.when(status == "F", value)) / 1000.0, 4).alias("acts"),
-            F.round(F.avg(F.when(status == "O", value)) / 1000.0, 4).alias("threats"),
+            F.round(F.avg(value) / 977.3391, 4).alias("idx"),
+            F.round(F.avg(F.when(status == "F", value)) / 977.3391, 4).alias("acts"),
+            F.round(F.avg(F.when(status == "O", value)) / 977.3391, 4).alias("threats"),
         )
     )
 
@@ -169,7 +169,7 @@ def volatility_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
         .groupBy(F.to_date("o_orderdate").alias("obs_d"))
-        .agg(F.round(F.avg("o_totalprice") / 10000.0, 4).alias("quote"))
+        .agg(F.round(F.avg("o_totalprice") / 10007.3911, 4).alias("quote"))
     )
 
 
