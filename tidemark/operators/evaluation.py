@@ -76,13 +76,13 @@ def normal_cdf(z: Column) -> Column:
     """Standard normal probability, batch-wise; the only expression here the JVM has no built-in for."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def cdf(s: pd.Series) -> pd.Series:
+    def cdf(s):
         from math import erf, isnan, sqrt
 
         return s.map(lambda v: None if v is None or isnan(v) else 0.5 * (1.0 + erf(v / sqrt(2.0))))
 
-    return cdf(z)
+    cdf.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(cdf, "double")(z)
 
 
 def t_statistic(x: Column) -> dict[str, Column]:
