@@ -40,11 +40,11 @@ tw AS (SELECT strategy, d, pos, """ + ", ".join(
 RULES_SQL = (SIGNALS, TARGETS)
 
 
-def signals(spark, sf_dir):
+def signals(spark, sf_dir, dense=None):
     """One row per session with the inputs of every rule (role entity 2 is the risky core)."""
     w = op.by_entity()
     px = F.col("px")
-    rets = op.with_returns(src.dense_panel(spark, sf_dir)).select(
+    rets = op.with_returns(dense if dense is not None else src.dense_panel(spark, sf_dir)).select(
         "entity", "ord", "d", "pos", "px", *[op.above_average(px, n, w).alias(f"a{n}") for n in (50, 200, 210)], op.total_return(px, 252, w).alias("m"),
         op.realized_vol(F.col("ret"), 63, 252, w).alias("rv63"))
     core = {c: F.max(F.when(F.col("ord") == 2, F.col(c))).alias(c) for c in ("a50", "a200", "a210", "rv63")}
@@ -69,9 +69,9 @@ RULES = {
 }
 
 
-def rule_targets(spark, sf_dir):
+def rule_targets(spark, sf_dir, dense=None):
     """(strategy, d, pos, weights) for all five rules."""
-    sig = materialize(signals(spark, sf_dir))
+    sig = materialize(signals(spark, sf_dir, dense))
     picks = sig.select("d", "pos", *[fn().cast("int").alias(name) for name, fn in RULES.items()])
     hot = picks.unpivot(["d", "pos"], list(RULES), "strategy", "t").select("strategy", "d", "pos", fw.one_hot(F.col("t"), 5).alias("weights"))
     vt = pf.vol_target_weights(sig.select(F.lit("vol_target").alias("strategy"), "d", "pos", F.col("rv63").alias("rv")))
@@ -116,9 +116,10 @@ pwealth AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY
 
 def rule_paths(spark, sf_dir, dense=None):
     """(strategy, d, pos, weights, ret, w) of every rule, one session of execution lag, no quota."""
+    dense = dense if dense is not None else materialize(src.dense_panel(spark, sf_dir))
     k = W.partitionBy("strategy").orderBy("pos")
-    held = rule_targets(spark, sf_dir).withColumn("weights", F.coalesce(F.lag("weights", LAG + 1).over(k), F.first("weights").over(op.running(k))))
-    simple = (dense if dense is not None else src.dense_panel(spark, sf_dir)).select("ord", "pos", op.total_return(F.col("px"), 1, op.by_entity()).alias("r"))
+    held = rule_targets(spark, sf_dir, dense).withColumn("weights", F.coalesce(F.lag("weights", LAG + 1).over(k), F.first("weights").over(op.running(k))))
+    simple = dense.select("ord", "pos", op.total_return(F.col("px"), 1, op.by_entity()).alias("r"))
     paths = pf.portfolio_returns(held, pf.day_vectors(simple, "r", ("pos",)))
     return paths.withColumn("w", F.product(1.0 + F.col("ret")).over(op.running(k)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in defaults.items():
@@ -41,16 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a derived table that a plan reads more than once.
+    """A derived table that a plan reads more than once, written to the shared folder and read back.
 
-    The rows land in the shared checkpoint folder, so a lost executor costs a re-read and not a
-    second scan of the fact tables.
+    The written files survive a lost executor, cut the lineage, and give Catalyst real sizes, so joins
+    against small derived tables are planned as broadcasts within the automatic threshold.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
