@@ -41,3 +41,314 @@ def fold_means(labelled: DataFrame, folds: DataFrame) -> DataFrame:
     cumulative = labelled.select("entity", "ord", F.col("pos").alias("s_max"), F.avg("excess").over(run).alias("avg_excess"))
     at = folds.select("fold_start", "start_pos", "stop_pos", "s_max").join(cumulative, "s_max")
     return at.withColumn("mu", F.when(F.col("ord") == 0, 0.0).otherwise(F.coalesce("avg_excess", F.lit(0.0))))
+
+
+def train_counts(usable: DataFrame, folds: DataFrame, cal_len: int, min_rows: int, margin: int = 40) -> DataFrame:
+    """Training, development and calibration sizes per fold, from one running count read at s_max.
+
+    `usable(pos, ok)` marks rows complete enough and labelled.
+    """
+    run = W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    counts = usable.select(F.col("pos").alias("s_max"), F.sum(F.col("ok").cast("int")).over(run).alias("n_train"))
+    n = F.col("n_train")
+    enough = (n >= min_rows) & (n > cal_len + margin)
+    return folds.join(counts, "s_max").select(
+        "fold_start", "start_pos", "stop_pos", "s_max", "n_train", F.when(enough, n - cal_len).otherwise(0).alias("n_dev"), F.when(enough, F.lit(cal_len)).otherwise(0).alias("n_cal"),
+        F.when(enough, 1).otherwise(0).alias("usable"))
+
+
+def per_fold(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Training rows once per fold they belong to: each row is exploded over the folds ending at or after it."""
+    dims = folds.agg(F.sort_array(F.collect_list(F.struct("fold_start", "s_max", "n_dev"))).alias("f")).scalar()
+    own = F.filter(F.col("__f"), lambda f: f["s_max"] >= F.col("pos"))
+    return rows.withColumn("__f", dims).withColumn("__g", F.explode(own)).select(F.col("__g.fold_start").alias("fold_start"), F.col("__g.n_dev").alias("n_dev"), *rows.columns)
+
+
+def fold_scaler(rows: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
+    """(fold_start, feature, median, mean, scale, n) from the development rows of each fold.
+
+    `rows(pos, rank, features...)` are usable training rows numbered in order. Missing values take
+    the fold's median before mean and population deviation are computed; since a filled value is the
+    median, both follow from sums over the known values and one count.
+    """
+    dev = per_fold(rows, folds).filter(F.col("rank") <= F.col("n_dev"))
+    long = dev.unpivot(["fold_start"], features, "feature", "x")
+    s = long.groupBy("fold_start", "feature").agg(
+        F.coalesce(F.median("x"), F.lit(0.0)).alias("median"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("sx"),
+        F.count("x").alias("known"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("ax"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("vx"))
+    gap = F.col("n") - F.col("known")
+    mean = (F.col("sx") + gap * F.col("median")) / F.col("n")
+    s = s.withColumn("mean", mean)
+    spread = F.col("known") * (F.col("vx") + F.pow(F.col("ax") - F.col("mean"), F.lit(2.0))) + gap * F.pow(F.col("median") - F.col("mean"), F.lit(2.0))
+    return s.withColumn("scale", F.sqrt(spread / F.col("n"))).select("fold_start", "feature", "median", "mean", "scale", "n")
+
+
+def purged_hit_rates(picks: DataFrame, h: int, lag: int, min_count: int = 50) -> DataFrame:
+    """Adds `cnt` and `rate`: hits over rows whose label window has closed, NULL below min_count.
+
+    `picks(strategy, pos, chosen, label_no)`.
+    """
+    done = W.partitionBy("strategy").orderBy("pos").rowsBetween(W.unboundedPreceding, -(h + lag + 1))
+    known = F.col("label_no").isNotNull()
+    hits = F.sum(F.when(known & (F.col("chosen") == F.col("label_no")), 1).otherwise(0)).over(done)
+    count = F.sum(known.cast("int")).over(done)
+    ready = (count >= min_count) & (F.col("pos") - (h + lag + 1) >= min_count)
+    return picks.withColumn("cnt", F.coalesce(count, F.lit(0))).withColumn("rate", F.when(ready, hits / count))
+
+
+def best_rule_probabilities(rates: DataFrame, order: list[str], k: int) -> DataFrame:
+    """(d, pos, which, p): the best purged rule's pick gets its clipped hit rate, the rest share the remainder."""
+    rank = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("strategy"))
+    best = F.max_by(F.struct("strategy", "chosen", "rate"), F.struct("rate", -rank))
+    top = rates.filter(F.col("rate").isNotNull()).groupBy("d", "pos").agg(best.alias("b"))
+    clipped = F.least(F.greatest(F.col("b.rate"), F.lit(0.05)), F.lit(0.95))
+    p = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("b.chosen"), clipped).otherwise((1.0 - clipped) / (k - 1)))
+    return top.select("d", "pos", F.col("b.strategy").alias("which"), p.alias("p"))
+
+
+def label_frequencies(labels: DataFrame, h: int, lag: int, k: int, min_count: int = 50) -> DataFrame:
+    """(d, pos, p): class shares of all labels whose windows have closed."""
+    done = W.orderBy("pos").rowsBetween(W.unboundedPreceding, -(h + lag + 1))
+    count = F.count("label_no").over(done)
+    share = F.array(*[F.sum(F.when(F.col("label_no") == i, 1.0).otherwise(0.0)).over(done) / count for i in range(k)])
+    return labels.select("d", "pos", F.when(count >= min_count, share).alias("p")).filter("p IS NOT NULL")
+
+
+def average_probabilities(*models: DataFrame) -> DataFrame:
+    """Component-wise mean of the complete probability rows each day has; an absent model does not dilute."""
+    rows = models[0].select("d", "pos", "p")
+    for m in models[1:]:
+        rows = rows.unionByName(m.select("d", "pos", "p"))
+    complete = rows.filter(~F.exists("p", lambda x: x.isNull()))
+    parts = complete.select("d", "pos", F.posexplode("p").alias("i", "v")).groupBy("d", "pos", "i").agg(F.avg("v").alias("v"))
+    return parts.groupBy("d", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("p"))
+
+
+def fold_vectors(means: DataFrame) -> DataFrame:
+    """(fold_start, start_pos, mu array) from per-entity fold means."""
+    packed = F.sort_array(F.collect_list(F.struct("ord", "mu")))
+    return means.groupBy("fold_start", "start_pos").agg(F.transform(packed, lambda s: s["mu"]).alias("mu"))
+
+
+def explain_rows(rows: DataFrame, model: DataFrame, features: list[str], top: int) -> DataFrame:
+    """Top contributions of a linear multiclass model per row: (d, winner, feature, contribution, flip).
+
+    `model` is one row: coef array<array> [class][feature], mean, scale, median arrays. Class 0 is the
+    base; a contribution is the coefficient difference times the scaled value, and the flip is the raw
+    change of that feature alone that would tie the winner with the base.
+    """
+    m = model.agg(F.first(F.struct("coef", "mean", "scale", "median"))).scalar()
+    x = F.array(*[F.col(f) for f in features])
+    at = F.sequence(F.lit(0), F.lit(len(features) - 1))
+    step = rows.withColumn("__m", m).withColumn("__x", x)
+    safe = lambda i: F.when(F.abs(F.get(F.col("__m.scale"), i)) < 1e-8, F.lit(1.0)).otherwise(F.get(F.col("__m.scale"), i))
+    z = F.transform(at, lambda i: (F.coalesce(F.get(F.col("__x"), i), F.get(F.col("__m.median"), i)) - F.get(F.col("__m.mean"), i)) / safe(i))
+    step = step.withColumn("__z", z)
+    dot = lambda c: F.aggregate(F.zip_with(c, F.col("__z"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    step = step.withColumn("scores", F.transform(F.col("__m.coef"), dot))
+    step = step.withColumn("winner", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+    step = step.withColumn("__d", F.zip_with(F.get(F.col("__m.coef"), F.col("winner")), F.get(F.col("__m.coef"), F.lit(0)), lambda a, b: a - b))
+    gap = F.get("scores", F.col("winner")) - F.get("scores", F.lit(0))
+    step = step.withColumn("__gap", gap)
+    items = F.transform(at, lambda i: F.struct(
+        (-F.abs(F.get(F.col("__d"), i) * F.get(F.col("__z"), i))).alias("k"), i.alias("i"), (F.get(F.col("__d"), i) * F.get(F.col("__z"), i)).alias("contribution"),
+        F.when(F.abs(F.get(F.col("__d"), i)) >= 1e-8, -F.col("__gap") / F.get(F.col("__d"), i) * safe(i)).alias("flip")))
+    best = F.slice(F.array_sort(items), 1, top)
+    names = F.array(*[F.lit(f) for f in features])
+    return step.withColumn("__t", F.explode(best)).select(
+        *rows.columns, "winner", F.get(names, F.col("__t.i")).alias("feature"), F.col("__t.contribution").alias("contribution"), F.col("__t.flip").alias("flip"))
+
+
+def relabel_by_volatility(states: DataFrame, state: str, vol: str) -> DataFrame:
+    """(state, mean_vol, ordered): states numbered by their mean volatility; one row per state."""
+    means = states.groupBy(state).agg(F.avg(vol).alias("mean_vol"))
+    return means.withColumn("ordered", F.row_number().over(W.orderBy(F.col("mean_vol").asc_nulls_last(), state)) - 1)
+
+
+class FoldData:
+    """Scaled training slices of one fold for Spark ML estimators.
+
+    Only fold parameters (one number per feature) reach the driver; rows stay distributed.
+    """
+
+    def __init__(self, rows: DataFrame, features: list[str], s_max: int, cal_len: int):
+        from tidemark.session import materialize
+
+        train = rows.filter((F.col("pos") <= s_max) & F.col("usable") & F.col("label_no").isNotNull())
+        ranked = train.withColumn("rank", F.row_number().over(W.orderBy("pos")))
+        self.features = features
+        self.rows = materialize(ranked)
+        self.n = self.rows.count()
+        self.n_dev = self.n - cal_len
+        self.dev = self.rows.filter(F.col("rank") <= self.n_dev)
+        self.cal = self.rows.filter(F.col("rank") > self.n_dev)
+
+    def scaler(self, part: DataFrame) -> dict:
+        row = part.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"m_{f}") for f in self.features]).first()
+        median = {f: float(row[f"m_{f}"]) for f in self.features}
+        filled = part.select(*[F.coalesce(F.col(f), F.lit(median[f])).alias(f) for f in self.features])
+        row = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in self.features], *[F.stddev_pop(f).alias(f"s_{f}") for f in self.features]).first()
+        scale = {f: float(row[f"s_{f}"] or 0.0) for f in self.features}
+        return {"median": median, "mean": {f: float(row[f"a_{f}"]) for f in self.features}, "scale": {f: s if abs(s) > 1e-12 else 1.0 for f, s in scale.items()}}
+
+    def vectors(self, part: DataFrame, sc: dict) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        keep = [c for c in ("d", "pos", "rank", "label_no") if c in part.columns]
+        scaled = part.select(*keep, *[((F.coalesce(F.col(f).cast("double"), F.lit(sc["median"][f])) - sc["mean"][f]) / sc["scale"][f]).alias(f) for f in self.features])
+        if "label_no" in keep:
+            scaled = scaled.withColumn("label_no", F.col("label_no").cast("double"))
+        return VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled).select(*keep, "features")
+
+
+def log_loss(scored: DataFrame) -> float:
+    """Mean negative log probability of the true class of a scored Spark ML frame."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = F.get(vector_to_array("probability"), F.col("label_no").cast("int"))
+    row = scored.agg(F.avg(-F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)))).alias("x")).first()
+    return float(row["x"]) if row["x"] is not None else float("inf")
+
+
+def fit_logistic(train: DataFrame, c: float, n: int):
+    """Multinomial L2 logistic regression; C scales the summed loss, Spark's penalty the mean loss."""
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(labelCol="label_no", family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=100).fit(train)
+
+
+# Penalty grid and boosting grid (depth, rounds).
+C_GRID = (0.1, 1.0, 10.0)
+GBT_GRID = ((2, 20), (3, 30))
+
+
+def choose_c(data: FoldData, grid=C_GRID, default: float = 1.0) -> tuple[float, list[dict]]:
+    """Penalty with the smallest loss on the later eighth (at least 80 rows) of the development rows."""
+    trials = []
+    if data.n_dev <= 200:
+        return default, trials
+    cut = data.n_dev - max(80, data.n_dev // 8)
+    inner, later = data.dev.filter(F.col("rank") <= cut), data.dev.filter(F.col("rank") > cut)
+    sc = data.scaler(inner)
+    fit_on, score_on = data.vectors(inner, sc).persist(), data.vectors(later, sc).persist()
+    for c in grid:
+        trials.append({"family": "logistic", "c": c, "loss": log_loss(fit_logistic(fit_on, c, cut).transform(score_on))})
+    fit_on.unpersist()
+    score_on.unpersist()
+    return min(trials, key=lambda t: t["loss"])["c"], trials
+
+
+def sigmoid_calibrators(scored_cal: DataFrame, k: int, min_rows: int = 30) -> list | None:
+    """One sigmoid per class on held-out margins: (class, slope, intercept); None when the slice is too small.
+
+    A class that never (or always) occurs in the slice has no sigmoid and keeps probability 0.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    counts = {int(r["label_no"]): r["n"] for r in scored_cal.groupBy("label_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) < min_rows or len(counts) < 2:
+        return None
+    margins = scored_cal.select("label_no", vector_to_array("rawPrediction").alias("m")).persist()
+    out = []
+    for cls in sorted(counts):
+        if cls >= k:
+            continue
+        pair = margins.select(F.when(F.col("label_no") == cls, 1.0).otherwise(0.0).alias("label_no"), F.get("m", F.lit(cls)).alias("x"))
+        fit = LogisticRegression(labelCol="label_no", maxIter=100).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(pair))
+        out.append((cls, float(fit.coefficients[0]), float(fit.intercept)))
+    margins.unpersist()
+    return out
+
+
+def calibrated(scored: DataFrame, sigmoids: list | None, k: int) -> DataFrame:
+    """Adds `p`: calibrated class probabilities aligned to k classes and renormalized."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.functions.weights import renormalized
+
+    if sigmoids is None:
+        raw = vector_to_array("probability")
+        p = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get(raw, i), F.lit(0.0)))
+    else:
+        m = vector_to_array("rawPrediction")
+        by_class = {cls: 1.0 / (1.0 + F.exp(-(slope * F.get(m, F.lit(cls)) + bias))) for cls, slope, bias in sigmoids}
+        p = F.array(*[by_class.get(i, F.lit(0.0)) for i in range(k)])
+    return scored.withColumn("p", renormalized(p))
+
+
+def fold_list(folds: DataFrame) -> list[dict]:
+    """Fold bounds on the driver: one row per year or month, whatever the data size."""
+    return [r.asDict() for r in folds.orderBy("start_pos").collect()]
+
+
+def walk_forward_logistic(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, calibrate: bool = True) -> tuple[DataFrame, list[dict]]:
+    """Out-of-sample probabilities (d, pos, fold_start, c, p) and the trial log.
+
+    The penalty is searched on the first fold and on every fold that starts in January.
+    """
+    out, trials, chosen = None, [], 1.0
+    for f in fold_list(folds):
+        data = FoldData(rows, features, f["s_max"], cal_len)
+        if not trials or f["fold_start"].month == 1:
+            chosen, tried = choose_c(data, default=chosen)
+            trials += [{**t, "fold_start": f["fold_start"]} for t in tried]
+        sc = data.scaler(data.dev)
+        model = fit_logistic(data.vectors(data.dev, sc).persist(), chosen, data.n_dev)
+        sigmoids = sigmoid_calibrators(model.transform(data.vectors(data.cal, sc)), k) if calibrate else None
+        segment = rows.filter((F.col("pos") >= f["start_pos"]) & (F.col("pos") < f["stop_pos"]))
+        scored = calibrated(model.transform(data.vectors(segment, sc)), sigmoids, k)
+        part = scored.select("d", "pos", F.lit(f["fold_start"]).alias("fold_start"), F.lit(chosen).alias("c"), "p")
+        out = part if out is None else out.unionByName(part)
+    return out, trials
+
+
+def walk_forward_boosting(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, depth: int, rounds: int) -> DataFrame:
+    """Boosted one-against-rest trees per fold; margins become calibrated probabilities on the held-out slice."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    out = None
+    for f in fold_list(folds):
+        data = FoldData(rows, features, f["s_max"], cal_len)
+        sc = data.scaler(data.dev)
+        train = data.vectors(data.dev, sc).persist()
+        cal = data.vectors(data.cal, sc)
+        segment = data.vectors(rows.filter((F.col("pos") >= f["start_pos"]) & (F.col("pos") < f["stop_pos"])), sc)
+        present = [int(r[0]) for r in train.select("label_no").distinct().collect()]
+        scores, held = segment, cal
+        for cls in present:
+            one = train.withColumn("is_class", F.when(F.col("label_no") == cls, 1.0).otherwise(0.0))
+            model = GBTClassifier(labelCol="is_class", maxDepth=depth, maxIter=rounds, stepSize=0.08, minInstancesPerNode=30, seed=0).fit(one)
+            model = model.setProbabilityCol(f"pr_{cls}").setRawPredictionCol(f"raw_{cls}").setPredictionCol(f"pred_{cls}")
+            scores, held = model.transform(scores), model.transform(held)
+        margins = lambda df: df.withColumn("rawPrediction", array_to_vector(F.array(*[F.get(vector_to_array(f"raw_{c}"), F.lit(1)) if c in present else F.lit(0.0) for c in range(k)])))
+        shares = F.array(*[F.get(vector_to_array(f"pr_{c}"), F.lit(1)) if c in present else F.lit(0.0) for c in range(k)])
+        sigmoids = sigmoid_calibrators(margins(held), k)
+        scored = calibrated(margins(scores).withColumn("probability", array_to_vector(shares)), sigmoids, k)
+        part = scored.select("d", "pos", F.lit(f["fold_start"]).alias("fold_start"), "p")
+        train.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def walk_forward_mixture(rows: DataFrame, columns: list[str], vol: str, k: int = 3, min_rows: int = 400, seed: int = 0) -> DataFrame:
+    """(d, pos, state): Gaussian-mixture regimes refit each January on prior years, ordered by training volatility."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidemark.session import materialize
+
+    work = materialize(VectorAssembler(inputCols=columns, outputCol="features").transform(rows.dropna(subset=columns)).select("d", "pos", F.year("d").alias("y"), F.col(vol).alias("__v"), "features"))
+    sizes = {r["y"]: r["n"] for r in work.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = None
+    for year in sorted(sizes):
+        if sum(n for y, n in sizes.items() if y < year) < min_rows:
+            continue
+        train = work.filter(F.col("y") < year)
+        model = GaussianMixture(k=k, seed=seed, maxIter=100).fit(train)
+        names = relabel_by_volatility(model.transform(train), "prediction", "__v").select("prediction", F.col("ordered").alias("state"))
+        part = model.transform(work.filter(F.col("y") == year)).join(names, "prediction").select("d", "pos", "state")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else work.select("d", "pos", F.lit(None).cast("int").alias("state")).limit(0)
