@@ -3,14 +3,16 @@
 Per account and posting month the first two accepted changes are free; afterwards only moves that
 add to the safe component pass. The rule is a small state machine: (current holding, changes used).
 With K target mixes it has 3K states, and a run of requests is a map from states to states. Maps
-compose, so requests are cut into time chunks whose maps are computed in parallel, the short list of
-chunk maps of each account is chained to find the state each chunk starts in, and the chunks are
-then replayed, again in parallel.
+compose, so the work has three levels: requests are cut into short chunks (a minute, say) whose maps
+are computed in parallel; the chunks of a day compose to one map per account and day; the days of an
+account are chained. Going back down, each day and then each chunk learns the state it starts in, and
+the chunks are replayed in parallel. A group is a chunk's requests, a day's chunks or an account's
+days, never an account's requests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 2
@@ -44,39 +46,42 @@ def transition(mixes: list[list[float]]) -> list[int]:
     return table
 
 
-def chunked(requests: DataFrame, bucket) -> DataFrame:
-    """(account, month, chunk, q): each chunk's requests in order, as (ts, req_id, target)."""
-    return requests.groupBy("account", "month", bucket.alias("chunk")).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "req_id", F.col("target_no").alias("x")))).alias("q"))
-
-
-def chunk_maps(chunks: DataFrame, mixes: list[list[float]]) -> DataFrame:
-    """Adds `map`: the state each start state ends in after the chunk's requests."""
+def chunked(requests: DataFrame, coarse: Column, fine: Column, mixes: list[list[float]]) -> DataFrame:
+    """(account, month, day, chunk, ids, xs, map): each chunk's requests in order and its state map."""
     size = 3 * len(mixes)
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "req_id", F.col("target_no").alias("x"))))
+    chunks = requests.groupBy("account", "month", coarse.alias("day"), fine.alias("chunk")).agg(ordered.alias("q"))
+    chunks = chunks.select("account", "month", "day", "chunk", F.transform("q", lambda r: r["req_id"]).alias("ids"), F.transform("q", lambda r: r["x"]).alias("xs"))
     table = F.array(*[F.lit(v) for v in transition(mixes)])
     start = F.sequence(F.lit(0), F.lit(size - 1))
-    folded = F.aggregate("q", start, lambda acc, r: F.transform(acc, lambda s: F.get(F.col("__t"), r["x"] * size + s)))
+    folded = F.aggregate("xs", start, lambda acc, x: F.transform(acc, lambda s: F.get(F.col("__t"), x * size + s)))
     return chunks.withColumn("__t", table).withColumn("map", folded).drop("__t")
 
 
-def chunk_starts(maps: DataFrame, initial: int) -> DataFrame:
-    """(account, month, chunk, start): chains the maps of each account in time order.
+def chunk_starts(chunks: DataFrame, initial: int, size: int) -> DataFrame:
+    """(account, month, day, chunk, start): the state each chunk starts in."""
+    days = chunks.groupBy("account", "month", "day").agg(F.sort_array(F.collect_list(F.struct("chunk", "map"))).alias("c"))
+    whole = F.aggregate("c", F.sequence(F.lit(0), F.lit(size - 1)), lambda acc, c: F.transform(acc, lambda s: F.get(c["map"], s)))
+    days = days.withColumn("map", whole)
+    accounts = days.groupBy("account").agg(F.sort_array(F.collect_list(F.struct("month", "day", "map"))).alias("d"))
+    zero = F.struct(F.lit(None).cast("date").alias("month"), F.lit(initial * 3).alias("state"), F.array().cast("array<int>").alias("starts"))
 
-    A group holds one fixed-size map per chunk of an account, so it is bounded by the number of time
-    buckets. A new posting month starts with nothing used.
-    """
-    def chain(pdf):
-        pdf = pdf.sort_values(["month", "chunk"])
-        state, month, starts = initial * 3, None, []
-        for m, step in zip(pdf["month"], pdf["map"]):
-            if m != month:
-                state, month = state - state % 3, m
-            starts.append(state)
-            state = int(step[state])
-        return pdf.assign(start=starts)[["account", "month", "chunk", "start"]]
+    def next_day(acc, d):
+        # A new posting month starts with nothing used.
+        begin = F.when(acc["month"].eqNullSafe(d["month"]), acc["state"]).otherwise(acc["state"] - acc["state"] % 3)
+        return F.struct(d["month"].alias("month"), F.get(d["map"], begin).alias("state"), F.array_append(acc["starts"], begin).alias("starts"))
+
+    begun = accounts.select("account", F.explode(F.arrays_zip("d", F.aggregate("d", zero, next_day)["starts"].alias("s"))).alias("z")).select(
+        "account", F.col("z.d.month").alias("month"), F.col("z.d.day").alias("day"), F.col("z.s").alias("start"))
+
+    def next_chunk(acc, c):
+        return F.struct(F.get(c["map"], acc["state"]).alias("state"), F.array_append(acc["starts"], acc["state"]).alias("starts"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in maps.schema.fields if f.name in ("account", "month", "chunk"))
-    return maps.select("account", "month", "chunk", "map").groupBy("account").applyInPandas(chain, schema + ", start int")
+    inside = days.join(begun, ["account", "month", "day"])
+    first = F.struct(F.col("start").alias("state"), F.array().cast("array<int>").alias("starts"))
+    path = F.aggregate("c", first, next_chunk)["starts"].alias("s")
+    return inside.select("account", "month", "day", F.explode(F.arrays_zip("c", path)).alias("z")).select(
+        "account", "month", "day", F.col("z.c.chunk").alias("chunk"), F.col("z.s").alias("start"))
 
 
 def replay(chunks: DataFrame, mixes: list[list[float]]) -> DataFrame:
@@ -90,27 +95,26 @@ def replay(chunks: DataFrame, mixes: list[list[float]]) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for account, month, q, state in zip(pdf["account"], pdf["month"], pdf["q"], pdf["start"]):
-                for r in q:
-                    x = int(r["x"])
+            for account, month, ids, xs, state in zip(pdf["account"], pdf["month"], pdf["ids"], pdf["xs"], pdf["start"]):
+                for req_id, x in zip(ids.tolist(), xs.tolist()):
                     nxt = table[x * size + state]
                     accepted = nxt != state
-                    counted = state % 3 < LIMIT
-                    reason = (POSTED if counted else POSTED_SAFE) if accepted else (NO_CHANGE if state // 3 == x else OVER_LIMIT)
+                    reason = (POSTED if state % 3 < LIMIT else POSTED_SAFE) if accepted else (NO_CHANGE if state // 3 == x else OVER_LIMIT)
                     state = nxt
-                    out.append((account, month, int(r["req_id"]), x, int(accepted), reason, state % 3, state // 3))
+                    out.append((account, month, req_id, x, int(accepted), reason, state % 3, state // 3))
             yield pd.DataFrame(out, columns=["account", "month", "req_id", "target_no", "accepted", "reason", "used", "held_no"])
 
     return chunks.mapInPandas(run, schema)
 
 
-def gate(requests: DataFrame, mixes: list[list[float]], bucket, initial: int = 0) -> DataFrame:
+def gate(requests: DataFrame, mixes: list[list[float]], coarse: Column, fine: Column, initial: int = 0) -> DataFrame:
     """Decisions for every request: `requests(account, month, ts, req_id, target_no)`.
 
-    `bucket` is a time expression such as the hour of `ts`; choose it fine enough that one bucket of
-    the busiest account fits a task. An account whose accepted move leaves its state unchanged does
-    not exist: an accepted change always alters the holding.
+    `coarse` and `fine` are time buckets of the request, the fine one inside the coarse one; choose
+    the fine one so that one bucket of the busiest account fits a task. Mixes must be distinct.
     """
-    chunks = chunked(requests, bucket)
-    starts = chunk_starts(chunk_maps(chunks, mixes), initial)
-    return replay(chunks.join(starts, ["account", "month", "chunk"]), mixes)
+    if len({tuple(m) for m in mixes}) != len(mixes):
+        raise ValueError("target mixes must be distinct")
+    chunks = chunked(requests, coarse, fine, mixes)
+    starts = chunk_starts(chunks.select("account", "month", "day", "chunk", "map"), initial, 3 * len(mixes))
+    return replay(chunks.join(starts, ["account", "month", "day", "chunk"]).select("account", "month", "ids", "xs", "start"), mixes)

@@ -48,7 +48,7 @@ def shown(decisions):
 
 @query("quota_gate", DECISIONS)
 def quota_gate(spark, sf_dir):
-    return shown(qt.gate(stamped(spark, sf_dir), MIXES, F.date_trunc("hour", "ts")))
+    return shown(qt.gate(stamped(spark, sf_dir), MIXES, F.to_date("ts"), F.date_trunc("minute", "ts")))
 
 
 @query("quota_gate_stream", DECISIONS)
@@ -104,7 +104,7 @@ def quota_usage(spark, sf_dir):
        FROM gate g WHERE rn > 0 GROUP BY account""", *POSTED, GATE_SQL))
 def quota_meter(spark, sf_dir):
     """Changes used and left in each account's current posting month, from the chunk maps' decisions."""
-    rows = qt.gate(stamped(spark, sf_dir), MIXES, F.date_trunc("hour", "ts"))
+    rows = qt.gate(stamped(spark, sf_dir), MIXES, F.to_date("ts"), F.date_trunc("minute", "ts"))
     months = rows.groupBy("account", "month").agg(F.max("used").alias("used"), F.sum("accepted").alias("accepted"))
     last = months.groupBy("account").agg(F.max_by(F.struct("month", "used", "accepted"), "month").alias("m"))
     return last.select("account", "m.month", big(F.col("m.used")).alias("used"), big(2 - F.col("m.used")).alias("remaining"), big(F.col("m.accepted")).alias("accepted"))
