@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.asof import asof_forward
+from tidemark.session import materialize
 
 
 def nth_weekday(year: Column, month: int, day_name: str, n: int) -> Column:
@@ -101,12 +102,15 @@ def posting_dates(requests: DataFrame, calendar: DataFrame, *, ts: str = "ts", z
     """Adds request day, posting date and month-end-trap flag.
 
     Before noon on a session the request posts the same day, otherwise on the next session. `zone`
-    converts UTC instants to local time first; without it times are already local. The calendar is a
-    date dimension, so the request table itself is only equi-joined by day.
+    converts UTC instants to local time first; without it times are already local. All date logic is
+    settled once per calendar day. That day table is written, so its true size decides the join: a
+    broadcast below the threshold, and never a shuffle of the requests on a few dozen day keys unless
+    the calendar itself outgrew it.
     """
     local = F.from_utc_timestamp(ts, zone) if zone else F.col(ts)
+    span = requests.agg(F.to_date(F.min(local)).alias("lo"), F.to_date(F.max(local)).alias("hi"))
+    days = materialize(posting_lookup(span.select(F.explode(F.sequence("lo", "hi")).alias("d")), calendar))
     stamped = requests.withColumn("req_d", F.to_date(local)).withColumn("before_noon", F.hour(local) < 12)
-    days = posting_lookup(stamped.select(F.col("req_d").alias("d")).distinct(), calendar)
     out = stamped.join(days.withColumnRenamed("d", "req_d"), "req_d")
     post = F.when(F.col("is_session") & F.col("before_noon"), F.col("req_d")).otherwise(F.col("next_d"))
     return out.select(

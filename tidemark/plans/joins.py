@@ -14,6 +14,10 @@ from tidemark.sources import tables as src
 RATE_COLUMNS = ["effr", "ust_3m", "ust_2y", "ust_10y", "spread_10y_2y", "spread_10y_3m"]
 
 
+def minute(ts):
+    return F.date_trunc("minute", ts)
+
+
 def sessions(spark, sf_dir):
     days = src.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
     return days.select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"))
@@ -36,11 +40,11 @@ def asof_backward(spark, sf_dir):
     """SELECT l.req_id, r.req_id AS view_id, r.ts::DATE AS view_d FROM (SELECT * FROM req WHERE target = 'purchase') l
        ASOF LEFT JOIN (SELECT * FROM req WHERE target = 'view') r ON l.account = r.account AND l.ts >= r.ts"""))
 def asof_backward_keyed(spark, sf_dir):
-    """Latest view before each purchase of the same account; accounts are split by day, so no account is one task's work."""
+    """Latest view before each purchase of the same account; accounts are split by minute, so no account is one task's work."""
     req = src.requests(spark, sf_dir)
     views = req.filter(F.col("target") == "view").select("account", "ts", F.col("req_id").alias("view_id"), F.to_date("ts").alias("view_d"))
     out = asof.asof_backward(req.filter(F.col("target") == "purchase"), views, left_ts="ts", right_ts="ts", by=("account",),
-                             payload=["view_id", "view_d"], seq="view_id", bucket=F.to_date)
+                             payload=["view_id", "view_d"], seq="view_id", bucket=minute)
     return out.select("req_id", "view_id", "view_d")
 
 
@@ -50,7 +54,7 @@ def asof_backward_keyed(spark, sf_dir):
 def asof_forward_keyed(spark, sf_dir):
     req = src.requests(spark, sf_dir)
     nxt = req.filter(F.col("target") == "signup").select("account", "ts", F.col("req_id").alias("next_id"))
-    out = asof.asof_forward(req.filter(F.col("target") == "error"), nxt, left_ts="ts", right_ts="ts", by=("account",), payload=["next_id"], bucket=F.to_date)
+    out = asof.asof_forward(req.filter(F.col("target") == "error"), nxt, left_ts="ts", right_ts="ts", by=("account",), payload=["next_id"], bucket=minute)
     return out.select("req_id", "next_id")
 
 

@@ -28,6 +28,16 @@ def momentum(spark, sf_dir):
     return dense.select("entity", "d", *[r6(op.total_return(F.col("px"), n, P())).alias(f"mom_{n}") for n in (21, 63, 126, 252)])
 
 
+@query("momentum_by_supplier", duck(
+    f"""SELECT entity, d, {rd('px / lag(px, 5) OVER (PARTITION BY entity ORDER BY d) - 1')} AS mom_5, {rd('px / max(px) OVER (PARTITION BY entity ORDER BY d) - 1')} AS dd FROM (
+          SELECT l_suppkey AS entity, l_shipdate::DATE AS d, round(100 + 10 * ln(sum(l_extendedprice) / sum(l_quantity)), 6) AS px FROM lineitem GROUP BY 1, 2)"""))
+def momentum_by_supplier(spark, sf_dir):
+    """The same windows on a panel whose entity count grows with the data: one shuffle on the entity."""
+    w = op.by_entity(order="d")
+    px = F.col("px")
+    return src.wide_panel_by_supplier(spark, sf_dir).select("entity", "d", r6(op.total_return(px, 5, w)).alias("mom_5"), r6(op.drawdown(px, w)).alias("dd"))
+
+
 @query("momentum_skip", duck(f"SELECT entity, d, {rd(f'lag(px, 21) {WIN} / lag(px, 252) {WIN} - 1')} AS mom_12_1 FROM dense"))
 def momentum_skip(spark, sf_dir):
     dense = src.dense_panel(spark, sf_dir)
