@@ -54,3 +54,12 @@ def test_forward_dated_shift(spark, rows):
     days = spark.createDataFrame([(day("2023-05-31"),), (day("2023-07-03"),)], "d date")
     out = rows(asof.asof_on_calendar(days, prob, available_on="av", payload=["p"]), "d")
     assert [r["p"] for r in out] == [None, 0.42]
+
+
+def test_many_series_in_one_pass_equal_separate_joins(spark, rows):
+    days = spark.createDataFrame([(day("2024-01-01") + dt.timedelta(days=i), i) for i in range(40)], "d date, pos int")
+    a = spark.createDataFrame([(day("2024-01-03"), day("2024-01-01"), 1.0), (day("2024-01-03"), day("2024-01-02"), None), (day("2024-01-20"), day("2024-01-19"), 3.0)], "av date, s date, x double")
+    b = spark.createDataFrame([(day("2024-01-02"), 5.0), (day("2024-01-30"), 6.0)], "av date, y double")
+    one = asof.asof_many(days, [(a, "av", ["x"], "s"), (b, "av", ["y"], None)])
+    two = asof.asof_on_calendar(asof.asof_on_calendar(days, a, available_on="av", payload=["x"], seq="s"), b, available_on="av", payload=["y"])
+    assert rows(one, "d") == rows(two, "d")

@@ -75,3 +75,21 @@ def asof_on_calendar(calendar: DataFrame, right: DataFrame, *, available_on: str
     then equi-join the result to any number of panel rows by day.
     """
     return asof_backward(calendar, right, left_ts="d", right_ts=available_on, payload=payload, seq=seq)
+
+
+def asof_many(calendar: DataFrame, series: list[tuple[DataFrame, str, list[str], str | None]]) -> DataFrame:
+    """Calendar days with several series as known on each day, in one ordered pass.
+
+    Each series is (rows, availability column, payload columns, optional date column breaking ties).
+    All series share one union and one sort; a series' payload is NULL on the rows of the others, so
+    carrying the last non-null payload per series gives the same result as separate as-of joins.
+    """
+    stacked = calendar.select(F.col("d").alias(_T), F.lit(1).alias(_SIDE), F.lit(None).cast("date").alias(_SEQ),
+                              F.struct(*[F.col(c) for c in calendar.columns]).alias(_ROW))
+    for i, (rows, available_on, payload, seq) in enumerate(series):
+        order = (F.col(seq) if seq else F.lit(None)).cast("date")
+        part = rows.select(F.col(available_on).alias(_T), F.lit(0).alias(_SIDE), order.alias(_SEQ), F.struct(*[F.col(p) for p in payload]).alias(f"__p{i}"))
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    w = W.orderBy(_T, _SIDE, _SEQ).rowsBetween(W.unboundedPreceding, 0)
+    hits = stacked.select(_ROW, *[F.last(f"__p{i}", ignorenulls=True).over(w).alias(f"__h{i}") for i in range(len(series))]).filter(F.col(_ROW).isNotNull())
+    return hits.select(f"{_ROW}.*", *[F.col(f"__h{i}")[p].alias(p) for i, (_, _, payload, _) in enumerate(series) for p in payload])

@@ -163,29 +163,30 @@ def _cross_section(wide: DataFrame, safe_needed: bool = True) -> DataFrame:
 def _macro(days: DataFrame, s: Sources) -> DataFrame:
     """Every macro series as known on each session of the calendar."""
     rates = s.rates.withColumn("available_on", cal.next_weekday(F.col("obs_d")))
-    out = asof.asof_on_calendar(days, rates, available_on="available_on", payload=["spread_10y_3m", "spread_10y_2y", "ust_3m", "effr"], seq="obs_d")
+    series = [(rates, "available_on", ["spread_10y_3m", "spread_10y_2y", "ust_3m", "effr"], "obs_d")]
     w = W.orderBy("month")
     t = w.rowsBetween(-11, 0)
     rel = s.releases.select("month", change(F.col("cpi"), F.lag("cpi", 12).over(w)).alias("cpi_yoy"), change(F.col("cpi"), F.lag("cpi", 3).over(w)).alias("cpi_chg_3m"),
                             F.when(F.count("unemp").over(t) >= 12, F.col("unemp") - F.min("unemp").over(t)).alias("unemp_gap"))
     for name, day in (("cpi_yoy", 15), ("cpi_chg_3m", 15), ("unemp_gap", 8)):
         known = rel.filter(F.col(name).isNotNull()).select(name, "month", cal.next_month_day(F.col("month"), day).alias("available_on"))
-        out = asof.asof_on_calendar(out, known, available_on="available_on", payload=[name], seq="month")
+        series.append((known, "available_on", [name], "month"))
     risk = s.risk.select(F.date_add("obs_d", 1).alias("available_on"), op.zscore(F.col("idx"), 365, 60, W.orderBy("obs_d")).alias("gpr_z"),
                          (F.col("acts") - F.col("threats")).alias("gpr_act_minus_threat"))
-    out = asof.asof_on_calendar(out, risk, available_on="available_on", payload=["gpr_z", "gpr_act_minus_threat"])
+    series.append((risk, "available_on", ["gpr_z", "gpr_act_minus_threat"], None))
     if s.quotes is not None:
-        out = asof.asof_on_calendar(out, s.quotes, available_on="obs_d", payload=["quote"])
-    else:
-        out = out.withColumn("quote", F.lit(None).cast("double"))
+        series.append((s.quotes, "obs_d", ["quote"], None))
     if s.forward_prob is not None:
         shifted = s.forward_prob.select(F.col("prob").alias("nyfed_rec_prob"), cal.year_back(F.col("fwd_d")).alias("available_on"))
-        out = asof.asof_on_calendar(out, shifted, available_on="available_on", payload=["nyfed_rec_prob"])
+        series.append((shifted, "available_on", ["nyfed_rec_prob"], None))
     if s.tone is not None:
         tw = W.orderBy("obs_d")
         daily = s.tone.groupBy("obs_d").agg(F.avg("score").alias("tone"), F.count(F.lit(1)).cast("double").alias("volume"))
         z = daily.select(F.date_add("obs_d", 1).alias("available_on"), op.zscore(F.col("tone"), 252, 60, tw).alias("news_tone_z"), op.zscore(F.col("volume"), 252, 60, tw).alias("news_volume_z"))
-        out = asof.asof_on_calendar(out, z, available_on="available_on", payload=["news_tone_z", "news_volume_z"])
+        series.append((z, "available_on", ["news_tone_z", "news_volume_z"], None))
+    out = asof.asof_many(days, series)
+    if s.quotes is None:
+        out = out.withColumn("quote", F.lit(None).cast("double"))
     d = W.orderBy("pos")
     inverted = F.col("spread_10y_3m") < 0
     out = op.run_length(out.withColumn("series", F.lit("curve")), inverted, ("series",)).drop("series")

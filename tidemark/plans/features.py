@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidemark.functions import columns as fc
-from tidemark.functions.columns import big, change, r6
-from tidemark.operators import asof, bands, calendars as cal, frames, windows as op
+from tidemark.functions.columns import big, r6
+from tidemark.operators import calendars as cal, frames
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.calendars import HOL, SCHED, observed_bounds
-from tidemark.plans.joins import RELEASES, RISKZ, rates_known, release_known, risk_known
+from tidemark.plans.joins import RELEASES, RISKZ
 from tidemark.plans.windows import ROWS, RUN, WIN, release_features
 from tidemark.sources import tables as src
 

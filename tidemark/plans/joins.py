@@ -64,20 +64,15 @@ RELEASES = """tr AS (SELECT month, cpi / lag(cpi, 12) OVER (ORDER BY month) - 1
     FROM rel WINDOW t AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
 
 
-def release_known(spark, sf_dir, days, column: str, day: int, features=None):
-    """A monthly release as known on each day: missing values are dropped before the as-of join."""
-    feats = features if features is not None else release_features(src.monthly_releases(spark, sf_dir))
-    rows = feats.filter(F.col(column).isNotNull()).select(column, "month", cal.next_month_day(F.col("month"), day).alias("available_on"))
-    return asof.asof_on_calendar(days, rows, available_on="available_on", payload=[column], seq="month")
-
-
 @query("asof_monthly_release", duck(
     f"""SELECT s.d, {rd('y.yoy')} AS yoy, {rd('g.gap')} AS gap FROM ses s
         ASOF LEFT JOIN (SELECT * FROM tr WHERE yoy IS NOT NULL) y ON s.d >= y.mid
         ASOF LEFT JOIN (SELECT * FROM tr WHERE gap IS NOT NULL) g ON s.d >= g.eighth""", RELEASES))
 def asof_monthly_release(spark, sf_dir):
     days = sessions(spark, sf_dir).select("d")
-    out = release_known(spark, sf_dir, release_known(spark, sf_dir, days, "yoy", 15), "gap", 8)
+    feats = release_features(src.monthly_releases(spark, sf_dir))
+    known = lambda c, day: (feats.filter(F.col(c).isNotNull()).select(c, "month", cal.next_month_day(F.col("month"), day).alias("av")), "av", [c], "month")
+    out = asof.asof_many(days, [known("yoy", 15), known("gap", 8)])
     return out.select("d", r6(F.col("yoy")).alias("yoy"), r6(F.col("gap")).alias("gap"))
 
 

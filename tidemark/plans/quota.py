@@ -69,8 +69,11 @@ def quota_gate_stream(spark, sf_dir):
 
 
 def streamed_requests(spark, sf_dir):
-    """Requests as a file stream; the request table is the directory of event files."""
-    raw = spark.readStream.schema(src.SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    """Requests as a file stream over the event files, which arrive in time order.
+
+    The byte limit bounds a micro-batch, and with it the rows one account can bring to a task at once.
+    """
+    raw = spark.readStream.schema(src.SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").option("maxBytesPerTrigger", str(1 << 32)).parquet(sf_dir)
     return raw.select(F.col("user_id").alias("account"), F.col("event_id").alias("req_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("target"))
 
 

@@ -320,10 +320,11 @@ def style_gram(spark, sf_dir):
     return g.select(*[F.round(c, 9).alias(c) for c in cols], "n")
 
 
-@query("style_weights")
+# The target is an exact non-negative blend, so the constrained fit must return its shares.
+@query("style_weights", duck("SELECT 'blend' AS target, 0.1::DOUBLE AS w0, 0.3::DOUBLE AS w1, 0.6::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS w4, count(*)::BIGINT AS n FROM xy", GRAM))
 def style_weights(spark, sf_dir):
     g = studies.gram(gram_rows(spark, sf_dir), ["target"], [f"a{i}" for i in range(5)], "y")
-    return studies.style_weights(g, ["target"], 5)
+    return studies.style_weights(g, ["target"], 5).select("target", *[F.get("weights", F.lit(i)).alias(f"w{i}") for i in range(5)], "n")
 
 
 REGIME_CTE = f"""rg AS (SELECT d, pos, CASE WHEN m IS NULL THEN 'Unavailable' WHEN px > m THEN 'Uptrend' ELSE 'Downtrend' END || CASE WHEN coalesce(ret, 0) < 0 THEN ' down' ELSE ' up' END AS regime FROM (
