@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.windows import running
+from tidemark.session import spread
 
 
 def hashed_start(seed: str, rep: Column, blk: Column, span: Column) -> Column:
@@ -19,9 +20,9 @@ def hashed_start(seed: str, rep: Column, blk: Column, span: Column) -> Column:
     return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % span
 
 
-def replicas(groups: DataFrame, reps: int) -> DataFrame:
+def replicas(groups: DataFrame, keys: list[str], reps: int) -> DataFrame:
     """One row per group and replica, spread over the cluster before blocks are unfolded."""
-    return groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return spread(groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), *keys, "rep")
 
 
 def block_growth(paths: DataFrame, keys: list[str], values: list[str], block: int, tail: Column) -> DataFrame:
@@ -58,7 +59,7 @@ def excess_growth(paths: DataFrame, keys: list[str], block: int, reps: int, seed
     growth = block_growth(rows, keys, ["rs", "rb"], block, F.col("tail"))
     long_enough = groups.filter(F.col("n") >= block + 2).select(*keys, "n", "blocks", "days")
     draws = (
-        replicas(long_enough, reps).withColumn("blk", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        replicas(long_enough, keys, reps).withColumn("blk", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         .withColumn("start", hashed_start(seed, F.col("rep"), F.col("blk"), F.col("n") - block + 1))
     )
     last = F.col("blk") == F.col("blocks") - 1
@@ -78,7 +79,7 @@ def terminal_wealth(paths: DataFrame, keys: list[str], horizons: tuple[int, ...]
     logs = paths.withColumn("__l", F.ln(1.0 + F.col("r")))
     starts = logs.select(*keys, F.col("pos").alias("start"), F.sum("__l").over(w.rowsBetween(0, block - 1)).alias("g"))
     groups = paths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block + 5)
-    plan = replicas(groups, reps).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    plan = replicas(groups, keys, reps).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     draws = plan.withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("horizon") / block).cast("int") - 1)))
     label = F.concat_ws("-", F.lit(seed), F.col("horizon").cast("string"), F.col("rep").cast("string"))
     draws = draws.withColumn("start", F.conv(F.substring(F.md5(F.concat_ws("-", label, F.col("blk").cast("string"))), 1, 7), 16, 10).cast("bigint") % (F.col("n") - block + 1))

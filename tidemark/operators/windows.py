@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.columns import change, full_window
+from tidemark.session import spread
 
 
 def by_entity(*keys: str, order: str = "pos"):
@@ -158,7 +159,7 @@ def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_r
             result.append((below + (upto - below + 1) / 2.0) / n if n >= min_rows else None)
         return pdf.assign(**{out: result})
 
-    return df.groupBy(*keys).applyInPandas(ranks, schema)
+    return spread(df, *keys).groupBy(*keys).applyInPandas(ranks, schema)
 
 
 def forward_labels(dense: DataFrame, h: int, lag: int, w=None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from tidemark.operators import calendars as cal
 from tidemark.plans.base import duck, query
+from tidemark.session import materialize
 from tidemark.sources import tables as src
 
 
@@ -47,11 +48,13 @@ TCAL = """tcal AS (SELECT d, p AS is_projected, row_number() OVER (ORDER BY d) -
 
 
 def observed(spark, sf_dir):
-    return src.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    """The days on which anything shipped: one scan of one column, written because calendars read it several times."""
+    return materialize(src.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct())
 
 
-def observed_bounds(spark, sf_dir, years: int = 2):
-    return observed(spark, sf_dir).agg(F.min("d").alias("lo"), F.max("d").alias("last_d")).select(
+def bounds_of(days, years: int = 2):
+    """First day, last day and end of the projection of a set of observed days."""
+    return days.agg(F.min("d").alias("lo"), F.max("d").alias("last_d")).select(
         "lo", "last_d", F.make_date(F.year("last_d") + years, F.lit(12), F.lit(31)).alias("hi"))
 
 
@@ -65,7 +68,7 @@ def holiday_calendar(spark, sf_dir):
 
 @query("business_days", duck("SELECT d FROM sched", *HOL, SCHED))
 def business_days(spark, sf_dir):
-    return cal.business_days(observed_bounds(spark, sf_dir), "lo", "hi")
+    return cal.business_days(bounds_of(observed(spark, sf_dir)), "lo", "hi")
 
 
 @query("trading_calendar", duck("SELECT d, is_projected::BIGINT AS is_projected, pos::BIGINT AS pos FROM tcal", *HOL, SCHED, TCAL))
@@ -94,7 +97,7 @@ def next_prev_session(spark, sf_dir):
          FROM ses s LEFT JOIN sched x ON x.d > s.d AND x.d <= s.d + 15 GROUP BY s.d)""", *HOL, SCHED))
 def month_end_flags(spark, sf_dir):
     days = observed(spark, sf_dir)
-    scheduled = cal.business_days(observed_bounds(spark, sf_dir), "lo", "hi")
+    scheduled = cal.business_days(bounds_of(days), "lo", "hi")
     month_last = days.groupBy(F.trunc("d", "MM").alias("m")).agg(F.max("d").alias("month_last"))
     out = cal.schedule_flags(days, scheduled).join(month_last, F.trunc("d", "MM") == F.col("m"))
     return out.select("d", "next_sched", F.col("is_month_end").cast("bigint").alias("is_month_end"),
@@ -116,8 +119,8 @@ POSTED = (*REQ_HOL, REQ_CAL, REQ_POST)
 
 def request_calendar(spark, sf_dir):
     """Scheduled sessions around the requests, as a checked-size date dimension."""
-    span = src.table(spark, sf_dir, "events").agg(
-        F.date_sub(F.to_date(F.min("ts")), 10).alias("lo"), F.date_add(F.to_date(F.max("ts")), 20).alias("hi"))
+    span = materialize(src.table(spark, sf_dir, "events").agg(
+        F.date_sub(F.to_date(F.min("ts")), 10).alias("lo"), F.date_add(F.to_date(F.max("ts")), 20).alias("hi")))
     return cal.business_days(span, "lo", "hi")
 
 
@@ -144,13 +147,13 @@ def month_end_trap(spark, sf_dir):
                 date_trunc('month', x.next_sched) <> date_trunc('month', s.d) AS is_end
          FROM ses s JOIN (SELECT s.d, min(x.d) AS next_sched FROM ses s JOIN sched x ON x.d > s.d AND x.d <= s.d + 15 GROUP BY s.d) x ON x.d = s.d)""", *HOL, SCHED))
 def turn_of_month(spark, sf_dir):
-    return turn_flags(spark, sf_dir, observed(spark, sf_dir)).select(
+    return turn_flags(observed(spark, sf_dir)).select(
         "d", F.col("turn_of_month").cast("bigint").alias("turn_of_month"), F.col("turn_historical").cast("bigint").alias("turn_historical"))
 
 
-def turn_flags(spark, sf_dir, days):
+def turn_flags(days):
     """First three sessions of a month or its scheduled last one; the historical form looks at the next session."""
-    flagged = cal.schedule_flags(days.select("d"), cal.business_days(observed_bounds(spark, sf_dir), "lo", "hi"))
+    flagged = cal.schedule_flags(days.select("d"), cal.business_days(bounds_of(days), "lo", "hi"))
     nth = F.row_number().over(W.partitionBy(F.trunc("d", "MM")).orderBy("d"))
     nxt = F.lead(F.month("d")).over(W.orderBy("d"))
     return flagged.select(

@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import big, r6
 from tidemark.operators import calendars as cal, frames
 from tidemark.plans.base import duck, query, rd
-from tidemark.plans.calendars import HOL, SCHED, observed_bounds
+from tidemark.plans.calendars import HOL, SCHED, bounds_of
 from tidemark.plans.joins import RELEASES, RISKZ
 from tidemark.plans.windows import ROWS, RUN, WIN, release_features
+from tidemark.session import materialize
 from tidemark.sources import tables as src
 
 BREAK = "1999-06-01"
 
 
-def daily_features(spark, sf_dir, panel=None, upto: str | None = None):
+def daily_features(spark, sf_dir, panel=None):
     """The daily frame: one row per session, one column per registered feature.
 
     Price windows run per entity, macro series are joined as known on each day, and everything meets
     on the day. Rows up to t do not change when later data is cut off.
     """
     panel = panel if panel is not None else src.panel_table(spark, sf_dir)
+    cube = materialize(src.order_cube(spark, sf_dir))
     sources = frames.Sources(
-        rates=src.daily_rates(spark, sf_dir), releases=src.monthly_releases(spark, sf_dir), risk=src.risk_index(spark, sf_dir),
-        events=src.event_calendar(spark, sf_dir), quotes=src.volatility_quotes(spark, sf_dir), forward_prob=src.forward_dated_probability(spark, sf_dir))
-    bounds = observed_bounds(spark, sf_dir)
-    return frames.daily(panel, sources, cal.business_days(bounds, "lo", "hi"), BREAK)
+        rates=src.daily_rates(spark, sf_dir, cube), releases=src.monthly_releases(spark, sf_dir, cube), risk=src.risk_index(spark, sf_dir, cube),
+        events=src.event_calendar(spark, sf_dir), quotes=src.volatility_quotes(spark, sf_dir, cube), forward_prob=src.forward_dated_probability(spark, sf_dir, cube))
+    return frames.daily(panel, sources, cal.business_days(bounds_of(panel), "lo", "hi"), BREAK)
 
 
 def _mom(n: int) -> str:
@@ -160,7 +161,8 @@ M_FLOAT = [f"{r}_{c}" for r in ROLE for c in ("mom_21", "mom_63", "mom_126", "mo
     RELEASES, MONTHLY_SQL))
 def feature_frame_monthly(spark, sf_dir):
     panel = src.panel_table(spark, sf_dir)
-    frame = frames.monthly(src.densify(panel), src.daily_rates(spark, sf_dir), release_features(src.monthly_releases(spark, sf_dir)), src.risk_index(spark, sf_dir))
+    cube = materialize(src.order_cube(spark, sf_dir))
+    frame = frames.monthly(src.densify(panel), src.daily_rates(spark, sf_dir, cube), release_features(src.monthly_releases(spark, sf_dir, cube)), src.risk_index(spark, sf_dir, cube))
     keep = ["c_sma200_slope", "c_rv63", "c_dist_vol", "c_downside", "c_ulcer", "c_vol_pct", "spread_10y_3m", "spread_10y_3m_chg_63", "tbill_minus_effr", "cpi_yoy", "cpi_chg_3m", "unemp_gap",
             "g_minus_tbill", "vol_chg_5", "gpr_z"]
     flags = [f"{r}_above_sma200" for r in "csif"] + ["c_dual_mom", "curve_inverted"]

@@ -9,6 +9,7 @@ from tidemark.functions.columns import big, change, r6
 from tidemark.operators import asof, bands, calendars as cal, windows as op
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.windows import ROWS, RUN, WIN, release_features
+from tidemark.session import materialize
 from tidemark.sources import tables as src
 
 RATE_COLUMNS = ["effr", "ust_3m", "ust_2y", "ust_10y", "spread_10y_2y", "spread_10y_3m"]
@@ -19,7 +20,13 @@ def minute(ts):
 
 
 def sessions(spark, sf_dir):
-    days = src.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    """(d, pos) from one scan of the ship dates, written because most plans read the calendar twice."""
+    days = materialize(src.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct())
+    return numbered(days)
+
+
+def numbered(days):
+    """Distinct days with their position in the calendar."""
     return days.select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"))
 
 
@@ -85,8 +92,9 @@ def asof_daily_lag(spark, sf_dir):
     f"""SELECT v.d, {rd('r.ust_3m - r.effr')} AS tbill_minus_effr, {rd('v.m21 * 12 * 100 - r.ust_3m')} AS safe_minus_tbill
         FROM (SELECT d, px / lag(px, 21) {WIN} - 1 AS m21, ord FROM dense) v ASOF LEFT JOIN rates_last r ON v.d >= r.available_on WHERE v.ord = 0"""))
 def spread_arithmetic(spark, sf_dir):
-    dense = src.dense_panel(spark, sf_dir).withColumn("m21", op.total_return(F.col("px"), 21, op.by_entity())).filter("ord = 0").select("d", "m21")
-    out = dense.join(rates_known(spark, sf_dir, sessions(spark, sf_dir).select("d")), "d")
+    panel = src.panel_table(spark, sf_dir)
+    dense = src.densify(panel).withColumn("m21", op.total_return(F.col("px"), 21, op.by_entity())).filter("ord = 0").select("d", "m21")
+    out = dense.join(rates_known(spark, sf_dir, panel.select("d").distinct()), "d")
     return out.select("d", r6(F.col("ust_3m") - F.col("effr")).alias("tbill_minus_effr"), r6(F.col("m21") * 12 * 100 - F.col("ust_3m")).alias("safe_minus_tbill"))
 
 
@@ -121,9 +129,10 @@ def asof_zscore_spike(spark, sf_dir):
        FROM lv a LEFT JOIN lv b ON b.entity = a.entity AND b.pos <= a.pos AND a.level IS NOT NULL GROUP BY a.entity, a.d)"""))
 def asof_with_fallback(spark, sf_dir):
     w = op.by_entity()
-    rv = op.with_returns(src.dense_panel(spark, sf_dir)).select(
+    panel = src.panel_table(spark, sf_dir)
+    rv = op.with_returns(src.densify(panel)).select(
         "entity", "d", "pos", op.realized_vol(F.col("ret"), 20, 252, w).alias("rv20"), op.realized_vol(F.col("ret"), 63, 252, w).alias("rv63"))
-    known = asof.asof_on_calendar(sessions(spark, sf_dir).select("d"), src.volatility_quotes(spark, sf_dir), available_on="obs_d", payload=["quote"])
+    known = asof.asof_on_calendar(panel.select("d").distinct(), src.volatility_quotes(spark, sf_dir), available_on="obs_d", payload=["quote"])
     level = rv.join(known, "d", "left").select("entity", "d", "pos", "rv63", F.coalesce("quote", "rv20").alias("level"))
     ranked = op.expanding_rank(level, "level", "pos", ["entity"], 252)
     lv = F.col("level")

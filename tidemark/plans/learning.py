@@ -59,8 +59,9 @@ def usable_rows(lab):
     "SELECT fold_start, s_max::BIGINT AS s_max, stop_pos::BIGINT AS stop_pos, n_train::BIGINT AS n_train, CASE WHEN good THEN n_train - 252 ELSE 0 END::BIGINT AS n_dev, CASE WHEN good THEN 252 ELSE 0 END::BIGINT AS n_cal, good::INTEGER::BIGINT AS usable FROM plan",
     LABELS, USABLE, folds_sql("month", 504, SPAN), PLAN))
 def fold_plan(spark, sf_dir):
-    lab = labelled(spark, sf_dir)
-    folds = lr.fold_dimension(sessions(spark, sf_dir), H, LAG, "month", 504, SPAN)
+    dense = src.dense_panel(spark, sf_dir)
+    lab = labelled(spark, sf_dir, dense)
+    folds = lr.fold_dimension(dense.select("d", "pos").distinct(), H, LAG, "month", 504, SPAN)
     out = lr.train_counts(usable_rows(lab), folds, 252, 504)
     return out.select("fold_start", *[big(F.col(c)).alias(c) for c in ("s_max", "stop_pos", "n_train", "n_dev", "n_cal", "usable")])
 
@@ -85,7 +86,7 @@ XS = [f"x{i}" for i in range(5)]
 def fold_scaler(spark, sf_dir):
     dense = materialize(src.dense_panel(spark, sf_dir))
     use = usable_rows(labelled(spark, sf_dir, dense))
-    folds = lr.train_counts(use, lr.fold_dimension(sessions(spark, sf_dir), H, LAG, "year", 504, 0), 252, 504).filter("usable = 1")
+    folds = lr.train_counts(use, lr.fold_dimension(dense.select("d", "pos").distinct(), H, LAG, "year", 504, 0), 252, 504).filter("usable = 1")
     rows = momentum_wide(dense).join(use.filter("ok").select("pos"), "pos").withColumn("rank", F.row_number().over(W.orderBy("pos")))
     out = lr.fold_scaler(rows, folds, XS)
     return out.select("fold_start", "feature", r6(F.col("median")).alias("median"), r6(F.col("mean")).alias("mean"), r6(F.col("scale")).alias("scale"), "n")

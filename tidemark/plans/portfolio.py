@@ -9,7 +9,7 @@ from tidemark.functions import weights as fw
 from tidemark.functions.columns import big, r6
 from tidemark.operators import metrics, portfolio as pf, windows as op
 from tidemark.plans.base import duck, query, rd
-from tidemark.plans.joins import rates_known, sessions
+from tidemark.plans.joins import rates_known
 from tidemark.plans.windows import ROWS, WIN, dual_flags
 from tidemark.session import materialize
 from tidemark.sources import tables as src
@@ -44,7 +44,8 @@ def signals(spark, sf_dir, dense=None):
     """One row per session with the inputs of every rule (role entity 2 is the risky core)."""
     w = op.by_entity()
     px = F.col("px")
-    rets = op.with_returns(dense if dense is not None else src.dense_panel(spark, sf_dir)).select(
+    dense = dense if dense is not None else src.dense_panel(spark, sf_dir)
+    rets = op.with_returns(dense).select(
         "entity", "ord", "d", "pos", "px", *[op.above_average(px, n, w).alias(f"a{n}") for n in (50, 200, 210)], op.total_return(px, 252, w).alias("m"),
         op.realized_vol(F.col("ret"), 63, 252, w).alias("rv63"))
     core = {c: F.max(F.when(F.col("ord") == 2, F.col(c))).alias(c) for c in ("a50", "a200", "a210", "rv63")}
@@ -52,7 +53,7 @@ def signals(spark, sf_dir, dense=None):
     risky = F.when((F.col("ord") >= 2) & F.col("m").isNotNull(), F.struct("m", -F.col("ord")))
     wins = F.coalesce(F.max(F.when(F.col("ord") >= 2, F.col("m"))) > safe, F.lit(False))
     per_day = rets.groupBy("d", "pos").agg(*core.values(), F.when(wins, F.max_by("ord", risky)).otherwise(0).alias("dual"))
-    known = rates_known(spark, sf_dir, sessions(spark, sf_dir).select("d")).select("d", F.col("spread_10y_3m").alias("spread"))
+    known = rates_known(spark, sf_dir, dense.select("d").distinct()).select("d", F.col("spread_10y_3m").alias("spread"))
     return per_day.join(known, "d")
 
 

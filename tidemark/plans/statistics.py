@@ -10,7 +10,7 @@ from tidemark.functions.columns import big, change, r6
 from tidemark.operators import evaluation as ev, history, metrics, studies, windows as op
 from tidemark.operators.portfolio import hold_paths
 from tidemark.plans.base import duck, query, rd
-from tidemark.plans.joins import BINS, EVENT_ROWS, LEADERS, PRE, event_rows, leader_paths, risk_known, sessions
+from tidemark.plans.joins import BINS, EVENT_ROWS, LEADERS, PRE, event_rows, leader_paths, risk_known
 from tidemark.plans.windows import LABELS, ROWS, WIN
 from tidemark.sources import tables as src
 
@@ -444,8 +444,9 @@ def quality_report(spark, sf_dir):
 def fold_mean_excess(spark, sf_dir):
     from tidemark.operators.learning import fold_dimension, fold_means
 
-    lab = op.forward_labels(src.dense_panel(spark, sf_dir), 21, 1)
-    folds = fold_dimension(sessions(spark, sf_dir), 21, 1, "year", 252, 0)
+    dense = src.dense_panel(spark, sf_dir)
+    lab = op.forward_labels(dense, 21, 1)
+    folds = fold_dimension(dense.select("d", "pos").distinct(), 21, 1, "year", 252, 0)
     return fold_means(lab, folds).select("fold_start", "entity", r6(F.col("mu")).alias("mu"))
 
 

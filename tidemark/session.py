@@ -55,6 +55,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the session's full partition count.
+
+    For few small rows with costly work per row or group: adaptive coalescing would put all groups
+    into one task, an explicit count keeps them apart. A following groupBy on these keys reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate, or None where the session does not expose it."""
     try:

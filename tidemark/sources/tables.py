@@ -119,16 +119,30 @@ def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(panel_table(spark, sf_dir))
 
 
-def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_d, o_orderpriority, o_orderstatus, total, n): every order-based series comes from this one pass.
+
+    It has a handful of rows per day; jobs that need several series write it once.
+    """
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("obs_d"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return orders.groupBy("obs_d", "o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def _mean(cond: Column | None = None) -> Column:
+    if cond is None:
+        return F.try_divide(F.sum("total"), F.sum("n"))
+    return F.try_divide(F.sum(F.when(cond, F.col("total"))), F.sum(F.when(cond, F.col("n"))))
+
+
+def _share(cond: Column) -> Column:
+    return F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
+
+
+def daily_rates(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """Daily series keyed by observation date: four levels and two spreads, NULL where unobserved."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.to_date("o_orderdate").alias("obs_d"), "o_orderpriority", "o_totalprice"
-    )
+    cube = cube if cube is not None else order_cube(spark, sf_dir)
     levels = {"effr": "1-URGENT", "ust_3m": "2-HIGH", "ust_2y": "3-MEDIUM", "ust_10y": "4-NOT SPECIFIED"}
-    out = orders.groupBy("obs_d").agg(*[
-        F.round(F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 50021.1373, 4).alias(name)
-        for name, p in levels.items()
-    ])
+    out = cube.groupBy("obs_d").agg(*[F.round(_mean(F.col("o_orderpriority") == p) / 50021.1373, 4).alias(name) for name, p in levels.items()])
     return out.select(
         "*",
         F.round(F.col("ust_10y") - F.col("ust_2y"), 4).alias("spread_10y_2y"),
@@ -136,50 +150,33 @@ def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def monthly_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monthly_releases(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """(month, cpi, unemp): monthly level and rate keyed by the first day of the observed month."""
-    return (
-        table(spark, sf_dir, "orders")
-        .select(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), "o_totalprice", "o_orderstatus")
-        .groupBy("month")
-        .agg(
-            F.round(F.avg("o_totalprice") / 997.1357, 4).alias("cpi"),
-            F.round(100.0 * F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 4).alias("unemp"),
-        )
-    )
+    cube = cube if cube is not None else order_cube(spark, sf_dir)
+    return cube.groupBy(F.trunc("obs_d", "MM").alias("month")).agg(
+        F.round(_mean() / 997.1357, 4).alias("cpi"), F.round(100.0 * _share(F.col("o_orderstatus") == "F"), 4).alias("unemp"))
 
 
-def risk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_index(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """(obs_d, idx, acts, threats): a daily index and its two components."""
-    value, status = F.col("o_totalprice"), F.col("o_orderstatus")
-    return (
-        table(spark, sf_dir, "orders")
-        .select(F.to_date("o_orderdate").alias("obs_d"), "o_totalprice", "o_orderstatus")
-        .groupBy("obs_d")
-        .agg(
-            F.round(F.avg(value) / 977.3391, 4).alias("idx"),
-            F.round(F.avg(F.when(status == "F", value)) / 977.3391, 4).alias("acts"),
-            F.round(F.avg(F.when(status == "O", value)) / 977.3391, 4).alias("threats"),
-        )
-    )
+    cube = cube if cube is not None else order_cube(spark, sf_dir)
+    status = F.col("o_orderstatus")
+    return cube.groupBy("obs_d").agg(
+        F.round(_mean() / 977.3391, 4).alias("idx"), F.round(_mean(status == "F") / 977.3391, 4).alias("acts"), F.round(_mean(status == "O") / 977.3391, 4).alias("threats"))
 
 
-def volatility_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volatility_quotes(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """(obs_d, quote): an optional source with holes, for the fallback rule."""
-    return (
-        table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
-        .groupBy(F.to_date("o_orderdate").alias("obs_d"))
-        .agg(F.round(F.avg("o_totalprice") / 10007.3911, 4).alias("quote"))
-    )
+    cube = cube if cube is not None else order_cube(spark, sf_dir)
+    urgent = cube.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+    return urgent.groupBy("obs_d").agg(F.round(_mean() / 10007.3911, 4).alias("quote"))
 
 
-def forward_dated_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forward_dated_probability(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """(fwd_d, prob): a monthly probability stamped one year ahead of the month it describes."""
+    cube = cube if cube is not None else order_cube(spark, sf_dir)
     return (
-        table(spark, sf_dir, "orders")
-        .select(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), "o_orderstatus")
-        .groupBy("month")
-        .agg(F.round(F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0)), 6).alias("prob"))
+        cube.groupBy(F.trunc("obs_d", "MM").alias("month")).agg(F.round(_share(F.col("o_orderstatus") == "O"), 6).alias("prob"))
         .select(F.last_day(F.add_months("month", 12)).alias("fwd_d"), "prob")
     )
 
