@@ -98,17 +98,18 @@ def schedule_flags(days: DataFrame, scheduled: DataFrame) -> DataFrame:
     )
 
 
-def posting_dates(requests: DataFrame, calendar: DataFrame, *, ts: str = "ts", zone: str | None = None) -> DataFrame:
+def posting_dates(requests: DataFrame, calendar: DataFrame, *, ts: str = "ts", zone: str | None = None, span: DataFrame | None = None) -> DataFrame:
     """Adds request day, posting date and month-end-trap flag.
 
     Before noon on a session the request posts the same day, otherwise on the next session. `zone`
     converts UTC instants to local time first; without it times are already local. All date logic is
     settled once per calendar day. That day table is written, so its true size decides the join: a
     broadcast below the threshold, and never a shuffle of the requests on a few dozen day keys unless
-    the calendar itself outgrew it.
+    the calendar itself outgrew it. `span(lo, hi)` gives the request days where they are known.
     """
     local = F.from_utc_timestamp(ts, zone) if zone else F.col(ts)
-    span = requests.agg(F.to_date(F.min(local)).alias("lo"), F.to_date(F.max(local)).alias("hi"))
+    if span is None:
+        span = requests.agg(F.to_date(F.min(local)).alias("lo"), F.to_date(F.max(local)).alias("hi"))
     days = materialize(posting_lookup(span.select(F.explode(F.sequence("lo", "hi")).alias("d")), calendar))
     stamped = requests.withColumn("req_d", F.to_date(local)).withColumn("before_noon", F.hour(local) < 12)
     out = stamped.join(days.withColumnRenamed("d", "req_d"), "req_d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -97,7 +97,7 @@ def style_weights(gram_df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return gram_df.mapInPandas(solve, schema)
 
 
-def quality_report(panel: DataFrame, dense: DataFrame, orders: DataFrame, pages: DataFrame, releases: DataFrame) -> DataFrame:
+def quality_report(panel: DataFrame, dense: DataFrame, orders: DataFrame, pages: DataFrame, releases: DataFrame, newest: Column) -> DataFrame:
     """One row per check: (source, check_name, level, n)."""
     def row(df, source, name, level, expr):
         return df.agg(expr.cast("bigint").alias("n")).select(F.lit(source).alias("source"), F.lit(name).alias("check_name"), F.lit(level).alias("level"), "n")
@@ -107,7 +107,6 @@ def quality_report(panel: DataFrame, dense: DataFrame, orders: DataFrame, pages:
     count_if = lambda c: F.count(F.when(c, 1))
     dup_panel = panel.groupBy("entity", "d").agg((F.count(F.lit(1)) - 1).alias("extra"))
     dup_orders = orders.groupBy("o_orderkey").agg((F.count(F.lit(1)) - 1).alias("extra"))
-    newest = orders.agg(F.to_date(F.max("o_orderdate")).alias("m")).scalar()
     span = F.months_between(F.max("month"), F.min("month")) + 1 - F.count(F.lit(1))
     parts = [
         row(dense, "panel", "empty price", "error", count_if(F.col("px").isNull())),

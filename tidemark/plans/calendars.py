@@ -117,16 +117,22 @@ REQ_POST = """posted AS (
 POSTED = (*REQ_HOL, REQ_CAL, REQ_POST)
 
 
-def request_calendar(spark, sf_dir):
-    """Scheduled sessions around the requests, as a checked-size date dimension."""
-    span = materialize(src.table(spark, sf_dir, "events").agg(
+def request_span(spark, sf_dir):
+    """(lo, hi): days around the requests; one scan of one column, written."""
+    return materialize(src.table(spark, sf_dir, "events").agg(
         F.date_sub(F.to_date(F.min("ts")), 10).alias("lo"), F.date_add(F.to_date(F.max("ts")), 20).alias("hi")))
+
+
+def request_calendar(span):
+    """Scheduled sessions of the span."""
     return cal.business_days(span, "lo", "hi")
 
 
 def posted_requests(spark, sf_dir):
     """Requests with local posting dates; the tables hold UTC instants."""
-    return cal.posting_dates(src.requests(spark, sf_dir), request_calendar(spark, sf_dir), zone="America/New_York")
+    span = request_span(spark, sf_dir)
+    inner = span.select(F.date_add("lo", 8).alias("lo"), F.date_sub("hi", 18).alias("hi"))
+    return cal.posting_dates(src.requests(spark, sf_dir), request_calendar(span), zone="America/New_York", span=inner)
 
 
 @query("posting_date", duck("SELECT req_id, req_d, post_d FROM posted", *POSTED))

@@ -30,9 +30,9 @@ def numbered(days):
     return days.select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"))
 
 
-def rates_known(spark, sf_dir, days):
+def rates_known(spark, sf_dir, days, cube=None):
     """Daily rates as known on each calendar day; holiday NULLs are passed on."""
-    rates = src.daily_rates(spark, sf_dir).withColumn("available_on", cal.next_weekday(F.col("obs_d")))
+    rates = src.daily_rates(spark, sf_dir, cube).withColumn("available_on", cal.next_weekday(F.col("obs_d")))
     return asof.asof_on_calendar(days, rates, available_on="available_on", payload=["obs_d", *RATE_COLUMNS], seq="obs_d")
 
 

@@ -10,8 +10,8 @@ from tidemark.functions.columns import big
 from tidemark.operators import calendars as cal
 from tidemark.operators import quota as qt
 from tidemark.plans.base import duck, query
-from tidemark.plans.calendars import POSTED, posted_requests, request_calendar
-from tidemark.session import checkpoint_dir
+from tidemark.plans.calendars import POSTED, posted_requests, request_calendar, request_span
+from tidemark.session import checkpoint_dir, materialize
 from tidemark.sources import tables as src
 
 # Targets in component order, the safe one first.
@@ -58,7 +58,9 @@ def quota_gate_stream(spark, sf_dir):
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     rows = streamed_requests(spark, sf_dir)
-    days = cal.posting_lookup(request_days(spark, sf_dir), request_calendar(spark, sf_dir))
+    span = request_span(spark, sf_dir)
+    inner = span.select(F.explode(F.sequence(F.date_add("lo", 8), F.date_sub("hi", 18))).alias("d"))
+    days = materialize(cal.posting_lookup(inner, request_calendar(span)))
     local = F.from_utc_timestamp("ts", "America/New_York")
     post = F.when(F.col("is_session") & (F.hour(local) < 12), F.col("d")).otherwise(F.col("next_d"))
     staged = rows.withColumn("d", F.to_date(local)).join(days, "d").select(
@@ -77,12 +79,6 @@ def streamed_requests(spark, sf_dir):
     return raw.select(F.col("user_id").alias("account"), F.col("event_id").alias("req_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("target"))
 
 
-def request_days(spark, sf_dir):
-    """Local calendar days spanned by the request table."""
-    span = src.table(spark, sf_dir, "events").agg(F.date_sub(F.to_date(F.min("ts")), 1).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-    return span.select(F.explode(F.sequence("lo", "hi")).alias("d"))
-
-
 @query("signal_change_stream", duck(
     """SELECT account, req_id, lag(target) OVER w AS previous, target AS current,
          CASE WHEN lag(target) OVER w IS NULL THEN 'first signal' WHEN lag(target) OVER w = target THEN 'unchanged' ELSE 'flipped' END AS kind FROM req WINDOW w AS (PARTITION BY account ORDER BY ts, req_id)"""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import big, keep_existing, normalize_headers, r6
 from tidemark.operators import windows as op
 from tidemark.plans.base import duck, query, rd
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, materialize
 from tidemark.sources import cleaning as cl
 from tidemark.sources import manifest as mf
 from tidemark.sources import publish as pb
@@ -60,12 +60,13 @@ def optional_source_fallback(spark, sf_dir):
     from tidemark.plans.joins import rates_known, sessions
 
     days = sessions(spark, sf_dir).select("d")
-    quotes = src.volatility_quotes(spark, sf_dir).toDF("Obs Date", "Recession Prob")
+    cube = materialize(src.order_cube(spark, sf_dir))
+    quotes = src.volatility_quotes(spark, sf_dir, cube).toDF("Obs Date", "Recession Prob")
     value = cl.sniff(quotes.columns, ["prob", "rec"])
     known = asof_on_calendar(days, quotes.select(F.col("Obs Date").alias("obs_d"), F.col(value).alias("quote")), available_on="obs_d", payload=["quote"])
     missing = cl.read_optional(spark, f"{sf_dir}/not_supplied.csv", "obs_d date, absent double")
     known = asof_on_calendar(known, missing, available_on="obs_d", payload=["absent"])
-    rates = rates_known(spark, sf_dir, days).select("d", "effr")
+    rates = rates_known(spark, sf_dir, days, cube).select("d", "effr")
     return known.join(rates, "d").select("d", F.coalesce("quote", "effr").alias("level"), F.when(F.col("quote").isNotNull(), 1).otherwise(0).cast("bigint").alias("from_quote"), "absent")
 
 

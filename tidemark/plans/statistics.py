@@ -12,6 +12,7 @@ from tidemark.operators.portfolio import hold_paths
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.joins import BINS, EVENT_ROWS, LEADERS, PRE, event_rows, leader_paths, risk_known
 from tidemark.plans.windows import LABELS, ROWS, WIN
+from tidemark.session import materialize
 from tidemark.sources import tables as src
 
 DAYS = "date_diff('day', min(d), max(d))"
@@ -435,7 +436,9 @@ def range_recompound(spark, sf_dir):
        UNION ALL SELECT 'panel', 'rows', 'stat', count(*) FROM panel"""))
 def quality_report(spark, sf_dir):
     panel = src.panel_table(spark, sf_dir)
-    return studies.quality_report(panel, src.densify(panel), src.table(spark, sf_dir, "orders"), src.table(spark, sf_dir, "pages"), src.monthly_releases(spark, sf_dir))
+    cube = materialize(src.order_cube(spark, sf_dir))
+    newest = cube.agg(F.max("obs_d").alias("m")).scalar()
+    return studies.quality_report(panel, src.densify(panel), src.table(spark, sf_dir, "orders"), src.table(spark, sf_dir, "pages"), src.monthly_releases(spark, sf_dir, cube), newest)
 
 
 @query("fold_mean_excess", duck(
