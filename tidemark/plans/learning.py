@@ -186,7 +186,7 @@ def policy_over_folds(spark, sf_dir):
 
 # A linear model table fitted by moments: class coefficients are correlations with the forward excess.
 MODEL_SQL = ("xl AS (SELECT d, pos, k, [x0, x1, x2, x3, x4][k + 1] AS x FROM xw CROSS JOIN (SELECT unnest(range(5)) AS k))",
-    "cf AS (SELECT l.ord, x.k, CASE WHEN l.ord = 0 THEN 0 ELSE coalesce(corr(l.excess, x.x), 0) END AS coef FROM lab2 l JOIN xl x ON x.pos = l.pos GROUP BY l.ord, x.k)",
+    "cf AS (SELECT l.ord, x.k, CASE WHEN l.ord <> 0 AND isfinite(corr(l.excess, x.x)) THEN corr(l.excess, x.x) ELSE 0 END AS coef FROM lab2 l JOIN xl x ON x.pos = l.pos GROUP BY l.ord, x.k)",
     "sx AS (SELECT k, avg(x) AS mean, stddev_pop(x) AS scale, median(x) AS med FROM xl GROUP BY k)",
     "zz AS (SELECT x.d, x.pos, x.k, (coalesce(x.x, s.med) - s.mean) / CASE WHEN abs(s.scale) < 1e-8 THEN 1 ELSE s.scale END AS z, s.scale FROM xl x JOIN sx s USING (k))",
     "score AS (SELECT z.d, c.ord, sum(c.coef * z.z) AS v FROM zz z JOIN cf c USING (k) GROUP BY 1, 2)",
@@ -196,11 +196,17 @@ MODEL_SQL = ("xl AS (SELECT d, pos, k, [x0, x1, x2, x3, x4][k + 1] AS x FROM xw
          QUALIFY row_number() OVER (PARTITION BY w.d ORDER BY abs((cw.coef - c0.coef) * z.z) DESC, z.k) <= 3)""")
 
 
+def correlation(a, b):
+    """Correlation over rows knowing both; 0 where either does not vary."""
+    spread_a, spread_b = F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), spread_a * spread_b), F.lit(0.0))
+
+
 def moment_model(lab, wide):
     """One model row: [class][feature] correlations of excess and momentum, with feature scaling."""
     varying = F.when(F.col("ord") != 0, F.col("excess")).alias("excess")  # the base class is constant and has no correlation
     joined = lab.select("ord", "pos", varying).join(wide, "pos")
-    coefs = joined.groupBy("ord").agg(F.array(*[F.coalesce(F.corr("excess", x), F.lit(0.0)) for x in XS]).alias("c"))
+    coefs = joined.groupBy("ord").agg(F.array(*[correlation(F.col("excess"), F.col(x)) for x in XS]).alias("c"))
     stats = wide.agg(F.array(*[F.avg(x) for x in XS]).alias("mean"), F.array(*[F.stddev_pop(x) for x in XS]).alias("scale"), F.array(*[F.median(x) for x in XS]).alias("median"))
     packed = coefs.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "c"))), lambda s: s["c"]).alias("coef")).scalar()
     return stats.withColumn("coef", packed)

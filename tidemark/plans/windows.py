@@ -121,7 +121,7 @@ def row_diff(spark, sf_dir):
     {rd(f'CASE WHEN count(rv20) {ROWS(63)} >= 63 THEN stddev_samp(rv20) {ROWS(63)} END')} AS vvol,
     {rd(f'CASE WHEN count(ret) {ROWS(63)} >= 63 THEN sqrt(avg(least(ret, 0.0::DOUBLE) * least(ret, 0.0::DOUBLE)) {ROWS(63)}) END')} AS downside,
     {rd(f'CASE WHEN count(dd) {ROWS(63)} >= 63 THEN sqrt(avg(dd * dd) {ROWS(63)}) END')} AS ulcer,
-    {rd(f'(px / m200 - 1) / rv63')} AS dist_vol FROM base""",
+    {rd(f'(px / m200 - 1) / nullif(rv63, 0)')} AS dist_vol FROM base""",
     f"""base AS (SELECT entity, pos, d, px, ret, px / max(px) {RUN} - 1 AS dd, {_sma(200)} AS m200, {VOL63} AS rv63,
         CASE WHEN count(ret) {ROWS(20)} >= 20 THEN stddev_samp(ret) {ROWS(20)} * sqrt(252.0::DOUBLE) END AS rv20 FROM rets)"""))
 def rolling_risk(spark, sf_dir):
