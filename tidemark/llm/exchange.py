@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import U
+from tidemark.llm.text import U, text_buffer
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 48 << 20
@@ -39,9 +39,48 @@ def plan(docs: DataFrame, text: str = "text") -> Sizes:
     return Sizes(max(least, -(-total // CHUNK_BYTES)), int(buckets - 1).bit_length())
 
 
+NO_ID = np.iinfo(np.int64).max
+BODY = "chunk int, raw bigint, body binary"
+
+
 def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunk, doc_id, text): the deal depends on the id only, so a rerun of any task finds the same chunks."""
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(sizes.chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(chunk, raw, body): compressed bundles of documents; NULL text becomes empty, NULL id becomes NO_ID.
+
+    The deal depends on the id only, so a rerun of any task finds the same chunks.
+    """
+    rows = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(sizes.chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def bundle(stream):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in stream:
+            chunk = np.asarray(batch.column("chunk"))
+            order = np.argsort(chunk, kind="stable")
+            table = pa.Table.from_batches([batch]).take(pa.array(order))
+            ids = np.asarray(table.column("doc_id").combine_chunks().fill_null(NO_ID), dtype=np.int64)
+            data, offsets = text_buffer(table.column("text"))
+            chunk = chunk[order]
+            first = first_of_runs(chunk)
+            body, raw = [], []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(chunk)]):
+                part = np.array([j - i], np.int64).tobytes() + ids[i:j].tobytes() + np.diff(offsets[i:j + 1]).tobytes() + data[offsets[i]:offsets[j]].tobytes()
+                raw.append(len(part))
+                body.append(codec.compress(part, asbytes=True))
+            yield pa.record_batch([pa.array(chunk[first], pa.int32()), pa.array(raw, pa.int64()), pa.array(body, pa.binary())], names=["chunk", "raw", "body"])
+
+    return rows.mapInArrow(bundle, BODY)
+
+
+def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, text bytes and row offsets of a chunk."""
+    codec = pa.Codec("zstd")
+    ids, lengths, data = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for raw, body in zip(table.column("raw").to_pylist(), table.column("body").to_pylist()):
+        part = np.frombuffer(codec.decompress(body, raw), dtype=np.uint8)
+        n = int(part[:8].view(np.int64)[0])
+        ids.append(part[8:8 + 8 * n].view(np.int64))
+        lengths.append(part[8 + 8 * n:8 + 16 * n].view(np.int64))
+        data.append(part[8 + 16 * n:])
+    return np.concatenate(ids), np.concatenate(data), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
 
 def cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
