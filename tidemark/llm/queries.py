@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact import exact_groups
 from tidemark.llm.jaccard import similar_groups
+from tidemark.llm.mixing import mixed
 from tidemark.llm.substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +58,30 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_
 FROM d LEFT JOIN kept USING (doc_id)""")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_exact_dedup", oracle="""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir)).drop("probe")
+
+
+@query("op9_mixing", oracle=r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w FROM d GROUP BY source),
+t AS (SELECT 0 AS step, source, n, w, false AS capped, (SELECT sum(n) * 1.5::DOUBLE FROM s) AS rest, (SELECT sum(w) FROM s) AS rest_w FROM s
+  UNION ALL
+  SELECT step + 1, source, n, w, c, sum_all - coalesce(sum(CASE WHEN c THEN 2 * n END) OVER (), 0), sum(CASE WHEN NOT c THEN w END) OVER ()
+  FROM (SELECT *, capped OR rest * w > 2 * n * rest_w AS c, (SELECT sum(n) * 1.5::DOUBLE FROM s) AS sum_all FROM t WHERE step < 40)),
+target AS (SELECT source, n AS source_size, CASE WHEN capped THEN 2.0::DOUBLE * n ELSE rest * w / rest_w END AS target FROM t WHERE step = 40),
+b AS (SELECT *, floor(target / source_size) AS times, target - floor(target / source_size) * source_size AS budget FROM target),
+h AS (SELECT source, place, sum(size) AS here, sum(sum(size)) OVER (PARTITION BY source ORDER BY place) AS upto FROM d GROUP BY source, place),
+x AS (
+  SELECT h.source, h.place, CASE WHEN upto <= budget THEN 1 WHEN upto - here <= budget AND upto - budget <= budget - (upto - here) THEN 1 ELSE 0 END AS extra
+  FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (times + CASE WHEN times < 2 THEN extra ELSE 0 END))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.place = x.place""")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

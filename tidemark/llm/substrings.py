@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.exchange import answers, chunked, first_of_runs, low32, packed, plan, reply, unpack
-from tidemark.llm.text import U, row_starts, text_buffer, windows, words
+from tidemark.llm.exchange import NO_ID, answers, chunked, first_of_runs, low32, opened, packed, plan, reply, unpack
+from tidemark.llm.text import U, row_starts, windows, words
 
 WINDOW = 13
-NO_ID = np.iinfo(np.int64).max
 
 
 def anchor_length(window: int) -> int:
@@ -35,17 +34,13 @@ def anchor_length(window: int) -> int:
     return (window + 1) // 2
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return np.asarray(table.column("doc_id").combine_chunks().fill_null(NO_ID), dtype=np.int64)
-
-
-def _grams(table: pa.Table, window: int, size: int):
+def _grams(chunk, window: int, size: int):
     """Words of a chunk, first word of each row, rolling windows of `size` words in rows that can hold a repeat."""
-    data, offsets = text_buffer(table.column("text"))
+    ids, data, offsets = chunk
     w = words(data, offsets)
-    first = row_starts(w.row, table.num_rows)
+    first = row_starts(w.row, len(ids))
     at, h = windows(w.hash, w.row, size, seed=size)
-    usable = ((np.diff(first) >= window) & (_ids(table) != NO_ID))[w.row[at]]
+    usable = ((np.diff(first) >= window) & (ids != NO_ID))[w.row[at]]
     return w, first, at[usable], h[usable]
 
 
@@ -76,7 +71,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def probe(key, table):
         """Distinct rolling blocks of a chunk; flag 1: one of them is a reference block, 2: in two rows."""
-        w, first, at, h = _grams(table, window, block)
+        w, first, at, h = _grams(opened(table), window, block)
         code = h >> shift
         order = np.argsort(code, kind="stable")
         code, at = code[order], at[order]
@@ -105,21 +100,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def extend(key, table, hits):
         """Fingerprints of all windows that hold a hit block, with the smallest id that has each."""
-        w, first, at, h = _grams(table, window, block)
+        docs_chunk = opened(table)
+        w, first, at, h = _grams(docs_chunk, window, block)
         bucket, low = answers(hits, "keys", np.uint32)
         wanted = np.sort((bucket.astype(U) << U(32)) | low.astype(U))
         flag = np.zeros(len(w.hash) + 1, np.int64)
         flag[at[_find(wanted, h >> shift) >= 0]] = 1
         total = np.concatenate([[0], np.cumsum(flag)])
         at, _ = windows(w.hash, w.row, window)
-        at = at[(total[at + window - block + 1] > total[at]) & (_ids(table) != NO_ID)[w.row[at]]]
+        at = at[(total[at + window - block + 1] > total[at]) & (docs_chunk[0] != NO_ID)[w.row[at]]]
         group, wide = _fingerprints(w, at, window, bits)
         order = np.lexsort((wide, group))
-        group, wide, ids = group[order], wide[order], _ids(table)[w.row[at]][order]
+        group, wide, ids = group[order], wide[order], docs_chunk[0][w.row[at]][order]
         run = np.flatnonzero(np.concatenate([[True], (wide[1:] != wide[:-1]) | (group[1:] != group[:-1])])) if len(wide) else np.zeros(0, np.int64)
         least = np.minimum.reduceat(ids, run) if len(run) else ids
         many = np.maximum.reduceat(ids, run) != least if len(run) else np.zeros(0, bool)
-        return packed(key[0].as_py() if key[0] is not None else 0, group[run].astype(U) << U(64 - bits), bits, keys=wide[run], ids=least, many=many.astype(np.uint8))
+        return packed(key[0].as_py(), group[run].astype(U) << U(64 - bits), bits, keys=wide[run], ids=least, many=many.astype(np.uint8))
 
     def judge(key, table):
         """Windows that go in some document of a chunk; foreign: the smallest id lies in another chunk."""
@@ -135,7 +131,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return reply(chunk, row[gone], key[0].as_py(), keys=keys[gone], foreign=foreign[gone].astype(np.uint8))
 
     def remove(key, table, found):
-        w, first, at, _ = _grams(table, window, window)
+        doc_ids, data, offsets = docs_chunk = opened(table)
+        w, first, at, _ = _grams(docs_chunk, window, window)
         group, wide = _fingerprints(w, at, window, bits)
         bucket, keys, foreign = answers(found, "keys", U, foreign=np.uint8)
         order = np.argsort(keys, kind="stable")
@@ -144,7 +141,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         match = place >= 0
         match[match] = bucket[place[match]] == group[match]
         at, place = at[match], place[match]
-        ids = _ids(table)[w.row[at]]
+        ids = doc_ids[w.row[at]]
         least = np.full(len(keys), NO_ID)
         np.minimum.at(least, place, ids)
         at = at[(foreign[place] > 0) | (ids > least[place])]
@@ -155,8 +152,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lost = np.concatenate([[0], np.cumsum(gone)])
         n_removed = lost[first[1:]] - lost[first[:-1]]
         kept, spans = [], []
-        for i, t in enumerate(table.column("text").to_pylist()):
-            parts, span = (t or "").encode().split(), []
+        for i in range(len(doc_ids)):
+            parts, span = data[offsets[i]:offsets[i + 1]].tobytes().split(), []
             if n_removed[i]:
                 mask = gone[first[i]:first[i + 1]]
                 parts = compress(parts, (~mask).tolist())
@@ -164,7 +161,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept.append(b" ".join(parts))
             spans.append(span)
         return pa.table({
-            "doc_id": table.column("doc_id").combine_chunks(), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+            "doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
             "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))})
 
     answer = "chunk int, bucket int, keys binary"
