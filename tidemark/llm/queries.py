@@ -11,6 +11,7 @@ from tidemark.llm.exact import exact_groups
 from tidemark.llm.jaccard import similar_groups
 from tidemark.llm.mixing import mixed
 from tidemark.llm.substrings import remove_repeats
+from tidemark.llm.warc import archive_folder, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,15 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (times
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.place = x.place""")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_warc", oracle="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = archive_folder(pages)
+    return read_archive(write_archive(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
