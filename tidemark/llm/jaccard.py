@@ -32,6 +32,7 @@ from tidemark.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
+BIN = 256
 SETS = "doc_id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, linkable boolean, live array<bigint>"
 
 
@@ -150,34 +151,46 @@ def tree_overlaps(reference: np.ndarray, reference_size: int, sizes: list[int],
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs (node, ref) that reach the similarity; partners of one ref share its prefix tree."""
+    """(a, b) of the pairs (node, ref) that reach the similarity; partners of one ref share its prefix tree.
+
+    Pairs are dealt to bins of about BIN partners. A ref with more is spread over several bins, each of which
+    gets the ref's set once.
+    """
+    pairs = materialize(pairs)
+    bins = max(1, -(-pairs.count() // BIN))
+    shares = pairs.groupBy("ref").agg(F.ceil(F.count("*") / BIN).cast("int").alias("parts"))
+    place = F.pmod(F.xxhash64("ref", "part"), F.lit(bins)).cast("int").alias("bin")
     mine = sets.select("node", F.col("n_shingles").alias("n"), F.col("live").alias("path"))
-    other = sets.select(F.col("node").alias("ref"), F.col("n_shingles").alias("ref_n"), F.col("live").alias("ref_path"))
-    met = pairs.join(mine, "node").join(other, "ref").where(f"100 * least(n, ref_n) >= {percent} * greatest(n, ref_n)")
-
-    def judge(stream):
-        for batch in stream:
-            ref, node = np.asarray(batch.column("ref")), np.asarray(batch.column("node"))
-            n, ref_n = batch.column("n").to_pylist(), batch.column("ref_n").to_pylist()
-            paths, refs = _lists(batch.column("path")), _lists(batch.column("ref_path"))
-            groups: dict[tuple, list[int]] = {}
-            for i, r in enumerate(ref.tolist()):
-                groups.setdefault((r, ref_n[i], refs[i][:1].tobytes()), []).append(i)
-            a, b = [], []
-            for group in groups.values():
-                g = group[0]
-                for k in tree_overlaps(refs[g], ref_n[g], [n[i] for i in group], [paths[i] for i in group], percent):
-                    a.append(node[group[k]])
-                    b.append(ref[g])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return met.select("ref", "ref_n", "ref_path", "node", "n", "path").mapInArrow(judge, "a bigint, b bigint")
-
-
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    bounds = np.asarray(column.offsets)
-    values = np.asarray(column.values).view(U)
-    return [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    partners = pairs.join(shares, "ref").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(mine, "node")
+    partners = partners.select(place, "ref", "node", "n", "path")
+    refs = shares.join(mine.withColumnRenamed("node", "ref"), "ref").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    refs = refs.select(place, F.col("ref").alias("whose"), F.col("n").alias("whose_n"), F.col("path").alias("whose_path"))
+    return partners.groupBy("bin").cogroup(refs.groupBy("bin")).applyInArrow(_judge(percent), "a bigint, b bigint")
+
+
+def _judge(percent: int):
+    def judge(partners, refs):
+        ref, node = partners.column("ref").to_pylist(), partners.column("node").to_pylist()
+        n, paths = partners.column("n").to_pylist(), _lists(partners.column("path"))
+        groups: dict[int, list[int]] = {}
+        for i, r in enumerate(ref):
+            groups.setdefault(r, []).append(i)
+        a, b = [], []
+        for r, size, path in zip(refs.column("whose").to_pylist(), refs.column("whose_n").to_pylist(), _lists(refs.column("whose_path"))):
+            group = [i for i in groups.get(r, []) if 100 * min(n[i], size) >= percent * max(n[i], size)]
+            for k in tree_overlaps(path, size, [n[i] for i in group], [paths[i] for i in group], percent):
+                a.append(node[group[k]])
+                b.append(r)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return judge
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for part in column.chunks:
+        bounds, values = np.asarray(part.offsets), np.asarray(part.values).view(U)
+        out += [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return out
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

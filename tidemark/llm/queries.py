@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.jaccard import similar_groups
 from tidemark.llm.mixing import mixed
+from tidemark.llm.packing import packed_sequences
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.warc import archive_folder, read_archive, write_archive
 
@@ -98,3 +99,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = archive_folder(pages)
     return read_archive(write_archive(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_curve_packing")
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(documents(spark, sf_dir), tokenizer_path(), with_ids=False)

@@ -152,3 +152,31 @@ def windows(hashes: np.ndarray, row: np.ndarray, k: int, seed: int = 2) -> tuple
 def row_starts(row: np.ndarray, n: int) -> np.ndarray:
     """First position of each row in a sorted row array, with the total at the end."""
     return np.searchsorted(row, np.arange(n + 1))
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans are sorted and do not overlap."""
+    letter = constants(256, seed=7)
+    out, i = np.zeros(len(begin), dtype=U), 0
+    up = down = np.zeros(0, dtype=U)
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + BLOCK, side="right")))
+        at, to = int(begin[i]), int(end[j - 1])
+        if len(up) < to - at:
+            up, down = powers(max(to - at, BLOCK), _BASE), powers(max(to - at, BLOCK), _INVERSE)
+        total = np.empty(to - at + 1, dtype=U)
+        total[0] = 0
+        np.cumsum(letter[data[at:to]] * up[:to - at], out=total[1:])
+        out[i:j] = mix((total[end[i:j] - at] - total[begin[i:j] - at]) * down[begin[i:j] - at])
+        i = j
+    return out
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 24):
+    """The batch in row ranges of at most `limit` bytes of text (one row at least), so that arrays stay small."""
+    offsets = text_buffer(batch.column(text))[1]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
