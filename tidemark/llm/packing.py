@@ -187,7 +187,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 def packed_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])."""
     tokens = materialize(tokenized(docs, path, doc_id, text))
-    place = (F.shiftleft(F.col("curve"), 30) | F.shiftrightunsigned(F.xxhash64("doc_id"), 34)).alias("place")
+    place = F.shiftleft(F.col("curve"), 30).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 34)).alias("place")
     light = tokens.select(place, "n")
     count = max(1, partitions(docs))
     bounds = light.agg(F.percentile_approx("place", [(i + 1) / count for i in range(count - 1)] or [0.5], 20 * count)).first()[0] or []
