@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.jaccard import similar_groups
+from tidemark.llm.language import identify
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import packed_sequences
 from tidemark.llm.substrings import remove_repeats
@@ -110,3 +111,8 @@ def tokenizer_path() -> str:
 @query("op1_curve_packing")
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
