@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import partitions
-from tidemark.llm.text import U, mix, slices, span_hashes, text_buffer, words
+from tidemark.llm.exchange import first_of_runs, partitions
+from tidemark.llm.text import U, mix, slices, span_hashes, text_buffer, words, worker_cache
 from tidemark.session import materialize
 
 CAPACITY, END = 2048, 1
@@ -80,17 +80,44 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert(cell, DEPTH)
 
 
-@cache
 def _tokenizer(path: str):
     """The tokenizer and the byte length of each of its tokens."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
-    lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
-    for token, i in tokenizer.get_vocab().items():
-        lengths[i] = special.get(i, len(token))
-    return tokenizer, lengths
+    kept = worker_cache("tokenizers")
+    if path not in kept:
+        tokenizer = Tokenizer.from_file(path)
+        special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            lengths[i] = special.get(i, len(token))
+        kept[path] = tokenizer, lengths
+    return kept[path]
+
+
+class Pieces(NamedTuple):
+    """Token ids of pieces by the pieces' sorted hashes."""
+
+    hash: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+
+
+def _piece_ids(data, blank, begin, end, hashes, path: str, most: int = 1 << 20) -> Pieces:
+    """Ids of pieces with sorted distinct hashes; up to `most` pieces are remembered for the worker's next batches."""
+    kept = worker_cache("pieces")
+    known = kept.get(path, Pieces(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)))
+    place = np.minimum(np.searchsorted(known.hash, hashes), max(len(known.hash) - 1, 0))
+    new = known.hash[place] != hashes if len(known.hash) else np.ones(len(hashes), bool)
+    ids, counts = _encode(data, blank, begin[new], end[new], path)
+    merged = np.concatenate([known.hash, hashes[new]])
+    order = np.argsort(merged, kind="stable")
+    start = np.concatenate([known.start, len(known.ids) + np.cumsum(counts) - counts])
+    found = Pieces(merged[order], start[order], np.concatenate([known.count, counts])[order], np.concatenate([known.ids, ids]))
+    if len(merged) <= most:
+        kept[path] = found
+    return found
 
 
 def _blank(data: np.ndarray) -> np.ndarray:
@@ -119,11 +146,17 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(data))[:len(begin)]
-    _, first, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-    ids, counts = _encode(data, blank, begin[first], end[first], path)
-    length = counts[which]
-    shift = (np.cumsum(counts) - counts)[which] - (np.cumsum(length) - length)
-    flat = ids[np.repeat(shift, length) + np.arange(int(length.sum()))]
+    hashes = span_hashes(data, begin, end)
+    order = np.argsort(hashes, kind="stable")
+    run = first_of_runs(hashes[order])
+    distinct = hashes[order[run]]
+    pieces = _piece_ids(data, blank, begin[order[run]], end[order[run]], distinct, path)
+    place = np.searchsorted(pieces.hash, distinct)
+    which = np.empty(len(hashes), np.int64)
+    which[order] = np.repeat(place, np.diff(np.append(run, len(order))))
+    length = pieces.count[which]
+    shift = pieces.start[which] - (np.cumsum(length) - length)
+    flat = pieces.ids[np.repeat(shift, length) + np.arange(int(length.sum()))]
     per_row = np.bincount(np.searchsorted(offsets, begin, side="right") - 1, weights=length, minlength=n).astype(np.int64)
     return flat, np.concatenate([[0], np.cumsum(per_row)])
 

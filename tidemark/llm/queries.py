@@ -12,7 +12,9 @@ from tidemark.llm.jaccard import similar_groups
 from tidemark.llm.language import identify
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import packed_sequences
+from tidemark.llm.quality import quality
 from tidemark.llm.substrings import remove_repeats
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import archive_folder, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +118,13 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("sentences")

@@ -180,3 +180,41 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 24):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def first_seen(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each (row, hash) is the first of its kind in the given order."""
+    order = np.lexsort((hashes, row))
+    r, h = row[order], hashes[order]
+    out = np.zeros(len(row), bool)
+    if len(row):
+        out[order[np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])]] = True
+    return out
+
+
+def prefix_hashes(data: np.ndarray, start: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the first k bytes after each start, for each k of `sizes`; starts are sorted."""
+    letter = constants(256, seed=7)
+    out = [np.zeros(len(start), dtype=U) for _ in sizes]
+    reach, i = max(sizes), 0
+    up, down = powers(min(len(data), BLOCK) + reach + 1, _BASE), powers(min(len(data), BLOCK) + reach + 1, _INVERSE)
+    while i < len(start):
+        at = int(start[i])
+        j = int(np.searchsorted(start, at + BLOCK, side="left"))
+        part = data[at:int(start[j - 1]) + reach]
+        total = np.zeros(len(part) + reach + 1, dtype=U)
+        np.cumsum(letter[part] * up[:len(part)], out=total[1:len(part) + 1])
+        total[len(part) + 1:] = total[len(part)]
+        inner = start[i:j] - at
+        for o, k in zip(out, sizes):
+            o[i:j] = mix((total[inner + k] - total[inner]) * down[inner] + U(k))
+        i = j
+    return out
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over tasks; it may be empty at any time."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_tidemark_worker_cache", types.ModuleType("cache")).__dict__.setdefault(name, {})
