@@ -128,14 +128,18 @@ def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int, steps: int
     return best
 
 
-def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: str = "doc_id", text: str = "text", folds: int = 5, most: int = 3) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages, proportions) for every row."""
+def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: str = "doc_id", text: str = "text", folds: int = 5, most: int = 3, carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, languages, proportions) for every row; with `carry` the row itself as struct `row`."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), (fold_of(doc_id, folds) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
+    if carry:
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), (fold_of(doc_id, folds) == 0).alias("held_out"))
+        kept = f"row {rows.schema['row'].dataType.simpleString()}, "
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     def score(stream):
         table = model.value
         for whole in stream:
+            whole = whole.append_column("text", whole.column("row").field(text).cast(pa.string())) if carry else whole
             for batch in slices(whole, "text", 1 << 22):
                 data, offsets = text_buffer(batch.column("text"))
                 n = batch.num_rows
@@ -150,16 +154,16 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
                 share[~known] = 0
                 order = np.argsort(-share, axis=1, kind="stable")
                 sets = [[j for j in o if share[i, j] > 0] for i, o in enumerate(order.tolist())]
-                yield pa.record_batch([
+                yield pa.record_batch([*([batch.column("row")] if carry else []),
                     batch.column("doc_id"), batch.column("held_out"), pa.array([languages[s[0]] if s else UNKNOWN for s in sets]), pa.array([float(share[i, s[0]]) if s else 0.0 for i, s in enumerate(sets)]),
                     pa.array([[languages[j] for j in s] for s in sets], pa.list_(pa.string())), pa.array([[float(share[i, j]) for j in s] for i, s in enumerate(sets)], pa.list_(pa.float64()))],
-                    names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
+                    names=[*(["row"] if carry else []), "doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
 
-    return rows.mapInArrow(score, PREDICTIONS)
+    return rows.mapInArrow(score, (kept if carry else "") + PREDICTIONS)
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int = 512) -> DataFrame:
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int = 512, carry: bool = False) -> DataFrame:
     """Learn from the labelled rows outside fold 0 and predict every row."""
     learning = docs.where(F.col(lang).isNotNull() & (fold_of(doc_id, folds) != 0))
     languages, table = fit(gram_counts(learning, text, lang), most_languages)
-    return predict(docs, languages, table, doc_id, text, folds)
+    return predict(docs, languages, table, doc_id, text, folds, carry=carry)

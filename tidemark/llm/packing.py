@@ -171,17 +171,18 @@ def _encode(data, blank, begin, end, path) -> tuple[np.ndarray, np.ndarray]:
     size = end - begin
     joined = (data[begin] == 32) & (size > 1) & ~blank[end]
     joined[joined] &= ~blank[begin[joined] + 2]
-    piece = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
-    out: list = [None] * len(piece)
-    alone = np.flatnonzero(~joined).tolist()
-    for i, code in zip(alone, tokenizer.encode_batch_fast([piece[i].decode() for i in alone], add_special_tokens=False)):
-        out[i] = np.array(code.ids, np.uint32)
+    alone = np.flatnonzero(~joined)
+    single = tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(begin[alone].tolist(), end[alone].tolist())], add_special_tokens=False)
     fit = np.flatnonzero(joined)
-    groups = np.split(fit, np.flatnonzero(np.diff(np.cumsum(size[fit]) >> 16)) + 1) if len(fit) else []
-    codes = tokenizer.encode_batch_fast([b"".join([piece[i] for i in g.tolist()]).decode() for g in groups], add_special_tokens=False)
-    counts = np.zeros(len(piece), np.int64)
-    counts[alone] = [len(out[i]) for i in alone]
-    parts, order = [out[i] for i in alone], [np.array(alone, np.int64)]
+    upto = np.cumsum(size[fit])
+    cuts = np.flatnonzero(np.diff(upto >> 16)) + 1
+    groups = np.split(fit, cuts) if len(fit) else []
+    text = data[np.repeat(begin[fit] - (upto - size[fit]), size[fit]) + np.arange(int(upto[-1]) if len(fit) else 0)].tobytes()
+    bounds = [0, *(upto[cuts - 1].tolist()), len(text)]
+    codes = tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:])] if groups else [], add_special_tokens=False)
+    counts = np.zeros(len(begin), np.int64)
+    counts[alone] = [len(code.ids) for code in single]
+    parts, order = [np.array(code.ids, np.uint32) for code in single], [alone]
     for g, code in zip(groups, codes):
         ids = np.array(code.ids, np.uint32)
         ends = np.cumsum(token_bytes[ids])
@@ -193,7 +194,7 @@ def _encode(data, blank, begin, end, path) -> tuple[np.ndarray, np.ndarray]:
         parts.append(ids)
         order.append(g)
     flat, order = np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate(order).astype(np.int64)
-    start = np.empty(len(piece), np.int64)
+    start = np.empty(len(begin), np.int64)
     start[order] = np.cumsum(counts[order]) - counts[order]
     return flat[np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))], counts
 

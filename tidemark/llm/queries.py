@@ -12,6 +12,7 @@ from tidemark.llm.jaccard import similar_groups
 from tidemark.llm.language import identify
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import packed_sequences
+from tidemark.llm.perplexity import quality_rules
 from tidemark.llm.quality import quality
 from tidemark.llm.substrings import remove_repeats
 from tidemark.llm.toxicity import toxicity
@@ -128,3 +129,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("sentences")
+
+
+@query("op6_perplexity_rules")
+def op6_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")

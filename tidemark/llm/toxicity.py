@@ -62,16 +62,22 @@ def noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=n))
 
 
-def learn_bags(bags: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = 6, rate: float = 0.3, bias: float = -6.0, decay: float = 1e-4, least: int = 5) -> tuple[np.ndarray, float]:
+def learn_bags(bags: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = 12, rate: float = 0.5, bias: float = -6.0, decay: float = 1e-5, deviation: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights and bias from (feature numbers, sentences, number of sentences, label), by adaptive gradient steps.
 
-    Features of fewer than `least` bags keep weight 0: they tell the bag, not what offends.
+    Only features whose share of toxic bags lies `deviation` standard deviations off the mean share get a weight:
+    the others tell single bags, not what offends.
     """
     w, seen = np.zeros(SIZE), np.full(SIZE, 1e-1)
-    df = np.zeros(SIZE, np.int32)
-    for number, *_ in bags:
-        df[np.unique(number)] += 1
-    bags = [(number[df[number] >= least], sentence[df[number] >= least], n, label) for number, sentence, n, label in bags]
+    df, toxic = np.zeros(SIZE), np.zeros(SIZE)
+    for number, _, _, label in bags:
+        distinct = np.unique(number)
+        df[distinct] += 1
+        toxic[distinct] += label
+    share = sum(label for *_, label in bags) / max(len(bags), 1)
+    telling = (toxic - df * share) ** 2 >= deviation ** 2 * df * share * (1 - share)
+    telling &= df > 2
+    bags = [(number[telling[number]], sentence[telling[number]], n, label) for number, sentence, n, label in bags]
     bias_seen = 1.0
     for _ in range(epochs):
         for number, sentence, n, label in bags:
@@ -88,7 +94,7 @@ def learn_bags(bags: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: in
     return w, bias
 
 
-def train(sample: DataFrame, epochs: int = 6) -> tuple[np.ndarray, float]:
+def train(sample: DataFrame, epochs: int = 12) -> tuple[np.ndarray, float]:
     """The sample is bounded; its updates run in one task in the order of hashes."""
     def learn(stream):
         bags, order = [], []
