@@ -231,28 +231,31 @@ def regime_streak(spark, sf_dir):
     return last.select("x.regime", F.col("x.d").alias("last_d"), (F.col("x.run") + 1).cast("bigint").alias("sessions"))
 
 
-PATH_SQL = """tl AS (SELECT strategy, lag_n, n, pos, t, post_month FROM (
-   SELECT x.strategy, l.lag_n, count(*) OVER (PARTITION BY x.strategy, l.lag_n) AS n, x.pos, x.t, lead(date_trunc('month', x.d), 1) OVER k AS m1, lead(date_trunc('month', x.d), 2) OVER k AS m2,
+N = range(5)
+DIFFERS = " OR ".join(f"abs(l.w{i} - s.e{i}) > 1e-6 + 1e-5 * abs(s.e{i})" for i in N)
+ALL_SAFE = "l.w0 >= 0.999 AND " + " AND ".join(f"abs(l.w{i}) <= 1e-8" for i in N[1:])
+SAFER = "l.w0 >= s.e0 - 1e-8 AND " + " AND ".join(f"l.w{i} <= s.e{i} + 1e-8" for i in N[1:])
+PATH_SQL = f"""tl AS MATERIALIZED (
+   SELECT x.*, l.lag_n, count(*) OVER (PARTITION BY x.strategy, l.lag_n) AS n,
      CASE WHEN l.lag_n = 1 THEN lead(date_trunc('month', x.d), 1) OVER k ELSE lead(date_trunc('month', x.d), 2) OVER k END AS post_month
-   FROM targets x CROSS JOIN (VALUES (1), (2)) l(lag_n) WHERE x.t IS NOT NULL WINDOW k AS (PARTITION BY x.strategy, l.lag_n ORDER BY x.pos))),
+   FROM tw x CROSS JOIN (VALUES (1), (2)) l(lag_n) WINDOW k AS (PARTITION BY x.strategy, l.lag_n ORDER BY x.pos)),
 sim AS (
-  SELECT strategy, lag_n, pos, t AS eff, -1000000::BIGINT AS last_sw, NULL::TIMESTAMP AS um, 0 AS uc, 0 AS acc, 0 AS used FROM (SELECT *, -1 AS p FROM tl WHERE pos = 0)
+  SELECT strategy, lag_n, pos, {", ".join(f"w{i} AS e{i}" for i in N)}, -1000000::BIGINT AS last_sw, NULL::TIMESTAMP AS um, 0 AS uc, 0 AS acc, 0 AS used FROM tl WHERE pos = 0
   UNION ALL
-  SELECT strategy, lag_n, pos, CASE WHEN ok THEN t ELSE eff END, CASE WHEN ok THEN pos ELSE last_sw END, CASE WHEN ok THEN post_month ELSE um END,
+  SELECT strategy, lag_n, pos, {", ".join(f"CASE WHEN ok THEN w{i} ELSE e{i} END" for i in N)}, CASE WHEN ok THEN pos ELSE last_sw END, CASE WHEN ok THEN post_month ELSE um END,
     CASE WHEN ok THEN least(u + 1, 2) ELSE uc END, ok::INTEGER, CASE WHEN ok THEN least(u + 1, 2) ELSE 0 END FROM (
-    SELECT *, t <> eff AND (pos - last_sw >= 21 OR t = 0) AND pos + lag_n < n AND (u < 2 OR t = 0) AS ok FROM (
-      SELECT l.*, s.eff, s.last_sw, s.um, s.uc, CASE WHEN s.um = l.post_month THEN s.uc ELSE 0 END AS u FROM sim s JOIN tl l ON l.strategy = s.strategy AND l.lag_n = s.lag_n AND l.pos = s.pos + 1)))"""
-
-
+    SELECT *, differs AND (pos - last_sw >= 21 OR all_safe) AND pos + lag_n < n AND (u < 2 OR safer) AS ok FROM (
+      SELECT l.*, {", ".join(f"s.e{i}" for i in N)}, s.last_sw, s.um, s.uc, CASE WHEN s.um = l.post_month THEN s.uc ELSE 0 END AS u, {DIFFERS} AS differs, {ALL_SAFE} AS all_safe, {SAFER} AS safer
+      FROM sim s JOIN tl l ON l.strategy = s.strategy AND l.lag_n = s.lag_n AND l.pos = s.pos + 1)))"""
 @query("target_path", duck(
-    """SELECT a.strategy, a.lag_n::BIGINT AS lag, s.d, coalesce(h.eff, z.eff)::BIGINT AS held, coalesce(p.acc, 0)::BIGINT AS post, coalesce(p.used, 0)::BIGINT AS used
-       FROM sim a JOIN ses s ON s.pos = a.pos LEFT JOIN sim p ON p.strategy = a.strategy AND p.lag_n = a.lag_n AND p.pos = a.pos - a.lag_n
-       LEFT JOIN sim h ON h.strategy = a.strategy AND h.lag_n = a.lag_n AND h.pos = a.pos - a.lag_n - 1 JOIN sim z ON z.strategy = a.strategy AND z.lag_n = a.lag_n AND z.pos = 0""", *RULES_SQL, PATH_SQL))
+    f"""SELECT strategy, lag_n::BIGINT AS lag, d, {', '.join(rd(f'coalesce(CASE WHEN lag_n = 1 THEN lag(e{i}, 2) OVER k ELSE lag(e{i}, 3) OVER k END, first_value(e{i}) OVER k)') + f' AS w{i}' for i in N)},
+          coalesce(CASE WHEN lag_n = 1 THEN lag(acc, 1) OVER k ELSE lag(acc, 2) OVER k END, 0)::BIGINT AS post, coalesce(CASE WHEN lag_n = 1 THEN lag(used, 1) OVER k ELSE lag(used, 2) OVER k END, 0)::BIGINT AS used
+        FROM sim JOIN ses USING (pos) WINDOW k AS (PARTITION BY strategy, lag_n ORDER BY pos)""", *RULES_SQL, PATH_SQL))
 def target_path(spark, sf_dir):
-    out = quota_limited(spark, sf_dir).filter(F.col("strategy") != "vol_target")
-    return out.select("strategy", big(F.col("lag")).alias("lag"), "d", big(fw.top_position(F.col("weights"))).alias("held"), big(F.col("post")).alias("post"), big(F.col("used")).alias("used"))
+    out = quota_limited(spark, sf_dir)
+    return out.select("strategy", big(F.col("lag")).alias("lag"), "d", *[r6(F.get("weights", F.lit(i))).alias(f"w{i}") for i in N], big(F.col("post")).alias("post"), big(F.col("used")).alias("used"))
 
 
 def quota_limited(spark, sf_dir):
     rows = rule_targets(spark, sf_dir).withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2))))
-    return pf.limited_paths(rows.select("strategy", "lag", "pos", "d", "weights"), min_hold=21)
+    return pf.limited_paths(materialize(rows.select("strategy", "lag", "pos", "d", "weights")), min_hold=21, size=5)
