@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over undirected edges (a, b), for nodes that have an edge.
 
     Each round hooks every root to its smallest neighbouring root, follows the hooks to their ends by pointer
-    jumping, and relabels the edges; only edges between different roots go on. Every step is a written table.
+    jumping, and relabels the edges; only edges between different roots go on. Steps are written tables.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
     while not edges.isEmpty():
-        parent = materialize(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        parent = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         while True:
+            parent = materialize(parent)
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = materialize(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+            further = above.select(F.col("up").alias("top"), F.col("top").alias("peak"))
+            ahead = parent.join(above, "up", "left").join(further, "top", "left")
+            parent = materialize(ahead.select("node", F.coalesce("peak", "top", "up").alias("up"), F.col("peak").isNotNull().alias("moved")))
             if parent.where("moved").isEmpty():
                 break
             parent = parent.drop("moved")

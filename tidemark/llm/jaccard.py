@@ -122,67 +122,67 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def tree_overlaps(reference: np.ndarray, reference_size: int, sizes: list[int], paths: list[np.ndarray], percent: int) -> list[int]:
-    """Which paths (sets in global order) reach the similarity with the reference set.
+def tree_overlaps(reference: np.ndarray, needs: list[int], paths: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Bounds (low, high) of the overlap of each path (a set in global order) with the reference set.
 
-    The paths are visited in depth-first order of their prefix tree. `seen[d]` is the overlap of the current
-    path's first d shingles; a path starts where it leaves the one before it, and ends when the overlap so far
-    and what is left of it cannot reach the need.
+    The paths are visited in depth-first order of their prefix tree. `seen[d]` is the overlap of the current path's
+    first d shingles; a path starts where it leaves the one before it. It ends early when the overlap so far and what
+    is left of it cannot reach its need; otherwise the bounds are equal.
     """
     reference = np.sort(reference)
-    linked, before, seen, known = [], np.zeros(0, U), np.zeros(1, np.int64), 0
+    out: list[tuple[int, int]] = [(0, 0)] * len(paths)
+    before, seen, known = np.zeros(0, U), np.zeros(1, np.int64), 0
     for i in sorted(range(len(paths)), key=lambda i: paths[i].byteswap().tobytes()):
         path = paths[i]
-        need = -(-percent * (sizes[i] + reference_size) // (100 + percent))
         m = min(len(path), len(before))
         differ = np.flatnonzero(path[:m] != before[:m])
         depth = min(int(differ[0]) if len(differ) else m, known)
         grown = np.empty(len(path) + 1, np.int64)
         grown[:depth + 1] = seen[:depth + 1]
-        while depth < len(path) and grown[depth] + min(len(path) - depth, len(reference)) >= need:
+        while depth < len(path) and grown[depth] + min(len(path) - depth, len(reference)) >= needs[i]:
             step = path[depth:depth + 256]
             place = np.minimum(np.searchsorted(reference, step), len(reference) - 1)
             grown[depth + 1:depth + 1 + len(step)] = grown[depth] + np.cumsum(reference[place] == step)
             depth += len(step)
-        if depth == len(path) and grown[depth] >= need:
-            linked.append(i)
+        low = int(grown[depth])
+        out[i] = low, low + min(len(path) - depth, len(reference) - low)
         before, seen, known = path, grown, depth
-    return linked
+    return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs (node, ref) that reach the similarity; partners of one ref share its prefix tree.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, depth: float = 1.0) -> DataFrame:
+    """(a, b, low, high, linked) of the pairs (node, ref): bounds of the overlap, and whether it reaches the similarity.
 
-    Pairs are dealt to bins of about BIN partners. A ref with more is spread over several bins, each of which
+    Partners of one ref share its prefix tree, whose subtrees end where `depth` times the needed overlap is out of
+    reach. Pairs are dealt to bins of about BIN partners; a ref with more is spread over several bins, each of which
     gets the ref's set once.
     """
     pairs = materialize(pairs)
     bins = max(1, -(-pairs.count() // BIN))
     shares = pairs.groupBy("ref").agg(F.ceil(F.count("*") / BIN).cast("int").alias("parts"))
     place = F.pmod(F.xxhash64("ref", "part"), F.lit(bins)).cast("int").alias("bin")
-    mine = sets.select("node", F.col("n_shingles").alias("n"), F.col("live").alias("path"))
+    mine = sets.select("node", "n", F.col("live").alias("path"))
     partners = pairs.join(shares, "ref").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(mine, "node")
     partners = partners.select(place, "ref", "node", "n", "path")
     refs = shares.join(mine.withColumnRenamed("node", "ref"), "ref").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     refs = refs.select(place, F.col("ref").alias("whose"), F.col("n").alias("whose_n"), F.col("path").alias("whose_path"))
-    return partners.groupBy("bin").cogroup(refs.groupBy("bin")).applyInArrow(_judge(percent), "a bigint, b bigint")
-
 
-def _judge(percent: int):
     def judge(partners, refs):
         ref, node = partners.column("ref").to_pylist(), partners.column("node").to_pylist()
         n, paths = partners.column("n").to_pylist(), _lists(partners.column("path"))
         groups: dict[int, list[int]] = {}
         for i, r in enumerate(ref):
             groups.setdefault(r, []).append(i)
-        a, b = [], []
+        rows = []
         for r, size, path in zip(refs.column("whose").to_pylist(), refs.column("whose_n").to_pylist(), _lists(refs.column("whose_path"))):
-            group = [i for i in groups.get(r, []) if 100 * min(n[i], size) >= percent * max(n[i], size)]
-            for k in tree_overlaps(path, size, [n[i] for i in group], [paths[i] for i in group], percent):
-                a.append(node[group[k]])
-                b.append(r)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    return judge
+            group = groups.get(r, [])
+            needs = [-(-percent * (n[i] + size) // (100 + percent)) for i in group]
+            for i, need, (low, high) in zip(group, needs, tree_overlaps(path, [int(depth * x) for x in needs], [paths[i] for i in group])):
+                rows.append((node[i], r, low, high, low >= need))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["a", "b", "low", "high", "linked"])
+
+    return partners.groupBy("bin").cogroup(refs.groupBy("bin")).applyInArrow(judge, "a bigint, b bigint, low bigint, high bigint, linked boolean")
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -198,7 +198,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialize(shingle_sets(docs, doc_id, text, size, percent))
     classes = rows.where("linkable").groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     stored = rows.where("live IS NOT NULL")
-    sets = materialize(stored.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = node").select("node", "n_shingles", "live"))
+    sets = materialize(stored.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "live"))
     labels = _labels(sets, percent)
     named = classes.join(labels.withColumnRenamed("comp", "component"), "node", "left").select("fp_a", "fp_b", "n_shingles", "node", F.coalesce("component", "node").alias("component"), F.lit(True).alias("linkable"))
     light = rows.select("doc_id", "n_shingles", "fp_a", "fp_b", "linkable")
@@ -207,32 +207,56 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _labels(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) over all links between classes."""
-    prefix = f"n_shingles - (({percent} * n_shingles + 99) div 100) + 1 - (n_shingles - size(live))"
-    postings = sets.where(f"{prefix} > 0").select("node", F.explode(F.expr(f"slice(live, 1, cast({prefix} AS int))")).alias("token"))
-    first = postings.groupBy("token").agg(F.min("node").alias("ref"), F.max("node").alias("last")).where("ref < last").drop("last")
-    pairs = postings.join(first, "token").where("node <> ref").groupBy("node", "ref").agg(F.lit(1)).select("node", "ref")
-    links = materialize(verified(pairs, sets, percent))
-    labels = components(links)
+    """(node, comp) over all links between classes; `sets` has node, n and live.
+
+    Round one compares the documents of a shingle with its hub, the one with the smallest share of dead shingles,
+    and keeps the overlaps. Round two compares the documents outside a shingle's largest component with its most
+    intact documents, later rounds take those outside as representatives. For two documents x and y of a shingle with
+    hub h, the overlap is at most min(|x h|, |y h|) + min(|x - h|, |y - h|) over live shingles, and the first shingle
+    that they share lies before place n - need + 1 of both; only pairs for which both hold are compared.
+    """
+    dead = "(n - size(live))"
+    prefix = f"n - (({percent} * n + 99) div 100) + 1 - {dead}"
+    postings = sets.where(f"{prefix} > 0").select("node", "n", F.size("live").alias("alive"), F.posexplode(F.expr(f"slice(live, 1, cast({prefix} AS int))")).alias("k", "token"))
+    postings = postings.withColumn("place", F.col("n") - F.col("alive") + F.col("k")).drop("k")
+    hubs = postings.groupBy("token").agg(F.min(F.struct((1 - F.col("alive") / F.col("n")).alias("share"), F.col("node"))).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
+    hubs = materialize(hubs.where("low < high").select("token", F.col("hub.node").alias("ref")))
+    met = postings.join(hubs, "token").where("node <> ref")
+    tested = materialize(verified(met.groupBy("node", "ref").agg(F.lit(1)).select("node", "ref"), sets, percent, depth=0.5))
+    labels = _merged(sets.select("node", F.col("node").alias("comp")), tested.where("linked"))
 
     def open_tokens(rest: DataFrame) -> DataFrame:
-        """Postings of tokens whose documents still lie in several components, with the component's share."""
-        known = rest.drop("comp").join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-        several = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        """Postings of tokens whose documents still lie in several components."""
+        known = rest.join(labels, "node")
+        several = known.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
         return materialize(known.join(several, "token", "left_semi"))
 
-    rest = postings.join(first, "token").where("node <> ref").select("token", "node")
-    rest, salts = open_tokens(rest), 16
+    bounds = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), "high", "low")
+    rest = met.join(bounds, ["node", "ref"]).select("token", "node", "n", "place", "high", (F.col("alive") - F.col("low")).alias("own"), (F.col("n") - F.col("alive")).alias("dead"))
+    rest, inside, salts = open_tokens(rest), True, 16
+    need = f"({percent} * (n + r_n) + {99 + percent}) div {100 + percent}"
+    reach = f"""comp <> r_comp AND 100 * least(n, r_n) >= {percent} * greatest(n, r_n) AND least(high, r_high) + least(own, r_own) >= {need}
+                AND place <= n - {need} AND r_place <= r_n - {need}"""
     while not rest.isEmpty():
-        share = rest.groupBy("token", "comp").agg(F.count("*").alias("n"))
-        largest = share.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top")).select("token", F.col("top.comp").alias("main"))
-        outside = rest.join(largest, "token").where("comp <> main")
-        refs = materialize(outside.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).agg(F.min(F.struct(F.col("node"), F.col("comp"))).alias("r")).select("token", F.col("r.node").alias("ref"), F.col("r.comp").alias("ref_comp")))
-        pairs = rest.join(refs, "token").where("comp <> ref_comp").groupBy("node", "ref").agg(F.lit(1)).select("node", "ref")
-        more = materialize(verified(pairs, sets, percent))
+        share = rest.groupBy("token", "comp").agg(F.count("*").alias("m"))
+        largest = share.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top")).select("token", F.col("top.comp").alias("main"))
+        known = rest.join(largest, "token")
+        outside = known.where("comp <> main").drop("main")
+        salt = F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")
+        refs = (known.where("comp = main") if inside else outside).groupBy("token", salt).agg(F.min(F.struct("dead", "node", "comp", "n", "place", "high", "own")).alias("r"))
+        refs = materialize(refs.select("token", F.col("r.node").alias("ref"), *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("comp", "n", "place", "high", "own")]))
+        pairs = (outside if inside else rest).join(refs, "token").where(reach).groupBy("node", "ref").agg(F.lit(1)).select("node", "ref")
+        more = materialize(verified(pairs, sets, percent).where("linked"))
         if not more.isEmpty():
-            links = materialize(links.unionByName(more))
-            labels = components(links)
-        rest = open_tokens(rest.join(refs.select("token", F.col("ref").alias("node")), ["token", "node"], "left_anti"))
-        salts = min(4 * salts, 1024)
+            labels = _merged(labels, more)
+        rest = open_tokens(rest.drop("comp").join(refs.select("token", F.col("ref").alias("node")), ["token", "node"], "left_anti"))
+        inside, salts = False, 256 if inside else min(16 * salts, 1 << 16)
     return labels
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between nodes: components of the labels that the links join."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp"))
+    edges = links.select("a", "b").join(a, "a").join(b, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    moved = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return materialize(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
