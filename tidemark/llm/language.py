@@ -59,7 +59,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     def count(stream):
         total: dict[str, np.ndarray] = {}
         for whole in stream:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 22):
                 labels, which = np.unique(np.asarray(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
                 data, offsets = text_buffer(batch.column("text"))
                 code, first, row = grams(data, offsets)
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
         table = model.value
         for whole in stream:
             whole = whole.append_column("text", whole.column("row").field(text).cast(pa.string())) if carry else whole
-            for batch in slices(whole, "text", 1 << 22):
+            for batch in slices(whole, "text", 1 << 20):
                 data, offsets = text_buffer(batch.column("text"))
                 n = batch.num_rows
                 code, first, row = grams(data, offsets)

@@ -182,5 +182,6 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 def archive_folder(pages: DataFrame) -> str:
     """A new folder below the shared checkpoint folder."""
     base = checkpoint_dir(pages.sparkSession).rstrip("/")
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    base = base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
+    base = base if "://" in base else f"file://{base}"
     return f"{base}/warc-{uuid.uuid4().hex}"
