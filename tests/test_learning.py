@@ -18,7 +18,7 @@ def test_purge_and_embargo(spark, start, h, lag):
     assert s_max + lag + h < start and start - s_max > h + lag
 
 
-def planted(spark, noise):
+def planted(spark, noise, family="logistic"):
     rng = np.random.default_rng(7)
     n = 900
     x = rng.normal(size=n)
@@ -27,9 +27,14 @@ def planted(spark, noise):
     data = [(d0 + dt.timedelta(days=i), i, True, int(y[i]), float(x[i]), float(rng.normal())) for i in range(n)]
     rows = spark.createDataFrame(data, "d date, pos int, usable boolean, label_no int, a double, b double")
     folds = spark.createDataFrame([(dt.date(2020, 1, 1), 740, n, 700)], "fold_start date, start_pos int, stop_pos int, s_max int")
-    out, trials = lr.walk_forward_logistic(rows, folds, ["a", "b"], 2, 100)
+    if family == "logistic":
+        out, snapshots, trials = lr.walk_forward_logistic(rows, folds, ["a", "b"], 2, 100, 300)
+        assert snapshots.count() == 1 and trials.count() == len(lr.C_GRID)
+    else:
+        out, trials = lr.walk_forward_boosting(rows, folds, ["a", "b"], 2, 100, 300, grid=((1, 5), (2, 5)))
+        assert trials.count() == 2
     scored = out.join(rows.select("d", "label_no"), "d").select("p", "label_no").collect()
-    assert len(trials) == 3 and all(abs(sum(r["p"]) - 1) < 1e-9 for r in scored)
+    assert scored and all(abs(sum(r["p"]) - 1) < 1e-9 for r in scored)
     p, yy = np.array([r["p"][1] for r in scored]), np.array([r["label_no"] for r in scored])
     return 1 - np.mean((p - yy) ** 2) / np.mean((yy.mean() - yy) ** 2)
 
@@ -39,6 +44,41 @@ def test_planted_signal_has_skill_and_noise_has_none(spark):
     assert planted(spark, noise=True) <= 0.02
 
 
+def test_boosting_finds_the_planted_signal(spark):
+    assert planted(spark, noise=False, family="boosting") > 0.3
+
+
+def test_no_eligible_fold_gives_empty_tables(spark):
+    rows = spark.createDataFrame([(dt.date(2020, 1, 1), 0, True, 0, None)], "d date, pos int, usable boolean, label_no int, a double")
+    folds = spark.createDataFrame([], "fold_start date, start_pos int, stop_pos int, s_max int")
+    assert [t.count() for t in lr.walk_forward_logistic(rows, folds, ["a"], 2, 10, 10)] == [0, 0, 0]
+    assert [t.count() for t in lr.walk_forward_boosting(rows, folds, ["a"], 2, 10, 10)] == [0, 0]
+
+
+def test_searching_folds():
+    folds = [{"fold_start": dt.date(2020, m, 1)} for m in (11, 12)] + [{"fold_start": dt.date(2021, m, 1)} for m in (1, 2)]
+    assert lr.searches(folds) == [0, 2] and lr.later_slice(200) is None and lr.later_slice(1000) == 875 and lr.later_slice(300) == 220
+
+
+def test_explanations_use_the_models_of_their_fold_only(spark, sf_dir):
+    """What later sessions bring changes no earlier snapshot."""
+    from tidemark.plans import learning as plans
+    from tidemark.session import materialize
+    from tidemark.sources import tables as src
+
+    dense = materialize(src.dense_panel(spark, sf_dir))
+    last = dense.agg(F.max("pos")).first()[0]
+    poisoned = dense.withColumn("px", F.when(F.col("pos") > last - 300, F.col("px") * (1 + F.col("ord"))).otherwise(F.col("px")))
+
+    def snapshots(panel):
+        folds = lr.fold_dimension(panel.select("d", "pos").distinct(), plans.H, plans.LAG, "year", 252, 0)
+        early = folds.where(F.col("start_pos") <= last - 300)
+        return {r["fold_start"]: str(r) for r in lr.moment_snapshots(plans.labelled(spark, sf_dir, panel), plans.momentum_wide(panel), early, plans.XS).collect()}
+
+    a, b = snapshots(dense), snapshots(poisoned)
+    assert a and a == b
+
+
 def test_relabel_orders_by_volatility(spark, rows):
     data = [(s, {0: 0.4, 1: 0.1, 2: 0.2}[s]) for s in range(3) for _ in range(100)]
     out = rows(lr.relabel_by_volatility(spark.createDataFrame(data, "raw int, vol double"), "raw", "vol"), "ordered")

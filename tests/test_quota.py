@@ -91,3 +91,22 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     drain(gate_stream(stream, mixes), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["req_id"]: (r["accepted"], r["used"], r["held_no"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == brute(data, mixes)
+
+
+def test_unknown_and_missing_targets_change_nothing(spark):
+    m = dt.date(2026, 9, 1)
+    data = [(1, 0, at(9, 1), 1, m), (1, 1, at(9, 2), -1, m), (1, 2, at(9, 3), None, m), (1, 3, at(9, 4), 7, m), (1, 4, at(9, 5), 2, m)]
+    out = gate(spark, data, qt.one_hot_mixes(3))
+    assert [out[i]["reason"] for i in range(5)] == [qt.POSTED, qt.INVALID, qt.INVALID, qt.INVALID, qt.POSTED]
+    assert [out[i]["held_no"] for i in range(5)] == [1, 1, 1, 1, 2] and out[1]["target_no"] is None
+
+
+def test_meter_equals_the_replay(spark):
+    data = random_requests(3)
+    df = spark.createDataFrame(data, SCHEMA)
+    mixes = qt.one_hot_mixes(4)
+    rows = [r.asDict() for r in qt.gate(df, mixes, F.to_date("ts"), F.date_trunc("minute", "ts")).collect()]
+    for r in qt.meter(df, mixes, F.to_date("ts"), F.date_trunc("minute", "ts")).collect():
+        mine = [x for x in rows if x["account"] == r["account"] and x["month"] == r["month"]]
+        assert r["month"] == max(x["month"] for x in rows if x["account"] == r["account"])
+        assert r["accepted"] == sum(x["accepted"] for x in mine) and r["used"] == max(x["used"] for x in mine)

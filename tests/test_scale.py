@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.session import fits_broadcast
 from tidemark.sources import tables as src
 
 
@@ -16,7 +15,6 @@ def test_panel_without_broadcast_is_the_same(spark, sf_dir):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert not fits_broadcast(src.table(spark, sf_dir, "supplier"))
         big = src.panel(spark, sf_dir)
         text = plan(big)
         assert "BroadcastExchange" not in text
@@ -32,9 +30,9 @@ def test_panel_scan_reads_only_its_columns(spark, sf_dir):
     assert scans and all("l_discount" not in line and "l_comment" not in line for line in scans)
 
 
-def test_event_calendar_limits_before_the_shuffle(spark, sf_dir):
+def test_event_calendar_takes_maxima_before_the_shuffle(spark, sf_dir):
     text = plan(src.event_calendar(spark, sf_dir))
-    assert "WindowGroupLimit" in text and "Partial" in text
+    assert "partial_max" in text and "Window" not in text
 
 
 def test_no_cartesian_products(spark, sf_dir):

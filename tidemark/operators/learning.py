@@ -130,33 +130,53 @@ def fold_vectors(means: DataFrame) -> DataFrame:
     return means.groupBy("fold_start", "start_pos").agg(F.transform(packed, lambda s: s["mu"]).alias("mu"))
 
 
-def explain_rows(rows: DataFrame, model: DataFrame, features: list[str], top: int) -> DataFrame:
-    """Top contributions of a linear multiclass model per row: (d, winner, feature, contribution, flip).
+def moment_snapshots(labelled: DataFrame, wide: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
+    """(fold_start, coef, intercept, mean, scale, median): one linear multiclass model a fold, from rows up to its s_max.
 
-    `model` is one row: coef array<array> [class][feature], mean, scale, median arrays. Class 0 is the
-    base; a contribution is the coefficient difference times the scaled value, and the flip is the raw
-    change of that feature alone that would tie the winner with the base.
+    A class's coefficients are the correlations of its excess with the features and its intercept is its mean excess;
+    the base class is constant and has zeros. Rows are exploded over the folds that may use them, so the work is rows
+    of the calendar times folds.
     """
-    m = model.agg(F.first(F.struct("coef", "mean", "scale", "median"))).scalar()
-    x = F.array(*[F.col(f) for f in features])
+    dims = folds.withColumn("n_dev", F.lit(0))
+    varying = labelled.select("ord", "pos", F.when(F.col("ord") != 0, F.col("excess")).alias("excess")).join(wide.select("pos", *features), "pos")
+
+    def correlation(a: Column, b: Column) -> Column:
+        """Over rows that know both; 0 where either does not vary."""
+        spread_a, spread_b = F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b))
+        return F.coalesce(F.try_divide(F.covar_pop(a, b), spread_a * spread_b), F.lit(0.0))
+
+    coefs = per_fold(varying, dims).groupBy("fold_start", "ord").agg(
+        F.array(*[correlation(F.col("excess"), F.col(x)) for x in features]).alias("c"), F.coalesce(F.avg("excess"), F.lit(0.0)).alias("b"))
+    packed = F.sort_array(F.collect_list(F.struct("ord", "c", "b")))
+    coefs = coefs.groupBy("fold_start").agg(packed.alias("s")).select("fold_start", F.transform("s", lambda s: s["c"]).alias("coef"), F.transform("s", lambda s: s["b"]).alias("intercept"))
+    stats = per_fold(wide.select("pos", *features), dims).groupBy("fold_start").agg(
+        F.array(*[F.avg(x) for x in features]).alias("mean"), F.array(*[F.stddev_pop(x) for x in features]).alias("scale"), F.array(*[F.median(x) for x in features]).alias("median"))
+    return coefs.join(stats, "fold_start")
+
+
+def explain_rows(rows: DataFrame, features: list[str], top: int) -> DataFrame:
+    """Top contributions of a linear multiclass model to a row's decision: one row each, with feature, contribution, flip.
+
+    `rows` carry the features, the decided class `winner`, and the model valid at the row: coef [class][feature],
+    intercept [class], mean, scale, median. Class 0 is the base; a contribution is the coefficient difference times the
+    scaled value, and the flip is the raw change of that feature alone that would tie the winner with the base.
+    """
+    model = ("coef", "intercept", "mean", "scale", "median")
     at = F.sequence(F.lit(0), F.lit(len(features) - 1))
-    step = rows.withColumn("__m", m).withColumn("__x", x)
-    safe = lambda i: F.when(F.abs(F.get(F.col("__m.scale"), i)) < 1e-8, F.lit(1.0)).otherwise(F.get(F.col("__m.scale"), i))
-    z = F.transform(at, lambda i: (F.coalesce(F.get(F.col("__x"), i), F.get(F.col("__m.median"), i)) - F.get(F.col("__m.mean"), i)) / safe(i))
-    step = step.withColumn("__z", z)
+    step = rows.withColumn("__x", F.array(*[F.col(f) for f in features]))
+    known = lambda i: F.coalesce(F.get("__x", i), F.get("median", i), F.lit(0.0))
+    safe = lambda i: F.when(F.coalesce(F.abs(F.get("scale", i)), F.lit(0.0)) < 1e-8, F.lit(1.0)).otherwise(F.get("scale", i))
+    step = step.withColumn("__z", F.transform(at, lambda i: (known(i) - F.coalesce(F.get("mean", i), F.lit(0.0))) / safe(i)))
     dot = lambda c: F.aggregate(F.zip_with(c, F.col("__z"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    step = step.withColumn("scores", F.transform(F.col("__m.coef"), dot))
-    step = step.withColumn("winner", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
-    step = step.withColumn("__d", F.zip_with(F.get(F.col("__m.coef"), F.col("winner")), F.get(F.col("__m.coef"), F.lit(0)), lambda a, b: a - b))
-    gap = F.get("scores", F.col("winner")) - F.get("scores", F.lit(0))
-    step = step.withColumn("__gap", gap)
+    step = step.withColumn("__d", F.zip_with(F.get("coef", F.col("winner")), F.get("coef", F.lit(0)), lambda a, b: a - b))
+    step = step.withColumn("__gap", F.get("intercept", F.col("winner")) - F.get("intercept", F.lit(0)) + dot(F.col("__d")))
     items = F.transform(at, lambda i: F.struct(
-        (-F.abs(F.get(F.col("__d"), i) * F.get(F.col("__z"), i))).alias("k"), i.alias("i"), (F.get(F.col("__d"), i) * F.get(F.col("__z"), i)).alias("contribution"),
-        F.when(F.abs(F.get(F.col("__d"), i)) >= 1e-8, -F.col("__gap") / F.get(F.col("__d"), i) * safe(i)).alias("flip")))
-    best = F.slice(F.array_sort(items), 1, top)
+        (-F.abs(F.get("__d", i) * F.get("__z", i))).alias("k"), i.alias("i"), (F.get("__d", i) * F.get("__z", i)).alias("contribution"),
+        F.when(F.abs(F.get("__d", i)) >= 1e-8, -F.col("__gap") / F.get("__d", i) * safe(i)).alias("flip")))
     names = F.array(*[F.lit(f) for f in features])
-    return step.withColumn("__t", F.explode(best)).select(
-        *rows.columns, "winner", F.get(names, F.col("__t.i")).alias("feature"), F.col("__t.contribution").alias("contribution"), F.col("__t.flip").alias("flip"))
+    kept = [c for c in rows.columns if c not in (*model, *features)]
+    return step.withColumn("__t", F.explode(F.slice(F.array_sort(items), 1, top))).select(
+        *kept, F.get(names, F.col("__t.i")).alias("feature"), F.col("__t.contribution").alias("contribution"), F.col("__t.flip").alias("flip"))
 
 
 def relabel_by_volatility(states: DataFrame, state: str, vol: str) -> DataFrame:
@@ -165,49 +185,42 @@ def relabel_by_volatility(states: DataFrame, state: str, vol: str) -> DataFrame:
     return means.withColumn("ordered", F.row_number().over(W.orderBy(F.col("mean_vol").asc_nulls_last(), state)) - 1)
 
 
-class FoldData:
-    """Scaled training slices of one fold for Spark ML estimators.
+class Matrix:
+    """Feature rows written once with their running rank among usable rows; folds are filters on it.
 
-    Only fold parameters (one number per feature) reach the driver; rows stay distributed.
+    `rows(d, pos, usable, label_no, features...)`. Only fold parameters (one number per feature) reach the driver;
+    rows stay distributed.
     """
 
-    def __init__(self, rows: DataFrame, features: list[str], s_max: int, cal_len: int):
+    def __init__(self, rows: DataFrame, features: list[str], folds: DataFrame, cal_len: int, min_rows: int):
         from tidemark.session import materialize
 
-        train = rows.filter((F.col("pos") <= s_max) & F.col("usable") & F.col("label_no").isNotNull())
-        ranked = train.withColumn("rank", F.row_number().over(W.orderBy("pos")))
-        self.features = features
-        self.rows = materialize(ranked)
-        self.n = self.rows.count()
-        self.n_dev = self.n - cal_len
-        self.dev = self.rows.filter(F.col("rank") <= self.n_dev)
-        self.cal = self.rows.filter(F.col("rank") > self.n_dev)
+        ok = F.coalesce(F.col("usable"), F.lit(False)) & F.col("label_no").isNotNull()
+        ranked = rows.withColumn("ok", ok).withColumn("rank", F.sum(ok.cast("int")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+        self.features, self.rows = features, materialize(ranked)
+        self.folds = fold_list(train_counts(self.rows.select("pos", "ok"), folds, cal_len, min_rows).where("usable = 1"))
+
+    def ranks(self, low: int, high: int) -> DataFrame:
+        return self.rows.where(F.col("ok") & (F.col("rank") > low) & (F.col("rank") <= high))
+
+    def segment(self, fold: dict) -> DataFrame:
+        return self.rows.where((F.col("pos") >= fold["start_pos"]) & (F.col("pos") < fold["stop_pos"]))
 
     def scaler(self, part: DataFrame) -> dict:
+        """Medians, and mean and deviation after filling with them; a feature without any value has 0, 0 and 1."""
         row = part.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"m_{f}") for f in self.features]).first()
         median = {f: float(row[f"m_{f}"]) for f in self.features}
         filled = part.select(*[F.coalesce(F.col(f), F.lit(median[f])).alias(f) for f in self.features])
         row = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in self.features], *[F.stddev_pop(f).alias(f"s_{f}") for f in self.features]).first()
         scale = {f: float(row[f"s_{f}"] or 0.0) for f in self.features}
-        return {"median": median, "mean": {f: float(row[f"a_{f}"]) for f in self.features}, "scale": {f: s if abs(s) > 1e-12 else 1.0 for f, s in scale.items()}}
+        return {"median": median, "mean": {f: float(row[f"a_{f}"] or 0.0) for f in self.features}, "scale": {f: s if abs(s) > 1e-12 else 1.0 for f, s in scale.items()}}
 
     def vectors(self, part: DataFrame, sc: dict) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
-        keep = [c for c in ("d", "pos", "rank", "label_no") if c in part.columns]
-        scaled = part.select(*keep, *[((F.coalesce(F.col(f).cast("double"), F.lit(sc["median"][f])) - sc["mean"][f]) / sc["scale"][f]).alias(f) for f in self.features])
-        if "label_no" in keep:
-            scaled = scaled.withColumn("label_no", F.col("label_no").cast("double"))
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled).select(*keep, "features")
-
-
-def log_loss(scored: DataFrame) -> float:
-    """Mean negative log probability of the true class of a scored Spark ML frame."""
-    from pyspark.ml.functions import vector_to_array
-
-    p = F.get(vector_to_array("probability"), F.col("label_no").cast("int"))
-    row = scored.agg(F.avg(-F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)))).alias("x")).first()
-    return float(row["x"]) if row["x"] is not None else float("inf")
+        scaled = part.select("d", "pos", F.col("label_no").cast("double").alias("label_no"),
+                             *[((F.coalesce(F.col(f).cast("double"), F.lit(sc["median"][f])) - sc["mean"][f]) / sc["scale"][f]).alias(f) for f in self.features])
+        return VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled).select("d", "pos", "label_no", "features")
 
 
 def fit_logistic(train: DataFrame, c: float, n: int):
@@ -222,20 +235,52 @@ C_GRID = (0.1, 1.0, 10.0)
 GBT_GRID = ((2, 20), (3, 30))
 
 
-def choose_c(data: FoldData, grid=C_GRID, default: float = 1.0) -> tuple[float, list[dict]]:
-    """Penalty with the smallest loss on the later eighth (at least 80 rows) of the development rows."""
-    trials = []
-    if data.n_dev <= 200:
-        return default, trials
-    cut = data.n_dev - max(80, data.n_dev // 8)
-    inner, later = data.dev.filter(F.col("rank") <= cut), data.dev.filter(F.col("rank") > cut)
-    sc = data.scaler(inner)
-    fit_on, score_on = data.vectors(inner, sc).persist(), data.vectors(later, sc).persist()
-    for c in grid:
-        trials.append({"family": "logistic", "c": c, "loss": log_loss(fit_logistic(fit_on, c, cut).transform(score_on))})
-    fit_on.unpersist()
-    score_on.unpersist()
-    return min(trials, key=lambda t: t["loss"])["c"], trials
+def later_slice(n_dev: int) -> int | None:
+    """Rank where the later eighth (at least 80 rows) of the development rows starts; None where they are too few to search."""
+    return n_dev - max(80, n_dev // 8) if n_dev > 200 else None
+
+
+def searches(folds: list[dict]) -> list[int]:
+    """Numbers of the folds that search their configuration: the first, and those that start in January."""
+    return [i for i, f in enumerate(folds) if i == 0 or f["fold_start"].month == 1]
+
+
+def side_by_side(work, items: list, threads: int = 8) -> list:
+    """Small independent Spark jobs of one driver, a few at a time; results in the items' order."""
+    from multiprocessing.pool import ThreadPool
+
+    if not items:
+        return []
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(work, items, chunksize=1)
+
+
+def choose(matrix: Matrix, fit, grid, default) -> tuple[list, list[dict]]:
+    """The configuration of each fold, and the trials: every searching fold scores the whole grid on its later slice.
+
+    `fit(train, configuration, rows)` gives a function that adds `p_true`, the probability of the row's class.
+    """
+    def search(i: int) -> list[dict]:
+        fold = matrix.folds[i]
+        cut = later_slice(fold["n_dev"])
+        if cut is None:
+            return []
+        inner = matrix.ranks(0, cut)
+        sc = matrix.scaler(inner)
+        train, later = matrix.vectors(inner, sc), matrix.vectors(matrix.ranks(cut, fold["n_dev"]), sc)
+        out = []
+        for configuration in grid:
+            row = fit(train, configuration, cut)(later).agg(F.avg(-F.ln(F.greatest(F.coalesce("p_true", F.lit(0.0)), F.lit(1e-15)))).alias("x")).first()
+            out.append({"fold": i, "fold_start": fold["fold_start"], "configuration": configuration, "loss": float("inf") if row["x"] is None else float(row["x"])})
+        return out
+
+    trials = [t for found in side_by_side(search, searches(matrix.folds)) for t in found]
+    chosen, now = [], default
+    for i in range(len(matrix.folds)):
+        mine = [t for t in trials if t["fold"] == i]
+        now = min(mine, key=lambda t: t["loss"])["configuration"] if mine else now
+        chosen.append(now)
+    return chosen, trials
 
 
 def sigmoid_calibrators(scored_cal: DataFrame, k: int, min_rows: int = 30) -> list | None:
@@ -283,54 +328,118 @@ def fold_list(folds: DataFrame) -> list[dict]:
     return [r.asDict() for r in folds.orderBy("start_pos").collect()]
 
 
-def walk_forward_logistic(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, calibrate: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Out-of-sample probabilities (d, pos, fold_start, c, p) and the trial log.
+PROBABILITIES = "d date, pos int, fold_start date, n_train bigint, p array<double>"
+SNAPSHOTS = "fold_start date, c double, coef array<array<double>>, intercept array<double>, median array<double>, mean array<double>, scale array<double>"
+TRIALS = "family string, fold_start date, configuration string, loss double"
+
+
+def _classes(matrix: Matrix, fold: dict) -> list[int]:
+    return sorted(int(r[0]) for r in matrix.ranks(0, fold["n_dev"]).select("label_no").distinct().collect())
+
+
+def _joined(spark, parts: list[DataFrame], schema: str) -> DataFrame:
+    from tidemark.session import materialize
+
+    out = spark.createDataFrame([], schema)
+    for part in parts:
+        out = out.unionByName(part)
+    return materialize(out)
+
+
+def _rows(spark, scored: list, fold_of: list[dict], schema: str = PROBABILITIES) -> DataFrame:
+    parts = [s.select("d", F.col("pos").cast("int").alias("pos"), F.lit(f["fold_start"]).cast("date").alias("fold_start"), F.lit(f["n_train"]).cast("bigint").alias("n_train"), "p") for s, f in zip(scored, fold_of) if s is not None]
+    return _joined(spark, parts, schema)
+
+
+def _trial_table(spark, family: str, trials: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(family, t["fold_start"], str(t["configuration"]), t["loss"]) for t in trials], TRIALS)
+
+
+def walk_forward_logistic(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, min_rows: int, calibrate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Out-of-sample (probabilities, model snapshots, trials) of multinomial logistic regressions, one model a fold.
 
-    The penalty is searched on the first fold and on every fold that starts in January.
+    A fold takes part if its purged prefix has enough usable rows, and at least two classes among the development
+    rows; without such a fold the tables are empty. Folds are fitted side by side from the written matrix.
     """
-    out, trials, chosen = None, [], 1.0
-    for f in fold_list(folds):
-        data = FoldData(rows, features, f["s_max"], cal_len)
-        if not trials or f["fold_start"].month == 1:
-            chosen, tried = choose_c(data, default=chosen)
-            trials += [{**t, "fold_start": f["fold_start"]} for t in tried]
-        sc = data.scaler(data.dev)
-        model = fit_logistic(data.vectors(data.dev, sc).persist(), chosen, data.n_dev)
-        sigmoids = sigmoid_calibrators(model.transform(data.vectors(data.cal, sc)), k) if calibrate else None
-        segment = rows.filter((F.col("pos") >= f["start_pos"]) & (F.col("pos") < f["stop_pos"]))
-        scored = calibrated(model.transform(data.vectors(segment, sc)), sigmoids, k)
-        part = scored.select("d", "pos", F.lit(f["fold_start"]).alias("fold_start"), F.lit(chosen).alias("c"), "p")
-        out = part if out is None else out.unionByName(part)
-    return out, trials
+    from pyspark.ml.functions import vector_to_array
+
+    spark = rows.sparkSession
+    matrix = Matrix(rows, features, folds, cal_len, min_rows)
+
+    def trial(train: DataFrame, c: float, n: int):
+        model = fit_logistic(train, c, n)
+        return lambda df: model.transform(df).withColumn("p_true", F.get(vector_to_array("probability"), F.col("label_no").cast("int")))
+
+    chosen, trials = choose(matrix, trial, C_GRID, 1.0)
+
+    def one(i: int):
+        fold, c = matrix.folds[i], chosen[i]
+        if len(_classes(matrix, fold)) < 2:
+            return None, None
+        dev = matrix.ranks(0, fold["n_dev"])
+        sc = matrix.scaler(dev)
+        model = fit_logistic(matrix.vectors(dev, sc), c, fold["n_dev"])
+        sigmoids = sigmoid_calibrators(model.transform(matrix.vectors(matrix.ranks(fold["n_dev"], fold["n_train"]), sc)), k) if calibrate else None
+        scored = calibrated(model.transform(matrix.vectors(matrix.segment(fold), sc)), sigmoids, k)
+        coef = [[float(x) for x in r] for r in model.coefficientMatrix.toArray()]
+        return scored, (fold["fold_start"], c, coef, [float(x) for x in model.interceptVector], *([sc[name][f] for f in features] for name in ("median", "mean", "scale")))
 
+    done = side_by_side(one, list(range(len(matrix.folds))))
+    snapshots = spark.createDataFrame([snap for _, snap in done if snap], SNAPSHOTS)
+    return _rows(spark, [s for s, _ in done], matrix.folds), snapshots, _trial_table(spark, "logistic", trials)
 
-def walk_forward_boosting(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, depth: int, rounds: int) -> DataFrame:
-    """Boosted one-against-rest trees per fold; margins become calibrated probabilities on the held-out slice."""
+
+def _boosted(train: DataFrame, depth: int, rounds: int, classes: list[int], k: int):
+    """One boosted model a class against the rest; adds rawPrediction (margins) and probability (shares) over k classes."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    out = None
-    for f in fold_list(folds):
-        data = FoldData(rows, features, f["s_max"], cal_len)
-        sc = data.scaler(data.dev)
-        train = data.vectors(data.dev, sc).persist()
-        cal = data.vectors(data.cal, sc)
-        segment = data.vectors(rows.filter((F.col("pos") >= f["start_pos"]) & (F.col("pos") < f["stop_pos"])), sc)
-        present = [int(r[0]) for r in train.select("label_no").distinct().collect()]
-        scores, held = segment, cal
-        for cls in present:
-            one = train.withColumn("is_class", F.when(F.col("label_no") == cls, 1.0).otherwise(0.0))
-            model = GBTClassifier(labelCol="is_class", maxDepth=depth, maxIter=rounds, stepSize=0.08, minInstancesPerNode=30, seed=0).fit(one)
-            model = model.setProbabilityCol(f"pr_{cls}").setRawPredictionCol(f"raw_{cls}").setPredictionCol(f"pred_{cls}")
-            scores, held = model.transform(scores), model.transform(held)
-        margins = lambda df: df.withColumn("rawPrediction", array_to_vector(F.array(*[F.get(vector_to_array(f"raw_{c}"), F.lit(1)) if c in present else F.lit(0.0) for c in range(k)])))
-        shares = F.array(*[F.get(vector_to_array(f"pr_{c}"), F.lit(1)) if c in present else F.lit(0.0) for c in range(k)])
-        sigmoids = sigmoid_calibrators(margins(held), k)
-        scored = calibrated(margins(scores).withColumn("probability", array_to_vector(shares)), sigmoids, k)
-        part = scored.select("d", "pos", F.lit(f["fold_start"]).alias("fold_start"), "p")
+    models = []
+    for cls in classes:
+        one = train.withColumn("is_class", F.when(F.col("label_no") == cls, 1.0).otherwise(0.0))
+        fitted = GBTClassifier(labelCol="is_class", maxDepth=depth, maxIter=rounds, stepSize=0.08, minInstancesPerNode=30, seed=0).fit(one)
+        models.append(fitted.setProbabilityCol(f"pr_{cls}").setRawPredictionCol(f"raw_{cls}").setPredictionCol(f"pred_{cls}"))
+
+    def apply(df: DataFrame) -> DataFrame:
+        for model in models:
+            df = model.transform(df)
+        pick = lambda name: F.array(*[F.get(vector_to_array(f"{name}_{c}"), F.lit(1)) if c in classes else F.lit(0.0) for c in range(k)])
+        return df.withColumn("rawPrediction", array_to_vector(pick("raw"))).withColumn("probability", array_to_vector(pick("pr")))
+
+    return apply
+
+
+def walk_forward_boosting(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, min_rows: int, grid=GBT_GRID) -> tuple[DataFrame, DataFrame]:
+    """Out-of-sample (probabilities, trials) of boosted one-against-rest trees; margins are calibrated on the held-out slice."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.functions.weights import renormalized
+
+    spark = rows.sparkSession
+    matrix = Matrix(rows, features, folds, cal_len, min_rows)
+
+    def trial(train: DataFrame, configuration: tuple[int, int], n: int):
+        classes = sorted(int(r[0]) for r in train.select("label_no").distinct().collect())
+        apply = _boosted(train.persist(), *configuration, classes, k)
+        return lambda df: apply(df).withColumn("p_true", F.get(renormalized(vector_to_array("probability")), F.col("label_no").cast("int")))
+
+    chosen, trials = choose(matrix, trial, grid, grid[0])
+
+    def one(i: int):
+        fold = matrix.folds[i]
+        classes = _classes(matrix, fold)
+        if len(classes) < 2:
+            return None
+        dev = matrix.ranks(0, fold["n_dev"])
+        sc = matrix.scaler(dev)
+        train = matrix.vectors(dev, sc).coalesce(1).persist()
+        apply = _boosted(train, *chosen[i], classes, k)
+        sigmoids = sigmoid_calibrators(apply(matrix.vectors(matrix.ranks(fold["n_dev"], fold["n_train"]), sc)), k)
+        scored = calibrated(apply(matrix.vectors(matrix.segment(fold), sc)), sigmoids, k)
         train.unpersist()
-        out = part if out is None else out.unionByName(part)
-    return out
+        return scored
+
+    return _rows(spark, side_by_side(one, list(range(len(matrix.folds)))), matrix.folds), _trial_table(spark, "boosting", trials)
 
 
 def walk_forward_mixture(rows: DataFrame, columns: list[str], vol: str, k: int = 3, min_rows: int = 400, seed: int = 0) -> DataFrame:

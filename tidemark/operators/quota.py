@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 LIMIT = 2
 # Outcome codes.
-POSTED, POSTED_SAFE, NO_CHANGE, OVER_LIMIT = "posted", "posted safe-only", "no change", "monthly limit"
+POSTED, POSTED_SAFE, NO_CHANGE, OVER_LIMIT, INVALID, LATE = "posted", "posted safe-only", "no change", "monthly limit", "invalid target", "late request"
 
 
 def safe_moves(mixes: list[list[float]]) -> list[list[bool]]:
@@ -34,7 +36,7 @@ def one_hot_mixes(k: int) -> list[list[float]]:
 
 
 def transition(mixes: list[list[float]]) -> list[int]:
-    """Flat table: state after requesting target x in state (holding * 3 + used)."""
+    """Flat table: state after requesting target x in state (holding * 3 + used); target K stands for any invalid one."""
     safe, k = safe_moves(mixes), len(mixes)
     table = []
     for x in range(k):
@@ -43,19 +45,34 @@ def transition(mixes: list[list[float]]) -> list[int]:
             same = max(abs(a - b) for a, b in zip(mixes[held], mixes[x])) <= 1e-8
             accept = not same and (used < LIMIT or safe[held][x])
             table.append(x * 3 + min(used + 1, LIMIT) if accept else state)
-    return table
+    return table + list(range(3 * k))
+
+
+def known_target(target_no: Column, k: int) -> Column:
+    """The target's number, or k where it is NULL or names no mix."""
+    return F.when(target_no.between(0, k - 1), target_no).otherwise(k).cast("int")
 
 
 def chunked(requests: DataFrame, coarse: Column, fine: Column, mixes: list[list[float]]) -> DataFrame:
-    """(account, month, day, chunk, ids, xs, map): each chunk's requests in order and its state map."""
-    size = 3 * len(mixes)
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "req_id", F.col("target_no").alias("x"))))
+    """(account, month, day, chunk, ids, xs, map, gains): each chunk's requests in order, its state map, and how
+    many of its requests are accepted from each state it may start in."""
+    k = len(mixes)
+    size = 3 * k
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "req_id", known_target(F.col("target_no"), k).alias("x"))))
     chunks = requests.groupBy("account", "month", coarse.alias("day"), fine.alias("chunk")).agg(ordered.alias("q"))
     chunks = chunks.select("account", "month", "day", "chunk", F.transform("q", lambda r: r["req_id"]).alias("ids"), F.transform("q", lambda r: r["x"]).alias("xs"))
-    table = F.array(*[F.lit(v) for v in transition(mixes)])
-    start = F.sequence(F.lit(0), F.lit(size - 1))
-    folded = F.aggregate("xs", start, lambda acc, x: F.transform(acc, lambda s: F.get(F.col("__t"), x * size + s)))
-    return chunks.withColumn("__t", table).withColumn("map", folded).drop("__t")
+    start = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda s: F.struct(s.alias("s"), F.lit(0).alias("n")))
+
+    def step(acc: Column, x: Column) -> Column:
+        after = lambda a: F.get(F.col("__t"), x * size + a["s"])
+        return F.transform(acc, lambda a: F.struct(after(a).alias("s"), (a["n"] + (after(a) != a["s"]).cast("int")).alias("n")))
+
+    folded = chunks.withColumn("__t", _table(mixes)).withColumn("f", F.aggregate("xs", start, step))
+    return folded.select("account", "month", "day", "chunk", "ids", "xs", F.transform("f", lambda a: a["s"]).alias("map"), F.transform("f", lambda a: a["n"]).alias("gains"))
+
+
+def _table(mixes: list[list[float]]) -> Column:
+    return F.array(*[F.lit(v) for v in transition(mixes)])
 
 
 def chunk_starts(chunks: DataFrame, initial: int, size: int) -> DataFrame:
@@ -86,35 +103,39 @@ def chunk_starts(chunks: DataFrame, initial: int, size: int) -> DataFrame:
 
 def replay(chunks: DataFrame, mixes: list[list[float]]) -> DataFrame:
     """One row per request from chunks with a known start state: outcome, used count, holding after."""
-    table, size = transition(mixes), 3 * len(mixes)
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    schema = f"account {kinds['account']}, month {kinds['month']}, req_id bigint, target_no int, accepted int, reason string, used int, held_no int"
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for account, month, ids, xs, state in zip(pdf["account"], pdf["month"], pdf["ids"], pdf["xs"], pdf["start"]):
-                for req_id, x in zip(ids.tolist(), xs.tolist()):
-                    nxt = table[x * size + state]
-                    accepted = nxt != state
-                    reason = (POSTED if state % 3 < LIMIT else POSTED_SAFE) if accepted else (NO_CHANGE if state // 3 == x else OVER_LIMIT)
-                    state = nxt
-                    out.append((account, month, req_id, x, int(accepted), reason, state % 3, state // 3))
-            yield pd.DataFrame(out, columns=["account", "month", "req_id", "target_no", "accepted", "reason", "used", "held_no"])
-
-    return chunks.mapInPandas(run, schema)
+    k = len(mixes)
+    size = 3 * k
+    first = F.array(F.col("start"))
+    path = F.aggregate("xs", first, lambda acc, x: F.array_append(acc, F.get(F.col("__t"), x * size + F.element_at(acc, -1))))
+    walked = chunks.withColumn("__t", _table(mixes)).withColumn("path", path)
+    steps = F.arrays_zip("ids", "xs", F.slice("path", 1, F.size("ids")).alias("was"), F.slice("path", 2, F.size("ids")).alias("now"))
+    rows = walked.select("account", "month", F.explode(steps).alias("z")).select("account", "month", F.col("z.ids").alias("req_id"), F.col("z.xs").alias("x"), F.col("z.was").alias("was"), F.col("z.now").alias("now"))
+    accepted = F.col("was") != F.col("now")
+    reason = (F.when(accepted & (F.col("was") % 3 < LIMIT), POSTED).when(accepted, POSTED_SAFE).when(F.col("x") == k, INVALID)
+              .when(F.expr("was div 3 = x"), NO_CHANGE).otherwise(OVER_LIMIT))
+    return rows.select("account", "month", "req_id", F.when(F.col("x") < k, F.col("x")).alias("target_no"), accepted.cast("int").alias("accepted"), reason.alias("reason"),
+                       (F.col("now") % 3).alias("used"), F.expr("cast(now div 3 AS int)").alias("held_no"))
+
+
+def meter(requests: DataFrame, mixes: list[list[float]], coarse: Column, fine: Column, initial: int = 0) -> DataFrame:
+    """(account, month, used, accepted) of each account's last posting month, from the chunk maps alone."""
+    chunks = materialize(chunked(requests, coarse, fine, mixes).drop("ids", "xs"))
+    starts = chunk_starts(chunks.select("account", "month", "day", "chunk", "map"), initial, 3 * len(mixes))
+    met = chunks.join(starts, ["account", "month", "day", "chunk"])
+    months = met.groupBy("account", "month").agg(F.max_by(F.get("map", F.col("start")), "chunk").alias("state"), F.sum(F.get("gains", F.col("start"))).alias("accepted"))
+    last = months.groupBy("account").agg(F.max_by(F.struct("month", "state", "accepted"), "month").alias("m"))
+    return last.select("account", "m.month", (F.col("m.state") % 3).alias("used"), "m.accepted")
 
 
 def gate(requests: DataFrame, mixes: list[list[float]], coarse: Column, fine: Column, initial: int = 0) -> DataFrame:
     """Decisions for every request: `requests(account, month, ts, req_id, target_no)`.
 
     `coarse` and `fine` are time buckets of the request, the fine one inside the coarse one; choose
-    the fine one so that one bucket of the busiest account fits a task. Mixes must be distinct.
+    the fine one so that one bucket of the busiest account fits a task. Mixes must be distinct. A target
+    that names no mix is answered with its own reason and changes nothing.
     """
     if len({tuple(m) for m in mixes}) != len(mixes):
         raise ValueError("target mixes must be distinct")
-    chunks = chunked(requests, coarse, fine, mixes)
+    chunks = materialize(chunked(requests, coarse, fine, mixes).drop("gains"))
     starts = chunk_starts(chunks.select("account", "month", "day", "chunk", "map"), initial, 3 * len(mixes))
     return replay(chunks.join(starts, ["account", "month", "day", "chunk"]).select("account", "month", "ids", "xs", "start"), mixes)

@@ -136,11 +136,10 @@ def cross_rank(df: DataFrame, value: str, day: str = "d", out: str = "xrank") ->
     return df.withColumn(out, F.when(F.col(value).isNotNull(), ranked + (F.count(F.lit(1)).over(peers) - 1) / 2.0))
 
 
-def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_rows: int, out: str = "pct", digits: int = 9) -> DataFrame:
+def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_rows: int, out: str = "pct") -> DataFrame:
     """Percentile of each value within its own history (self included, average ties).
 
-    Values are compared to `digits` decimals, so that equal volatilities of equal windows tie instead
-    of being ordered by the last bit of a running sum.
+    Values are ranked as they are; a caller whose values differ by rounding noise rounds them first.
 
     The rank among all earlier values is an order statistic over a growing set, which no SQL frame
     maintains; a sorted list per entity does it in one ordered pass. A group is one entity of a
@@ -157,7 +156,6 @@ def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_r
             if x is None or x != x:
                 result.append(None)
                 continue
-            x = round(x, digits)
             insort(history, x)
             below, upto, n = bisect_left(history, x), bisect_right(history, x), len(history)
             result.append((below + (upto - below + 1) / 2.0) / n if n >= min_rows else None)

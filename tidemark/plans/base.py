@@ -71,7 +71,7 @@ evcal AS (
          CASE o_orderpriority WHEN '1-URGENT' THEN 'war' WHEN '2-HIGH' THEN 'financial_crisis' WHEN '3-MEDIUM' THEN 'rate_shock'
               WHEN '4-NOT SPECIFIED' THEN 'pandemic' ELSE 'other' END AS category,
          o_orderdate::DATE AS event_d
-  FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 8),
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, date_trunc('month', o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) = 1),
 evloc AS (
   SELECT e.event_id, e.category, e.event_d, min(s.pos) AS loc FROM evcal e LEFT JOIN ses s ON s.d >= e.event_d GROUP BY ALL),
 req AS (SELECT user_id AS account, event_id AS req_id, ts, event_type AS target FROM events),

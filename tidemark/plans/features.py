@@ -143,27 +143,49 @@ mw AS (SELECT month, {', '.join(f'max(CASE WHEN ord = {o} THEN {c} END) AS {r}_{
    {', '.join(f'max(CASE WHEN ord = 2 THEN {c} END) AS c_{c}' for c in ('slope', 'rv', 'downside', 'ulcer'))}, max(CASE WHEN ord = 2 THEN (px / m10 - 1) / nullif(rv, 0) END) AS c_dist_vol FROM mx1 GROUP BY month),
 mp AS (SELECT a.month, CASE WHEN count(b.c_rv) FILTER (a.c_rv IS NOT NULL) >= 36 THEN (count(CASE WHEN round(b.c_rv, 9) < round(a.c_rv, 9) THEN 1 END) + (count(CASE WHEN round(b.c_rv, 9) = round(a.c_rv, 9) THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.c_rv) END AS c_vol_pct
    FROM mw a JOIN mw b ON b.month <= a.month GROUP BY a.month),
-mm AS (SELECT month, lag(a) OVER (ORDER BY month) AS spread, lag(b) OVER (ORDER BY month) AS bill, lag(e) OVER (ORDER BY month) AS effr FROM (
-   SELECT date_trunc('month', obs_d)::DATE AS month, arg_max(spread_10y_3m, obs_d) AS a, arg_max(ust_3m, obs_d) AS b, arg_max(effr, obs_d) AS e FROM rates GROUP BY 1)),
+mm AS (SELECT month, lag(a) OVER (ORDER BY month) AS spread, lag(a2) OVER (ORDER BY month) AS spread2, lag(b) OVER (ORDER BY month) AS bill, lag(e) OVER (ORDER BY month) AS effr FROM (
+   SELECT date_trunc('month', obs_d)::DATE AS month, arg_max(spread_10y_3m, obs_d) AS a, arg_max(spread_10y_2y, obs_d) AS a2, arg_max(ust_3m, obs_d) AS b, arg_max(effr, obs_d) AS e FROM rates GROUP BY 1)),
 mc AS (SELECT month, lag(yoy) OVER (ORDER BY month) AS yoy, lag(chg_3m) OVER (ORDER BY month) AS chg_3m, lag(gap) OVER (ORDER BY month) AS gap FROM tr),
-mg AS (SELECT month, lag(z) OVER (ORDER BY month) AS z FROM (SELECT month, CASE WHEN count(v) OVER t >= 12 THEN (v - avg(v) OVER t) / stddev_samp(v) OVER t END AS z FROM (
-   SELECT date_trunc('month', obs_d)::DATE AS month, round(avg(idx), 6) AS v FROM risk GROUP BY 1) WINDOW t AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)))"""
+mg AS (SELECT month, lag(z) OVER (ORDER BY month) AS z, lag(diff) OVER (ORDER BY month) AS diff FROM (SELECT month, diff, CASE WHEN count(v) OVER t >= 12 THEN (v - avg(v) OVER t) / stddev_samp(v) OVER t END AS z FROM (
+   SELECT date_trunc('month', obs_d)::DATE AS month, round(avg(idx), 6) AS v, avg(acts) - avg(threats) AS diff FROM risk GROUP BY 1) WINDOW t AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))),
+mi AS (SELECT month, sum(CASE WHEN coalesce(spread < 0, false) THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY month) AS run FROM (
+   SELECT w.month, spread, sum(CASE WHEN coalesce(spread < 0, false) THEN 0 ELSE 1 END) OVER (ORDER BY w.month) AS island FROM mw w LEFT JOIN mm USING (month)))"""
+
+
+def _peers(r: str) -> tuple[str, str]:
+    """Rank and dual-momentum flag of one entity among c, s, i."""
+    mine, others = f"w.{r}_mom_252", [f"w.{x}_mom_252" for x in "csi" if x != r]
+    rank = f"CASE WHEN {mine} IS NOT NULL THEN 1 + " + " + ".join(f"CASE WHEN {o} < {mine} THEN 1.0::DOUBLE WHEN {o} = {mine} THEN 0.5::DOUBLE ELSE 0 END" for o in others) + f" END AS {r}_rs_rank"
+    first = "".join(f" AND NOT coalesce(w.{x}_mom_252 = {mine}, false)" for x in "csi"[:"csi".index(r)])
+    flag = f"CASE WHEN {mine} IS NULL THEN NULL WHEN {mine} = greatest(w.c_mom_252, w.s_mom_252, w.i_mom_252){first} AND {mine} > w.g_mom_252 THEN 1 ELSE 0 END::BIGINT AS {r}_dual_mom"
+    return rank, flag
+
+
 M_FLOAT = [f"{r}_{c}" for r in ROLE for c in ("mom_21", "mom_63", "mom_126", "mom_252")] + [f"{r}_{c}" for r in "csif" for c in ("mom_12_1", "dd")]
 
 
+ZEROS = ("days_since_war", "days_since_crisis", "days_since_rate", "days_since_pandemic", "in_war_window", "in_crisis_window", "c_days_since_peak")
+
+
 @query("feature_frame_monthly", duck(
-    "SELECT w.month, " + ", ".join(f"{rd('w.' + c)} AS {c}" for c in M_FLOAT) + ", " + ", ".join(f"w.{r}_above::BIGINT AS {r}_above_sma200" for r in "csif")
-    + f""", {rd('w.c_slope')} AS c_sma200_slope, {rd('w.c_rv')} AS c_rv63, {rd('w.c_dist_vol')} AS c_dist_vol, {rd('w.c_downside')} AS c_downside, {rd('w.c_ulcer')} AS c_ulcer, {rd('p.c_vol_pct')} AS c_vol_pct,
-       CASE WHEN w.c_mom_252 IS NULL THEN NULL WHEN w.c_mom_252 = greatest(w.c_mom_252, w.s_mom_252, w.i_mom_252) AND w.c_mom_252 > w.g_mom_252 THEN 1 ELSE 0 END::BIGINT AS c_dual_mom,
-       {rd('m.spread')} AS spread_10y_3m, {rd('m.spread - lag(m.spread, 3) OVER (ORDER BY w.month)')} AS spread_10y_3m_chg_63, CASE WHEN m.spread IS NOT NULL THEN (m.spread < 0)::INTEGER END::BIGINT AS curve_inverted,
+    "SELECT w.month, " + ", ".join(f"{rd('w.' + c)} AS {c}" for c in M_FLOAT) + ", " + ", ".join(f"w.{r}_above::BIGINT AS {r}_above_sma200" for r in "csif") + ", "
+    + ", ".join(f"w.c_above::BIGINT AS c_above_{n}" for n in ("sma10m", "sma50", "sma100")) + ", " + ", ".join(x for r in "csi" for x in _peers(r)) + ", " + ", ".join(f"0::BIGINT AS {z}" for z in ZEROS)
+    + f""", {rd('w.c_slope')} AS c_sma200_slope, {rd('w.c_rv')} AS c_rv63, {rd('w.c_rv')} AS c_rv20, {rd('w.c_rv')} AS vol_level, {rd('w.c_dist_vol')} AS c_dist_vol, {rd('w.c_downside')} AS c_downside, {rd('w.c_ulcer')} AS c_ulcer,
+       {rd('p.c_vol_pct')} AS c_vol_pct, {rd('p.c_vol_pct')} AS vol_pct, 0.0::DOUBLE AS vol_minus_rv, {rd('CASE WHEN count(w.c_rv) OVER y >= 12 THEN stddev_samp(w.c_rv) OVER y END')} AS c_vvol,
+       {rd('m.spread')} AS spread_10y_3m, {rd('m.spread2')} AS spread_10y_2y, {rd('m.spread - lag(m.spread, 3) OVER k')} AS spread_10y_3m_chg_63, {rd('m.spread2 - lag(m.spread2, 3) OVER k')} AS spread_10y_2y_chg_63,
+       CASE WHEN m.spread IS NOT NULL THEN (m.spread < 0)::INTEGER END::BIGINT AS curve_inverted, CASE WHEN m.spread IS NOT NULL THEN i.run::DOUBLE END AS months_inverted,
        {rd('m.bill - m.effr')} AS tbill_minus_effr, {rd('c.yoy')} AS cpi_yoy, {rd('c.chg_3m')} AS cpi_chg_3m, {rd('c.gap')} AS unemp_gap, {rd('w.g_mom_21 * 12 * 100 - m.bill')} AS g_minus_tbill,
-       {rd('w.c_rv - lag(w.c_rv) OVER (ORDER BY w.month)')} AS vol_chg_5, {rd('g.z')} AS gpr_z FROM mw w JOIN mp p USING (month) LEFT JOIN mm m USING (month) LEFT JOIN mc c USING (month) LEFT JOIN mg g USING (month)""",
+       {rd('w.c_rv - lag(w.c_rv) OVER k')} AS vol_chg_5, {rd('g.z')} AS gpr_z, {rd('g.diff + 1e-9')} AS gpr_act_minus_threat, CASE WHEN g.z IS NOT NULL THEN (g.z > 2)::INTEGER END::BIGINT AS gpr_spike,
+       1::BIGINT AS turn_of_month, month(w.month)::BIGINT AS month_no, {rd('sin(2 * pi() * month(w.month) / 12)')} AS month_sin, {rd('cos(2 * pi() * month(w.month) / 12)')} AS month_cos,
+       (month(w.month) IN (11, 12, 1, 2, 3, 4))::INTEGER::BIGINT AS nov_apr, (year(w.month) % 4)::BIGINT AS pres_cycle, (last_day(w.month) >= DATE '{BREAK}')::INTEGER::BIGINT AS i_structural_break
+       FROM mw w JOIN mp p USING (month) LEFT JOIN mm m USING (month) LEFT JOIN mc c USING (month) LEFT JOIN mg g USING (month) JOIN mi i USING (month)
+       WINDOW k AS (ORDER BY w.month), y AS (ORDER BY w.month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""",
     RELEASES, MONTHLY_SQL))
 def feature_frame_monthly(spark, sf_dir):
+    """The whole month-end frame."""
     panel = src.panel_table(spark, sf_dir)
     cube = materialize(src.order_cube(spark, sf_dir))
     frame = frames.monthly(src.densify(panel), src.daily_rates(spark, sf_dir, cube), release_features(src.monthly_releases(spark, sf_dir, cube)), src.risk_index(spark, sf_dir, cube))
-    keep = ["c_sma200_slope", "c_rv63", "c_dist_vol", "c_downside", "c_ulcer", "c_vol_pct", "spread_10y_3m", "spread_10y_3m_chg_63", "tbill_minus_effr", "cpi_yoy", "cpi_chg_3m", "unemp_gap",
-            "g_minus_tbill", "vol_chg_5", "gpr_z"]
-    flags = [f"{r}_above_sma200" for r in "csif"] + ["c_dual_mom", "curve_inverted"]
-    return frame.select("month", *[r6(F.col(c)).alias(c) for c in M_FLOAT + keep], *[big(F.col(c)).alias(c) for c in flags])
+    # averages of four-digit values end on halves of the last published digit; a billionth sends those up on any engine
+    frame = frame.withColumn("gpr_act_minus_threat", F.col("gpr_act_minus_threat") + 1e-9)
+    return frames.published(frame.withColumn("i_structural_break", (F.last_day("month") >= F.lit(BREAK).cast("date")).cast("int")))

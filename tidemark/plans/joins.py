@@ -134,7 +134,7 @@ def asof_with_fallback(spark, sf_dir):
         "entity", "d", "pos", op.realized_vol(F.col("ret"), 20, 252, w).alias("rv20"), op.realized_vol(F.col("ret"), 63, 252, w).alias("rv63"))
     known = asof.asof_on_calendar(panel.select("d").distinct(), src.volatility_quotes(spark, sf_dir), available_on="obs_d", payload=["quote"])
     level = rv.join(known, "d", "left").select("entity", "d", "pos", "rv63", F.coalesce("quote", "rv20").alias("level"))
-    ranked = op.expanding_rank(level, "level", "pos", ["entity"], 252)
+    ranked = op.expanding_rank(level.withColumn("level", F.round("level", 9)), "level", "pos", ["entity"], 252)
     lv = F.col("level")
     return ranked.select("entity", "d", r6(lv).alias("level"), r6(op.row_diff(lv, 5, w)).alias("chg_5"), r6(lv - 100 * F.col("rv63")).alias("minus_rv"), r6(F.col("pct")).alias("pct"))
 

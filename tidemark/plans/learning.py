@@ -9,7 +9,7 @@ from tidemark.functions import weights as fw
 from tidemark.functions.columns import big, change, r6
 from tidemark.operators import asof, frames, learning as lr, windows as op
 from tidemark.plans.base import duck, query, rd
-from tidemark.plans.features import daily_features
+from tidemark.plans.features import FRAME_CTES, FRAME_SQL, daily_features
 from tidemark.plans.joins import BLOCKS, sessions
 from tidemark.plans.portfolio import RULES_SQL, SIGNALS, regimes, rule_targets, signals
 from tidemark.plans.windows import LABELS, WIN
@@ -184,44 +184,48 @@ def policy_over_folds(spark, sf_dir):
     return out.select("d", big(F.col("pick")).alias("pick"), big(F.col("final")).alias("final"))
 
 
-# A linear model table fitted by moments: class coefficients are correlations with the forward excess.
+# One linear model a fold, fitted by moments of the rows up to its s_max; the policy's risky candidate, picked or not,
+# is explained by the snapshot of the row's fold.
 MODEL_SQL = ("xl AS (SELECT d, pos, k, [x0, x1, x2, x3, x4][k + 1] AS x FROM xw CROSS JOIN (SELECT unnest(range(5)) AS k))",
-    "cf AS (SELECT l.ord, x.k, CASE WHEN l.ord <> 0 AND isfinite(corr(l.excess, x.x)) THEN corr(l.excess, x.x) ELSE 0 END AS coef FROM lab2 l JOIN xl x ON x.pos = l.pos GROUP BY l.ord, x.k)",
-    "sx AS (SELECT k, avg(x) AS mean, stddev_pop(x) AS scale, median(x) AS med FROM xl GROUP BY k)",
-    "zz AS (SELECT x.d, x.pos, x.k, (coalesce(x.x, s.med) - s.mean) / CASE WHEN abs(s.scale) < 1e-8 THEN 1 ELSE s.scale END AS z, s.scale FROM xl x JOIN sx s USING (k))",
-    "score AS (SELECT z.d, c.ord, sum(c.coef * z.z) AS v FROM zz z JOIN cf c USING (k) GROUP BY 1, 2)",
-    "win AS (SELECT d, min(ord) FILTER (v = mx) AS winner, max(mx) AS top, max(CASE WHEN ord = 0 THEN v END) AS base FROM (SELECT *, max(v) OVER (PARTITION BY d) AS mx FROM score) GROUP BY d)",
-    """contrib AS (SELECT w.d, w.winner, 'x' || z.k AS feature, (cw.coef - c0.coef) * z.z AS contribution, CASE WHEN abs(cw.coef - c0.coef) >= 1e-8 THEN -(w.top - w.base) / (cw.coef - c0.coef) * z.scale END AS flip
-         FROM win w JOIN zz z ON z.d = w.d JOIN cf cw ON cw.ord = w.winner AND cw.k = z.k JOIN cf c0 ON c0.ord = 0 AND c0.k = z.k WHERE w.winner <> 0
-         QUALIFY row_number() OVER (PARTITION BY w.d ORDER BY abs((cw.coef - c0.coef) * z.z) DESC, z.k) <= 3)""")
-
-
-def correlation(a, b):
-    """Correlation over rows knowing both; 0 where either does not vary."""
-    spread_a, spread_b = F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), spread_a * spread_b), F.lit(0.0))
-
-
-def moment_model(lab, wide):
-    """One model row: [class][feature] correlations of excess and momentum, with feature scaling."""
-    varying = F.when(F.col("ord") != 0, F.col("excess")).alias("excess")  # the base class is constant and has no correlation
-    joined = lab.select("ord", "pos", varying).join(wide, "pos")
-    coefs = joined.groupBy("ord").agg(F.array(*[correlation(F.col("excess"), F.col(x)) for x in XS]).alias("c"))
-    stats = wide.agg(F.array(*[F.avg(x) for x in XS]).alias("mean"), F.array(*[F.stddev_pop(x) for x in XS]).alias("scale"), F.array(*[F.median(x) for x in XS]).alias("median"))
-    packed = coefs.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "c"))), lambda s: s["c"]).alias("coef")).scalar()
-    return stats.withColumn("coef", packed)
+    "cf AS (SELECT f.fold_start, l.ord, x.k, CASE WHEN l.ord <> 0 AND isfinite(corr(l.excess, x.x)) THEN corr(l.excess, x.x) ELSE 0 END AS coef, CASE WHEN l.ord <> 0 THEN coalesce(avg(l.excess), 0) ELSE 0 END AS icept FROM folds f JOIN lab2 l ON l.pos <= f.s_max JOIN xl x ON x.pos = l.pos GROUP BY f.fold_start, l.ord, x.k)",
+    "sx AS (SELECT f.fold_start, k, coalesce(avg(x), 0) AS mean, coalesce(stddev_pop(x), 0) AS scale, coalesce(median(x), 0) AS med FROM folds f JOIN xl ON xl.pos <= f.s_max GROUP BY f.fold_start, k)",
+    "pk AS (SELECT p.d, p.pos, list_position(p.s[2:], list_max(p.s[2:])) AS cand, p.pick, m.fold_start FROM pol p ASOF JOIN folds m ON p.pos >= m.start_pos)",
+    """zz AS (SELECT p.d, p.cand AS winner, (p.pick = p.cand)::INTEGER::BIGINT AS picked, s.fold_start, x.k, (coalesce(x.x, s.med) - s.mean) / CASE WHEN s.scale < 1e-8 THEN 1 ELSE s.scale END AS z, CASE WHEN s.scale < 1e-8 THEN 1 ELSE s.scale END AS scale, w.coef - b.coef AS dc, w.icept - b.icept AS di
+         FROM pk p JOIN xl x ON x.pos = p.pos JOIN sx s ON s.fold_start = p.fold_start AND s.k = x.k JOIN cf w ON w.fold_start = p.fold_start AND w.k = x.k AND w.ord = p.cand JOIN cf b ON b.fold_start = p.fold_start AND b.k = x.k AND b.ord = 0)""",
+    """contrib AS (SELECT d, winner, picked, 'x' || k AS feature, dc * z AS contribution, CASE WHEN abs(dc) >= 1e-8 THEN -(di + gap) / dc * scale END AS flip
+         FROM (SELECT *, sum(dc * z) OVER (PARTITION BY d) AS gap FROM zz) QUALIFY row_number() OVER (PARTITION BY d ORDER BY abs(dc * z) DESC, k) <= 3)""")
 
 
 def explained(spark, sf_dir, dense, top: int = 3):
+    """(d, winner, picked, feature, contribution, flip): what speaks for the risky entity with the largest probability
+    times mean excess, by the model its fold knew, and whether the policy picked it."""
     wide = materialize(momentum_wide(dense))
-    model = materialize(moment_model(labelled(spark, sf_dir, dense), wide))
-    return lr.explain_rows(wide, model, XS, top).filter("winner <> 0")
+    folds = lr.fold_dimension(dense.select("d", "pos").distinct(), H, LAG, "year", 252, 0)
+    snapshots = materialize(lr.moment_snapshots(labelled(spark, sf_dir, dense), wide, folds, XS))
+    score = F.slice(F.zip_with("p", "mu", lambda p, m: p * m), 2, 4)
+    rows = policy_rows(spark, sf_dir, dense).withColumn("winner", F.array_position(score, F.array_max(score)).cast("int"))
+    picks = rows.select("d", "pos", "fold_start", "winner", (F.col("pick") == F.col("winner")).cast("bigint").alias("picked"))
+    return lr.explain_rows(picks.join(wide.drop("d"), "pos").join(snapshots, "fold_start"), XS, top)
+
+
+@query("model_snapshots", duck(
+    f"SELECT fold_start, ord::BIGINT AS ord, 'x' || k AS feature, {rd('coef')} AS coef, {rd('icept')} AS intercept, {rd('mean')} AS mean, {rd('scale')} AS scale, {rd('med')} AS median FROM cf JOIN sx USING (fold_start, k)",
+    LABELS, XWIDE, YEAR_FOLDS, *MODEL_SQL[:3]))
+def model_snapshots(spark, sf_dir):
+    """The models as a table: one row a fold, class and feature."""
+    dense = materialize(src.dense_panel(spark, sf_dir))
+    folds = lr.fold_dimension(dense.select("d", "pos").distinct(), H, LAG, "year", 252, 0)
+    snaps = lr.moment_snapshots(labelled(spark, sf_dir, dense), momentum_wide(dense), folds, XS)
+    rows = snaps.select("fold_start", "mean", "scale", "median", F.posexplode(F.arrays_zip("coef", "intercept")).alias("ord", "m"))
+    rows = rows.select("fold_start", "ord", F.col("m.intercept").alias("intercept"), F.posexplode(F.arrays_zip(F.col("m.coef").alias("coef"), "mean", "scale", "median")).alias("k", "v"))
+    return rows.select("fold_start", big(F.col("ord")).alias("ord"), F.concat(F.lit("x"), "k").alias("feature"), r6(F.col("v.coef")).alias("coef"), r6(F.col("intercept")).alias("intercept"),
+                       *[r6(F.coalesce(F.col(f"v.{c}"), F.lit(0.0))).alias(c) for c in ("mean", "scale", "median")])
 
 
-@query("explain_contrib", duck(f"SELECT d, winner::BIGINT AS winner, feature, {rd('contribution')} AS contribution, {rd('flip')} AS flip FROM contrib", LABELS, XWIDE, *MODEL_SQL))
+@query("explain_contrib", duck(f"SELECT d, winner::BIGINT AS winner, picked, feature, {rd('contribution')} AS contribution, {rd('flip')} AS flip FROM contrib", *POLICY_SQL, XWIDE, *MODEL_SQL))
 def explain_contrib(spark, sf_dir):
     out = explained(spark, sf_dir, materialize(src.dense_panel(spark, sf_dir)))
-    return out.select("d", big(F.col("winner")).alias("winner"), "feature", r6(F.col("contribution")).alias("contribution"), r6(F.col("flip")).alias("flip"))
+    return out.select("d", big(F.col("winner")).alias("winner"), "picked", "feature", r6(F.col("contribution")).alias("contribution"), r6(F.col("flip")).alias("flip"))
 
 
 @query("relabel_by_vol", duck(
@@ -268,7 +272,7 @@ REVEAL = ", ".join(f"CASE WHEN lead(px, {LAG}) {WIN} > 0 THEN lead(px, {LAG + n}
 
 @query("replay_table", duck(
     f"""SELECT f.d, f.final::BIGINT AS pick, {rd('f.p[f.final + 1]', 4)} AS probability, c.feature AS driver, {rd('c.contribution', 4)} AS contribution, """ + ", ".join(f"{rd(f'r.h{n}')} AS h{n}" for n in (21, 63, 126, 252))
-    + """ FROM fin f LEFT JOIN contrib c ON c.d = f.d JOIN rv r ON r.d = f.d AND r.ord = f.final WHERE f.final IS NOT NULL""", *POLICY_SQL, XWIDE, *MODEL_SQL, f"rv AS (SELECT d, ord, {REVEAL} FROM dense)"))
+    + """ FROM fin f LEFT JOIN contrib c ON c.d = f.d AND c.winner = f.final AND c.picked = 1 JOIN rv r ON r.d = f.d AND r.ord = f.final WHERE f.final IS NOT NULL""", *POLICY_SQL, XWIDE, *MODEL_SQL, f"rv AS (SELECT d, ord, {REVEAL} FROM dense)"))
 def replay_table(spark, sf_dir):
     """Every decided session with its choice, probability, top drivers and what followed."""
     return replay(spark, sf_dir, materialize(src.dense_panel(spark, sf_dir)))
@@ -277,15 +281,15 @@ def replay_table(spark, sf_dir):
 def replay(spark, sf_dir, dense):
     w = op.by_entity()
     ahead = dense.select("d", F.col("ord").alias("final"), *[F.when(F.lead("px", LAG).over(w) > 0, change(F.lead("px", LAG + n).over(w), F.lead("px", LAG).over(w))).alias(f"h{n}") for n in (21, 63, 126, 252)])
-    drivers = explained(spark, sf_dir, dense).select("d", F.col("feature").alias("driver"), "contribution")
+    drivers = explained(spark, sf_dir, dense).filter("picked = 1").select("d", F.col("winner").alias("final"), F.col("feature").alias("driver"), "contribution")
     rows = listed_policy(spark, sf_dir, dense).filter("final IS NOT NULL").select("d", "final", F.get("p", F.col("final")).alias("probability"))
-    out = rows.join(ahead, ["d", "final"]).join(drivers, "d", "left")
+    out = rows.join(ahead, ["d", "final"]).join(drivers, ["d", "final"], "left")
     return out.select("d", big(F.col("final")).alias("pick"), F.round("probability", 4).alias("probability"), "driver", F.round("contribution", 4).alias("contribution"), *[r6(F.col(f"h{n}")).alias(f"h{n}") for n in (21, 63, 126, 252)])
 
 
 @query("latest_signal", duck(
     f"""SELECT f.d, coalesce(f.final, 0)::BIGINT AS pick, {rd('f.p[coalesce(f.final, 0) + 1]', 4)} AS probability, CASE coalesce(f.final, 0) WHEN 0 THEN 'Shelter' WHEN 1 THEN 'Neutral' ELSE 'Risk On' END AS stance,
-          g.regime, (SELECT count(*) FROM contrib c WHERE c.d = f.d)::BIGINT AS n_drivers FROM fin f JOIN (SELECT d, CASE WHEN a50 IS NULL OR spread IS NULL THEN 'Unavailable' ELSE CASE WHEN a50 = 1 THEN 'Uptrend' ELSE 'Downtrend' END || ' | '
+          g.regime, (SELECT count(*) FROM contrib c WHERE c.d = f.d AND c.winner = f.final AND c.picked = 1)::BIGINT AS n_drivers FROM fin f JOIN (SELECT d, CASE WHEN a50 IS NULL OR spread IS NULL THEN 'Unavailable' ELSE CASE WHEN a50 = 1 THEN 'Uptrend' ELSE 'Downtrend' END || ' | '
           || CASE WHEN coalesce(rv63, 0) >= 0.70 THEN 'High vol' ELSE 'Low vol' END || ' | ' || CASE WHEN spread < 0 THEN 'Inverted curve' ELSE 'Normal curve' END END AS regime FROM sig) g ON g.d = f.d
         WHERE f.pos = (SELECT max(pos) FROM fin)""", *POLICY_SQL, XWIDE, *MODEL_SQL))
 def latest_signal(spark, sf_dir):
@@ -295,8 +299,8 @@ def latest_signal(spark, sf_dir):
     dense = materialize(src.dense_panel(spark, sf_dir))
     last = listed_policy(spark, sf_dir, dense).agg(F.max_by(F.struct("d", F.coalesce("final", F.lit(0)).alias("pick"), "p"), "pos").alias("x")).select("x.*")
     regime = regimes(signals(spark, sf_dir, dense)).select("d", "regime")
-    drivers = explained(spark, sf_dir, dense).groupBy("d").agg(F.count(F.lit(1)).alias("n_drivers"))
-    return last.join(regime, "d").join(drivers, "d", "left").select(
+    drivers = explained(spark, sf_dir, dense).filter("picked = 1").groupBy("d", F.col("winner").alias("pick")).agg(F.count(F.lit(1)).alias("n_drivers"))
+    return last.join(regime, "d").join(drivers, ["d", "pick"], "left").select(
         "d", big(F.col("pick")).alias("pick"), F.round(F.get("p", F.col("pick")), 4).alias("probability"), stance(F.col("pick")).alias("stance"), "regime", F.coalesce("n_drivers", F.lit(0)).cast("bigint").alias("n_drivers"))
 
 
@@ -311,37 +315,43 @@ def model_rows(spark, sf_dir):
     return materialize(rows), features
 
 
-def year_folds(rows):
-    """Yearly folds with at least 504 rows before the purge."""
-    return materialize(lr.fold_dimension(rows.select("d", "pos"), H, LAG, "year", 504, SPAN))
+def month_folds(rows):
+    """Monthly folds with at least 504 rows and five years before the purge."""
+    return materialize(lr.fold_dimension(rows.select("d", "pos"), H, LAG, "month", 504, SPAN))
+
+
+# What holds of any fitted model: which sessions a fold scores, on how many purged rows it was trained, and that
+# its probabilities are probabilities.
+KNOWN = " + ".join(f"({c} IS NOT NULL)::INTEGER" for c in frames.MODEL_FEATURES)
+WF_SQL = duck(
+    """SELECT s.d, g.fold_start, g.n_train::BIGINT AS n_train, 1.0::DOUBLE AS p_sum, 1::BIGINT AS in_range FROM good g JOIN ses s ON s.pos >= g.start_pos AND s.pos < g.stop_pos""",
+    *FRAME_CTES, f"fm AS ({FRAME_SQL})", LABELS, folds_sql("month", 504, SPAN),
+    f"mok AS (SELECT s.pos, ({KNOWN}) / {len(frames.MODEL_FEATURES)}.0 > 0.6 AND l.label IS NOT NULL AS ok FROM fm JOIN ses s ON s.d = fm.d JOIN labels_d l ON l.d = fm.d)",
+    "good AS (SELECT f.*, u.n_train FROM folds f JOIN (SELECT pos, sum(ok::INTEGER) OVER (ORDER BY pos) AS n_train FROM mok) u ON u.pos = f.s_max WHERE u.n_train >= 504 AND u.n_train > 292)")
 
 
-def proba_out(scored):
-    return scored.select("d", "fold_start", *p_columns())
+def wf_out(probabilities):
+    whole = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
+    inside = F.forall("p", lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+    return probabilities.select("d", "fold_start", "n_train", r6(whole).alias("p_sum"), inside.cast("bigint").alias("in_range"))
 
 
-@query("wf_logistic")
+@query("wf_logistic", WF_SQL)
 def wf_logistic(spark, sf_dir):
     rows, features = model_rows(spark, sf_dir)
-    out, _ = lr.walk_forward_logistic(rows, year_folds(rows), features, 5, 252, calibrate=False)
-    return proba_out(out)
+    return wf_out(lr.walk_forward_logistic(rows, month_folds(rows), features, 5, 252, 504, calibrate=False)[0])
 
 
-@query("wf_calibrated")
+@query("wf_calibrated", WF_SQL)
 def wf_calibrated(spark, sf_dir):
     rows, features = model_rows(spark, sf_dir)
-    out, _ = lr.walk_forward_logistic(rows, year_folds(rows), features, 5, 252, calibrate=True)
-    return proba_out(out)
+    return wf_out(lr.walk_forward_logistic(rows, month_folds(rows), features, 5, 252, 504, calibrate=True)[0])
 
 
-@query("wf_gbt")
+@query("wf_gbt", WF_SQL)
 def wf_gbt(spark, sf_dir):
-    """Boosted trees on the latest yearly fold."""
     rows, features = model_rows(spark, sf_dir)
-    folds = year_folds(rows)
-    last = folds.agg(F.max("start_pos").alias("m")).scalar()
-    depth, rounds = lr.GBT_GRID[0]
-    return proba_out(lr.walk_forward_boosting(rows, folds.filter(F.col("start_pos") == last), features, 5, 252, depth, rounds))
+    return wf_out(lr.walk_forward_boosting(rows, month_folds(rows), features, 5, 252, 504)[0])
 
 
 @query("wf_gmm")

@@ -17,6 +17,9 @@ from tidemark.sources import tables as src
 # Targets in component order, the safe one first.
 TARGETS = ["view", "click", "error", "purchase", "signup"]
 MIXES = qt.one_hot_mixes(len(TARGETS))
+# Years of the stream's calendar, and bytes of files a micro-batch takes.
+FROM, TO = "1990-01-01", "2060-12-31"
+BATCH_BYTES = 64 << 20
 
 
 def target_number(target):
@@ -29,17 +32,17 @@ def stamped(spark, sf_dir):
     return rows.select("account", F.trunc("post_d", "MM").alias("month"), "ts", "req_id", "target", target_number(F.col("target")).alias("target_no"))
 
 
-GATE_SQL = """rq AS (SELECT account, req_id, ts, list_position(['view', 'click', 'error', 'purchase', 'signup'], target) - 1 AS x, date_trunc('month', post_d)::DATE AS month,
+GATE_SQL = """rq AS (SELECT account, req_id, ts, coalesce(list_position(['view', 'click', 'error', 'purchase', 'signup'], target), 0) - 1 AS x, date_trunc('month', post_d)::DATE AS month,
    row_number() OVER (PARTITION BY account ORDER BY ts, req_id) AS rn FROM posted),
 gate AS (
   SELECT account, 0::BIGINT AS rn, NULL::BIGINT AS req_id, NULL::DATE AS month, 0 AS held, 0 AS used, 0 AS x, 0 AS accepted, '' AS reason FROM (SELECT DISTINCT account FROM rq)
   UNION ALL
   SELECT account, rn, req_id, month, CASE WHEN ok THEN x ELSE held END, CASE WHEN ok THEN least(u + 1, 2) ELSE u END, x, ok::INTEGER,
-     CASE WHEN ok THEN CASE WHEN u < 2 THEN 'posted' ELSE 'posted safe-only' END WHEN x = held THEN 'no change' ELSE 'monthly limit' END FROM (
+     CASE WHEN ok THEN CASE WHEN u < 2 THEN 'posted' ELSE 'posted safe-only' END WHEN x < 0 THEN 'invalid target' WHEN x = held THEN 'no change' ELSE 'monthly limit' END FROM (
     SELECT r.account, r.rn, r.req_id, r.month, r.x, g.held, CASE WHEN g.month = r.month THEN g.used ELSE 0 END AS u,
-      r.x <> g.held AND (CASE WHEN g.month = r.month THEN g.used ELSE 0 END < 2 OR r.x = 0) AS ok
+      r.x >= 0 AND r.x <> g.held AND (CASE WHEN g.month = r.month THEN g.used ELSE 0 END < 2 OR r.x = 0) AS ok
     FROM gate g JOIN rq r ON r.account = g.account AND r.rn = g.rn + 1))"""
-DECISIONS = duck("SELECT account, req_id, month, x::BIGINT AS target_no, accepted::BIGINT AS accepted, reason, used::BIGINT AS used, held::BIGINT AS held_no FROM gate WHERE rn > 0", *POSTED, GATE_SQL)
+DECISIONS = duck("SELECT account, req_id, month, nullif(x, -1)::BIGINT AS target_no, accepted::BIGINT AS accepted, reason, used::BIGINT AS used, held::BIGINT AS held_no FROM gate WHERE rn > 0", *POSTED, GATE_SQL)
 
 
 def shown(decisions):
@@ -53,17 +56,18 @@ def quota_gate(spark, sf_dir):
 
 @query("quota_gate_stream", DECISIONS)
 def quota_gate_stream(spark, sf_dir):
-    """The same gate fed by a file stream; posting dates come from a stream-static join with the calendar."""
+    """The same gate fed by a file stream; posting dates come from a left join with a calendar of fixed years, so the
+    stream's source is read as a stream only."""
     from tidemark.streaming.quota_stream import STATE_PROVIDER, drain, gate_stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     rows = streamed_requests(spark, sf_dir)
-    span = request_span(spark, sf_dir)
-    inner = span.select(F.explode(F.sequence(F.date_add("lo", 8), F.date_sub("hi", 18))).alias("d"))
+    span = spark.sql(f"SELECT date'{FROM}' AS lo, date'{TO}' AS hi")
+    inner = span.select(F.explode(F.sequence(F.date_add("lo", 20), F.date_sub("hi", 20))).alias("d"))
     days = materialize(cal.posting_lookup(inner, request_calendar(span)))
     local = F.from_utc_timestamp("ts", "America/New_York")
     post = F.when(F.col("is_session") & (F.hour(local) < 12), F.col("d")).otherwise(F.col("next_d"))
-    staged = rows.withColumn("d", F.to_date(local)).join(days, "d").select(
+    staged = rows.withColumn("d", F.to_date(local)).join(F.broadcast(days), "d", "left").select(
         "account", F.trunc(post, "MM").alias("month"), (F.year(post) * 12 + F.month(post)).alias("month_no"), "ts", "req_id", target_number(F.col("target")).alias("target_no"))
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     drain(gate_stream(staged, MIXES), f"{base}/out", f"{base}/state")
@@ -71,11 +75,11 @@ def quota_gate_stream(spark, sf_dir):
 
 
 def streamed_requests(spark, sf_dir):
-    """Requests as a file stream over the event files, which arrive in time order.
+    """Requests as a file stream over the event table, one file or a folder of part files.
 
     The byte limit bounds a micro-batch, and with it the rows one account can bring to a task at once.
     """
-    raw = spark.readStream.schema(src.SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").option("maxBytesPerTrigger", str(1 << 32)).parquet(sf_dir)
+    raw = spark.readStream.schema(src.SCHEMAS["events"]).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(F.col("user_id").alias("account"), F.col("event_id").alias("req_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("target"))
 
 
@@ -102,8 +106,6 @@ def quota_usage(spark, sf_dir):
     """SELECT account, max(month) AS month, arg_max(used, rn)::BIGINT AS used, (2 - arg_max(used, rn))::BIGINT AS remaining, sum(accepted) FILTER (month = (SELECT max(month) FROM gate m WHERE m.account = g.account))::BIGINT AS accepted
        FROM gate g WHERE rn > 0 GROUP BY account""", *POSTED, GATE_SQL))
 def quota_meter(spark, sf_dir):
-    """Changes used and left in each account's current posting month, from the chunk maps' decisions."""
-    rows = qt.gate(stamped(spark, sf_dir), MIXES, F.to_date("ts"), F.date_trunc("minute", "ts"))
-    months = rows.groupBy("account", "month").agg(F.max("used").alias("used"), F.sum("accepted").alias("accepted"))
-    last = months.groupBy("account").agg(F.max_by(F.struct("month", "used", "accepted"), "month").alias("m"))
-    return last.select("account", "m.month", big(F.col("m.used")).alias("used"), big(2 - F.col("m.used")).alias("remaining"), big(F.col("m.accepted")).alias("accepted"))
+    """Changes used and left in each account's last posting month, from the chunk maps; nothing is replayed."""
+    last = qt.meter(stamped(spark, sf_dir), MIXES, F.to_date("ts"), F.date_trunc("minute", "ts"))
+    return last.select("account", "month", big(F.col("used")).alias("used"), big(2 - F.col("used")).alias("remaining"), big(F.col("accepted")).alias("accepted"))

@@ -70,17 +70,28 @@ def optional_source_fallback(spark, sf_dir):
     return known.join(rates, "d").select("d", F.coalesce("quote", "effr").alias("level"), F.when(F.col("quote").isNotNull(), 1).otherwise(0).cast("bigint").alias("from_quote"), "absent")
 
 
-ROWS_OF = {"orders": ("o_orderkey", "o_orderkey || '|' || o_orderpriority"), "customer": ("c_custkey", "c_custkey || '|' || c_mktsegment"), "supplier": ("s_suppkey", "s_suppkey || '|' || s_name"),
-           "documents": ("doc_id", "doc_id || '|' || text"), "pages": ("page_id", "page_id || '|' || url")}
-N_COLS = {name: len(src.SCHEMAS[name].split(",")) for name in ROWS_OF}
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(part.strip().split(" ", 1)) for part in schema.split(",")]
+
+
+def _content(schema: str, engine: str) -> str:
+    """All columns of a row as one text, written alike by both engines; NULL is `~`."""
+    forms = {
+        "spark": {"double": "cast(cast(round({c} * 10000) AS bigint) AS string)", "timestamp_ntz": "date_format({c}, 'yyyyMMddHHmmssSSSSSS')",
+                  "array<float>": "array_join(transform({c}, x -> cast(cast(round(cast(x AS double) * 1000000) AS bigint) AS string)), ',')", "": "cast({c} AS string)"},
+        "duck": {"double": "round({c} * 10000)::BIGINT::VARCHAR", "timestamp_ntz": "strftime({c}, '%Y%m%d%H%M%S%f')",
+                 "array<float>": "array_to_string(list_transform({c}, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',')", "": "{c}::VARCHAR"}}[engine]
+    return "concat_ws('|', " + ", ".join(f"coalesce({forms.get(kind, forms['']).format(c=name)}, '~')" for name, kind in _fields(schema)) + ")"
 
 
 def _restat_sql(name: str) -> str:
-    key, content = ROWS_OF[name]
-    return f"SELECT '{name}' AS path, count(*)::BIGINT AS n_rows, {N_COLS[name]}::BIGINT AS n_cols, min({key})::VARCHAR AS first_key, max({key})::VARCHAR AS last_key, sum(('0x' || substr(md5({content}), 1, 8))::BIGINT)::BIGINT AS digest FROM {name}"
+    fields = _fields(src.SCHEMAS[name])
+    key = fields[0][0]
+    return (f"SELECT '{name}' AS path, count(*)::BIGINT AS n_rows, {len(fields)}::BIGINT AS n_cols, min({key})::VARCHAR AS first_key, max({key})::VARCHAR AS last_key, "
+            f"sum(('0x' || substr(md5({_content(src.SCHEMAS[name], 'duck')}), 1, 8))::BIGINT)::VARCHAR AS digest FROM {name}")
 
 
-RESTAT = " UNION ALL ".join(_restat_sql(n) for n in ROWS_OF)
+RESTAT = " UNION ALL ".join(_restat_sql(n) for n in src.SCHEMAS)
 
 
 @query("manifest_restat", duck(RESTAT))
@@ -89,7 +100,7 @@ def manifest_restat(spark, sf_dir):
 
 
 def table_stats(spark, sf_dir):
-    parts = [mf.restat(src.table(spark, sf_dir, name), name, F.col(key), F.expr(content)) for name, (key, content) in ROWS_OF.items()]
+    parts = [mf.restat(src.table(spark, sf_dir, name), name, F.col(_fields(schema)[0][0]), F.expr(_content(schema, "spark"))) for name, schema in src.SCHEMAS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -99,13 +110,13 @@ def table_stats(spark, sf_dir):
 @query("manifest_audit", duck(
     """SELECT coalesce(m.path, f.path, r.path) AS path, CASE WHEN f.path IS NULL AND r.path IS NOT NULL THEN 'required missing' WHEN f.path IS NULL THEN 'optional missing' WHEN m.path IS NULL THEN 'unlisted'
          WHEN m.digest <> f.digest THEN 'mismatched' ELSE 'present' END AS status
-       FROM (SELECT path, digest + CASE WHEN path = 'pages' THEN 1 ELSE 0 END AS digest FROM st WHERE path <> 'supplier' UNION ALL SELECT 'archive', 0) m
+       FROM (SELECT path, digest || CASE WHEN path = 'pages' THEN 'x' ELSE '' END AS digest FROM st WHERE path <> 'supplier' UNION ALL SELECT 'archive', '0') m
        FULL JOIN st f ON f.path = m.path FULL JOIN (SELECT unnest(['orders', 'customer', 'rates']) AS path) r ON r.path = coalesce(m.path, f.path)""", f"st AS ({RESTAT})"))
 def manifest_audit(spark, sf_dir):
     """Table digests against a manifest with one wrong digest, one unlisted table, one absent optional and one absent required."""
     found = table_stats(spark, sf_dir).select("path", "digest")
-    listed = found.filter("path <> 'supplier'").select("path", (F.col("digest") + F.when(F.col("path") == "pages", 1).otherwise(0)).alias("digest"))
-    extra = spark.createDataFrame([("archive", 0)], "path string, digest bigint")
+    listed = found.filter("path <> 'supplier'").select("path", F.concat("digest", F.when(F.col("path") == "pages", "x").otherwise("")).alias("digest"))
+    extra = spark.createDataFrame([("archive", "0")], "path string, digest string")
     required = spark.createDataFrame([("orders",), ("customer",), ("rates",)], "path string")
     return mf.audit(listed.unionByName(extra), found, required)
 

@@ -382,20 +382,27 @@ def month_end_returns(spark, sf_dir):
 HISTORY = """mc AS (SELECT entity, month, round(100 * r, 6) AS ret_pct FROM (SELECT entity, month, last_px / lag(last_px) OVER (PARTITION BY entity ORDER BY month) - 1 AS r FROM (
    SELECT entity, date_trunc('month', d)::DATE AS month, CASE WHEN max(d) FILTER (px IS NOT NULL) = max(d) THEN arg_max(px, d) END AS last_px FROM dense GROUP BY 1, 2)) WHERE r IS NOT NULL),
 cw AS (SELECT e.entity, m.month, r.ret_pct, row_number() OVER (PARTITION BY e.entity ORDER BY m.month) AS rn FROM ent e CROSS JOIN (
-     SELECT unnest(generate_series((date_trunc('month', max(d)) - INTERVAL 60 MONTH)::DATE, (date_trunc('month', max(d)) - INTERVAL 1 MONTH)::DATE, INTERVAL 1 MONTH))::DATE AS month FROM panel) m
+     SELECT unnest(generate_series((date_trunc('month', max(d)) - INTERVAL 120 MONTH)::DATE, (date_trunc('month', max(d)) - INTERVAL 1 MONTH)::DATE, INTERVAL 1 MONTH))::DATE AS month FROM panel) m
    LEFT JOIN mc r ON r.entity = e.entity AND r.month = m.month)"""
 
 
 @query("monthly_history", duck(
     f"""SELECT entity, count(ret_pct)::BIGINT AS n_months, min(CASE WHEN ret_pct IS NOT NULL THEN month END) AS first_in_window, any_value(first_ever) AS first_available,
          count(CASE WHEN ret_pct IS NULL THEN 1 END)::BIGINT AS missing, count(CASE WHEN ret_pct IS NULL AND month > first_m THEN 1 END)::BIGINT AS missing_after_start,
-         {rd('(nullif(arg_max(coalesce(wealth, -1), rn), -1) - 1) * 100')} AS compounded_pct FROM (
+         {rd('(nullif(arg_max(coalesce(wealth, -1), rn), -1) - 1) * 100')} AS compounded_pct, string_agg(coalesce(round(ret_pct * 1000000)::BIGINT::VARCHAR, '~'), ',' ORDER BY rn) AS returns,
+         string_agg(coalesce(round(wealth * 1000000)::BIGINT::VARCHAR, '~'), ',' ORDER BY rn) AS wealth, coalesce(string_agg(CASE WHEN ret_pct IS NULL THEN strftime(month, '%Y-%m') END, ',' ORDER BY rn), '') AS missing_months FROM (
          SELECT c.*, f.first_ever, min(CASE WHEN ret_pct IS NOT NULL THEN month END) OVER (PARTITION BY c.entity) AS first_m,
            CASE WHEN ret_pct IS NOT NULL AND sum(CASE WHEN ret_pct IS NULL AND month > (SELECT min(month) FROM cw z WHERE z.entity = c.entity AND z.ret_pct IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY c.entity ORDER BY rn) = 0
                 THEN exp(sum(ln(1 + coalesce(ret_pct, 0) / 100)) OVER (PARTITION BY c.entity ORDER BY rn)) END AS wealth
          FROM cw c JOIN (SELECT entity, min(month) AS first_ever FROM mc GROUP BY 1) f ON f.entity = c.entity) GROUP BY entity""", HISTORY))
 def monthly_history(spark, sf_dir):
-    return history_table(spark, sf_dir).select("entity", "n_months", "first_in_window", "first_available", "missing", "missing_after_start", r6(F.col("compounded_pct")).alias("compounded_pct"))
+    return history_table(spark, sf_dir).select("entity", "n_months", "first_in_window", "first_available", "missing", "missing_after_start", r6(F.col("compounded_pct")).alias("compounded_pct"),
+                                                _listed("return_pct").alias("returns"), _listed("cumulative_wealth").alias("wealth"), F.array_join(F.transform("missing_months", lambda m: F.date_format(m, "yyyy-MM")), ",").alias("missing_months"))
+
+
+def _listed(column):
+    """An array of numbers as text, in millionths; a gap is `~`."""
+    return F.array_join(F.transform(column, lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",", "~")
 
 
 def official_months(spark, sf_dir):
@@ -407,7 +414,7 @@ def official_months(spark, sf_dir):
     return panel, rets
 
 
-def history_table(spark, sf_dir, months: int = 60):
+def history_table(spark, sf_dir, months: int = 120):
     panel, rets = official_months(spark, sf_dir)
     return history.history_document(history.calendar_months(panel, months).join(rets, ["entity", "month"], "left"), rets)
 
@@ -418,7 +425,7 @@ def history_table(spark, sf_dir, months: int = 60):
             SELECT *, min(CASE WHEN ret_pct IS NOT NULL THEN month END) OVER (PARTITION BY entity) AS f FROM cw WHERE month BETWEEN DATE '1999-01-01' AND DATE '2000-06-01'))""", HISTORY))
 def range_recompound(spark, sf_dir):
     panel, rets = official_months(spark, sf_dir)
-    rows = history.calendar_months(panel, 60).join(rets, ["entity", "month"], "left").filter("month BETWEEN DATE'1999-01-01' AND DATE'2000-06-01'")
+    rows = history.calendar_months(panel, 120).join(rets, ["entity", "month"], "left").filter("month BETWEEN DATE'1999-01-01' AND DATE'2000-06-01'")
     w = W.partitionBy("entity").orderBy("month")
     return rows.withColumn("rn", F.row_number().over(w)).select("entity", "month", r6(history.broken_wealth(F.col("ret_pct"), F.col("rn"), w)).alias("wealth"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +29,9 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """Shared folder named by the cluster; where none is named, a folder in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = os.environ.get("TIDEMARK_LOCAL_CHECKPOINTS") or tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    os.environ["TIDEMARK_LOCAL_CHECKPOINTS"] = local
-    return local
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -63,27 +54,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *keys)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the estimated size is below the session's automatic broadcast threshold."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    limit = _to_bytes(raw)
-    size = estimated_bytes(df)
-    return limit > 0 and size is not None and size <= limit
-
-
-def _to_bytes(text: str) -> int:
-    text = str(text).strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)

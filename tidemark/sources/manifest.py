@@ -38,8 +38,9 @@ def passes(audit_rows: DataFrame) -> DataFrame:
 def restat(df: DataFrame, name: str, key: Column, content: Column) -> DataFrame:
     """(path, n_rows, n_cols, first_key, last_key, digest): an order-free digest of the rows.
 
-    The digest adds per-row hashes, so partitions are summed independently and row order is free.
+    The digest adds per-row hashes as decimals, so partitions are summed independently, row order is free and no
+    number of rows overflows it.
     """
-    row_hash = F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).cast("string").alias("first_key"), F.max(key).cast("string").alias("last_key"), F.sum(row_hash).alias("digest")).select(
+    row_hash = F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).cast("string").alias("first_key"), F.max(key).cast("string").alias("last_key"), F.sum(row_hash).cast("string").alias("digest")).select(
         F.lit(name).alias("path"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"), "first_key", "last_key", "digest")

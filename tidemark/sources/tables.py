@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.session import fits_broadcast, materialize
+from tidemark.session import materialize
 
 # Role letters by entity order; the first one is the safe asset.
 ROLES = ("g", "f", "c", "s", "i")
@@ -55,20 +55,14 @@ def supplier_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def priced(fact: DataFrame, dim: DataFrame, dim_base: DataFrame, fact_key: str, dim_key: str, *measures: str) -> DataFrame:
+def priced(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, *measures: str) -> DataFrame:
     """Sum measures by (entity, ord, d).
 
-    `dim_base` is the table that bounds the dimension's row count (its joins only look up unique
-    keys). While its size is below the broadcast threshold the join is map-side and only the few
-    (entity, day) partial sums are shuffled. A larger dimension must be shuffled on its key, where
-    one hot key could hold a third of the fact table, so the fact is summed by (key, day) first:
-    then no key brings more rows to the join than there are days.
+    The fact is summed by (key, day) first, partly where it is read, so no key brings more rows to the join than
+    there are days; how the join is done is Catalyst's choice.
     """
     sums = [F.sum(m).alias(m) for m in measures]
-    if fits_broadcast(dim_base):
-        dim = F.broadcast(dim)
-    else:
-        fact = fact.groupBy(fact_key, "d").agg(*sums)
+    fact = fact.groupBy(fact_key, "d").agg(*sums)
     return fact.join(dim, F.col(fact_key) == F.col(dim_key)).groupBy("entity", "ord", "d").agg(*sums)
 
 
@@ -77,8 +71,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity"
     )
-    bound = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sums = priced(fact, supplier_entities(spark, sf_dir), bound, "l_suppkey", "s_suppkey", "l_extendedprice", "l_quantity")
+    sums = priced(fact, supplier_entities(spark, sf_dir), "l_suppkey", "s_suppkey", "l_extendedprice", "l_quantity")
     return sums.select("entity", "ord", "d", unit_price_level().alias("px"))
 
 
@@ -198,20 +191,16 @@ CATEGORIES = {
 }
 
 
-def event_calendar(spark: SparkSession, sf_dir: str, per_category: int = 8) -> DataFrame:
-    """(event_id, category, event_d): the largest orders of each priority.
+def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, category, event_d): the largest order of each priority and month.
 
-    The rank filter lets Catalyst keep only `per_category` rows of a category per task before the
-    shuffle, so a category holding a third of all orders costs no more than the others.
+    The number of events follows the calendar. The largest is a mergeable maximum, so a priority holding a third of
+    all orders costs no more than the others.
     """
-    rank = W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    return (
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
-        .withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= per_category)
-        .select(F.col("o_orderkey").alias("event_id"), names[F.col("o_orderpriority")].alias("category"),
-                F.to_date("o_orderdate").alias("event_d"))
-    )
+    best = F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"), "o_orderdate")).alias("x")
+    largest = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate").groupBy("o_orderpriority", F.trunc("o_orderdate", "MM")).agg(best)
+    return largest.select((-F.col("x.k")).alias("event_id"), names[F.col("o_orderpriority")].alias("category"), F.to_date("x.o_orderdate").alias("event_d"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

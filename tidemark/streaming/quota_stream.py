@@ -6,40 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tidemark.operators.quota import LIMIT, NO_CHANGE, OVER_LIMIT, POSTED, POSTED_SAFE, transition
+from tidemark.operators.quota import INVALID, LATE, LIMIT, NO_CHANGE, OVER_LIMIT, POSTED, POSTED_SAFE, transition
 
 DECISION_SCHEMA = "account bigint, month date, req_id bigint, target_no int, accepted int, reason string, used int, held_no int"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def gate_processor(mixes: list[list[float]], initial: int):
-    """Value state per account: (posting month, machine state). One micro-batch is sorted by time per key."""
-    table, size = transition(mixes), 3 * len(mixes)
-    limit, codes = LIMIT, (POSTED, POSTED_SAFE, NO_CHANGE, OVER_LIMIT)
+    """Value state per account: (posting month, machine state, last time). One micro-batch is sorted by time per key.
+
+    A request before the account's last time comes too late to be judged in order, and one without a posting month
+    has no session: both are answered as late and change nothing.
+    """
+    table, size, k = transition(mixes), 3 * len(mixes), len(mixes)
+    limit, codes, invalid, late = LIMIT, (POSTED, POSTED_SAFE, NO_CHANGE, OVER_LIMIT), INVALID, LATE
 
     class Gate(StatefulProcessor):
         def init(self, handle):
-            self.last = handle.getValueState("last", "month int, state int")
+            self.last = handle.getValueState("last", "month int, state int, ts timestamp")
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
             pdf = pd.concat(list(rows)).sort_values(["ts", "req_id"])
-            month, state = self.last.get() if self.last.exists() else (0, initial * 3)
+            month, state, seen = self.last.get() if self.last.exists() else (0, initial * 3, None)
             out = []
             for r in pdf.itertuples(index=False):
-                m = int(r.month_no)
+                x = int(r.target_no) if pd.notna(r.target_no) and 0 <= r.target_no < k else k
+                shown = x if x < k else None
+                if pd.isna(r.month_no) or pd.isna(r.ts) or (seen is not None and r.ts < pd.Timestamp(seen)):
+                    out.append((int(key[0]), r.month, int(r.req_id), shown, 0, late, state % 3, state // 3))
+                    continue
+                seen, m = r.ts.to_pydatetime(), int(r.month_no)
                 if m != month:
                     month, state = m, state - state % 3
-                x = int(r.target_no)
                 nxt = table[x * size + state]
                 accepted = nxt != state
                 counted = state % 3 < limit
-                reason = (codes[0] if counted else codes[1]) if accepted else (codes[2] if state // 3 == x else codes[3])
+                reason = (codes[0] if counted else codes[1]) if accepted else invalid if x == k else (codes[2] if state // 3 == x else codes[3])
                 state = nxt
-                out.append((int(key[0]), r.month, int(r.req_id), x, int(accepted), reason, state % 3, state // 3))
-            self.last.update((month, state))
-            yield pd.DataFrame(out, columns=["account", "month", "req_id", "target_no", "accepted", "reason", "used", "held_no"])
+                out.append((int(key[0]), r.month, int(r.req_id), shown, int(accepted), reason, state % 3, state // 3))
+            if seen is not None:
+                self.last.update((month, state, seen))
+            frame = pd.DataFrame(out, columns=["account", "month", "req_id", "target_no", "accepted", "reason", "used", "held_no"])
+            yield frame.astype({"target_no": "Int32"})
 
         def close(self):
             pass
