@@ -107,19 +107,24 @@ def all_rules(spark, sf_dir):
 
 
 LAG = 1
-HELD = f"""held AS (SELECT strategy, d, pos, """ + ", ".join(
-    f"coalesce(lag(w{i}, {LAG + 1}) OVER k, first_value(w{i}) OVER k) AS w{i}" for i in range(5)) + """ FROM tw WINDOW k AS (PARTITION BY strategy ORDER BY pos)),
-dret AS (SELECT pos, """ + ", ".join(f"coalesce(max(CASE WHEN ord = {i} THEN r END), 0) AS r{i}" for i in range(5)) + f""" FROM (
+EARNED = f"""dret AS (SELECT pos, """ + ", ".join(f"coalesce(max(CASE WHEN ord = {i} THEN r END), 0) AS r{i}" for i in range(5)) + f""" FROM (
    SELECT ord, pos, px / lag(px) {WIN} - 1 AS r FROM dense) GROUP BY pos),
 pret AS (SELECT strategy, d, pos, w0, w1, w2, w3, w4, CASE WHEN pos = 0 THEN 0.0::DOUBLE ELSE """ + " + ".join(f"w{i} * r{i}" for i in range(5)) + """ END AS ret FROM held JOIN dret USING (pos)),
 pwealth AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY pos)) AS w FROM pret)"""
+HELD = """held AS (SELECT strategy, d, pos, """ + ", ".join(
+    f"coalesce(lag(w{i}, {LAG + 1}) OVER k, first_value(w{i}) OVER k) AS w{i}" for i in range(5)) + f""" FROM tw WINDOW k AS (PARTITION BY strategy ORDER BY pos)),
+{EARNED}"""
 
 
-def rule_paths(spark, sf_dir, dense=None):
-    """(strategy, d, pos, weights, ret, w) of every rule, one session of execution lag, no quota."""
+def rule_paths(spark, sf_dir, dense=None, limited=False):
+    """(strategy, d, pos, weights, ret, w) of every rule after one session of execution lag; `limited`: also under the
+    holding period and the monthly quota."""
     dense = dense if dense is not None else materialize(src.dense_panel(spark, sf_dir))
     k = W.partitionBy("strategy").orderBy("pos")
-    held = rule_targets(spark, sf_dir, dense).withColumn("weights", F.coalesce(F.lag("weights", LAG + 1).over(k), F.first("weights").over(op.running(k))))
+    if limited:
+        held = quota_limited(spark, sf_dir, dense).filter(F.col("lag") == LAG).select("strategy", "d", "pos", "weights")
+    else:
+        held = rule_targets(spark, sf_dir, dense).withColumn("weights", F.coalesce(F.lag("weights", LAG + 1).over(k), F.first("weights").over(op.running(k))))
     simple = dense.select("ord", "pos", op.total_return(F.col("px"), 1, op.by_entity()).alias("r"))
     paths = pf.portfolio_returns(held, pf.day_vectors(simple, "r", ("pos",)))
     return paths.withColumn("w", F.product(1.0 + F.col("ret")).over(op.running(k)))
@@ -147,12 +152,12 @@ def rule_versus_hold(spark, sf_dir):
         *[r6(m[c]).alias(c) for c in ("cagr", "max_drawdown", "vol", "sharpe")], m["n_rows"].alias("n_rows"))
 
 
-def all_paths(spark, sf_dir):
+def all_paths(spark, sf_dir, limited=False):
     """Rule and buy-and-hold paths with the safe entity's return alongside."""
     dense = materialize(src.dense_panel(spark, sf_dir))
     holds = pf.hold_paths(dense)
     base = holds.filter("ord = 0").select("pos", F.col("ret").alias("base_ret"))
-    paths = rule_paths(spark, sf_dir, dense).select("strategy", "d", "pos", "w", "ret").unionByName(
+    paths = rule_paths(spark, sf_dir, dense, limited).select("strategy", "d", "pos", "w", "ret").unionByName(
         holds.select(F.concat(F.lit("hold "), "entity").alias("strategy"), "d", "pos", "w", "ret"))
     joined = paths.join(base, "pos", "left").withColumn("base_ret", F.coalesce("base_ret", F.lit(0.0)))
     return metrics.with_path_columns(joined, "strategy", 252)
@@ -247,6 +252,11 @@ sim AS (
     SELECT *, differs AND (pos - last_sw >= 21 OR all_safe) AND pos + lag_n < n AND (u < 2 OR safer) AS ok FROM (
       SELECT l.*, {", ".join(f"s.e{i}" for i in N)}, s.last_sw, s.um, s.uc, CASE WHEN s.um = l.post_month THEN s.uc ELSE 0 END AS u, {DIFFERS} AS differs, {ALL_SAFE} AS all_safe, {SAFER} AS safer
       FROM sim s JOIN tl l ON l.strategy = s.strategy AND l.lag_n = s.lag_n AND l.pos = s.pos + 1)))"""
+HELD_LIMITED = f"""held AS (SELECT strategy, d, pos, {", ".join(f"coalesce(lag(e{i}, {LAG + 1}) OVER k, first_value(e{i}) OVER k) AS w{i}" for i in N)}
+   FROM (SELECT * FROM sim WHERE lag_n = {LAG}) JOIN ses USING (pos) WINDOW k AS (PARTITION BY strategy ORDER BY pos)),
+{EARNED}"""
+
+
 @query("target_path", duck(
     f"""SELECT strategy, lag_n::BIGINT AS lag, d, {', '.join(rd(f'coalesce(CASE WHEN lag_n = 1 THEN lag(e{i}, 2) OVER k ELSE lag(e{i}, 3) OVER k END, first_value(e{i}) OVER k)') + f' AS w{i}' for i in N)},
           coalesce(CASE WHEN lag_n = 1 THEN lag(acc, 1) OVER k ELSE lag(acc, 2) OVER k END, 0)::BIGINT AS post, coalesce(CASE WHEN lag_n = 1 THEN lag(used, 1) OVER k ELSE lag(used, 2) OVER k END, 0)::BIGINT AS used
@@ -256,6 +266,6 @@ def target_path(spark, sf_dir):
     return out.select("strategy", big(F.col("lag")).alias("lag"), "d", *[r6(F.get("weights", F.lit(i))).alias(f"w{i}") for i in N], big(F.col("post")).alias("post"), big(F.col("used")).alias("used"))
 
 
-def quota_limited(spark, sf_dir):
-    rows = rule_targets(spark, sf_dir).withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2))))
+def quota_limited(spark, sf_dir, dense=None):
+    rows = rule_targets(spark, sf_dir, dense).withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2))))
     return pf.limited_paths(materialize(rows.select("strategy", "lag", "pos", "d", "weights")), min_hold=21, size=5)

@@ -12,7 +12,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import metrics
 from tidemark.operators import windows as op
 from tidemark.plans.base import duck, query, rd
-from tidemark.plans.portfolio import HELD, RULES_SQL, VERSUS, all_paths
+from tidemark.plans.portfolio import HELD_LIMITED, PATH_SQL, RULES_SQL, VERSUS, all_paths
 from tidemark.session import materialize
 from tidemark.sources import tables as src
 
@@ -76,7 +76,7 @@ def fan_chart(spark, sf_dir):
     return out.select("entity", big(F.col("horizon")).alias("horizon"), *[F.round(c, 4).alias(c) for c in ("p10", "p25", "p50", "p75", "p90")])
 
 
-# Every rule and entity path against two baselines, the safe entity and the core one.
+# Every rule under holding period and quota, and every entity, against two baselines, the safe entity and the core one.
 TRIALS = 25
 COMPARE = ("""vp AS (SELECT v.strategy || ' / ' || b.strategy AS k, v.strategy, b.strategy AS baseline, v.d, v.w AS a, b.w AS b FROM vs v JOIN vs b ON b.d = v.d
      WHERE b.strategy IN (SELECT 'hold ' || entity FROM ent WHERE ord IN (0, 2)) AND b.strategy <> v.strategy)""",
@@ -84,15 +84,18 @@ COMPARE = ("""vp AS (SELECT v.strategy || ' / ' || b.strategy AS k, v.strategy,
 DSR_SQL = f"""dsr AS (SELECT k, CASE WHEN t >= 10 THEN (sr - sqrt(factor / (t - 1)) * {ev.expected_maximum(TRIALS)!r}::DOUBLE) * sqrt(t - 1) / sqrt(factor) END AS z FROM (
    SELECT *, greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) AS factor FROM (
      SELECT k, count(*) AS t, avg(x) / stddev_samp(x) AS sr, skewness(x) AS skew, kurtosis(x) + 3 AS kurt FROM (SELECT k, rs - rb AS x FROM cpairs WHERE pos > 0) GROUP BY 1)))"""
-BOARD = f"""board AS (SELECT p.strategy, p.baseline, round(b.excess_cagr, 6) + 0.0 AS excess_cagr, round(b.low, 6) + 0.0 AS low, round(b.high, 6) + 0.0 AS high, round(z.z, 5) + 0.0 AS dsr_z,
+POINTS = lambda c: f"round({c} * 100, 2)::DECIMAL(18, 2)::VARCHAR"
+BOARD = f"""board AS (SELECT *, strategy || ' against ' || baseline || ': excess growth ' || {POINTS('raw')} || ' points a year, 90% interval ' || {POINTS('raw_low')} || ' to ' || {POINTS('raw_high')} || ', verdict ' || verdict || '.'
+    || CASE WHEN raw < 0 THEN ' The point estimate is below this baseline.' ELSE '' END AS sentence FROM (
+   SELECT p.strategy, p.baseline, b.excess_cagr AS raw, b.low AS raw_low, b.high AS raw_high, round(b.excess_cagr, 6) + 0.0 AS excess_cagr, round(b.low, 6) + 0.0 AS low, round(b.high, 6) + 0.0 AS high, round(z.z, 5) + 0.0 AS dsr_z,
    CASE WHEN b.excess_cagr > 0 AND b.low > 0 AND coalesce(z.z >= {ev.Z95}, false) THEN 'Beat' WHEN b.excess_cagr < 0 AND b.high < 0 THEN 'Underperformed' ELSE 'Inconclusive' END AS verdict,
-   (b.excess_cagr < 0)::INTEGER::BIGINT AS below FROM (SELECT DISTINCT k, strategy, baseline FROM cpairs) p JOIN boot b ON b.k = p.k JOIN dsr z ON z.k = p.k)"""
-BOARD_SQL = (*RULES_SQL, HELD, VERSUS, *COMPARE, *boot_sql("cpairs"), DSR_SQL, BOARD)
+   (b.excess_cagr < 0)::INTEGER::BIGINT AS below FROM (SELECT DISTINCT k, strategy, baseline FROM cpairs) p JOIN boot b ON b.k = p.k JOIN dsr z ON z.k = p.k))"""
+BOARD_SQL = (*RULES_SQL, PATH_SQL, HELD_LIMITED, VERSUS, *COMPARE, *boot_sql("cpairs"), DSR_SQL, BOARD)
 
 
 def comparisons(spark, sf_dir, paths=None):
     """(strategy, baseline, excess_cagr, low, high, dsr_z, verdict, below, sentence) for every pair."""
-    paths = (paths if paths is not None else materialize(all_paths(spark, sf_dir))).select("strategy", "d", "pos", "w")
+    paths = (paths if paths is not None else materialize(all_paths(spark, sf_dir, limited=True))).select("strategy", "d", "pos", "w")
     bases = src.table(spark, sf_dir, "region").filter("r_regionkey IN (0, 2)").select(F.concat(F.lit("hold "), "r_name").alias("baseline"))
     base = paths.withColumnRenamed("strategy", "baseline").withColumnRenamed("w", "bw").drop("pos").join(bases, "baseline")
     joined = paths.join(base, "d").filter("baseline <> strategy")
@@ -106,15 +109,15 @@ def comparisons(spark, sf_dir, paths=None):
     return out.withColumn("sentence", fc.comparison_sentence(F.col("strategy"), F.col("baseline"), F.col("excess_cagr"), F.col("low"), F.col("high"), F.col("verdict")))
 
 
-@query("scoreboard_compare", duck("SELECT * FROM board", *BOARD_SQL))
+@query("scoreboard_compare", duck("SELECT strategy, baseline, excess_cagr, low, high, dsr_z, verdict, below, sentence FROM board", *BOARD_SQL))
 def scoreboard_compare(spark, sf_dir):
     out = comparisons(spark, sf_dir)
-    return out.select("strategy", "baseline", *[r6(F.col(c)).alias(c) for c in ("excess_cagr", "low", "high")], F.round("dsr_z", 5).alias("dsr_z"), "verdict", "below")
+    return out.select("strategy", "baseline", *[r6(F.col(c)).alias(c) for c in ("excess_cagr", "low", "high")], F.round("dsr_z", 5).alias("dsr_z"), "verdict", "below", "sentence")
 
 
 def board_rows(spark, sf_dir):
     """One row per strategy: metrics plus a map of comparisons by baseline."""
-    paths = materialize(all_paths(spark, sf_dir))
+    paths = materialize(all_paths(spark, sf_dir, limited=True))
     m = metrics.path_metrics("strategy")
     rows = paths.groupBy("strategy").agg(*[r6(m[c]).alias(c) for c in ("cagr", "vol", "sharpe", "max_drawdown", "ulcer", "hit_rate")])
     versus = comparisons(spark, sf_dir, paths).groupBy("strategy").agg(
