@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import U, text_buffer
+from tidemark.llm.text import U, text_batches, text_buffer
 from tidemark.session import materialize
 
 CHUNK = 1 << 16
@@ -87,7 +87,7 @@ def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             yield pa.record_batch([batch.column("doc_id"), batch.column("probe"), pa.array(np.diff(offsets)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(digest)],
                                   names=["doc_id", "probe", "n_bytes", "fp_a", "fp_b", "text_sha256"])
 
-    return _rows(docs, doc_id, text).mapInArrow(scan, FINGERPRINTS)
+    return text_batches(_rows(docs, doc_id, text)).mapInArrow(scan, FINGERPRINTS)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -101,7 +101,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     group = ["n_bytes", "fp_a", "fp_b", "part"]
     texts = None
     while True:
-        groups = prints.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # written, so that joins with it shuffle both sides and Spark can split a large group's partition
+        groups = materialize(prints.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
         if texts is None:
             doubtful = prints.join(groups.where("group_size > 1 AND n_bytes > 0"), group).select("doc_id", "probe", *group[:3]).distinct()
             found = _rows(docs, doc_id, text).alias("r").join(doubtful.alias("d"), F.expr("r.doc_id <=> d.doc_id AND r.probe = d.probe"))

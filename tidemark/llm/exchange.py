@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import U, text_buffer
+from tidemark.llm.text import U, text_batches, text_buffer
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 48 << 20
 
 
@@ -52,10 +52,11 @@ def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "
 
     def bundle(stream):
         codec = pa.Codec("zstd", compression_level=1)
-        for batch in stream:
-            chunk = np.asarray(batch.column("chunk"))
+        for batches in gathered(stream):
+            table = pa.Table.from_batches(batches)
+            chunk = np.asarray(table.column("chunk"))
             order = np.argsort(chunk, kind="stable")
-            table = pa.Table.from_batches([batch]).take(pa.array(order))
+            table = table.take(pa.array(order))
             ids = np.asarray(table.column("doc_id").combine_chunks().fill_null(NO_ID), dtype=np.int64)
             data, offsets = text_buffer(table.column("text"))
             chunk = chunk[order]
@@ -67,7 +68,20 @@ def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "
                 body.append(codec.compress(part, asbytes=True))
             yield pa.record_batch([pa.array(chunk[first], pa.int32()), pa.array(raw, pa.int64()), pa.array(body, pa.binary())], names=["chunk", "raw", "body"])
 
-    return rows.mapInArrow(bundle, BODY)
+    return text_batches(rows).mapInArrow(bundle, BODY)
+
+
+def gathered(stream, limit: int = 1 << 24):
+    """Lists of batches of about `limit` bytes: more documents of a chunk in a bundle compress better."""
+    kept, size = [], 0
+    for batch in stream:
+        kept.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield kept
+            kept, size = [], 0
+    if kept:
+        yield kept
 
 
 def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

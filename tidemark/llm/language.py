@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import slices, text_buffer
+from tidemark.llm.text import slices, text_batches, text_buffer
 
 GRAMS = 1 << 16
 UNKNOWN = "und"
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             yield pa.record_batch([pa.array([name] * len(at)), pa.array(np.where(at == GRAMS, -1, at).astype(np.int32)), pa.array(have[at])], names=["lang", "gram", "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return text_batches(rows).mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame, most_languages: int = 512, smooth: float = 0.1) -> tuple[list[str], np.ndarray]:
@@ -96,34 +96,46 @@ def _by_row(values: np.ndarray, start: np.ndarray, n: int, rows: np.ndarray) ->
     return out
 
 
+def _estimated(like: np.ndarray, row: np.ndarray, size: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the allowed languages and the log-likelihood they reach, by row."""
+    n = len(size)
+    rows, start = np.unique(row, return_index=True)
+    share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
+    for _ in range(steps):
+        part = like * share[row]
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+        share = _by_row(part, start, n, rows) / np.maximum(size, 1)[:, None]
+    return share, _by_row(np.log(np.maximum((like * share[row]).sum(axis=1), 1e-300)), start, n, rows)
+
+
 def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int, steps: int = 8, penalty: float = 1.0) -> np.ndarray:
-    """Proportions [row, language] of the best language set of each row; rows without words are zero."""
+    """Proportions [row, language] of the best language set of each row; rows without words are zero.
+
+    Sets of more than one language are only tried where the mixture of all gains over the best single language at
+    least half of what a second language costs: no subset fits better than all.
+    """
     k = word_ll.shape[1]
-    rows, start, words_of = np.unique(row, return_index=True, return_counts=True)
-    top = word_ll.max(axis=1, keepdims=True) if k else word_ll
-    like = np.exp(word_ll - top)
-    size = np.zeros(n)
-    size[rows] = words_of
-
-    def estimate(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-        for _ in range(steps):
-            part = like * share[row]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            share = _by_row(part, start, n, rows) / np.maximum(size, 1)[:, None]
-        fit_of = _by_row(np.log(np.maximum((like * share[row]).sum(axis=1), 1e-300)), start, n, rows)
-        return share, fit_of
-
-    share, _ = estimate(np.ones((n, k)))
+    size = np.bincount(row, minlength=n).astype(np.float64)
+    like = np.exp(word_ll - word_ll.max(axis=1, keepdims=True)) if k else word_ll
+    share, full = _estimated(like, row, size, np.ones((n, k)), steps)
     order = np.argsort(-share, axis=1, kind="stable")
-    best, found = np.zeros((n, k)), np.full(n, -np.inf)
-    for m in range(1, min(most, k) + 1):
-        allowed = np.zeros((n, k))
-        np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-        share, value = estimate(allowed) if m > 1 else (allowed, _by_row(np.log(np.maximum((like * allowed[row]).sum(axis=1), 1e-300)), start, n, rows))
-        value = value - penalty * m * np.log(np.maximum(size, 2))
-        better = value > found
-        best[better], found[better] = share[better], value[better]
+    price = penalty * np.log(np.maximum(size, 2))
+    best = np.zeros((n, k))
+    if k:
+        np.put_along_axis(best, order[:, :1], 1.0, axis=1)
+    _, found = _estimated(like, row, size, best, 0)
+    open_rows = np.flatnonzero(full - found > price / 2)
+    if len(open_rows):
+        words_of = np.flatnonzero(np.isin(row, open_rows))
+        part, part_row = like[words_of], np.searchsorted(open_rows, row[words_of])
+        value_of = found[open_rows] - price[open_rows]
+        for m in range(2, min(most, k) + 1):
+            allowed = np.zeros((len(open_rows), k))
+            np.put_along_axis(allowed, order[open_rows, :m], 1.0, axis=1)
+            share, value = _estimated(part, part_row, size[open_rows], allowed, steps)
+            value -= m * price[open_rows]
+            better = value > value_of
+            best[open_rows[better]], value_of[better] = share[better], value[better]
     best[size == 0] = 0
     return best
 
@@ -159,7 +171,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
                     pa.array([[languages[j] for j in s] for s in sets], pa.list_(pa.string())), pa.array([[float(share[i, j]) for j in s] for i, s in enumerate(sets)], pa.list_(pa.float64()))],
                     names=[*(["row"] if carry else []), "doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
 
-    return rows.mapInArrow(score, (kept if carry else "") + PREDICTIONS)
+    return text_batches(rows).mapInArrow(score, (kept if carry else "") + PREDICTIONS)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int = 512, carry: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import text_buffer, words
+from tidemark.llm.text import text_batches, text_buffer, words
 from tidemark.session import materialize
 
 LEVELS, BITS = 5, 12
@@ -42,7 +42,7 @@ def word_counts(docs: DataFrame, text: str = "text", out: str = "size") -> DataF
             n = np.bincount(words(data, offsets, hashed=False).row, minlength=batch.num_rows)
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, out])
 
-    return docs.mapInArrow(count, schema)
+    return text_batches(docs).mapInArrow(count, schema)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exchange import first_of_runs, partitions
-from tidemark.llm.text import U, mix, slices, span_hashes, text_buffer, words, worker_cache
+from tidemark.llm.text import U, mix, slices, span_hashes, text_batches, text_buffer, words, worker_cache
 from tidemark.session import materialize
 
 CAPACITY, END = 2048, 1
@@ -207,7 +207,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         codec = pa.Codec("zstd", compression_level=1)
         for whole in stream:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 23):
                 data, offsets = text_buffer(batch.column("text"))
                 ids, bounds = token_ids(data, offsets, path)
                 ids = ids.astype(np.uint32)
@@ -215,7 +215,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
                 packed = [codec.compress(low[a:b].tobytes() + np.array([end], low.dtype).tobytes(), asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(curve_keys(data, offsets)), pa.array(np.diff(bounds) + 1), pa.array(np.full(batch.num_rows, low.itemsize, np.int32)), pa.array(packed, pa.binary())], names=["doc_id", "curve", "n", "width", "ids"])
 
-    return rows.mapInArrow(scan, TOKENS)
+    return text_batches(rows).mapInArrow(scan, TOKENS)
 
 
 def packed_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import fold_of
-from tidemark.llm.text import U, constants, first_seen, mix, row_starts, slices, text_buffer, words
+from tidemark.llm.text import U, constants, first_seen, mix, row_starts, slices, text_batches, text_buffer, words
 
 SIZE = 1 << 20
 KINDS = 5
@@ -100,7 +100,7 @@ def train(sample: DataFrame, epochs: int = 4) -> tuple[np.ndarray, float]:
     def learn(stream):
         examples, order = [], []
         for whole in stream:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 22):
                 data, offsets = text_buffer(batch.column("text"))
                 numbers, rows = features(data, offsets)
                 bounds = [row_starts(r, batch.num_rows) for r in rows]
@@ -111,7 +111,7 @@ def train(sample: DataFrame, epochs: int = 4) -> tuple[np.ndarray, float]:
             w, bias = ftrl([examples[i] for i in np.argsort(np.array(order), kind="stable").tolist()], epochs)
             yield pa.record_batch([pa.array([(w * SCALE).astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    found = sample.repartition(1).mapInArrow(learn, "w binary, bias double").collect()
+    found = text_batches(sample).repartition(1).mapInArrow(learn, "w binary, bias double").collect()
     return (np.frombuffer(found[0]["w"], np.float32), found[0]["bias"]) if found else (np.zeros(SIZE, np.float32), 0.0)
 
 
@@ -121,12 +121,12 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, doc_id: str = "doc
 
     def score(stream):
         for whole in stream:
-            for batch in slices(whole, "text", 1 << 23):
+            for batch in slices(whole, "text", 1 << 22):
                 data, offsets = text_buffer(batch.column("text"))
                 p = 1 / (1 + np.exp(-np.clip(dot(model.value, *features(data, offsets), batch.num_rows) + bias, -35, 35)))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(score, SCORES)
+    return text_batches(rows).mapInArrow(score, SCORES)
 
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 12_000) -> DataFrame:

@@ -11,11 +11,24 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+BATCH_ROWS = 1000
 U = np.uint64
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of this session hold BATCH_ROWS rows instead of Spark's default of 10,000.
+
+    Texts are long, and both the executor and its Python workers hold whole batches. A setting of one's own stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 class Words(NamedTuple):
     """Words of a batch in text order: byte span in the batch buffer, row, 64-bit hash."""
 

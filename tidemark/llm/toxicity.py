@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.language import FOLD, fold_of
 from tidemark.llm.quality import sampled
-from tidemark.llm.text import U, first_seen, prefix_hashes, row_starts, slices, text_buffer, words
+from tidemark.llm.text import U, first_seen, prefix_hashes, row_starts, slices, text_batches, text_buffer, words
 
 SIZE = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -99,7 +99,7 @@ def train(sample: DataFrame, epochs: int = 12) -> tuple[np.ndarray, float]:
     def learn(stream):
         bags, order = [], []
         for whole in stream:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 22):
                 data, offsets = text_buffer(batch.column("text"))
                 number, sentence, row, _ = sentence_words(data, offsets)
                 of_row, of_sentence = row_starts(row, batch.num_rows), row_starts(sentence, len(row))
@@ -113,7 +113,7 @@ def train(sample: DataFrame, epochs: int = 12) -> tuple[np.ndarray, float]:
             w, bias = learn_bags([bags[i] for i in np.argsort(np.array(order), kind="stable").tolist()], epochs)
             yield pa.record_batch([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    found = sample.repartition(1).mapInArrow(learn, "w binary, bias double").collect()
+    found = text_batches(sample).repartition(1).mapInArrow(learn, "w binary, bias double").collect()
     return (np.frombuffer(found[0]["w"], np.float32), found[0]["bias"]) if found else (np.zeros(SIZE, np.float32), -35.0)
 
 
@@ -124,7 +124,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, doc_id: str = "doc
 
     def score(stream):
         for whole in stream:
-            for batch in slices(whole, "text", 1 << 23):
+            for batch in slices(whole, "text", 1 << 22):
                 data, offsets = text_buffer(batch.column("text"))
                 n = batch.num_rows
                 number, sentence, row, start = sentence_words(data, offsets)
@@ -141,7 +141,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, doc_id: str = "doc
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(total), pa.array((total >= threshold).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "held_out", "score", "predicted", "sentences"])
 
-    return rows.mapInArrow(score, SCORES)
+    return text_batches(rows).mapInArrow(score, SCORES)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 12_000) -> DataFrame:

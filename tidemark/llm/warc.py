@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exchange import partitions
+from tidemark.llm.text import text_batches
 from tidemark.session import checkpoint_dir, materialize
 
 REVISIT_FROM = 1000
@@ -128,7 +129,7 @@ def write_archive(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, s
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(posixpath.join(root, "_temporary"), recursive=True)
     manifest = f"{folder.rstrip('/')}/_manifest"
-    ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(manifest)
+    text_batches(ordered).mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(manifest)
     listed = spark.read.schema(MANIFEST).parquet(manifest)
 
     def commit(stream):
