@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import U, text_batches, text_buffer
+from tidemark.llm.text import U, release, text_batches, text_buffer
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 48 << 20
@@ -80,12 +80,14 @@ def gathered(stream, limit: int = 1 << 24):
         if size >= limit:
             yield kept
             kept, size = [], 0
+            release()
     if kept:
         yield kept
 
 
 def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, text bytes and row offsets of a chunk."""
+    release()
     codec = pa.Codec("zstd")
     ids, lengths, data = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     for raw, body in zip(table.column("raw").to_pylist(), table.column("body").to_pylist()):

@@ -104,7 +104,7 @@ class Pieces(NamedTuple):
     ids: np.ndarray
 
 
-def _piece_ids(data, blank, begin, end, hashes, path: str, most: int = 1 << 20) -> Pieces:
+def _piece_ids(data, blank, begin, end, hashes, path: str, most: int = 1 << 19) -> Pieces:
     """Ids of pieces with sorted distinct hashes; up to `most` pieces are remembered for the worker's next batches."""
     kept = worker_cache("pieces")
     known = kept.get(path, Pieces(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)))

@@ -6,6 +6,7 @@ at once; no Python object is made per word. Texts of any length are read in bloc
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,14 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker shares its executor's memory with the JVM and lives over tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the whole word."""
     x = np.asarray(x, dtype=U).copy()
@@ -187,6 +196,7 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 24):
     """The batch in row ranges of at most `limit` bytes of text (one row at least), so that arrays stay small."""
+    release()
     offsets = text_buffer(batch.column(text))[1]
     i = 0
     while i < batch.num_rows:
