@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exchange import NO_ID, answers, chunked, first_of_runs, low32, opened, packed, plan, reply, unpack
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, light
 from tidemark.llm.text import U, constants, mix, row_starts, windows, words
 from tidemark.session import materialize
 
@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, depth: f
     reach. Pairs are dealt to bins of about BIN partners; a ref with more is spread over several bins, each of which
     gets the ref's set once.
     """
-    pairs = materialize(pairs)
+    pairs = light(pairs)
     bins = max(1, -(-pairs.count() // BIN))
     shares = pairs.groupBy("ref").agg(F.ceil(F.count("*") / BIN).cast("int").alias("parts"))
     place = F.pmod(F.xxhash64("ref", "part"), F.lit(bins)).cast("int").alias("bin")
@@ -220,7 +220,7 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     postings = sets.where(f"{prefix} > 0").select("node", "n", F.size("live").alias("alive"), F.posexplode(F.expr(f"slice(live, 1, cast({prefix} AS int))")).alias("k", "token"))
     postings = postings.withColumn("place", F.col("n") - F.col("alive") + F.col("k")).drop("k")
     hubs = postings.groupBy("token").agg(F.min(F.struct((1 - F.col("alive") / F.col("n")).alias("share"), F.col("node"))).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
-    hubs = materialize(hubs.where("low < high").select("token", F.col("hub.node").alias("ref")))
+    hubs = light(hubs.where("low < high").select("token", F.col("hub.node").alias("ref")))
     met = postings.join(hubs, "token").where("node <> ref")
     tested = materialize(verified(met.groupBy("node", "ref").agg(F.lit(1)).select("node", "ref"), sets, percent, depth=0.5))
     labels = _merged(sets.select("node", F.col("node").alias("comp")), tested.where("linked"))
@@ -229,7 +229,7 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
         """Postings of tokens whose documents still lie in several components."""
         known = rest.join(labels, "node")
         several = known.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
-        return materialize(known.join(several, "token", "left_semi"))
+        return light(known.join(several, "token", "left_semi"))
 
     bounds = tested.select(F.col("a").alias("node"), F.col("b").alias("ref"), "high", "low")
     rest = met.join(bounds, ["node", "ref"]).select("token", "node", "n", "place", "high", (F.col("alive") - F.col("low")).alias("own"), (F.col("n") - F.col("alive")).alias("dead"))
@@ -244,7 +244,7 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
         outside = known.where("comp <> main").drop("main")
         salt = F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")
         refs = (known.where("comp = main") if inside else outside).groupBy("token", salt).agg(F.min(F.struct("dead", "node", "comp", "n", "place", "high", "own")).alias("r"))
-        refs = materialize(refs.select("token", F.col("r.node").alias("ref"), *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("comp", "n", "place", "high", "own")]))
+        refs = light(refs.select("token", F.col("r.node").alias("ref"), *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("comp", "n", "place", "high", "own")]))
         pairs = (outside if inside else rest).join(refs, "token").where(reach).groupBy("node", "ref").agg(F.lit(1)).select("node", "ref")
         more = materialize(verified(pairs, sets, percent).where("linked"))
         if not more.isEmpty():
@@ -259,4 +259,4 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp"))
     edges = links.select("a", "b").join(a, "a").join(b, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
     moved = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return materialize(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return light(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
