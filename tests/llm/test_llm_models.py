@@ -155,3 +155,22 @@ def test_perplexity_rejects_what_no_language_writes(tables):
     assert not any(r["kept"] for r in rows if r["doc_id"] >= 10**6)
     clean = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
     assert np.mean(clean) > 0.95
+
+
+def test_shuffled_words_have_a_higher_perplexity(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    follow = {x: rng.sample(vocabulary, 3) for x in vocabulary}
+    texts = []
+    for _ in range(200):
+        text = [rng.choice(vocabulary)]
+        while len(text) < 100:
+            text.append(rng.choice(follow[text[-1]]))
+        texts.append(text)
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)] + [(1000 + i, " ".join(rng.sample(t, len(t))), "en") for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert min(found[1000 + i]["log_perplexity"] for i in range(10)) > max(found[i]["log_perplexity"] for i in range(200)) + 1
+    assert all(found[i]["kept"] for i in range(200)) and not any(found[1000 + i]["kept"] for i in range(10))
+    bundled = {r["doc_id"]: r["log_perplexity"] for r in quality_rules(docs, most_bytes=0).collect()}
+    assert all(abs(bundled[i] - found[i]["log_perplexity"]) < 1e-9 for i in found)

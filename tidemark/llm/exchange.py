@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import U, release, text_batches, text_buffer
@@ -43,12 +43,13 @@ NO_ID = np.iinfo(np.int64).max
 BODY = "chunk int, raw bigint, body binary"
 
 
-def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "text", chunk: Column | None = None) -> DataFrame:
     """(chunk, raw, body): compressed bundles of documents; NULL text becomes empty, NULL id becomes NO_ID.
 
-    The deal depends on the id only, so a rerun of any task finds the same chunks.
+    The deal depends on the id only (or is the given column), so a rerun of any task finds the same chunks.
     """
-    rows = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(sizes.chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    by = F.pmod(F.xxhash64(doc_id), F.lit(sizes.chunks)) if chunk is None else chunk
+    rows = docs.select(by.cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def bundle(stream):
         codec = pa.Codec("zstd", compression_level=1)
