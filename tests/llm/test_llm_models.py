@@ -174,3 +174,13 @@ def test_shuffled_words_have_a_higher_perplexity(spark):
     assert all(found[i]["kept"] for i in range(200)) and not any(found[1000 + i]["kept"] for i in range(10))
     bundled = {r["doc_id"]: r["log_perplexity"] for r in quality_rules(docs, most_bytes=0).collect()}
     assert all(abs(bundled[i] - found[i]["log_perplexity"]) < 1e-9 for i in found)
+
+
+def test_many_copies_do_not_close_the_band(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, texts[max(0, i - 119)], "en") for i in range(199)], "doc_id bigint, text string, lang string")
+    rows = quality_rules(docs).collect()
+    assert len(rows) == 199 and all(r["kept"] and r["lower"] < r["log_perplexity"] < r["upper"] for r in rows)
+    assert len({round(r["log_perplexity"], 9) for r in rows if r["doc_id"] <= 119}) == 1
