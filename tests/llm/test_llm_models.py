@@ -184,3 +184,16 @@ def test_many_copies_do_not_close_the_band(spark):
     rows = quality_rules(docs).collect()
     assert len(rows) == 199 and all(r["kept"] and r["lower"] < r["log_perplexity"] < r["upper"] for r in rows)
     assert len({round(r["log_perplexity"], 9) for r in rows if r["doc_id"] <= 119}) == 1
+
+
+def test_every_language_has_its_own_band(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(70):
+        letters = [chr(97 + (k + j) % 26) for j in range(4)] + [chr(0xE0 + k % 20)]
+        vocabulary = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)]
+        rows += [(100 * k + i, " ".join(rng.choice(vocabulary) for _ in range(60)), f"l{k}") for i in range(5)]
+    rows += [(10**6 + i, "one short row of a rare language", lang) for i, lang in enumerate(("rare", None))]
+    found = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    bands = {r["doc_id"] // 100: r["upper"] for r in found if r["doc_id"] < 10**6}
+    assert len(found) == len(rows) and len(set(bands.values())) > 60
