@@ -87,6 +87,17 @@ def test_reruns_write_the_same_bytes(spark):
     assert seen[0] == seen[1]
 
 
+def test_reruns_of_many_rows_write_the_same_bytes(spark):
+    pages = spark.range(0, 40_000, 1, 4).select(F.expr("id * 7919 % 100003").alias("page_id"), F.concat(F.lit("u"), F.col("id")).alias("url"), F.concat(F.lit("p"), F.col("id")).alias("html"))
+    seen = []
+    for again in range(2):
+        rows = pages.repartition(4 + again, "page_id")
+        seen.append(sorted((r["final"], r["records"], r["bytes"], r["sha1"]) for r in write_archive(rows, archive_folder(rows), shards=5).collect()))
+    assert seen[0] == seen[1]
+    records = [r[1] for r in seen[0]]
+    assert len(records) == 5 and sum(records) == 40_000 and max(records) < 2 * min(records)
+
+
 def test_no_pages(spark):
     pages = pages_of(spark).where("1 = 0")
     folder = archive_folder(pages)

@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id into shards. A shard's task streams its records, each a gzip member of its own, rolls a
+Pages are range-sorted by id into shards whose bounds the table decides. A shard's task streams its records, each a gzip member of its own, rolls a
 new file when the compressed size passes a limit, and regenerates every header and digest from the page itself, so a
 rerun writes the same bytes. Files are written under temporary names that no other attempt uses; the rows that a
 task returns about its files form the manifest, written as a table. Only files of the manifest are renamed to their
@@ -16,10 +16,12 @@ gives a manifest without files and an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import posixpath
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,6 +34,8 @@ from tidemark.session import checkpoint_dir, materialize
 
 REVISIT_FROM = 1000
 FILE_BYTES = 32 << 20
+KEY = ("page_id", "url", "payload_digest")
+SAMPLE = 100
 # Record headers.
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -93,26 +97,52 @@ def classified(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return shared.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
+def with_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """The rows with their shard, a range of (page_id, url, payload_digest) whose bounds depend on the rows and the number of shards only.
+
+    Bounds are weighted quantiles over the keys whose hash is divisible by a step that leaves about SAMPLE keys a shard.
+    Which task writes a shard has no influence on its bytes.
+    """
+    step = max(1, rows.count() // (SAMPLE * shards))
+    sample = rows.where(F.pmod(F.xxhash64(*KEY), F.lit(step)) == 0).groupBy(*KEY).count().collect()
+    place = lambda page, url, digest: (page is not None, page or 0, url, digest)
+    keys = sorted((place(*r[:3]), r[3]) for r in sample)
+    total, upto, bounds = sum(n for _, n in keys), 0, []
+    for key, n in keys:
+        upto += n
+        while len(bounds) < shards - 1 and upto * shards >= total * (len(bounds) + 1):
+            bounds.append(key)
+
+    def shard_of(stream: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, urls, digests in stream:
+            yield pa.array([bisect.bisect_left(bounds, place(*k)) for k in zip(pages.to_pylist(), urls.to_pylist(), digests.to_pylist())], pa.int32())
+
+    return text_batches(rows).withColumn("shard", F.arrow_udf(shard_of, "int")(*KEY))
+
+
 def write_archive(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shards: int | None = None, **columns: str) -> DataFrame:
     """Write the pages below `folder` (any URI that pyarrow's file systems open) and return the manifest, a table."""
     spark = pages.sparkSession
     rows = classified(pages, **columns)
-    ordered = rows.repartitionByRange(shards or partitions(pages), F.col("page_id"), F.col("url"), F.col("payload_digest")).sortWithinPartitions("page_id", "url", "payload_digest").withColumn("shard", F.spark_partition_id())
+    count = shards or partitions(pages)
+    ordered = with_shard(rows, count).repartitionByRange(count, "shard").sortWithinPartitions("shard", *KEY)
 
     def write(stream):
         system, root = fs.FileSystem.from_uri(folder)
-        attempt, number, out = uuid.uuid4().hex, 0, None
+        attempt, at, number, out = uuid.uuid4().hex, None, 0, None
         done = []
 
         def close():
             out.close()
-            done.append((shard, number, posixpath.join(root, temporary), final, records, size, digest.hexdigest()))
+            done.append((at, number, posixpath.join(root, temporary), final, records, size, digest.hexdigest()))
 
         for batch in stream:
             for page, url, payload, n, sha1, refers_to, shard in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "shard"))):
-                if out is not None and size >= file_bytes:
+                if out is not None and (size >= file_bytes or shard != at):
                     close()
                     number, out = number + 1, None
+                if shard != at:
+                    at, number = shard, 0
                 if out is None:
                     final = f"pages-{shard:05d}-{number:05d}.warc.gz"
                     temporary = f"_temporary/{attempt}-{final}"
