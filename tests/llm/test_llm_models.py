@@ -197,3 +197,22 @@ def test_every_language_has_its_own_band(spark):
     found = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
     bands = {r["doc_id"] // 100: r["upper"] for r in found if r["doc_id"] < 10**6}
     assert len(found) == len(rows) and len(set(bands.values())) > 60
+
+
+def test_more_than_three_languages_in_a_document(spark):
+    rng = random.Random(9)
+    letters = {f"l{k}": [chr(97 + 4 * k + j) for j in range(4)] for k in range(6)}
+    prose = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(6)) for _ in range(n))
+    rows = [(100 * k + i, prose(lang, 100), lang) for k, lang in enumerate(letters) for i in range(20)]
+    rows += [(10**6 + n, " ".join(prose(f"l{k}", 60) for k in range(n)), None) for n in (4, 5, 6)]
+    found = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("doc_id >= 1000000").collect()}
+    for n in (4, 5, 6):
+        r = found[10**6 + n]
+        assert set(r["languages"]) == {f"l{k}" for k in range(n)} and abs(r["score"] - 1 / n) < 0.05
+
+
+def test_rare_languages_are_learned(spark):
+    from tidemark.llm.language import fit
+
+    many = spark.range(600).select(F.format_string("l%04d", "id").alias("lang"), F.explode(F.array(F.lit(-1), F.lit(3))).alias("gram"), (1 + F.col("id") % 2).alias("n"))
+    assert len(fit(many)[0]) == 600

@@ -5,9 +5,9 @@ of the learning part. A document's words are draws from a mixture of languages;
 its proportions from the words' n-gram likelihoods. The language set is the one whose likelihood, less a penalty for
 each language, is best among the sets of its most present languages; the prediction is the set's largest language.
 
-Trigrams of one word overlap, so a word's log-likelihood is a third of their sum. The model has 2^16 numbers a
-language and `most_languages` languages at most (those with the most labelled documents; a parameter), which bounds
-what is sent to the tasks.
+Trigrams of one word overlap, so a word's log-likelihood is a third of their sum. Every labelled language is learned
+and may be in a set, whatever its size. The model has 2^16 numbers (256 KB) a language; it is collected by the driver
+and sent whole, which is what limits the number of languages (`most_languages`, unset, can keep the largest only).
 
 Defined cases: NULL text and text without a letter get `und`, score 0 and an empty set; a NULL id is in the learning
 part's complement only if CRC32 of the empty text says so; without any labelled row every prediction is `und`.
@@ -77,9 +77,10 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return text_batches(rows).mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(counts: DataFrame, most_languages: int = 512, smooth: float = 0.1) -> tuple[list[str], np.ndarray]:
+def fit(counts: DataFrame, most_languages: int | None = None, smooth: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities [gram, language]; the collected table has at most 2^16 rows a language."""
-    named = counts.where("gram = -1").orderBy(F.col("n").desc(), "lang").limit(most_languages).select("lang")
+    named = counts.where("gram = -1").orderBy(F.col("n").desc(), "lang")
+    named = (named if most_languages is None else named.limit(most_languages)).select("lang")
     table = counts.where("gram >= 0").join(F.broadcast(named), "lang").toArrow()
     languages = sorted(r["lang"] for r in named.collect())
     n = np.zeros((GRAMS, len(languages)), np.float64)
@@ -108,9 +109,12 @@ def _estimated(like: np.ndarray, row: np.ndarray, size: np.ndarray, allowed: np.
     return share, _by_row(np.log(np.maximum((like * share[row]).sum(axis=1), 1e-300)), start, n, rows)
 
 
-def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int, steps: int = 8, penalty: float = 1.0) -> np.ndarray:
+def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int | None = None, steps: int = 8, penalty: float = 1.0) -> np.ndarray:
     """Proportions [row, language] of the best language set of each row; rows without words are zero.
 
+    Sets grow by the next most present language as long as one that still has a share could pay for itself: the
+    mixture of all bounds what is left to gain. `most` limits the size of sets, by default nothing does.
+
     Sets of more than one language are only tried where the mixture of all gains over the best single language at
     least half of what a second language costs: no subset fits better than all.
     """
@@ -118,6 +122,7 @@ def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int, steps: int
     size = np.bincount(row, minlength=n).astype(np.float64)
     like = np.exp(word_ll - word_ll.max(axis=1, keepdims=True)) if k else word_ll
     share, full = _estimated(like, row, size, np.ones((n, k)), steps)
+    present = (share > 0).sum(axis=1)
     order = np.argsort(-share, axis=1, kind="stable")
     price = penalty * np.log(np.maximum(size, 2))
     best = np.zeros((n, k))
@@ -126,21 +131,27 @@ def mixture(word_ll: np.ndarray, row: np.ndarray, n: int, most: int, steps: int
     _, found = _estimated(like, row, size, best, 0)
     open_rows = np.flatnonzero(full - found > price / 2)
     if len(open_rows):
-        words_of = np.flatnonzero(np.isin(row, open_rows))
-        part, part_row = like[words_of], np.searchsorted(open_rows, row[words_of])
         value_of = found[open_rows] - price[open_rows]
-        for m in range(2, min(most, k) + 1):
-            allowed = np.zeros((len(open_rows), k))
-            np.put_along_axis(allowed, order[open_rows, :m], 1.0, axis=1)
-            share, value = _estimated(part, part_row, size[open_rows], allowed, steps)
-            value -= m * price[open_rows]
-            better = value > value_of
-            best[open_rows[better]], value_of[better] = share[better], value[better]
+        active = np.arange(len(open_rows))
+        for m in range(2, min(most or k, k) + 1):
+            # A set of m languages reaches at most the likelihood of all (with the same slack as above) less m prices.
+            at = open_rows[active]
+            active = active[(present[at] >= m) & (full[at] - (m - 0.5) * price[at] > value_of[active])]
+            if not len(active):
+                break
+            at = open_rows[active]
+            words_of = np.flatnonzero(np.isin(row, at))
+            allowed = np.zeros((len(at), k))
+            np.put_along_axis(allowed, order[at, :m], 1.0, axis=1)
+            share, value = _estimated(like[words_of], np.searchsorted(at, row[words_of]), size[at], allowed, steps)
+            value -= m * price[at]
+            better = value > value_of[active]
+            best[at[better]], value_of[active[better]] = share[better], value[better]
     best[size == 0] = 0
     return best
 
 
-def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: str = "doc_id", text: str = "text", folds: int = 5, most: int = 3, carry: bool = False) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: str = "doc_id", text: str = "text", folds: int = 5, most: int | None = None, carry: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages, proportions) for every row; with `carry` the row itself as struct `row`."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), (fold_of(doc_id, folds) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
     if carry:
@@ -152,7 +163,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
         table = model.value
         for whole in stream:
             whole = whole.append_column("text", whole.column("row").field(text).cast(pa.string())) if carry else whole
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", min(1 << 20, (1 << 25) // max(len(languages), 1))):
                 data, offsets = text_buffer(batch.column("text"))
                 n = batch.num_rows
                 code, first, row = grams(data, offsets)
@@ -174,8 +185,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
     return text_batches(rows).mapInArrow(score, (kept if carry else "") + PREDICTIONS)
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int = 512, carry: bool = False) -> DataFrame:
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int | None = None, carry: bool = False, most: int | None = None) -> DataFrame:
     """Learn from the labelled rows outside fold 0 and predict every row."""
     learning = docs.where(F.col(lang).isNotNull() & (fold_of(doc_id, folds) != 0))
     languages, table = fit(gram_counts(learning, text, lang), most_languages)
-    return predict(docs, languages, table, doc_id, text, folds, carry=carry)
+    return predict(docs, languages, table, doc_id, text, folds, most, carry)
