@@ -6,7 +6,7 @@ from tools.check_oracle import compare
 
 import pytest
 
-NAMES = ["op1_curve_packing", "op2_ngram_jaccard", "op3_substring_dedup", "op4_exact_dedup", "op5_quality_classifier", "op6_perplexity_rules", "op7_language_id", "op8_toxicity", "op9_mixing", "op10_warc", "pipeline"]
+NAMES = ["op1_curve_packing", "op2_ngram_jaccard", "op3_substring_dedup", "op4_exact_dedup", "op5_quality_classifier", "op6_perplexity_rules", "op7_language_id", "op8_toxicity", "op9_mixing", "op10_warc", "op11_chat_format", "op12_hard_negatives", "op13_fill_in_middle", "pipeline"]
 
 
 def test_all_are_registered():
