@@ -123,45 +123,59 @@ def _replayed(frame: DataFrame, keys: list[str], place: str, tables: str, start:
 
 
 def start_states(parts: DataFrame, states: int) -> DataFrame:
-    """(conv_id, own, part, start) from the parts' tables: composed in groups, then over a conversation's groups."""
+    """(conv_id, part, start) from the parts' tables: composed in groups, then over a conversation's groups."""
     listed = lambda place: F.sort_array(F.collect_list(F.struct(place, "ends"))).alias("tables")
-    groups = materialize(parts.groupBy("conv_id", "own", F.floor(F.col("part") / GROUP).alias("bunch")).agg(listed("part")))
-    whole = groups.withColumn("ends", _composed(F.col("tables"), states)).groupBy("conv_id", "own").agg(listed("bunch"))
-    first = _replayed(whole, ["conv_id", "own"], "bunch", "tables", F.lit(0)).withColumnRenamed("start", "entry")
-    inner = groups.alias("g").join(first.alias("f"), F.expr("g.conv_id <=> f.conv_id AND g.own <=> f.own AND g.bunch <=> f.bunch")).select("g.*", "f.entry")
-    return _replayed(inner, ["conv_id", "own"], "part", "tables", F.col("entry"))
+    groups = materialize(parts.groupBy("conv_id", F.floor(F.col("part") / GROUP).alias("bunch")).agg(listed("part")))
+    whole = groups.withColumn("ends", _composed(F.col("tables"), states)).groupBy("conv_id").agg(listed("bunch"))
+    entries = _replayed(whole, ["conv_id"], "bunch", "tables", F.lit(0)).withColumnRenamed("start", "entry")
+    return _replayed(groups.join(entries, ["conv_id", "bunch"]), ["conv_id"], "part", "tables", F.col("entry"))
 
 
-def formatted(turns: DataFrame, template: Template = Template(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Every conversation as parts in order: (conv_id, own, part, n_turns, segments, text, bad_turns, complete).
+def _run(turns: str, start: Column, template: Template) -> Column:
+    """(state, bad): where the machine ends from a start state, and how many turns led to or found it in error."""
+    error = template.states.index(ERROR)
 
-    `own` tells rows without id apart. The texts of a conversation's parts, one after the other, are its output;
-    `bad_turns` counts the part's turns from the first that the order does not allow, `complete` says whether
-    the machine is in an end state after the part.
-    """
-    number = F.col(turn).cast("bigint")
-    named = turns.select(
-        F.col(conv_id).cast("bigint").alias("conv_id"), F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("own"), F.coalesce(F.floor(number / PART), F.lit(-(1 << 60))).alias("part"),
-        F.struct(number.alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("said"))
-    names = template.states
-    parts = named.groupBy("conv_id", "own", "part").agg(F.sort_array(F.collect_list("said")).alias("turns"))
-    tables = F.array(*[F.aggregate("turns", F.lit(s), lambda at, t: following(at, t["role"], template)) for s in range(len(names))])
-    parts = materialize(parts.withColumn("ends", tables))
-    known = start_states(parts.select("conv_id", "own", "part", "ends"), len(names))
-    first = parts.groupBy("conv_id", "own").agg(F.min("part").alias("first"))
-    known = known.alias("k").join(first.alias("f"), F.expr("k.conv_id <=> f.conv_id AND k.own <=> f.own")).select("k.*", (F.col("part") == F.col("first")).alias("opens"))
-    found = parts.alias("p").join(known.alias("k"), F.expr("p.conv_id <=> k.conv_id AND p.own <=> k.own AND p.part = k.part")).select("p.*", "k.start", "k.opens")
-
-    error = names.index(ERROR)
     def step(at, t):
         to = following(at["state"], t["role"], template)
         return F.struct(to.alias("state"), (at["bad"] + (to == error).cast("int")).alias("bad"))
 
-    run = F.aggregate("turns", F.struct(F.col("start").alias("state"), F.lit(0).alias("bad")), step)
-    body = F.flatten(F.transform("turns", lambda t: segments(t, template)))
-    opening = F.when(F.col("opens"), F.array(F.struct(F.lit(template.begin).alias("text"), F.lit(False).alias("loss")))).otherwise(F.slice(body, 1, 0))
-    out = found.select("conv_id", "own", "part", F.size("turns").cast("bigint").alias("n_turns"), F.concat(opening, body).alias("segments"), run.alias("run"))
-    return out.select("conv_id", "own", "part", "n_turns", "segments", F.array_join("segments.text", "").alias("text"), F.col("run.bad").cast("bigint").alias("bad_turns"), F.col("run.state").isin([names.index(e) for e in template.ends]).alias("complete"))
+    return F.aggregate(turns, F.struct(start.alias("state"), F.lit(0).alias("bad")), step)
+
+
+def judged(roles: DataFrame, template: Template) -> DataFrame:
+    """(conv_id, part, parts, opens, bad_turns, complete) of each part, from (conv_id, part, role struct) rows; no text is read."""
+    states = range(len(template.states))
+    runs = materialize(roles.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("turns")).select("conv_id", "part", F.array(*[_run("turns", F.lit(s), template) for s in states]).alias("runs")))
+    starts = start_states(runs.select("conv_id", "part", F.col("runs.state").alias("ends")), len(states))
+    extent = runs.groupBy("conv_id").agg(F.min("part").alias("first"), F.count("*").alias("parts"))
+    run = F.element_at("runs", F.col("start") + 1)
+    return runs.join(starts, ["conv_id", "part"]).join(extent, "conv_id").select(
+        "conv_id", "part", "parts", (F.col("part") == F.col("first")).alias("opens"), run["bad"].cast("bigint").alias("bad_turns"), run["state"].isin([template.states.index(e) for e in template.ends]).alias("complete"))
+
+
+def formatted(turns: DataFrame, template: Template = Template(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Every conversation as parts in order: (conv_id, part, parts, n_turns, segments, text, bad_turns, complete).
+
+    The texts of a conversation's `parts` parts, one after the other, are its output; a row without id is a
+    conversation of one part. `bad_turns` counts the part's turns from the first that the order does not allow,
+    `complete` says whether the machine is in an end state after the part. The texts are shuffled once; what the
+    machine needs is joined to them.
+    """
+    number = F.col(turn).cast("bigint")
+    named = turns.select(
+        F.col(conv_id).cast("bigint").alias("conv_id"), F.coalesce(F.floor(number / PART), F.lit(-(1 << 60))).alias("part"), number.alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    known, alone = named.where("conv_id IS NOT NULL"), named.where("conv_id IS NULL")
+    flags = judged(known.select("conv_id", "part", F.struct("turn", "role").alias("said")), template)
+    body = F.struct("turn", "role", "text").alias("said")
+    parts = known.select("conv_id", "part", body).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("turns")).join(flags, ["conv_id", "part"])
+    run = _run("turns", F.lit(0), template)
+    single = alone.select("conv_id", "part", F.array(body).alias("turns"), F.lit(1).cast("bigint").alias("parts"), F.lit(True).alias("opens")).withColumn("bad_turns", run["bad"].cast("bigint"))
+    single = single.withColumn("complete", run["state"].isin([template.states.index(e) for e in template.ends]))
+    made = F.flatten(F.transform("turns", lambda t: segments(t, template)))
+    opening = F.when(F.col("opens"), F.array(F.struct(F.lit(template.begin).alias("text"), F.lit(False).alias("loss")))).otherwise(F.slice(made, 1, 0))
+    out = parts.unionByName(single).select("conv_id", "part", "parts", F.size("turns").cast("bigint").alias("n_turns"), F.concat(opening, made).alias("segments"), "bad_turns", "complete")
+    return out.select("conv_id", "part", "parts", "n_turns", "segments", F.array_join("segments.text", "").alias("text"), "bad_turns", "complete")
 
 
 def turns_of(output: Column, template: Template = Template()) -> Column:
@@ -188,10 +202,13 @@ def loss_text(parts: Column, template: Template = Template()) -> Column:
 
 
 def digests(output: DataFrame, template: Template = Template()) -> DataFrame:
-    """A row per conversation, read back from the formatted parts."""
-    said = F.array_join(F.transform(turns_of(F.col("text"), template), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    parts = output.select("conv_id", "own", "part", F.size(turns_of(F.col("text"), template)).cast("bigint").alias("n"), F.length("text").cast("bigint").alias("chars"), "bad_turns", "complete", said.alias("said"), loss_text(F.col("segments"), template).alias("loss"))
-    whole = parts.groupBy("conv_id", "own").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sum("bad_turns").alias("bad_turns"), F.max_by("complete", "part").alias("complete"), F.sort_array(F.collect_list(F.struct("part", "said", "loss"))).alias("parts"))
-    joined = whole.withColumn("said", F.array_join("parts.said", "")).withColumn("loss", F.array_join("parts.loss", ""))
-    return joined.select("conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-                         "formatted_chars", ((F.col("bad_turns") == 0) & F.col("complete")).alias("valid"))
+    """A row per conversation, read back from the formatted parts; only conversations of several parts are shuffled."""
+    back = output.select("conv_id", "part", "parts", turns_of(F.col("text"), template).alias("back"), F.length("text").cast("bigint").alias("formatted_chars"), (F.col("bad_turns") == 0).alias("good"), "complete", loss_text(F.col("segments"), template).alias("loss"))
+    said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = back.select("conv_id", "part", "parts", F.size("back").cast("bigint").alias("n_turns"), "formatted_chars", "good", "complete", said.alias("said"), "loss")
+    names = ["conv_id", "n_turns", "said", "loss", "formatted_chars", (F.col("good") & F.col("complete")).alias("valid")]
+    several = read.where("parts > 1").groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"), F.bool_and("good").alias("good"), F.max_by("complete", "part").alias("complete"), F.sort_array(F.collect_list(F.struct("part", "said", "loss"))).alias("all"))
+    several = several.withColumn("said", F.array_join("all.said", "")).withColumn("loss", F.array_join("all.loss", "")).select(*names)
+    return read.where("parts = 1").select(*names).unionByName(several).select(
+        "conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid")
