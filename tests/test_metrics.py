@@ -99,6 +99,33 @@ def test_bootstrap_matches_direct_resampling(spark, rows):
     assert got["excess_cagr"] == pytest.approx(np.prod(1 + rs) ** e - np.prod(1 + rb) ** e, rel=1e-9)
 
 
-def test_deflated_probability_of_known_score(spark):
-    df = spark.createDataFrame([(ev.Z95,), (0.0,)], "z double")
-    assert [round(r[0], 6) for r in df.select(ev.normal_cdf(F.col("z"))).collect()] == [0.95, 0.5]
+def test_normal_probability_and_quantile(spark):
+    from statistics import NormalDist
+
+    import duckdb
+
+    from tidemark.functions import normal
+
+    n = NormalDist()
+    zs = [ev.Z95, 0.0, -3.2, 5.5, -8.0, 40.0, -40.0, 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal.probability(F.col("z"))).collect()]
+    assert max(abs(g - n.cdf(z)) for g, z in zip(got, zs)) < 4e-9
+    assert spark.createDataFrame([(None,), (float("nan"),)], "z double").select(normal.probability(F.col("z")).alias("p")).where("p IS NOT NULL").count() == 0
+    duck = [duckdb.sql(f"SELECT {normal.probability_sql(f'{z!r}::DOUBLE')}").fetchone()[0] for z in zs]
+    assert got == pytest.approx(duck, abs=1e-12)
+    ps = [0.5, 0.975, 0.02, 1 - 1 / 464, 1 - 1e-9, 1e-4]
+    found = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(normal.quantile(F.col("p"))).collect()]
+    assert max(abs(n.cdf(z) - p) for z, p in zip(found, ps)) < 5e-9
+    text = duckdb.sql(f"WITH RECURSIVE src AS (SELECT 0.998::DOUBLE AS p0), {normal.quantile_sql('q', 'src', 'p0')} SELECT z FROM q").fetchone()[0]
+    assert text == pytest.approx(n.inv_cdf(0.998), abs=1e-6)
+
+
+def test_more_trials_raise_the_hurdle(spark):
+    from tidemark.plans.experiments import expected_maximum
+
+    rows = [expected_maximum(spark.range(n)).first() for n in (1, 2, 25, 464)]
+    assert [r["n_trials"] for r in rows] == [1, 2, 25, 464] and rows[0]["maximum"] == 0
+    assert [r["maximum"] for r in rows[1:]] == pytest.approx([ev.expected_maximum(n) for n in (2, 25, 464)], abs=1e-6)
+    df = spark.createDataFrame([(float(i % 7) - 2.5,) for i in range(300)], "x double").withColumn("k", F.lit(1))
+    z = [ev.deflated_sharpe(df, "x", ["k"], expected_maximum(spark.range(n)).select("maximum").scalar()).first()["dsr_z"] for n in (25, 26)]
+    assert z[1] < z[0] == pytest.approx(ev.deflated_sharpe(df, "x", ["k"], 25).first()["dsr_z"], abs=1e-6)

@@ -41,8 +41,8 @@ def brier_row(scored: DataFrame, p: str, y: str, keys: tuple[str, ...] = ()) ->
 def deflated_sharpe(df: DataFrame, excess: str, keys: list[str], n_trials: int | Column) -> DataFrame:
     """Per group: t, period Sharpe, corrected skewness and kurtosis, and the deflated z-score.
 
-    Moments are mergeable sums, so groups of any size aggregate map-side first. `n_trials` is a
-    driver number; its two normal quantiles are constants of the plan.
+    Moments are mergeable sums, so groups of any size aggregate map-side first. `n_trials` is a number, or the
+    expected maximum of as many scores as a trial log holds, as a column.
     """
     x = F.col(excess)
     m = df.filter(x.isNotNull()).groupBy(*keys).agg(
@@ -54,7 +54,7 @@ def deflated_sharpe(df: DataFrame, excess: str, keys: list[str], n_trials: int |
     m = m.withColumn("skew", F.coalesce(F.when(n >= 3, skew), F.lit(0.0))).withColumn("kurt", F.coalesce(F.when(n >= 4, kurt), F.lit(3.0)))
     sr = F.col("sharpe")
     factor = F.greatest(1.0 - F.col("skew") * sr + (F.col("kurt") - 1.0) / 4.0 * sr * sr, F.lit(1e-12))
-    hurdle = F.sqrt(factor / (n - 1)) * expected_maximum(n_trials)
+    hurdle = F.sqrt(factor / (n - 1)) * (n_trials if isinstance(n_trials, Column) else F.lit(expected_maximum(n_trials)))
     z = (sr - hurdle) * F.sqrt(n - 1) / F.sqrt(factor)
     return m.withColumn("dsr_z", F.when(n >= 10, z)).drop("g1", "g2", "mean", "sd")
 
@@ -72,19 +72,6 @@ def expected_maximum(n_trials: int) -> float:
 Z95 = 1.6448536269514722
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal probability, batch-wise; the only expression here the JVM has no built-in for."""
-    import pandas as pd
-
-    def cdf(s):
-        from math import erf, isnan, sqrt
-
-        return s.map(lambda v: None if v is None or isnan(v) else 0.5 * (1.0 + erf(v / sqrt(2.0))))
-
-    cdf.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(cdf, "double")(z)
-
-
 def t_statistic(x: Column) -> dict[str, Column]:
     """Mean, t and n of a sample as aggregates; NULL below three rows, t NULL for zero spread."""
     n = F.count(x)

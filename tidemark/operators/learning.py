@@ -185,263 +185,6 @@ def relabel_by_volatility(states: DataFrame, state: str, vol: str) -> DataFrame:
     return means.withColumn("ordered", F.row_number().over(W.orderBy(F.col("mean_vol").asc_nulls_last(), state)) - 1)
 
 
-class Matrix:
-    """Feature rows written once with their running rank among usable rows; folds are filters on it.
-
-    `rows(d, pos, usable, label_no, features...)`. Only fold parameters (one number per feature) reach the driver;
-    rows stay distributed.
-    """
-
-    def __init__(self, rows: DataFrame, features: list[str], folds: DataFrame, cal_len: int, min_rows: int):
-        from tidemark.session import materialize
-
-        ok = F.coalesce(F.col("usable"), F.lit(False)) & F.col("label_no").isNotNull()
-        ranked = rows.withColumn("ok", ok).withColumn("rank", F.sum(ok.cast("int")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
-        self.features, self.rows = features, materialize(ranked)
-        self.folds = fold_list(train_counts(self.rows.select("pos", "ok"), folds, cal_len, min_rows).where("usable = 1"))
-
-    def ranks(self, low: int, high: int) -> DataFrame:
-        return self.rows.where(F.col("ok") & (F.col("rank") > low) & (F.col("rank") <= high))
-
-    def segment(self, fold: dict) -> DataFrame:
-        return self.rows.where((F.col("pos") >= fold["start_pos"]) & (F.col("pos") < fold["stop_pos"]))
-
-    def scaler(self, part: DataFrame) -> dict:
-        """Medians, and mean and deviation after filling with them; a feature without any value has 0, 0 and 1."""
-        row = part.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"m_{f}") for f in self.features]).first()
-        median = {f: float(row[f"m_{f}"]) for f in self.features}
-        filled = part.select(*[F.coalesce(F.col(f), F.lit(median[f])).alias(f) for f in self.features])
-        row = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in self.features], *[F.stddev_pop(f).alias(f"s_{f}") for f in self.features]).first()
-        scale = {f: float(row[f"s_{f}"] or 0.0) for f in self.features}
-        return {"median": median, "mean": {f: float(row[f"a_{f}"] or 0.0) for f in self.features}, "scale": {f: s if abs(s) > 1e-12 else 1.0 for f, s in scale.items()}}
-
-    def vectors(self, part: DataFrame, sc: dict) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        scaled = part.select("d", "pos", F.col("label_no").cast("double").alias("label_no"),
-                             *[((F.coalesce(F.col(f).cast("double"), F.lit(sc["median"][f])) - sc["mean"][f]) / sc["scale"][f]).alias(f) for f in self.features])
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled).select("d", "pos", "label_no", "features")
-
-
-def fit_logistic(train: DataFrame, c: float, n: int):
-    """Multinomial L2 logistic regression; C scales the summed loss, Spark's penalty the mean loss."""
-    from pyspark.ml.classification import LogisticRegression
-
-    return LogisticRegression(labelCol="label_no", family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n), maxIter=100).fit(train)
-
-
-# Penalty grid and boosting grid (depth, rounds).
-C_GRID = (0.1, 1.0, 10.0)
-GBT_GRID = ((2, 20), (3, 30))
-
-
-def later_slice(n_dev: int) -> int | None:
-    """Rank where the later eighth (at least 80 rows) of the development rows starts; None where they are too few to search."""
-    return n_dev - max(80, n_dev // 8) if n_dev > 200 else None
-
-
-def searches(folds: list[dict]) -> list[int]:
-    """Numbers of the folds that search their configuration: the first, and those that start in January."""
-    return [i for i, f in enumerate(folds) if i == 0 or f["fold_start"].month == 1]
-
-
-def side_by_side(work, items: list, threads: int = 8) -> list:
-    """Small independent Spark jobs of one driver, a few at a time; results in the items' order."""
-    from multiprocessing.pool import ThreadPool
-
-    if not items:
-        return []
-    with ThreadPool(min(threads, len(items))) as pool:
-        return pool.map(work, items, chunksize=1)
-
-
-def choose(matrix: Matrix, fit, grid, default) -> tuple[list, list[dict]]:
-    """The configuration of each fold, and the trials: every searching fold scores the whole grid on its later slice.
-
-    `fit(train, configuration, rows)` gives a function that adds `p_true`, the probability of the row's class.
-    """
-    def search(i: int) -> list[dict]:
-        fold = matrix.folds[i]
-        cut = later_slice(fold["n_dev"])
-        if cut is None:
-            return []
-        inner = matrix.ranks(0, cut)
-        sc = matrix.scaler(inner)
-        train, later = matrix.vectors(inner, sc), matrix.vectors(matrix.ranks(cut, fold["n_dev"]), sc)
-        out = []
-        for configuration in grid:
-            row = fit(train, configuration, cut)(later).agg(F.avg(-F.ln(F.greatest(F.coalesce("p_true", F.lit(0.0)), F.lit(1e-15)))).alias("x")).first()
-            out.append({"fold": i, "fold_start": fold["fold_start"], "configuration": configuration, "loss": float("inf") if row["x"] is None else float(row["x"])})
-        return out
-
-    trials = [t for found in side_by_side(search, searches(matrix.folds)) for t in found]
-    chosen, now = [], default
-    for i in range(len(matrix.folds)):
-        mine = [t for t in trials if t["fold"] == i]
-        now = min(mine, key=lambda t: t["loss"])["configuration"] if mine else now
-        chosen.append(now)
-    return chosen, trials
-
-
-def sigmoid_calibrators(scored_cal: DataFrame, k: int, min_rows: int = 30) -> list | None:
-    """One sigmoid per class on held-out margins: (class, slope, intercept); None when the slice is too small.
-
-    A class that never (or always) occurs in the slice has no sigmoid and keeps probability 0.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    counts = {int(r["label_no"]): r["n"] for r in scored_cal.groupBy("label_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(counts.values()) < min_rows or len(counts) < 2:
-        return None
-    margins = scored_cal.select("label_no", vector_to_array("rawPrediction").alias("m")).persist()
-    out = []
-    for cls in sorted(counts):
-        if cls >= k:
-            continue
-        pair = margins.select(F.when(F.col("label_no") == cls, 1.0).otherwise(0.0).alias("label_no"), F.get("m", F.lit(cls)).alias("x"))
-        fit = LogisticRegression(labelCol="label_no", maxIter=100).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(pair))
-        out.append((cls, float(fit.coefficients[0]), float(fit.intercept)))
-    margins.unpersist()
-    return out
-
-
-def calibrated(scored: DataFrame, sigmoids: list | None, k: int) -> DataFrame:
-    """Adds `p`: calibrated class probabilities aligned to k classes and renormalized."""
-    from pyspark.ml.functions import vector_to_array
-
-    from tidemark.functions.weights import renormalized
-
-    if sigmoids is None:
-        raw = vector_to_array("probability")
-        p = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get(raw, i), F.lit(0.0)))
-    else:
-        m = vector_to_array("rawPrediction")
-        by_class = {cls: 1.0 / (1.0 + F.exp(-(slope * F.get(m, F.lit(cls)) + bias))) for cls, slope, bias in sigmoids}
-        p = F.array(*[by_class.get(i, F.lit(0.0)) for i in range(k)])
-    return scored.withColumn("p", renormalized(p))
-
-
-def fold_list(folds: DataFrame) -> list[dict]:
-    """Fold bounds on the driver: one row per year or month, whatever the data size."""
-    return [r.asDict() for r in folds.orderBy("start_pos").collect()]
-
-
-PROBABILITIES = "d date, pos int, fold_start date, n_train bigint, p array<double>"
-SNAPSHOTS = "fold_start date, c double, coef array<array<double>>, intercept array<double>, median array<double>, mean array<double>, scale array<double>"
-TRIALS = "family string, fold_start date, configuration string, loss double"
-
-
-def _classes(matrix: Matrix, fold: dict) -> list[int]:
-    return sorted(int(r[0]) for r in matrix.ranks(0, fold["n_dev"]).select("label_no").distinct().collect())
-
-
-def _joined(spark, parts: list[DataFrame], schema: str) -> DataFrame:
-    from tidemark.session import materialize
-
-    out = spark.createDataFrame([], schema)
-    for part in parts:
-        out = out.unionByName(part)
-    return materialize(out)
-
-
-def _rows(spark, scored: list, fold_of: list[dict], schema: str = PROBABILITIES) -> DataFrame:
-    parts = [s.select("d", F.col("pos").cast("int").alias("pos"), F.lit(f["fold_start"]).cast("date").alias("fold_start"), F.lit(f["n_train"]).cast("bigint").alias("n_train"), "p") for s, f in zip(scored, fold_of) if s is not None]
-    return _joined(spark, parts, schema)
-
-
-def _trial_table(spark, family: str, trials: list[dict]) -> DataFrame:
-    return spark.createDataFrame([(family, t["fold_start"], str(t["configuration"]), t["loss"]) for t in trials], TRIALS)
-
-
-def walk_forward_logistic(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, min_rows: int, calibrate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Out-of-sample (probabilities, model snapshots, trials) of multinomial logistic regressions, one model a fold.
-
-    A fold takes part if its purged prefix has enough usable rows, and at least two classes among the development
-    rows; without such a fold the tables are empty. Folds are fitted side by side from the written matrix.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    spark = rows.sparkSession
-    matrix = Matrix(rows, features, folds, cal_len, min_rows)
-
-    def trial(train: DataFrame, c: float, n: int):
-        model = fit_logistic(train, c, n)
-        return lambda df: model.transform(df).withColumn("p_true", F.get(vector_to_array("probability"), F.col("label_no").cast("int")))
-
-    chosen, trials = choose(matrix, trial, C_GRID, 1.0)
-
-    def one(i: int):
-        fold, c = matrix.folds[i], chosen[i]
-        if len(_classes(matrix, fold)) < 2:
-            return None, None
-        dev = matrix.ranks(0, fold["n_dev"])
-        sc = matrix.scaler(dev)
-        model = fit_logistic(matrix.vectors(dev, sc), c, fold["n_dev"])
-        sigmoids = sigmoid_calibrators(model.transform(matrix.vectors(matrix.ranks(fold["n_dev"], fold["n_train"]), sc)), k) if calibrate else None
-        scored = calibrated(model.transform(matrix.vectors(matrix.segment(fold), sc)), sigmoids, k)
-        coef = [[float(x) for x in r] for r in model.coefficientMatrix.toArray()]
-        return scored, (fold["fold_start"], c, coef, [float(x) for x in model.interceptVector], *([sc[name][f] for f in features] for name in ("median", "mean", "scale")))
-
-    done = side_by_side(one, list(range(len(matrix.folds))))
-    snapshots = spark.createDataFrame([snap for _, snap in done if snap], SNAPSHOTS)
-    return _rows(spark, [s for s, _ in done], matrix.folds), snapshots, _trial_table(spark, "logistic", trials)
-
-
-def _boosted(train: DataFrame, depth: int, rounds: int, classes: list[int], k: int):
-    """One boosted model a class against the rest; adds rawPrediction (margins) and probability (shares) over k classes."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    models = []
-    for cls in classes:
-        one = train.withColumn("is_class", F.when(F.col("label_no") == cls, 1.0).otherwise(0.0))
-        fitted = GBTClassifier(labelCol="is_class", maxDepth=depth, maxIter=rounds, stepSize=0.08, minInstancesPerNode=30, seed=0).fit(one)
-        models.append(fitted.setProbabilityCol(f"pr_{cls}").setRawPredictionCol(f"raw_{cls}").setPredictionCol(f"pred_{cls}"))
-
-    def apply(df: DataFrame) -> DataFrame:
-        for model in models:
-            df = model.transform(df)
-        pick = lambda name: F.array(*[F.get(vector_to_array(f"{name}_{c}"), F.lit(1)) if c in classes else F.lit(0.0) for c in range(k)])
-        return df.withColumn("rawPrediction", array_to_vector(pick("raw"))).withColumn("probability", array_to_vector(pick("pr")))
-
-    return apply
-
-
-def walk_forward_boosting(rows: DataFrame, folds: DataFrame, features: list[str], k: int, cal_len: int, min_rows: int, grid=GBT_GRID) -> tuple[DataFrame, DataFrame]:
-    """Out-of-sample (probabilities, trials) of boosted one-against-rest trees; margins are calibrated on the held-out slice."""
-    from pyspark.ml.functions import vector_to_array
-
-    from tidemark.functions.weights import renormalized
-
-    spark = rows.sparkSession
-    matrix = Matrix(rows, features, folds, cal_len, min_rows)
-
-    def trial(train: DataFrame, configuration: tuple[int, int], n: int):
-        classes = sorted(int(r[0]) for r in train.select("label_no").distinct().collect())
-        apply = _boosted(train.persist(), *configuration, classes, k)
-        return lambda df: apply(df).withColumn("p_true", F.get(renormalized(vector_to_array("probability")), F.col("label_no").cast("int")))
-
-    chosen, trials = choose(matrix, trial, grid, grid[0])
-
-    def one(i: int):
-        fold = matrix.folds[i]
-        classes = _classes(matrix, fold)
-        if len(classes) < 2:
-            return None
-        dev = matrix.ranks(0, fold["n_dev"])
-        sc = matrix.scaler(dev)
-        train = matrix.vectors(dev, sc).coalesce(1).persist()
-        apply = _boosted(train, *chosen[i], classes, k)
-        sigmoids = sigmoid_calibrators(apply(matrix.vectors(matrix.ranks(fold["n_dev"], fold["n_train"]), sc)), k)
-        scored = calibrated(apply(matrix.vectors(matrix.segment(fold), sc)), sigmoids, k)
-        train.unpersist()
-        return scored
-
-    return _rows(spark, side_by_side(one, list(range(len(matrix.folds)))), matrix.folds), _trial_table(spark, "boosting", trials)
-
-
 def walk_forward_mixture(rows: DataFrame, columns: list[str], vol: str, k: int = 3, min_rows: int = 400, seed: int = 0) -> DataFrame:
     """(d, pos, state): Gaussian-mixture regimes refit each January on prior years, ordered by training volatility."""
     from pyspark.ml.clustering import GaussianMixture

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import weights as fw
 from tidemark.functions.columns import big, change, r6
-from tidemark.operators import asof, frames, learning as lr, windows as op
+from tidemark.operators import asof, frames, learning as lr, walkforward, windows as op
+from tidemark.plans import experiments
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.features import FRAME_CTES, FRAME_SQL, daily_features
-from tidemark.plans.joins import BLOCKS, sessions
+from tidemark.plans.joins import sessions
 from tidemark.plans.portfolio import RULES_SQL, SIGNALS, regimes, rule_targets, signals
 from tidemark.plans.windows import LABELS, WIN
 from tidemark.session import materialize
@@ -235,36 +236,12 @@ def relabel_by_vol(spark, sf_dir):
     return lr.relabel_by_volatility(states, "raw", "rv63").select(big(F.col("raw")).alias("raw"), r6(F.col("mean_vol")).alias("mean_vol"), big(F.col("ordered")).alias("ordered"))
 
 
-def _trials_sql() -> str:
-    parts = []
-    for i, (cadence, h, lag) in enumerate(BLOCKS):
-        cal_ses, unit, rows = ("ses", "month", 504) if cadence == "daily" else ("mses", "year", 36)
-        searched = "TRUE" if cadence == "monthly" else f"month(fold_start) = 1 OR start_pos = min(start_pos) OVER ()"
-        folds = f"""SELECT count(*) AS n FROM (SELECT *, {searched} AS s FROM (SELECT f.*, s.d AS t FROM (SELECT min(d) AS fold_start, min(pos) AS start_pos, min(pos) - 2 * ({h} + {lag}) - 1 AS s_max FROM {cal_ses} GROUP BY date_trunc('{unit}', d)) f
-            JOIN {cal_ses} s ON s.pos = f.s_max WHERE f.s_max >= {rows} AND s.d - (SELECT min(d) FROM {cal_ses}) >= {SPAN})) WHERE s"""
-        boosted = 0 if (cadence, h) == ("daily", 63) else 2
-        parts += [f"SELECT {i}::BIGINT AS block, 'logistic' AS family, (3 * n)::BIGINT AS trials FROM ({folds})", f"SELECT {i}, 'boosting', ({boosted} * n)::BIGINT FROM ({folds})",
-                  f"SELECT {i}, 'rule', 5 * (count(*) > 0)::INTEGER::BIGINT FROM {cal_ses}"]
-    return " UNION ALL ".join(parts)
-
-
-@query("trial_count", duck(_trials_sql(), "mses AS (SELECT date_trunc('month', d)::DATE AS d, row_number() OVER (ORDER BY date_trunc('month', d)) - 1 AS pos FROM (SELECT DISTINCT date_trunc('month', d) AS d FROM ses))"))
+@query("trial_count", duck("SELECT block::BIGINT AS block, family, trials::BIGINT AS trials FROM btrial", *experiments.TRIAL_CTES))
 def trial_count(spark, sf_dir):
-    """Trials each block logs: grid configurations per searched fold, plus the rules."""
-    ses = materialize(sessions(spark, sf_dir))
-    months = ses.select(F.trunc("d", "MM").alias("d")).distinct().select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"))
-    out = None
-    for i, (cadence, h, lag) in enumerate(BLOCKS):
-        daily = cadence == "daily"
-        folds = lr.fold_dimension(ses if daily else months, h, lag, "month" if daily else "year", 504 if daily else 36, SPAN)
-        first = F.min("start_pos").over(W.partitionBy())
-        searched = folds.withColumn("s", (F.month("fold_start") == 1) | (F.col("start_pos") == first)) if daily else folds.withColumn("s", F.lit(True))
-        n = F.count(F.when(F.col("s"), 1))
-        boosted = 0 if (cadence, h) == ("daily", 63) else len(lr.GBT_GRID)
-        row = searched.agg((len(lr.C_GRID) * n).alias("logistic"), (boosted * n).alias("boosting"), F.lit(len(RULE_ORDER)).cast("bigint").alias("rule"))
-        part = row.unpivot([], ["logistic", "boosting", "rule"], "family", "trials").select(F.lit(i).cast("bigint").alias("block"), "family", "trials")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """What the trial log holds, by block and family."""
+    logged = experiments.logged_trials(spark, sf_dir).groupBy("block", "family").agg(F.count(F.lit(1)).alias("trials"))
+    asked = experiments.specs(spark).select("block", F.explode(F.array(F.lit("logistic"), F.lit("boosting"), F.lit("rule"))).alias("family"))
+    return asked.join(logged, ["block", "family"], "left").select(big(F.col("block")).alias("block"), "family", F.coalesce("trials", F.lit(0)).cast("bigint").alias("trials"))
 
 
 REVEAL = ", ".join(f"CASE WHEN lead(px, {LAG}) {WIN} > 0 THEN lead(px, {LAG + n}) {WIN} / lead(px, {LAG}) {WIN} - 1 END AS h{n}" for n in (21, 63, 126, 252))
@@ -304,22 +281,6 @@ def latest_signal(spark, sf_dir):
         "d", big(F.col("pick")).alias("pick"), F.round(F.get("p", F.col("pick")), 4).alias("probability"), stance(F.col("pick")).alias("stance"), "regime", F.coalesce("n_drivers", F.lit(0)).cast("bigint").alias("n_drivers"))
 
 
-def model_rows(spark, sf_dir):
-    """Feature matrix beside the label: (d, pos, usable, label_no, features...)."""
-    panel = src.panel_table(spark, sf_dir)
-    features = list(frames.MODEL_FEATURES)
-    frame = daily_features(spark, sf_dir, panel).select("d", "pos", *[F.col(f).cast("double").alias(f) for f in features])
-    known = sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0))
-    labels = labelled(spark, sf_dir, src.densify(panel)).groupBy("d").agg(F.max("label_no").alias("label_no"))
-    rows = frame.withColumn("usable", known / len(features) > 0.6).join(labels, "d")
-    return materialize(rows), features
-
-
-def month_folds(rows):
-    """Monthly folds with at least 504 rows and five years before the purge."""
-    return materialize(lr.fold_dimension(rows.select("d", "pos"), H, LAG, "month", 504, SPAN))
-
-
 # What holds of any fitted model: which sessions a fold scores, on how many purged rows it was trained, and that
 # its probabilities are probabilities.
 KNOWN = " + ".join(f"({c} IS NOT NULL)::INTEGER" for c in frames.MODEL_FEATURES)
@@ -336,22 +297,23 @@ def wf_out(probabilities):
     return probabilities.select("d", "fold_start", "n_train", r6(whole).alias("p_sum"), inside.cast("bigint").alias("in_range"))
 
 
+def wf_rows(spark, sf_dir, family, calibrate):
+    return wf_out(walkforward.probabilities(experiments.models(spark, sf_dir, calibrate, blocks=[0], families=[family])))
+
+
 @query("wf_logistic", WF_SQL)
 def wf_logistic(spark, sf_dir):
-    rows, features = model_rows(spark, sf_dir)
-    return wf_out(lr.walk_forward_logistic(rows, month_folds(rows), features, 5, 252, 504, calibrate=False)[0])
+    return wf_rows(spark, sf_dir, "logistic", False)
 
 
 @query("wf_calibrated", WF_SQL)
 def wf_calibrated(spark, sf_dir):
-    rows, features = model_rows(spark, sf_dir)
-    return wf_out(lr.walk_forward_logistic(rows, month_folds(rows), features, 5, 252, 504, calibrate=True)[0])
+    return wf_rows(spark, sf_dir, "logistic", True)
 
 
 @query("wf_gbt", WF_SQL)
 def wf_gbt(spark, sf_dir):
-    rows, features = model_rows(spark, sf_dir)
-    return wf_out(lr.walk_forward_boosting(rows, month_folds(rows), features, 5, 252, 504)[0])
+    return wf_rows(spark, sf_dir, "boosting", True)
 
 
 @query("wf_gmm")

@@ -11,6 +11,7 @@ from tidemark.operators import bootstrap as bs
 from tidemark.operators import evaluation as ev
 from tidemark.operators import metrics
 from tidemark.operators import windows as op
+from tidemark.plans import experiments
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.portfolio import HELD_LIMITED, PATH_SQL, RULES_SQL, VERSUS, all_paths
 from tidemark.session import materialize
@@ -77,11 +78,10 @@ def fan_chart(spark, sf_dir):
 
 
 # Every rule under holding period and quota, and every entity, against two baselines, the safe entity and the core one.
-TRIALS = 25
 COMPARE = ("""vp AS (SELECT v.strategy || ' / ' || b.strategy AS k, v.strategy, b.strategy AS baseline, v.d, v.w AS a, b.w AS b FROM vs v JOIN vs b ON b.d = v.d
      WHERE b.strategy IN (SELECT 'hold ' || entity FROM ent WHERE ord IN (0, 2)) AND b.strategy <> v.strategy)""",
     """cpairs AS (SELECT k, strategy, baseline, d, row_number() OVER w - 1 AS pos, coalesce(a / lag(a) OVER w - 1, 0) AS rs, coalesce(b / lag(b) OVER w - 1, 0) AS rb FROM vp WINDOW w AS (PARTITION BY k ORDER BY d))""")
-DSR_SQL = f"""dsr AS (SELECT k, CASE WHEN t >= 10 THEN (sr - sqrt(factor / (t - 1)) * {ev.expected_maximum(TRIALS)!r}::DOUBLE) * sqrt(t - 1) / sqrt(factor) END AS z FROM (
+DSR_SQL = """dsr AS (SELECT k, CASE WHEN t >= 10 THEN (sr - sqrt(factor / (t - 1)) * (SELECT maximum FROM hurdle)) * sqrt(t - 1) / sqrt(factor) END AS z FROM (
    SELECT *, greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) AS factor FROM (
      SELECT k, count(*) AS t, avg(x) / stddev_samp(x) AS sr, skewness(x) AS skew, kurtosis(x) + 3 AS kurt FROM (SELECT k, rs - rb AS x FROM cpairs WHERE pos > 0) GROUP BY 1)))"""
 POINTS = lambda c: f"round({c} * 100, 2)::DECIMAL(18, 2)::VARCHAR"
@@ -90,7 +90,7 @@ BOARD = f"""board AS (SELECT *, strategy || ' against ' || baseline || ': excess
    SELECT p.strategy, p.baseline, b.excess_cagr AS raw, b.low AS raw_low, b.high AS raw_high, round(b.excess_cagr, 6) + 0.0 AS excess_cagr, round(b.low, 6) + 0.0 AS low, round(b.high, 6) + 0.0 AS high, round(z.z, 5) + 0.0 AS dsr_z,
    CASE WHEN b.excess_cagr > 0 AND b.low > 0 AND coalesce(z.z >= {ev.Z95}, false) THEN 'Beat' WHEN b.excess_cagr < 0 AND b.high < 0 THEN 'Underperformed' ELSE 'Inconclusive' END AS verdict,
    (b.excess_cagr < 0)::INTEGER::BIGINT AS below FROM (SELECT DISTINCT k, strategy, baseline FROM cpairs) p JOIN boot b ON b.k = p.k JOIN dsr z ON z.k = p.k))"""
-BOARD_SQL = (*RULES_SQL, PATH_SQL, HELD_LIMITED, VERSUS, *COMPARE, *boot_sql("cpairs"), DSR_SQL, BOARD)
+BOARD_SQL = (*RULES_SQL, PATH_SQL, HELD_LIMITED, VERSUS, *COMPARE, *boot_sql("cpairs"), *experiments.TRIAL_CTES, DSR_SQL, BOARD)
 
 
 def comparisons(spark, sf_dir, paths=None):
@@ -102,7 +102,8 @@ def comparisons(spark, sf_dir, paths=None):
     keys = ["strategy", "baseline"]
     pairs = materialize(pair_returns(joined, keys))
     boot = bs.excess_growth(pairs, keys, BLOCK, REPS)
-    dsr = ev.deflated_sharpe(pairs.filter("pos > 0").withColumn("x", F.col("rs") - F.col("rb")), "x", keys, TRIALS).select(*keys, "dsr_z")
+    maximum = experiments.expected_maximum(experiments.logged_trials(spark, sf_dir)).select("maximum").scalar()
+    dsr = ev.deflated_sharpe(pairs.filter("pos > 0").withColumn("x", F.col("rs") - F.col("rb")), "x", keys, maximum).select(*keys, "dsr_z")
     out = boot.join(dsr, keys)
     label = fc.verdict(F.col("excess_cagr"), F.col("low"), F.col("high"), F.col("dsr_z") >= ev.Z95)
     out = out.withColumn("verdict", label).withColumn("below", F.when(F.col("excess_cagr") < 0, 1).otherwise(0).cast("bigint"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions import weights as fw
+from tidemark.functions import normal, weights as fw
 from tidemark.functions.columns import big, change, r6
 from tidemark.operators import evaluation as ev, history, metrics, studies, windows as op
 from tidemark.operators.portfolio import hold_paths
+from tidemark.plans import experiments
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.joins import BINS, EVENT_ROWS, LEADERS, PRE, event_rows, leader_paths, risk_known
 from tidemark.plans.windows import LABELS, ROWS, WIN
@@ -280,25 +281,29 @@ def multiclass_brier(spark, sf_dir):
     return rows.groupBy("label").agg(r6(F.avg(fw.squared_error(fw.renormalized(F.col("raw")), F.col("pos")))).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
-N_TRIALS = 25
+DEFLATED = ("""ds AS (SELECT *, (sr - sqrt(factor / (t - 1)) * (SELECT maximum FROM hurdle)) * sqrt(t - 1) / sqrt(factor) AS z FROM (
+            SELECT *, greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) AS factor FROM (
+              SELECT entity, count(x) AS t, avg(x) / stddev_samp(x) AS sr, skewness(x) AS skew, kurtosis(x) + 3 AS kurt FROM ex WHERE ord > 0 AND x IS NOT NULL GROUP BY 1)))""",)
+
+
+def stamped(spark, sf_dir):
+    """Deflated scores under the hurdle of as many trials as the log of this data holds."""
+    maximum = experiments.expected_maximum(experiments.logged_trials(spark, sf_dir)).select("maximum").scalar()
+    return ev.deflated_sharpe(excess_rows(spark, sf_dir).filter("ord > 0"), "x", ["entity"], maximum)
 
 
 @query("deflated_sharpe", duck(
-    f"""SELECT entity, t::BIGINT AS t, {rd('sr')} AS sharpe, {rd('skew')} AS skew, {rd('kurt')} AS kurt, {rd('z', 5)} AS dsr_z, (z >= 1.6448536269514722)::INTEGER::BIGINT AS passes FROM (
-          SELECT *, (sr - sqrt(factor / (t - 1)) * {ev.expected_maximum(N_TRIALS)!r}::DOUBLE) * sqrt(t - 1) / sqrt(factor) AS z FROM (
-            SELECT *, greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) AS factor FROM (
-              SELECT entity, count(x) AS t, avg(x) / stddev_samp(x) AS sr, skewness(x) AS skew, kurtosis(x) + 3 AS kurt FROM ex WHERE ord > 0 AND x IS NOT NULL GROUP BY 1)))""", EXCESS))
+    f"""SELECT entity, t::BIGINT AS t, {rd('sr')} AS sharpe, {rd('skew')} AS skew, {rd('kurt')} AS kurt, {rd('z', 5)} AS dsr_z, (z >= 1.6448536269514722)::INTEGER::BIGINT AS passes FROM ds""", EXCESS, *experiments.TRIAL_CTES, *DEFLATED))
 def deflated_sharpe(spark, sf_dir):
-    out = ev.deflated_sharpe(excess_rows(spark, sf_dir).filter("ord > 0"), "x", ["entity"], N_TRIALS)
+    out = stamped(spark, sf_dir)
     return out.select("entity", "t", r6(F.col("sharpe")).alias("sharpe"), r6(F.col("skew")).alias("skew"), r6(F.col("kurt")).alias("kurt"),
                       F.round("dsr_z", 5).alias("dsr_z"), (F.col("dsr_z") >= ev.Z95).cast("int").cast("bigint").alias("passes"))
 
 
-@query("deflated_probability")
+@query("deflated_probability", duck(f"SELECT entity, {rd(normal.probability_sql('z'))} AS dsr FROM ds", EXCESS, *experiments.TRIAL_CTES, *DEFLATED))
 def deflated_probability(spark, sf_dir):
-    """The same score as a probability; the normal integral has no SQL form."""
-    out = ev.deflated_sharpe(excess_rows(spark, sf_dir).filter("ord > 0"), "x", ["entity"], N_TRIALS)
-    return out.select("entity", r6(ev.normal_cdf(F.col("dsr_z"))).alias("dsr"))
+    """The same score as a probability."""
+    return stamped(spark, sf_dir).select("entity", r6(normal.probability(F.col("dsr_z"))).alias("dsr"))
 
 
 GRAM_TARGET = "0.1 * a0 + 0.3 * a1 + 0.6 * a2"
