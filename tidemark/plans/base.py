@@ -66,12 +66,16 @@ fwdprob AS (
   SELECT last_day((month + INTERVAL 12 MONTH)::DATE) AS fwd_d, prob FROM (
     SELECT date_trunc('month', o_orderdate)::DATE AS month,
            round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0 END), 6) AS prob FROM orders GROUP BY 1)),
+evday AS (SELECT o_orderpriority AS pr, o_orderdate::DATE AS d, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS v FROM orders GROUP BY 1, 2),
+evz AS (
+  SELECT pr, d, CASE WHEN count(v) OVER k >= 40 AND stddev_samp(v) OVER k > 0 THEN (v - avg(v) OVER k) / stddev_samp(v) OVER k END AS z
+  FROM evday WINDOW k AS (PARTITION BY pr ORDER BY d ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
+evcross AS (SELECT pr, d FROM (SELECT *, lag(z) OVER (PARTITION BY pr ORDER BY d) AS earlier FROM evz) WHERE z >= 2 AND coalesce(earlier < 2, true)),
+evnext AS (SELECT a.pr, a.d, min(b.d) AS nxt FROM evcross a LEFT JOIN evcross b ON b.pr = a.pr AND b.d >= a.d + 10 GROUP BY 1, 2),
+evpick AS (SELECT pr, min(d) AS d FROM evcross GROUP BY pr UNION ALL SELECT n.pr, n.nxt FROM evpick p JOIN evnext n ON n.pr = p.pr AND n.d = p.d WHERE n.nxt IS NOT NULL),
 evcal AS (
-  SELECT o_orderkey AS event_id,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 'war' WHEN '2-HIGH' THEN 'financial_crisis' WHEN '3-MEDIUM' THEN 'rate_shock'
-              WHEN '4-NOT SPECIFIED' THEN 'pandemic' ELSE 'other' END AS category,
-         o_orderdate::DATE AS event_d
-  FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, date_trunc('month', o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) = 1),
+  SELECT date_diff('day', DATE '1970-01-01', d)::BIGINT * 5 + list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], pr) AS event_id,
+         CASE pr WHEN '1-URGENT' THEN 'war' WHEN '2-HIGH' THEN 'financial_crisis' WHEN '3-MEDIUM' THEN 'rate_shock' WHEN '4-NOT SPECIFIED' THEN 'pandemic' ELSE 'other' END AS category, d AS event_d FROM evpick),
 evloc AS (
   SELECT e.event_id, e.category, e.event_d, min(s.pos) AS loc FROM evcal e LEFT JOIN ses s ON s.d >= e.event_d GROUP BY ALL),
 req AS (SELECT user_id AS account, event_id AS req_id, ts, event_type AS target FROM events),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.events import crossings, rested
 from tidemark.session import materialize
 
 # Role letters by entity order; the first one is the safe asset.
@@ -191,16 +192,24 @@ CATEGORIES = {
 }
 
 
+# Earlier days a day's total is held against, least number of them, z-score that makes an event, days of rest.
+EVENT_RULE = {"rows": 63, "least": 40, "threshold": 2.0}
+EVENT_REST = 10
+
+
 def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, category, event_d): the largest order of each priority and month.
+    """(event_id, category, event_d): days on which a priority's orders rise far above their recent level.
 
-    The number of events follows the calendar. The largest is a mergeable maximum, so a priority holding a third of
-    all orders costs no more than the others.
+    Orders are summed by priority and day where they are read, in whole cents so that any order of adding gives the
+    same total; the rule runs on those daily rows.
     """
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
+    days = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("event_d")).agg(cents)
+    found = rested(crossings(days, "o_orderpriority", "event_d", "cents", **EVENT_RULE), "o_orderpriority", "event_d", EVENT_REST)
     names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    best = F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"), "o_orderdate")).alias("x")
-    largest = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate").groupBy("o_orderpriority", F.trunc("o_orderdate", "MM")).agg(best)
-    return largest.select((-F.col("x.k")).alias("event_id"), names[F.col("o_orderpriority")].alias("category"), F.to_date("x.o_orderdate").alias("event_d"))
+    place = F.array_position(F.array(*[F.lit(p) for p in CATEGORIES]), F.col("o_orderpriority"))
+    number = F.datediff("event_d", F.lit("1970-01-01").cast("date")).cast("bigint") * len(CATEGORIES) + place
+    return found.select(number.alias("event_id"), names[F.col("o_orderpriority")].alias("category"), "event_d")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
