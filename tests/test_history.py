@@ -1,6 +1,7 @@
 """Gap policies: break to NULL, hold flat, wealth from prices."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,33 @@ def test_expanding_rank_average_ties(spark, rows):
     df = spark.createDataFrame([("e", i, v) for i, v in enumerate([3.0, 1.0, 3.0, None, 2.0])], "entity string, pos int, v double")
     got = [r["pct"] for r in rows(op.expanding_rank(df, "v", "pos", ["entity"], 2), "pos")]
     assert got == [None, 0.5, 2.5 / 3, None, 0.5]
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 16, 40])
+def test_expanding_rank_matches_a_sorted_list(spark, bucket_rows):
+    rng = random.Random(4)
+    data = []
+    for k in ("a", "b", None):
+        for i in sorted(rng.sample(range(-50, 900), 300)):
+            data.append((k, i, rng.choice((None, float("nan"), 1.5, 1.5, 1.5, rng.random() * 3, 0.1 + 0.2, 0.3, -0.0, 0.0)), "x", i))
+    df = spark.createDataFrame(data, "k string, pos int, v double, pct_of string, n int")
+    out = op.expanding_rank(df.repartition(5), "v", "pos", ["k"], 20, bucket_rows=bucket_rows)
+    assert out.columns == [*df.columns, "pct"] and out.count() == len(data)
+    got = {(r["k"], r["pos"]): r["pct"] for r in out.collect()}
+    history = {}
+    for k, i, v, *_ in data:
+        if v is None or v != v:
+            assert got[k, i] is None
+            continue
+        mine = history.setdefault(k, [])
+        mine.append(v)
+        want = (sum(x < v for x in mine) + (sum(x == v for x in mine) + 1) / 2) / len(mine)
+        assert got[k, i] == (pytest.approx(want) if len(mine) >= 20 else None)
+    assert op.expanding_rank(df.where("1 = 0"), "v", "pos", ["k"], 2).count() == 0
+    assert [r["pct"] for r in op.expanding_rank(df.limit(1).withColumn("v", F.lit(2.0)), "v", "pos", ["k"], 1).collect()] == [1.0]
+
+
+def test_expanding_rank_runs_no_python(spark):
+    df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.rand(1).alias("v"))
+    plan = op.expanding_rank(df, "v", "pos", ["k"], 2)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.columns import change, full_window
-from tidemark.session import spread
+from tidemark.session import materialize
 
 
 def by_entity(*keys: str, order: str = "pos"):
@@ -136,32 +136,44 @@ def cross_rank(df: DataFrame, value: str, day: str = "d", out: str = "xrank") ->
     return df.withColumn(out, F.when(F.col(value).isNotNull(), ranked + (F.count(F.lit(1)).over(peers) - 1) / 2.0))
 
 
-def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_rows: int, out: str = "pct") -> DataFrame:
-    """Percentile of each value within its own history (self included, average ties).
+def expanding_rank(df: DataFrame, value: str, order: str, keys: list[str], min_rows: int, out: str = "pct", bucket_rows: int = 1 << 16) -> DataFrame:
+    """Percentile of each value within its own history (self included, average ties), for series of any length.
 
-    Values are ranked as they are; a caller whose values differ by rounding noise rounds them first.
+    The rows before a position are, by the ones of its binary form, at most one left half-block of each size. On every
+    level a block's left half is counted by distinct value, the counts are summed in the order of values, and the
+    rows of the right half look up how many lie below and beside them. Distinct values are cut into buckets of about
+    `bucket_rows` rows by quantiles, sums over whole buckets are added from a small table; so no task sees a
+    whole series, and a value that a third of all rows share is one row of its block. Work is rows times levels; the
+    given rows are written once.
 
-    The rank among all earlier values is an order statistic over a growing set, which no SQL frame
-    maintains; a sorted list per entity does it in one ordered pass. A group is one entity of a
-    panel, so it is bounded by the calendar.
+    `order` is a whole number or a date, unique in a series; NULL and NaN values have no rank and count nowhere.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} double"
-
-    def ranks(pdf):
-        from bisect import bisect_left, bisect_right, insort
-
-        pdf = pdf.sort_values(order, kind="stable")
-        history, result = [], []
-        for x in pdf[value]:
-            if x is None or x != x:
-                result.append(None)
-                continue
-            insort(history, x)
-            below, upto, n = bisect_left(history, x), bisect_right(history, x), len(history)
-            result.append((below + (upto - below + 1) / 2.0) / n if n >= min_rows else None)
-        return pdf.assign(**{out: result})
-
-    return spread(df, *keys).groupBy(*keys).applyInPandas(ranks, schema)
+    at = F.unix_date(order) if dict(df.dtypes)[order] == "date" else F.col(order)
+    x = F.col(value).cast("double")
+    rows = materialize(df.withColumn("__k", F.struct(*keys)).withColumn("__at", at.cast("bigint")))
+    known = rows.select("__k", "__at", F.when(~F.isnan(x), x).alias("__v")).where("__v IS NOT NULL AND __at IS NOT NULL")
+    low, high, n = known.agg(F.min("__at"), F.max("__at"), F.count(F.lit(1))).first()
+    levels, buckets = ((high or 0) - (low or 0)).bit_length(), -(-n // bucket_rows)
+    if buckets > 1:
+        edges = known.groupBy("__k").agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)]).alias("__edges"))
+        known = known.join(edges, "__k").withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+    else:
+        known = known.withColumn("__b", F.lit(0))
+    placed = known.withColumn("__i", F.col("__at") - F.lit(low or 0)).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))) if levels else F.lit(0))
+    placed = placed.withColumn("__p", F.expr("shiftright(__i, __l + 1)")).withColumn("__right", F.expr("shiftright(__i, __l) & 1"))
+    block = ["__k", "__l", "__p"]
+    left = placed.groupBy(*block, "__b", "__v").agg(F.sum(1 - F.col("__right")).alias("__same"))
+    before = F.coalesce(F.sum("__same").over(W.partitionBy(*block, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = left.groupBy(*block, "__b").agg(F.sum("__same").alias("__n"))
+    under = F.coalesce(F.sum("__n").over(W.partitionBy(*block).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = whole.withColumn("__under", under).withColumn("__all", F.sum("__n").over(W.partitionBy(*block))).drop("__n")
+    counts = left.withColumn("__before", before).join(whole, [*block, "__b"])
+    hits = placed.where("__right = 1").select(*block, "__b", "__v", "__at").join(counts, [*block, "__b", "__v"])
+    sums = hits.groupBy("__k", "__at").agg(F.sum(F.col("__before") + F.col("__under")).alias("__below"), F.sum("__same").alias("__same"), F.sum("__all").alias("__all"))
+    size = F.coalesce("__all", F.lit(0)) + 1
+    pct = (F.coalesce("__below", F.lit(0)) + (F.coalesce("__same", F.lit(0)) + 2) / 2.0) / size
+    ranked = rows.join(sums, ["__k", "__at"], "left").withColumn(out, F.when(x.isNotNull() & ~F.isnan(x) & (size >= min_rows), pct))
+    return ranked.select(*df.columns, out)
 
 
 def forward_labels(dense: DataFrame, h: int, lag: int, w=None) -> DataFrame:
