@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import perplexity as ppl
 from tidemark.llm.language import identify
 from tidemark.llm.perplexity import kneser_ney, log_p, quality_rules
-from tidemark.llm.quality import quality
-from tidemark.llm.toxicity import noisy_or, toxicity
+from tidemark.llm.quality import quality, sampled
+from tidemark.llm.toxicity import logistic, noisy_or, scored, toxicity, train
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +84,46 @@ def test_toxicity_finds_the_offending_sentence(spark, messy, nothing):
 
 
 def test_noisy_or():
-    assert np.allclose(noisy_or(np.array([0.5, 0.5, 0.1]), np.array([0, 0, 1]), 3), [0.75, 0.1, 0])
+    p = lambda x: 1 / (1 + math.exp(-x))
+    got = noisy_or(np.array([2.0, 1.0, -3.0, 0.0, 4.0]), np.array([0, 0, 0, 1, 3]), 4, -1.0)
+    left = (1 - p(1.0)) * (1 - p(0.0)) / (1 - p(-1.0))
+    assert np.allclose(got, [1 - left, p(-1.0), p(-1.0), p(3.0)])
+
+
+def test_gradient_of_the_noisy_or():
+    """What learn_bags follows is the slope of the log-likelihood, by finite differences."""
+    z, bias = np.array([0.7, 1.9, -0.4, 0.2]), -2.0
+    one = lambda z, b: float(noisy_or(z, np.zeros(4, np.int64), 1, b)[0])
+    for label in (0, 1):
+        value = lambda z, b: math.log(one(z, b) if label else 1 - one(z, b))
+        clean, p, empty = 1 - one(z, bias), logistic(z + bias), float(logistic(np.array(bias)))
+        factor = clean / (1 - clean) if label else -1.0
+        for i in range(4):
+            step = np.eye(4)[i] * 1e-6
+            assert abs((value(z + step, bias) - value(z - step, bias)) / 2e-6 - (factor * p[i] if z[i] > 0 else 0)) < 1e-6
+        slope = factor * (empty + (p - empty)[z > 0].sum())
+        assert abs((value(z, bias + 1e-6) - value(z, bias - 1e-6)) / 2e-6 - slope) < 1e-6
+
+
+def test_length_alone_is_not_toxic(spark, sf_dir):
+    """Clean sentences of the given documents, ten thousand in one text; the same with one offending sentence among them."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights, bias = train(sampled(docs, labels, "toxic", "doc_id", "text", 3, 1, 12_000))
+    known = docs.join(labels, "doc_id").where("text IS NOT NULL").orderBy("doc_id").select("text", "toxic").collect()
+    cut = lambda t: [s for s in re.findall(r"[^.!?\n]+[.!?\n]", t) if any(c.isalpha() for c in s)]
+    clean = [s for r in known if not r["toxic"] for s in cut(r["text"])]
+    clean = (clean * (10_000 // len(clean) + 1))[:10_000]
+    toxic = [r["text"] for r in known if r["toxic"]]
+    rows = spark.createDataFrame([(0, "".join(clean)), *((1 + i, t) for i, t in enumerate(toxic))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in scored(rows, weights, bias).collect()}
+    assert got[0]["predicted"] == 0 and got[0]["score"] < 0.5
+    worst = max((i for i in got if i), key=lambda i: got[i]["score"])
+    span = max(got[worst]["sentences"], key=lambda s: s["score"])
+    offending = toxic[worst - 1].encode()[span["start"]:span["end"]].decode()
+    mixed = spark.createDataFrame([(9, "".join([*clean[:5000], offending, *clean[5000:]]))], "doc_id bigint, text string")
+    found = scored(mixed, weights, bias).first()
+    assert found["predicted"] == 1 and len(found["sentences"]) >= 1
+
 
 
 def test_kneser_ney_against_a_plain_version():

@@ -5,6 +5,7 @@ import corpus_pipeline as pipeline
 from tools.check_oracle import compare
 
 import pytest
+from pyspark.sql import functions as F
 
 NAMES = ["op1_curve_packing", "op2_ngram_jaccard", "op3_substring_dedup", "op4_exact_dedup", "op5_quality_classifier", "op6_perplexity_rules", "op7_language_id", "op8_toxicity", "op9_mixing", "op10_warc", "op11_chat_format", "op12_hard_negatives", "op13_fill_in_middle", "pipeline"]
 
@@ -50,3 +51,17 @@ def test_stages_decide_over_what_is_left(spark, messy, nothing, sf_dir):
 
 def test_run_gives_pieces(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_keep_foreign_columns_of_any_name(spark, messy, sf_dir):
+    """Names that stages use inside, with dots, and quoted ones come back with their values."""
+    names = ["gone_id", "gone_probe", "own_probe", "time", "mix_id", "mix_source", "copies", "row", "lang_pred", "score", "a.b", "x `y`", "held_out", "component_id", "_0_"]
+    docs = messy.select("doc_id", "text", "lang", "source", "n_chars", *[(F.xxhash64("doc_id", "text") + i).alias(f"c{i}") for i in range(len(names))]).toDF("doc_id", "text", "lang", "source", "n_chars", *names)
+    docs = docs.select("*", F.struct(F.col("doc_id").alias("in.side"), F.lit(1).alias("x y")).alias("nested"))
+    given = {(r[0], r[1]): tuple(r)[4:] for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r)[4:] == given[r[0], r[1]] for r in rows), name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()

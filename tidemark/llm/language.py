@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.text import slices, text_batches, text_buffer
 
@@ -156,7 +157,6 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), (fold_of(doc_id, folds) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
     if carry:
         rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), (fold_of(doc_id, folds) == 0).alias("held_out"))
-        kept = f"row {rows.schema['row'].dataType.simpleString()}, "
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     def score(stream):
@@ -182,7 +182,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, doc_id: st
                     pa.array([[languages[j] for j in s] for s in sets], pa.list_(pa.string())), pa.array([[float(share[i, j]) for j in s] for i, s in enumerate(sets)], pa.list_(pa.float64()))],
                     names=[*(["row"] if carry else []), "doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
 
-    return text_batches(rows).mapInArrow(score, (kept if carry else "") + PREDICTIONS)
+    found = StructType.fromDDL(PREDICTIONS)
+    return text_batches(rows).mapInArrow(score, StructType([*([rows.schema["row"]] if carry else []), *found.fields]))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, most_languages: int | None = None, carry: bool = False, most: int | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its distinct hashed words (runs of
-letters, A-Z folded) and their prefixes; a document's is the noisy-or of its sentences: one minus the product of what each leaves. Only
+letters, A-Z folded) and their prefixes; a document's is the noisy-or of one empty sentence and of what each sentence adds to an
+empty one: one minus the product of what they leave. A sentence whose words do not speak for toxicity adds nothing, so
+a text does not become toxic by its length. Only
 documents are labelled; the gradient of the document's log-likelihood flows to each sentence by what it adds, so the
 model learns which words make a sentence offend, and the sentences that do can be named afterwards.
 
@@ -53,13 +55,20 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return number[order], of[order], w.row[new], w.start[new]
 
 
-def sentence_scores(weights: np.ndarray, bias: float, number: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-    s = np.bincount(sentence, weights=weights[number], minlength=n) + bias
-    return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+def evidence(weights: np.ndarray, number: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the weights of each sentence's features."""
+    return np.bincount(sentence, weights=weights[number], minlength=n)
 
 
-def noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    return 1 - np.exp(np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=n))
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def noisy_or(z: np.ndarray, row: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """Document probabilities from the evidence of sentences: 1 - (1 - p0) * prod((1 - p) / (1 - p0)) over sentences with
+    positive evidence z, where p = logistic(z + bias) and p0 = logistic(bias)."""
+    added = np.where(z > 0, np.logaddexp(0, z + bias) - np.logaddexp(0, bias), 0)
+    return -np.expm1(-np.logaddexp(0, bias) - np.bincount(row, weights=added, minlength=n))
 
 
 def learn_bags(bags: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = 12, rate: float = 0.5, bias: float = -6.0, decay: float = 1e-5, deviation: float = 4.0) -> tuple[np.ndarray, float]:
@@ -81,16 +90,19 @@ def learn_bags(bags: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: in
     bias_seen = 1.0
     for _ in range(epochs):
         for number, sentence, n, label in bags:
-            p = sentence_scores(w, bias, number, sentence, n)
-            clean = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
+            z = evidence(w, number, sentence, n)
+            active, p, empty = z >= 0, logistic(z + bias), float(logistic(np.array(bias)))
+            clean = 1 - float(noisy_or(z, np.zeros(n, np.int64), 1, bias)[0])
             # d(log-likelihood)/d(sentence logit): p * clean / (1 - clean) where toxic, -p where not
-            g = p * clean / max(1 - clean, 1e-9) if label else -p
+            factor = clean / max(1 - clean, 1e-9) if label else -1.0
+            g = np.where(active, p * factor, 0.0)
+            slope = factor * (empty + (p - empty)[active].sum())
             each = g[sentence]
             step = each - decay * w[number]
             np.add.at(seen, number, each * each)
             np.add.at(w, number, rate * step / np.sqrt(seen[number]))
-            bias_seen += g.sum() ** 2
-            bias = min(bias + 0.1 * g.sum() / np.sqrt(bias_seen), -3.0)
+            bias_seen += slope ** 2
+            bias = min(bias + 0.1 * slope / np.sqrt(bias_seen), -3.0)
     return w, bias
 
 
@@ -128,9 +140,8 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, doc_id: str = "doc
                 data, offsets = text_buffer(batch.column("text"))
                 n = batch.num_rows
                 number, sentence, row, start = sentence_words(data, offsets)
-                p = sentence_scores(model.value, bias, number, sentence, len(row))
-                empty = np.bincount(row, minlength=n) == 0
-                total = np.where(empty, 1 / (1 + np.exp(min(-bias, 35.0))), noisy_or(p, row, n))
+                z = evidence(model.value, number, sentence, len(row))
+                p, total = logistic(z + bias), noisy_or(z, row, n, bias)
                 spans: list[list] = [[] for _ in range(n)]
                 if locate and len(row):
                     stops = np.flatnonzero(_END[data])
