@@ -118,6 +118,42 @@ def test_labels_of_all_blocks_are_those_of_each(spark, sf_dir):
         assert want and all(got[block, r["pos"]] == r["n"] for r in want)
 
 
+def test_drivers_are_those_of_the_fitted_model(spark):
+    """The planted feature speaks for the winner; contributions and flips follow from the fold's own coefficients."""
+    from tidemark.plans.learning import trained_drivers
+
+    rows, specs, folds = planted_rows(spark, noise=False)
+    fits = wf.fit(rows, wf.choices(folds, wf.search(rows, folds, specs, 2), specs), 2, calibrate=False).cache()
+    model = wf.snapshots(fits).first()
+    x = {r["pos"]: r["x"] for r in rows.collect()}
+    got = trained_drivers(rows, ["signal", "other"], fits, 2).collect()
+    assert len(got) == 320
+    leading = 0
+    for r in got:
+        i = ["signal", "other"].index(r["feature"])
+        raw = np.where(np.isnan(x[r["pos"]]), model["median"], x[r["pos"]])
+        z = (raw - np.array(model["mean"])) / np.array(model["scale"])
+        delta = np.array(model["coef"][r["winner"]]) - np.array(model["coef"][0])
+        assert r["contribution"] == pytest.approx(delta[i] * z[i], abs=1e-9)
+        if r["winner"]:
+            gap = model["intercept"][1] - model["intercept"][0] + float(delta @ z)
+            assert gap > 0 and r["flip"] == pytest.approx(-gap / delta[i] * model["scale"][i])
+            leading += i == 0 and abs(delta[0] * z[0]) > abs(delta[1] * z[1])
+    assert leading > 50
+
+
+def test_ensemble_averages_what_each_session_has(spark):
+    rows, specs, folds = planted_rows(spark, noise=False)
+    fits = wf.fit(rows, wf.choices(folds, wf.search(rows, folds, specs, 2), specs), 2).cache()
+    trained = {(r["family"], r["pos"]): r["p"] for r in wf.probabilities(fits).collect()}
+    rule = rows.where("pos >= 730 AND pos < 800").select("d", "pos", F.array(F.lit(0.25), F.lit(0.75)).alias("p"))
+    parts = [wf.probabilities(fits).where(F.col("family") == f) for f in ("logistic", "boosting")]
+    got = {r["pos"]: r["p"] for r in lr.average_probabilities(*parts, rule).collect()}
+    assert sorted(got) == list(range(730, 900)) and got[735] == [0.25, 0.75]
+    for pos, extra in ((750, [[0.25, 0.75]]), (850, [])):
+        assert got[pos] == pytest.approx(np.mean([trained["logistic", pos], trained["boosting", pos], *extra], axis=0).tolist())
+
+
 def test_trial_log_shows_whole_runs_once(spark, tmp_path):
     from tidemark.sources.triallog import TrialLog, data_version
 

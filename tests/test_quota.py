@@ -77,20 +77,61 @@ def test_partial_mixes_allow_partial_safe_moves(spark):
     assert {i: (r["accepted"], r["used"], r["held_no"]) for i, r in out.items()} == want
 
 
-def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
-    from tidemark.streaming.quota_stream import STATE_PROVIDER, drain, gate_stream
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    data, mixes = sorted(random_requests(11, 200), key=lambda r: r[2]), qt.one_hot_mixes(4)
-    whole = spark.createDataFrame(data, SCHEMA).withColumn("month_no", F.year("month") * 12 + F.month("month"))
-    for i in range(4):
-        lo, hi = i * 50, (i + 1) * 50
-        ids = [r[1] for r in data[lo:hi]]
-        whole.filter(F.col("req_id").isin(ids)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    drain(gate_stream(stream, mixes), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r["req_id"]: (r["accepted"], r["used"], r["held_no"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == brute(data, mixes)
+def streamed(spark, tmp_path, parts, mixes, prepare=lambda b: b):
+    """Decisions after each of the parts has come as a file of its own; the stream stops and starts again between them."""
+    from tidemark.streaming.quota_stream import gate_batches
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i % 2:
+            stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            out = gate_batches(stream, prepare, mixes, str(tmp_path / "run"))
+    return {r["req_id"]: r.asDict() for r in out.collect()}
+
+
+def test_stream_equals_batch_over_micro_batches_and_restarts(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import quota_stream
+
+    monkeypatch.setattr(quota_stream, "COMPACT", 3)
+    data, mixes = sorted(random_requests(11, 240), key=lambda r: (r[2], r[1])), qt.one_hot_mixes(4)
+    data = [(r[0], r[1], r[2] + dt.timedelta(microseconds=i), *r[3:]) for i, r in enumerate(data)]
+    got = streamed(spark, tmp_path, [data[i:i + 40] for i in range(0, 240, 40)], mixes)
+    assert {i: (r["accepted"], r["used"], r["held_no"]) for i, r in got.items()} == brute(data, mixes)
+
+
+def test_late_requests_change_nothing_in_a_stream(spark, tmp_path):
+    m = dt.date(2026, 9, 1)
+    first = [(1, 0, at(9, 5), 1, m), (2, 1, at(9, 5), 2, m)]
+    second = [(1, 2, at(9, 4), 2, m), (1, 3, at(9, 6), 2, m), (1, 4, None, 2, m), (1, 5, at(9, 7), 1, None), (3, 6, at(9, 1), 1, m), (1, 7, at(9, 7), 0, m)]
+    got = streamed(spark, tmp_path, [first, second], qt.one_hot_mixes(3))
+    assert [got[i]["reason"] for i in range(8)] == [qt.POSTED, qt.POSTED, qt.LATE, qt.POSTED, qt.LATE, qt.LATE, qt.POSTED, qt.POSTED_SAFE]
+    assert (got[2]["used"], got[2]["held_no"], got[2]["target_no"]) == (1, 1, 2) and got[7]["held_no"] == 0
+
+
+def test_a_repeated_batch_gives_the_same_state(spark, tmp_path):
+    from tidemark.streaming.quota_stream import StateTable
+
+    mixes, m = qt.one_hot_mixes(3), dt.date(2026, 9, 1)
+    table = StateTable(spark, str(tmp_path / "states"))
+    one = spark.createDataFrame([(1, 0, at(9, 5), 1, m)], SCHEMA)
+    two = spark.createDataFrame([(1, 1, at(9, 6), 2, m)], SCHEMA)
+    for number, rows in ((0, one), (1, two), (1, two)):
+        before = table.before(number)
+        decisions, moved = qt.gate_onward(rows, before, mixes, F.to_date("ts"), F.date_trunc("minute", "ts"))
+        assert [r["used"] for r in decisions.collect()] == [number + 1]
+        table.write(number, moved, before)
+    assert [(r["account"], r["state"]) for r in table.before(9).collect()] == [(1, 2 * 3 + 2)]
+
+
+def test_stream_has_no_last_year(spark, tmp_path):
+    from tidemark.plans import quota as plans
+
+    rows = [(1, 0, dt.datetime(2071, 3, 31, 15, 0), "click"), (1, 1, dt.datetime(2071, 3, 31, 20, 0), "signup")]
+    frame = spark.createDataFrame(rows, "account bigint, req_id bigint, ts timestamp, target string")
+    got = {r["req_id"]: r for r in plans.numbered(frame).collect()}
+    assert got[0]["month"] == dt.date(2071, 3, 1) and got[1]["month"] == dt.date(2071, 4, 1)
+    decisions, _ = qt.gate_onward(plans.numbered(frame), spark.createDataFrame([], qt.STATES), plans.MIXES, F.to_date("ts"), F.date_trunc("minute", "ts"))
+    assert {r["reason"] for r in decisions.collect()} == {qt.POSTED}
 
 
 def test_unknown_and_missing_targets_change_nothing(spark):

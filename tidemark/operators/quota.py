@@ -75,20 +75,34 @@ def _table(mixes: list[list[float]]) -> Column:
     return F.array(*[F.lit(v) for v in transition(mixes)])
 
 
-def chunk_starts(chunks: DataFrame, initial: int, size: int) -> DataFrame:
-    """(account, month, day, chunk, start): the state each chunk starts in."""
+def account_runs(chunks: DataFrame, initial: int, size: int, entry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(days with their chunk maps, accounts with `d` and `run`): the fold over each account's days.
+
+    `run` has the month and state after the last day and the state that each day starts in. `entry(account, month,
+    state)` is what accounts bring along; others begin in `initial` with nothing used.
+    """
     days = chunks.groupBy("account", "month", "day").agg(F.sort_array(F.collect_list(F.struct("chunk", "map"))).alias("c"))
     whole = F.aggregate("c", F.sequence(F.lit(0), F.lit(size - 1)), lambda acc, c: F.transform(acc, lambda s: F.get(c["map"], s)))
     days = days.withColumn("map", whole)
     accounts = days.groupBy("account").agg(F.sort_array(F.collect_list(F.struct("month", "day", "map"))).alias("d"))
-    zero = F.struct(F.lit(None).cast("date").alias("month"), F.lit(initial * 3).alias("state"), F.array().cast("array<int>").alias("starts"))
+    month, state = F.lit(None).cast("date"), F.lit(initial * 3)
+    if entry is not None:
+        accounts = accounts.join(entry.select("account", F.col("month").alias("__m"), F.col("state").alias("__s")), "account", "left")
+        month, state = F.col("__m"), F.coalesce("__s", state)
+    zero = F.struct(month.alias("month"), state.alias("state"), F.array().cast("array<int>").alias("starts"))
 
     def next_day(acc, d):
         # A new posting month starts with nothing used.
         begin = F.when(acc["month"].eqNullSafe(d["month"]), acc["state"]).otherwise(acc["state"] - acc["state"] % 3)
         return F.struct(d["month"].alias("month"), F.get(d["map"], begin).alias("state"), F.array_append(acc["starts"], begin).alias("starts"))
 
-    begun = accounts.select("account", F.explode(F.arrays_zip("d", F.aggregate("d", zero, next_day)["starts"].alias("s"))).alias("z")).select(
+    return days, accounts.select("account", "d", F.aggregate("d", zero, next_day).alias("run"))
+
+
+def chunk_starts(chunks: DataFrame, initial: int, size: int, runs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(account, month, day, chunk, start): the state each chunk starts in."""
+    days, accounts = runs or account_runs(chunks, initial, size)
+    begun = accounts.select("account", F.explode(F.arrays_zip("d", F.col("run")["starts"].alias("s"))).alias("z")).select(
         "account", F.col("z.d.month").alias("month"), F.col("z.d.day").alias("day"), F.col("z.s").alias("start"))
 
     def next_chunk(acc, c):
@@ -139,3 +153,32 @@ def gate(requests: DataFrame, mixes: list[list[float]], coarse: Column, fine: Co
     chunks = materialize(chunked(requests, coarse, fine, mixes).drop("gains"))
     starts = chunk_starts(chunks.select("account", "month", "day", "chunk", "map"), initial, 3 * len(mixes))
     return replay(chunks.join(starts, ["account", "month", "day", "chunk"]).select("account", "month", "ids", "xs", "start"), mixes)
+
+
+STATES = "account bigint, month date, state int, ts timestamp"
+
+
+def gate_onward(requests: DataFrame, entry: DataFrame, mixes: list[list[float]], coarse: Column, fine: Column, initial: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(decisions, states) of requests that come after what `entry(account, month, state, ts)` has seen.
+
+    The same composed maps as `gate`, begun in each account's state. A request before its account's last time, or without
+    time or posting month, comes too late to be judged in order: it is answered as late and changes nothing. The
+    states are those of the accounts that had requests in order.
+    """
+    k = len(mixes)
+    seen = requests.join(entry.select("account", F.col("ts").alias("__seen"), F.col("state").alias("__state")), "account", "left")
+    late = F.col("ts").isNull() | F.col("month").isNull() | F.coalesce(F.col("ts") < F.col("__seen"), F.lit(False))
+    seen = materialize(seen.withColumn("__late", late))
+    in_order = seen.where("NOT __late").drop("__seen", "__state", "__late")
+    chunks = materialize(chunked(in_order, coarse, fine, mixes).drop("gains"))
+    days, accounts = account_runs(chunks.select("account", "month", "day", "chunk", "map"), initial, 3 * k, entry)
+    accounts = materialize(accounts)
+    starts = chunk_starts(chunks, initial, 3 * k, (days, accounts))
+    decided = replay(chunks.join(starts, ["account", "month", "day", "chunk"]).select("account", "month", "ids", "xs", "start"), mixes)
+    state = F.coalesce("__state", F.lit(initial * 3))
+    answered = seen.where("__late").select(
+        "account", "month", "req_id", F.when(known_target(F.col("target_no"), k) < k, F.col("target_no")).cast("int").alias("target_no"), F.lit(0).alias("accepted"), F.lit(LATE).alias("reason"),
+        (state % 3).cast("int").alias("used"), F.floor(state / 3).cast("int").alias("held_no"))
+    last = in_order.groupBy("account").agg(F.max("ts").alias("ts"))
+    states = accounts.join(last, "account").select("account", F.col("run")["month"].alias("month"), F.col("run")["state"].alias("state"), "ts")
+    return decided.unionByName(answered), states

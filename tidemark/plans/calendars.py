@@ -117,10 +117,9 @@ REQ_POST = """posted AS (
 POSTED = (*REQ_HOL, REQ_CAL, REQ_POST)
 
 
-def request_span(spark, sf_dir):
+def request_span(requests):
     """(lo, hi): days around the requests; one scan of one column, written."""
-    return materialize(src.table(spark, sf_dir, "events").agg(
-        F.date_sub(F.to_date(F.min("ts")), 10).alias("lo"), F.date_add(F.to_date(F.max("ts")), 20).alias("hi")))
+    return materialize(requests.agg(F.date_sub(F.to_date(F.min("ts")), 10).alias("lo"), F.date_add(F.to_date(F.max("ts")), 20).alias("hi")))
 
 
 def request_calendar(span):
@@ -128,11 +127,15 @@ def request_calendar(span):
     return cal.business_days(span, "lo", "hi")
 
 
-def posted_requests(spark, sf_dir):
+def posted_rows(requests):
     """Requests with local posting dates; the tables hold UTC instants."""
-    span = request_span(spark, sf_dir)
+    span = request_span(requests)
     inner = span.select(F.date_add("lo", 8).alias("lo"), F.date_sub("hi", 18).alias("hi"))
-    return cal.posting_dates(src.requests(spark, sf_dir), request_calendar(span), zone="America/New_York", span=inner)
+    return cal.posting_dates(requests, request_calendar(span), zone="America/New_York", span=inner)
+
+
+def posted_requests(spark, sf_dir):
+    return posted_rows(src.requests(spark, sf_dir))
 
 
 @query("posting_date", duck("SELECT req_id, req_d, post_d FROM posted", *POSTED))

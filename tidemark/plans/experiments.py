@@ -107,14 +107,18 @@ def searched(spark, rows: DataFrame, grids: dict | None = None) -> tuple[DataFra
     return folds, wf.trial_rows(losses, grids).unionByName(rules), losses
 
 
-def models(spark, sf_dir, calibrate: bool = True, blocks: list[int] | None = None, families: list[str] | None = None) -> DataFrame:
-    """The fits of all folds of the blocks and families asked for, as a written table."""
-    rows, _ = block_rows(spark, sf_dir, blocks)
+def learned(spark, sf_dir, calibrate: bool = True, blocks: list[int] | None = None, families: list[str] | None = None) -> tuple[DataFrame, list[str], DataFrame]:
+    """(rows, feature names, fits): the fits of all folds of the blocks and families asked for, as a written table."""
+    rows, names = block_rows(spark, sf_dir, blocks)
     folds, _, losses = searched(spark, rows)
     known = specs(spark)
     if families:
         known = known.withColumn("families", F.array_intersect("families", F.array(*[F.lit(f) for f in families])))
-    return materialize(wf.fit(rows, wf.choices(folds, losses, known), CLASSES, calibrate))
+    return rows, names, materialize(wf.fit(rows, wf.choices(folds, losses, known), CLASSES, calibrate))
+
+
+def models(spark, sf_dir, calibrate: bool = True, blocks: list[int] | None = None, families: list[str] | None = None) -> DataFrame:
+    return learned(spark, sf_dir, calibrate, blocks, families)[2]
 
 
 def expected_maximum(trials: DataFrame) -> DataFrame:

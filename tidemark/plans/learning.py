@@ -316,6 +316,36 @@ def wf_gbt(spark, sf_dir):
     return wf_rows(spark, sf_dir, "boosting", True)
 
 
+def trained_ensemble(spark, sf_dir, dense, fits):
+    """Average of the logistic, the boosted and the best-rule probabilities of each session; what is absent does not dilute."""
+    trained = walkforward.probabilities(fits)
+    picks = materialize(rule_picks(spark, sf_dir, dense))
+    rule = lr.best_rule_probabilities(lr.purged_hit_rates(picks, H, LAG), RULE_ORDER, 5)
+    return lr.average_probabilities(*[trained.where(F.col("family") == f).select("d", "pos", "p") for f in ("logistic", "boosting")], rule)
+
+
+@query("model_ensemble")
+def model_ensemble(spark, sf_dir):
+    fits = experiments.models(spark, sf_dir, blocks=[0])
+    return trained_ensemble(spark, sf_dir, materialize(src.dense_panel(spark, sf_dir)), fits).select("d", *p_columns())
+
+
+def trained_drivers(rows, names, fits, top: int = 5):
+    """(d, pos, fold_start, winner, feature, contribution, flip): what speaks for the entity that the fitted logistic model
+    of a session's own fold finds likeliest."""
+    scored = walkforward.probabilities(fits.where("family = 'logistic'")).select("block", "d", "pos", "fold_start", fw.top_position(F.col("p")).alias("winner"))
+    at = rows.select("block", "pos", *[F.nanvl(F.get("x", F.lit(i)), F.lit(None).cast("double")).alias(n) for i, n in enumerate(names)])
+    models = walkforward.snapshots(fits).drop("c")
+    return lr.explain_rows(scored.join(at, ["block", "pos"]).join(models, ["block", "fold_start"]), names, top)
+
+
+@query("model_drivers")
+def model_drivers(spark, sf_dir):
+    rows, names, fits = experiments.learned(spark, sf_dir, calibrate=False, blocks=[0], families=["logistic"])
+    out = trained_drivers(rows, names, fits)
+    return out.select("d", big(F.col("winner")).alias("winner"), "feature", r6(F.col("contribution")).alias("contribution"), r6(F.col("flip")).alias("flip"))
+
+
 @query("wf_gmm")
 def wf_gmm(spark, sf_dir):
     frame = daily_features(spark, sf_dir).select("d", "pos", "c_rv63", "c_dd", "spread_10y_3m", "vol_level")

@@ -7,18 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import big
-from tidemark.operators import calendars as cal
 from tidemark.operators import quota as qt
 from tidemark.plans.base import duck, query
-from tidemark.plans.calendars import POSTED, posted_requests, request_calendar, request_span
-from tidemark.session import checkpoint_dir, materialize
+from tidemark.plans.calendars import POSTED, posted_rows
+from tidemark.session import checkpoint_dir
 from tidemark.sources import tables as src
 
 # Targets in component order, the safe one first.
 TARGETS = ["view", "click", "error", "purchase", "signup"]
 MIXES = qt.one_hot_mixes(len(TARGETS))
-# Years of the stream's calendar, and bytes of files a micro-batch takes.
-FROM, TO = "1990-01-01", "2060-12-31"
+# Bytes of files a micro-batch takes.
 BATCH_BYTES = 64 << 20
 
 
@@ -28,7 +26,11 @@ def target_number(target):
 
 def stamped(spark, sf_dir):
     """Requests with posting month and target number."""
-    rows = posted_requests(spark, sf_dir)
+    return numbered(src.requests(spark, sf_dir))
+
+
+def numbered(requests):
+    rows = posted_rows(requests)
     return rows.select("account", F.trunc("post_d", "MM").alias("month"), "ts", "req_id", "target", target_number(F.col("target")).alias("target_no"))
 
 
@@ -56,22 +58,11 @@ def quota_gate(spark, sf_dir):
 
 @query("quota_gate_stream", DECISIONS)
 def quota_gate_stream(spark, sf_dir):
-    """The same gate fed by a file stream; posting dates come from a left join with a calendar of fixed years, so the
-    stream's source is read as a stream only."""
-    from tidemark.streaming.quota_stream import STATE_PROVIDER, drain, gate_stream
+    """The same gate fed by a file stream, one micro-batch after the other, with the calendar of each batch's own days."""
+    from tidemark.streaming.quota_stream import gate_batches
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    rows = streamed_requests(spark, sf_dir)
-    span = spark.sql(f"SELECT date'{FROM}' AS lo, date'{TO}' AS hi")
-    inner = span.select(F.explode(F.sequence(F.date_add("lo", 20), F.date_sub("hi", 20))).alias("d"))
-    days = materialize(cal.posting_lookup(inner, request_calendar(span)))
-    local = F.from_utc_timestamp("ts", "America/New_York")
-    post = F.when(F.col("is_session") & (F.hour(local) < 12), F.col("d")).otherwise(F.col("next_d"))
-    staged = rows.withColumn("d", F.to_date(local)).join(F.broadcast(days), "d", "left").select(
-        "account", F.trunc(post, "MM").alias("month"), (F.year(post) * 12 + F.month(post)).alias("month_no"), "ts", "req_id", target_number(F.col("target")).alias("target_no"))
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    drain(gate_stream(staged, MIXES), f"{base}/out", f"{base}/state")
-    return shown(spark.read.parquet(f"{base}/out"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shown(gate_batches(streamed_requests(spark, sf_dir), numbered, MIXES, root))
 
 
 def streamed_requests(spark, sf_dir):

@@ -2,65 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tidemark.operators.quota import INVALID, LATE, LIMIT, NO_CHANGE, OVER_LIMIT, POSTED, POSTED_SAFE, transition
+from tidemark.operators.quota import STATES, gate_onward
 
-DECISION_SCHEMA = "account bigint, month date, req_id bigint, target_no int, accepted int, reason string, used int, held_no int"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COMPACT = 16
 
 
-def gate_processor(mixes: list[list[float]], initial: int):
-    """Value state per account: (posting month, machine state, last time). One micro-batch is sorted by time per key.
+class StateTable:
+    """Account states by micro-batch: a batch adds the accounts it moved, every COMPACT-th all accounts.
 
-    A request before the account's last time comes too late to be judged in order, and one without a posting month
-    has no session: both are answered as late and change nothing.
+    A batch reads what earlier batches wrote and overwrites only its own folder, so repeating it after a failure, however far it came,
+    gives the same state.
     """
-    table, size, k = transition(mixes), 3 * len(mixes), len(mixes)
-    limit, codes, invalid, late = LIMIT, (POSTED, POSTED_SAFE, NO_CHANGE, OVER_LIMIT), INVALID, LATE
-
-    class Gate(StatefulProcessor):
-        def init(self, handle):
-            self.last = handle.getValueState("last", "month int, state int, ts timestamp")
 
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
-            pdf = pd.concat(list(rows)).sort_values(["ts", "req_id"])
-            month, state, seen = self.last.get() if self.last.exists() else (0, initial * 3, None)
-            out = []
-            for r in pdf.itertuples(index=False):
-                x = int(r.target_no) if pd.notna(r.target_no) and 0 <= r.target_no < k else k
-                shown = x if x < k else None
-                if pd.isna(r.month_no) or pd.isna(r.ts) or (seen is not None and r.ts < pd.Timestamp(seen)):
-                    out.append((int(key[0]), r.month, int(r.req_id), shown, 0, late, state % 3, state // 3))
-                    continue
-                seen, m = r.ts.to_pydatetime(), int(r.month_no)
-                if m != month:
-                    month, state = m, state - state % 3
-                nxt = table[x * size + state]
-                accepted = nxt != state
-                counted = state % 3 < limit
-                reason = (codes[0] if counted else codes[1]) if accepted else invalid if x == k else (codes[2] if state // 3 == x else codes[3])
-                state = nxt
-                out.append((int(key[0]), r.month, int(r.req_id), shown, int(accepted), reason, state % 3, state // 3))
-            if seen is not None:
-                self.last.update((month, state, seen))
-            frame = pd.DataFrame(out, columns=["account", "month", "req_id", "target_no", "accepted", "reason", "used", "held_no"])
-            yield frame.astype({"target_no": "Int32"})
+    def before(self, batch: int) -> DataFrame:
+        try:
+            rows = self.spark.read.schema(f"{STATES}, whole boolean, batch bigint").parquet(self.path).where(F.col("batch") < batch)
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], STATES)
+        since = rows.where("whole").agg(F.max("batch").alias("b")).first()["b"]
+        recent = rows.where(F.col("batch") >= (since or 0))
+        return recent.groupBy("account").agg(F.max_by(F.struct("month", "state", "ts"), "batch").alias("x")).select("account", "x.*")
 
-        def close(self):
-            pass
+    def write(self, batch: int, moved: DataFrame, before: DataFrame) -> None:
+        whole = batch % COMPACT == COMPACT - 1
+        rows = moved.unionByName(before.join(moved.select("account"), "account", "left_anti")) if whole else moved
+        rows.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    return Gate()
 
+def gate_batches(requests: DataFrame, prepare: Callable[[DataFrame], DataFrame], mixes: list[list[float]], root: str, initial: int = 0) -> DataFrame:
+    """Run the gate over everything the stream offers; decisions lie below `root`, by batch.
 
-def gate_stream(requests: DataFrame, mixes: list[list[float]], initial: int = 0) -> DataFrame:
-    """Streaming decisions; `requests(account, month, month_no, ts, req_id, target_no)` is a streaming frame."""
-    return requests.groupBy("account").transformWithStateInPandas(
-        gate_processor(mixes, initial), outputStructType=DECISION_SCHEMA, outputMode="append", timeMode="none")
+    Every micro-batch goes through the composed maps of the batch form, begun in the stored states, so an account with many
+    requests is spread over tasks. `prepare` gives (account, month, ts, req_id, target_no) of a micro-batch.
+    """
+    def process(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        states = StateTable(batch.sparkSession, f"{root}/states")
+        before = states.before(number)
+        decisions, moved = gate_onward(prepare(batch), before, mixes, F.to_date("ts"), F.date_trunc("minute", "ts"), initial)
+        decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch={number}")
+        states.write(number, moved, before)
+
+    query = requests.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return requests.sparkSession.read.parquet(f"{root}/decisions").drop("batch")
 
 
 def change_stream(signals: DataFrame) -> DataFrame:
