@@ -251,9 +251,13 @@ def daily(panel: DataFrame, s: Sources, scheduled: DataFrame, break_on: str) ->
 
 
 def _expanding_pair(rows: DataFrame, columns: dict[str, str], min_rows: int, day: str = "d", order: str = "pos") -> DataFrame:
-    """Expanding percentiles of several columns at once: columns become the groups of one pass."""
+    """Expanding percentiles of several columns at once: columns become the groups of one pass.
+
+    The columns are computed deviations: the same returns in another order differ in their last digits, so values
+    are compared at 12 digits, far below any difference of the data. The rank itself takes values as they are.
+    """
     long = rows.unpivot([day, order], list(columns), "series", "v")
-    ranked = op.expanding_rank(long, "v", order, ["series"], min_rows)
+    ranked = op.expanding_rank(long.withColumn("v", F.round("v", 12)), "v", order, ["series"], min_rows)
     return ranked.groupBy(day).agg(*[F.max(F.when(F.col("series") == c, F.col("pct"))).alias(n) for c, n in columns.items()])
 
 

@@ -55,8 +55,8 @@ pf AS (SELECT *, CASE WHEN m50 IS NOT NULL THEN (px > m50)::INTEGER END AS a50,
 xr AS (SELECT d, ord, CASE WHEN mom_252 IS NOT NULL THEN rank() OVER (PARTITION BY d ORDER BY mom_252 NULLS LAST) + (count(*) OVER (PARTITION BY d, mom_252) - 1) / 2.0::DOUBLE END AS rk,
    max(mom_252) OVER (PARTITION BY d) AS mx FROM pf WHERE ord >= 2),
 vlev AS (SELECT p.d, p.pos, coalesce(q.quote, p.rv20) AS level, p.rv63, p.rv63 AS v2 FROM (SELECT * FROM pf WHERE ord = 2) p ASOF LEFT JOIN quotes q ON p.d >= q.obs_d),
-vpct AS (SELECT a.d, CASE WHEN count(b.level) FILTER (a.level IS NOT NULL) >= 252 THEN (count(CASE WHEN b.level < a.level THEN 1 END) + (count(CASE WHEN b.level = a.level THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.level) END AS vol_pct,
-   CASE WHEN count(b.v2) FILTER (a.v2 IS NOT NULL) >= 252 THEN (count(CASE WHEN b.v2 < a.v2 THEN 1 END) + (count(CASE WHEN b.v2 = a.v2 THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.v2) END AS c_vol_pct
+vpct AS (SELECT a.d, CASE WHEN count(b.level) FILTER (a.level IS NOT NULL) >= 252 THEN (count(CASE WHEN round(b.level, 12) < round(a.level, 12) THEN 1 END) + (count(CASE WHEN round(b.level, 12) = round(a.level, 12) THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.level) END AS vol_pct,
+   CASE WHEN count(b.v2) FILTER (a.v2 IS NOT NULL) >= 252 THEN (count(CASE WHEN round(b.v2, 12) < round(a.v2, 12) THEN 1 END) + (count(CASE WHEN round(b.v2, 12) = round(a.v2, 12) THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.v2) END AS c_vol_pct
    FROM vlev a JOIN vlev b ON b.pos <= a.pos GROUP BY a.d)"""
 ROLE = {"c": 2, "s": 3, "i": 4, "f": 1, "g": 0}
 
@@ -141,7 +141,7 @@ mx1 AS (SELECT *, px / lag(px, 1) {MONTH_W} - 1 AS mom_21, px / lag(px, 3) {MONT
    CASE WHEN count(ret) {_mrows(12)} >= 12 THEN sqrt(avg(least(ret, 0.0::DOUBLE) ** 2) {_mrows(12)}) END AS downside, CASE WHEN count(dd) {_mrows(12)} >= 12 THEN sqrt(avg(dd * dd) {_mrows(12)}) END AS ulcer FROM mx0),
 mw AS (SELECT month, {', '.join(f'max(CASE WHEN ord = {o} THEN {c} END) AS {r}_{c}' for r, o in ROLE.items() for c in ('mom_21', 'mom_63', 'mom_126', 'mom_252', 'mom_12_1', 'dd', 'above'))},
    {', '.join(f'max(CASE WHEN ord = 2 THEN {c} END) AS c_{c}' for c in ('slope', 'rv', 'downside', 'ulcer'))}, max(CASE WHEN ord = 2 THEN (px / m10 - 1) / nullif(rv, 0) END) AS c_dist_vol FROM mx1 GROUP BY month),
-mp AS (SELECT a.month, CASE WHEN count(b.c_rv) FILTER (a.c_rv IS NOT NULL) >= 36 THEN (count(CASE WHEN b.c_rv < a.c_rv THEN 1 END) + (count(CASE WHEN b.c_rv = a.c_rv THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.c_rv) END AS c_vol_pct
+mp AS (SELECT a.month, CASE WHEN count(b.c_rv) FILTER (a.c_rv IS NOT NULL) >= 36 THEN (count(CASE WHEN round(b.c_rv, 12) < round(a.c_rv, 12) THEN 1 END) + (count(CASE WHEN round(b.c_rv, 12) = round(a.c_rv, 12) THEN 1 END) + 1) / 2.0::DOUBLE) / count(b.c_rv) END AS c_vol_pct
    FROM mw a JOIN mw b ON b.month <= a.month GROUP BY a.month),
 mm AS (SELECT month, lag(a) OVER (ORDER BY month) AS spread, lag(a2) OVER (ORDER BY month) AS spread2, lag(b) OVER (ORDER BY month) AS bill, lag(e) OVER (ORDER BY month) AS effr FROM (
    SELECT date_trunc('month', obs_d)::DATE AS month, arg_max(spread_10y_3m, obs_d) AS a, arg_max(spread_10y_2y, obs_d) AS a2, arg_max(ust_3m, obs_d) AS b, arg_max(effr, obs_d) AS e FROM rates GROUP BY 1)),

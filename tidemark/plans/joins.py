@@ -125,7 +125,7 @@ def asof_zscore_spike(spark, sf_dir):
           CASE WHEN count(ret) {ROWS(63)} >= 63 THEN stddev_samp(ret) {ROWS(63)} * sqrt(252.0::DOUBLE) END AS rv63 FROM rets)""",
     "lv AS (SELECT v.*, coalesce(q.quote, v.rv20) AS level FROM lv0 v ASOF LEFT JOIN quotes q ON v.d >= q.obs_d)",
     """pct AS (SELECT a.entity, a.d, CASE WHEN count(b.level) >= 252 THEN
-         round((sum(CASE WHEN b.level < a.level THEN 1 ELSE 0 END) + (sum(CASE WHEN b.level = a.level THEN 1 ELSE 0 END) + 1) / 2.0::DOUBLE) / count(b.level), 6) + 0.0 END AS pct
+         round((sum(CASE WHEN round(b.level, 12) < round(a.level, 12) THEN 1 ELSE 0 END) + (sum(CASE WHEN round(b.level, 12) = round(a.level, 12) THEN 1 ELSE 0 END) + 1) / 2.0::DOUBLE) / count(b.level), 6) + 0.0 END AS pct
        FROM lv a LEFT JOIN lv b ON b.entity = a.entity AND b.pos <= a.pos AND a.level IS NOT NULL GROUP BY a.entity, a.d)"""))
 def asof_with_fallback(spark, sf_dir):
     w = op.by_entity()
@@ -134,7 +134,7 @@ def asof_with_fallback(spark, sf_dir):
         "entity", "d", "pos", op.realized_vol(F.col("ret"), 20, 252, w).alias("rv20"), op.realized_vol(F.col("ret"), 63, 252, w).alias("rv63"))
     known = asof.asof_on_calendar(panel.select("d").distinct(), src.volatility_quotes(spark, sf_dir), available_on="obs_d", payload=["quote"])
     level = rv.join(known, "d", "left").select("entity", "d", "pos", "rv63", F.coalesce("quote", "rv20").alias("level"))
-    ranked = op.expanding_rank(level, "level", "pos", ["entity"], 252)
+    ranked = op.expanding_rank(level.withColumn("level", F.round("level", 12)), "level", "pos", ["entity"], 252)
     lv = F.col("level")
     return ranked.select("entity", "d", r6(lv).alias("level"), r6(op.row_diff(lv, 5, w)).alias("chg_5"), r6(lv - 100 * F.col("rv63")).alias("minus_rv"), r6(F.col("pct")).alias("pct"))
 
