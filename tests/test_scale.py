@@ -30,9 +30,9 @@ def test_panel_scan_reads_only_its_columns(spark, sf_dir):
     assert scans and all("l_discount" not in line and "l_comment" not in line for line in scans)
 
 
-def test_event_calendar_takes_maxima_before_the_shuffle(spark, sf_dir):
+def test_event_calendar_sums_days_before_the_shuffle(spark, sf_dir):
     text = plan(src.event_calendar(spark, sf_dir))
-    assert "partial_max" in text and "Window" not in text
+    assert "partial_sum" in text and text.rindex("Window") < text.index("partial_sum"), "windows see daily rows only"
 
 
 def test_no_cartesian_products(spark, sf_dir):
