@@ -93,3 +93,26 @@ def asof_many(calendar: DataFrame, series: list[tuple[DataFrame, str, list[str],
     w = W.orderBy(_T, _SIDE, _SEQ).rowsBetween(W.unboundedPreceding, 0)
     hits = stacked.select(_ROW, *[F.last(f"__p{i}", ignorenulls=True).over(w).alias(f"__h{i}") for i in range(len(series))]).filter(F.col(_ROW).isNotNull())
     return hits.select(f"{_ROW}.*", *[F.col(f"__h{i}")[p].alias(p) for i, (_, _, payload, _) in enumerate(series) for p in payload])
+
+
+def validity(snapshots: DataFrame, keys: tuple[str, ...], start: str) -> DataFrame:
+    """Snapshots with the interval in which each is the latest of its family: [valid_from, valid_to), open at the end.
+
+    One row per family and snapshot time is ordered, whatever the number of payload rows of a snapshot.
+    """
+    times = snapshots.select(*keys, F.col(start).alias("valid_from")).distinct()
+    times = times.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy(*keys).orderBy("valid_from")))
+    return snapshots.withColumn("valid_from", F.col(start)).join(times, [*keys, "valid_from"])
+
+
+def snapshot_on_calendar(calendar: DataFrame, snapshots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Calendar days once per family with the snapshot valid on them; days before a family's first have none.
+
+    Only the interval starts take part in the ordered pass over days; the payload is equi-joined by segment.
+    """
+    starts = snapshots.select(*keys, "valid_from").distinct()
+    families = starts.select(*keys).distinct()
+    names = families.agg(F.collect_set(F.struct(*keys)).alias("k")).scalar()
+    days = calendar.withColumn("__k", F.explode(names)).select(*calendar.columns, *[F.col(f"__k.{k}").alias(k) for k in keys])
+    placed = asof_backward(days, starts, left_ts="d", right_ts="valid_from", payload=["valid_from"], by=keys)
+    return placed.join(snapshots, [*keys, "valid_from"], "left")

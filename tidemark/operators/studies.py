@@ -57,44 +57,35 @@ def gram(rows: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
 
 
 def style_weights(gram_df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Non-negative least-squares weights per Gram row, rescaled to sum 1.
+    """(keys, weights, n): non-negative least-squares weights per Gram row, rescaled to sum 1.
 
-    With k <= 5 the optimum is the feasible subset solution with the smallest residual, so each row
-    tries its 2^k subsets; rows stay distributed.
+    The optimum is the feasible solution with the largest gain among the supports. A row is exploded over its 2^k - 1
+    supports (k is small), each eliminates the pivots of its support in one fold over the augmented matrix, and the
+    largest gain is a mergeable maximum. A support with a vanishing pivot has no solution, equal gains go to the smaller
+    support number, and a row without a feasible support has zeros.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gram_df.schema.fields if f.name in keys) + ", weights array<double>, n bigint"
-
-    def solve(batches):
-        from itertools import combinations
-
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                g = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        g[i, j] = g[j, i] = rec[f"g{i}{j}"]
-                b = np.array([rec[f"b{i}"] for i in range(k)])
-                best, best_gain = np.zeros(k), 0.0
-                for size in range(1, k + 1):
-                    for pick in combinations(range(k), size):
-                        ix = np.array(pick)
-                        try:
-                            sol = np.linalg.solve(g[np.ix_(ix, ix)], b[ix])
-                        except np.linalg.LinAlgError:
-                            continue
-                        gain = float(sol @ b[ix])
-                        if (sol >= 0).all() and gain > best_gain:
-                            best_gain, best = gain, np.zeros(k)
-                            best[ix] = sol
-                total = best.sum()
-                rows.append({**{c: rec[c] for c in keys}, "weights": (best / total if total > 0 else best).round(4).tolist(), "n": int(rec["n"])})
-            yield pd.DataFrame(rows, columns=[*keys, "weights", "n"])
-
-    return gram_df.mapInPandas(solve, schema)
+    g = lambda i, j: F.col(f"g{min(i, j)}{max(i, j)}")
+    augmented = F.array(*[F.array(*[g(i, j) for j in range(k)], F.col(f"b{i}")) for i in range(k)])
+    supports = F.explode(F.sequence(F.lit(1), F.lit(2**k - 1))).alias("support")
+    rows = gram_df.select(*keys, "n", augmented.alias("m"), supports)
+    pivots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: F.getbit("support", p) == 1)
+
+    def eliminate(m: Column, p: Column) -> Column:
+        """NULL cells where the pivot has vanished: no comparison with them holds."""
+        pivot = F.get(F.get(m, p), p)
+        usable = pivot > 1e-12 * F.get(F.get(F.col("m"), p), p)
+        scaled = F.transform(F.get(m, p), lambda x: F.when(usable, x / pivot))
+        return F.transform(m, lambda row, i: F.when(i == p, scaled).otherwise(F.zip_with(row, scaled, lambda x, y: x - F.get(row, p) * y)))
+
+    solved = rows.withColumn("solved", F.aggregate(pivots, F.col("m"), eliminate))
+    share = F.transform("solved", lambda row, i: F.when(F.getbit("support", i) == 1, F.get(row, F.lit(k))).otherwise(0.0))
+    solved = solved.select(*keys, "n", "m", "support", share.alias("w"))
+    gain = F.aggregate(F.zip_with("w", "m", lambda w, row: w * F.get(row, F.lit(k))), F.lit(0.0), lambda acc, x: acc + x)
+    feasible = F.coalesce(F.forall("w", lambda x: x >= 0), F.lit(False)) & (gain > 0)
+    best = solved.groupBy(*keys).agg(F.max_by("w", F.when(feasible, F.struct(gain, -F.col("support")))).alias("w"), F.max("n").alias("n"))
+    total = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x)
+    weights = F.when(F.col("w").isNotNull(), F.transform("w", lambda x: F.round(x / total, 4))).otherwise(F.array_repeat(F.lit(0.0), k))
+    return best.select(*keys, weights.alias("weights"), "n")
 
 
 def quality_report(panel: DataFrame, dense: DataFrame, orders: DataFrame, pages: DataFrame, releases: DataFrame, newest: Column) -> DataFrame:

@@ -298,14 +298,6 @@ def bin_lookup(spark, sf_dir):
     return bands.bin_lookup(docs, bins, "p").select("doc_id", big(F.col("exact")).alias("exact"), big(F.col("bin")).alias("bin"))
 
 
-@query("asof_snapshot", duck(
-    """SELECT s.d, f.fold_start FROM ses s ASOF LEFT JOIN (SELECT min(d) AS fold_start FROM ses WHERE pos >= 504 GROUP BY date_trunc('month', d)) f ON s.d >= f.fold_start"""))
-def asof_snapshot(spark, sf_dir):
-    ses = sessions(spark, sf_dir)
-    folds = ses.filter("pos >= 504").groupBy(F.trunc("d", "MM").alias("m")).agg(F.min("d").alias("fold_start"))
-    return asof.asof_on_calendar(ses.select("d"), folds, available_on="fold_start", payload=["fold_start"])
-
-
 @query("dim_lookup", duck(
     f"""SELECT n_name AS nation, r_name AS label, count(*)::BIGINT AS n, {rd('sum(o_totalprice)', 2)} AS value FROM orders JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""))

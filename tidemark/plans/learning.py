@@ -223,6 +223,43 @@ def model_snapshots(spark, sf_dir):
                        *[r6(F.coalesce(F.col(f"v.{c}"), F.lit(0.0))).alias(c) for c in ("mean", "scale", "median")])
 
 
+def fold_family(name: str, unit: str, rows: int, span: int) -> tuple[str, ...]:
+    """The coefficients of one cadence of refits as CTEs, named after the family."""
+    return (folds_sql(unit, rows, span).replace("folds AS (", f"folds_{name} AS (", 1),
+            f"""snap_{name} AS (SELECT '{name}' AS family, f.fold_start, l.ord, {', '.join(f"CASE WHEN l.ord <> 0 AND isfinite(corr(l.excess, x.x{k})) THEN corr(l.excess, x.x{k}) ELSE 0 END AS c{k}" for k in range(5))},
+              CASE WHEN l.ord <> 0 THEN coalesce(avg(l.excess), 0) ELSE 0 END AS icept FROM folds_{name} f JOIN lab2 l ON l.pos <= f.s_max JOIN xw x ON x.pos = l.pos GROUP BY f.fold_start, l.ord)""")
+
+
+# Families of refits, (unit, least training rows, least span of the calendar in days).
+REFITS = {"yearly": ("year", 252, 0), "monthly": ("month", 504, SPAN)}
+
+
+def dated_snapshots(labels, wide, days):
+    """(family, valid_from, valid_to, ord, coef, intercept): the models of all refits with the days on which they were the latest."""
+    families = []
+    for name, (unit, rows, span) in REFITS.items():
+        folds = lr.fold_dimension(days, H, LAG, unit, rows, span)
+        families.append(lr.moment_snapshots(labels, wide, folds, XS).withColumn("family", F.lit(name)))
+    snaps = families[0].unionByName(families[1])
+    by_class = snaps.select("family", "fold_start", F.posexplode(F.arrays_zip("coef", "intercept")).alias("ord", "m"))
+    return asof.validity(by_class.select("family", "fold_start", "ord", "m.coef", "m.intercept"), ("family",), "fold_start")
+
+
+@query("asof_snapshot", duck(
+    f"""SELECT k.family, s.d, v.fold_start AS valid_from, v.valid_to, n.ord::BIGINT AS ord, {', '.join(f"{rd(f'n.c{k}')} AS c{k}" for k in range(5))}, {rd('n.icept')} AS intercept
+        FROM ses s CROSS JOIN (SELECT DISTINCT family FROM snaps) k ASOF LEFT JOIN valid v ON v.family = k.family AND s.d >= v.fold_start LEFT JOIN snaps n ON n.family = v.family AND n.fold_start = v.fold_start""",
+    LABELS, XWIDE, *[cte for name, spec in REFITS.items() for cte in fold_family(name, *spec)],
+    "snaps AS (" + " UNION ALL ".join(f"SELECT * FROM snap_{name}" for name in REFITS) + ")",
+    "valid AS (SELECT *, lead(fold_start) OVER (PARTITION BY family ORDER BY fold_start) AS valid_to FROM (SELECT DISTINCT family, fold_start FROM snaps))"))
+def asof_snapshot(spark, sf_dir):
+    """The model that each session knew, by family of refits: its coefficients, its date and how long it was the latest."""
+    dense = materialize(src.dense_panel(spark, sf_dir))
+    days = materialize(dense.select("d", "pos").distinct())
+    snaps = materialize(dated_snapshots(labelled(spark, sf_dir, dense), momentum_wide(dense), days))
+    out = asof.snapshot_on_calendar(days.select("d"), snaps, ("family",))
+    return out.select("family", "d", "valid_from", "valid_to", big(F.col("ord")).alias("ord"), *[r6(F.get("coef", F.lit(k))).alias(f"c{k}") for k in range(5)], r6(F.col("intercept")).alias("intercept"))
+
+
 @query("explain_contrib", duck(f"SELECT d, winner::BIGINT AS winner, picked, feature, {rd('contribution')} AS contribution, {rd('flip')} AS flip FROM contrib", *POLICY_SQL, XWIDE, *MODEL_SQL))
 def explain_contrib(spark, sf_dir):
     out = explained(spark, sf_dir, materialize(src.dense_panel(spark, sf_dir)))

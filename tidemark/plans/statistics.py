@@ -12,6 +12,7 @@ from tidemark.operators.portfolio import hold_paths
 from tidemark.plans import experiments
 from tidemark.plans.base import duck, query, rd
 from tidemark.plans.joins import BINS, EVENT_ROWS, LEADERS, PRE, event_rows, leader_paths, risk_known
+from tidemark.plans.portfolio import SIGNALS, regimes, signals
 from tidemark.plans.windows import LABELS, ROWS, WIN
 from tidemark.session import materialize
 from tidemark.sources import tables as src
@@ -306,50 +307,63 @@ def deflated_probability(spark, sf_dir):
     return stamped(spark, sf_dir).select("entity", r6(normal.probability(F.col("dsr_z"))).alias("dsr"))
 
 
-GRAM_TARGET = "0.1 * a0 + 0.3 * a1 + 0.6 * a2"
+# Blended target series; the free fit of `hedged` has a negative share, so one entity must leave it.
+BLENDS = {"blend": (0.1, 0.3, 0.6, 0.0, 0.0), "hedged": (0.8, 0.5, -0.3, 0.0, 0.2)}
+XS = [f"a{i}" for i in range(5)]
 GRAM = f"""xr AS (SELECT d, {', '.join(f'max(CASE WHEN ord = {i} THEN ret END) AS a{i}' for i in range(5))} FROM rets GROUP BY d),
-xy AS (SELECT *, {GRAM_TARGET} AS y FROM xr WHERE a0 + a1 + a2 + a3 + a4 IS NOT NULL ORDER BY d DESC LIMIT 252)"""
+xy AS (SELECT xl.*, t.target, {' + '.join(f't.c{i} * xl.a{i}' for i in range(5))} AS y FROM (SELECT * FROM xr WHERE a0 + a1 + a2 + a3 + a4 IS NOT NULL ORDER BY d DESC LIMIT 252) xl
+  CROSS JOIN (VALUES {', '.join(f"('{k}', " + ', '.join(f'{c}::DOUBLE' for c in v) + ')' for k, v in BLENDS.items())}) t(target, c0, c1, c2, c3, c4)),
+gm AS (SELECT target, {', '.join(f'sum(a{i} * a{j}) AS g{i}{j}' for i in range(5) for j in range(i, 5))}, {', '.join(f'sum(a{i} * y) AS b{i}' for i in range(5))}, count(*)::BIGINT AS n FROM xy GROUP BY target)"""
 
 
 def gram_rows(spark, sf_dir):
-    """Last 252 complete sessions: five entity returns and a blended target series."""
+    """Last 252 complete sessions: five entity returns and the blended target series, one row per target and session."""
     rets = op.with_returns(src.dense_panel(spark, sf_dir))
-    wide = rets.groupBy("d").agg(*[F.max(F.when(F.col("ord") == i, F.col("ret"))).alias(f"a{i}") for i in range(5)])
-    full = wide.dropna().withColumn("y", 0.1 * F.col("a0") + 0.3 * F.col("a1") + 0.6 * F.col("a2"))
-    return full.withColumn("rn", F.row_number().over(W.orderBy(F.desc("d")))).filter("rn <= 252").withColumn("target", F.lit("blend"))
+    wide = rets.groupBy("d").agg(*[F.max(F.when(F.col("ord") == i, F.col("ret"))).alias(x) for i, x in enumerate(XS)])
+    full = wide.dropna().withColumn("rn", F.row_number().over(W.orderBy(F.desc("d")))).filter("rn <= 252")
+    mixed = lambda shares: sum((F.lit(c) * F.col(x) for c, x in zip(shares[1:], XS[1:])), F.lit(shares[0]) * F.col(XS[0]))
+    targets = F.array(*[F.struct(F.lit(name).alias("target"), mixed(shares).alias("y")) for name, shares in BLENDS.items()])
+    return full.select(*XS, F.inline(targets))
 
 
-@query("style_gram", duck("SELECT " + ", ".join(rd(f"sum(a{i} * a{j})", 9) + f" AS g{i}{j}" for i in range(5) for j in range(i, 5)) + ", " + ", ".join(rd(f"sum(a{i} * y)", 9) + f" AS b{i}" for i in range(5)) + ", count(*)::BIGINT AS n FROM xy", GRAM))
+@query("style_gram", duck("SELECT target, " + ", ".join(rd(f"g{i}{j}", 9) + f" AS g{i}{j}" for i in range(5) for j in range(i, 5)) + ", " + ", ".join(rd(f"b{i}", 9) + f" AS b{i}" for i in range(5)) + ", n FROM gm", GRAM))
 def style_gram(spark, sf_dir):
-    g = studies.gram(gram_rows(spark, sf_dir), ["target"], [f"a{i}" for i in range(5)], "y")
+    g = studies.gram(gram_rows(spark, sf_dir), ["target"], XS, "y")
     cols = [f"g{i}{j}" for i in range(5) for j in range(i, 5)] + [f"b{i}" for i in range(5)]
-    return g.select(*[F.round(c, 9).alias(c) for c in cols], "n")
+    return g.select("target", *[F.round(c, 9).alias(c) for c in cols], "n")
 
 
-# The target is an exact non-negative blend, so the constrained fit must return its shares.
-@query("style_weights", duck("SELECT 'blend' AS target, 0.1::DOUBLE AS w0, 0.3::DOUBLE AS w1, 0.6::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS w4, count(*)::BIGINT AS n FROM xy", GRAM))
+_CELL = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+# Every support of the five series, solved one pivot a step; then the feasible one with the largest gain.
+SUPPORTS = f"""el AS (SELECT target, n, s AS support, 0 AS p, [{', '.join('[' + ', '.join([_CELL(i, j) for j in range(5)] + [f'b{i}']) + ']' for i in range(5))}] AS m,
+    [{', '.join(_CELL(i, i) for i in range(5))}] AS diag, [{', '.join(f'b{i}' for i in range(5))}] AS b FROM gm CROSS JOIN (SELECT unnest(range(1, 32)) AS s)
+  UNION ALL SELECT target, n, support, p + 1, CASE WHEN (support >> p) & 1 = 0 THEN m WHEN m[p + 1][p + 1] > 1e-12 * diag[p + 1] THEN
+    list_transform(range(1, 6), lambda i: list_transform(range(1, 7), lambda j: CASE WHEN i = p + 1 THEN m[i][j] / m[i][i] ELSE m[i][j] - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END)) END, diag, b FROM el WHERE p < 5),
+sv AS (SELECT target, n, support, b, {', '.join(f'CASE WHEN (support >> {i}) & 1 = 1 THEN m[{i + 1}][6] ELSE 0 END AS w{i}' for i in range(5))} FROM el WHERE p = 5),
+fit AS (SELECT *, {' + '.join(f'w{i}' for i in range(5))} AS total FROM sv WHERE least({', '.join(f'w{i}' for i in range(5))}) >= 0 AND {' + '.join(f'w{i} * b[{i + 1}]' for i in range(5))} > 0
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY {' + '.join(f'w{i} * b[{i + 1}]' for i in range(5))} DESC, support) = 1)"""
+
+
+@query("style_weights", duck("SELECT target, " + ", ".join(f"{rd(f'w{i} / total', 4)} AS w{i}" for i in range(5)) + ", n FROM fit", GRAM, SUPPORTS))
 def style_weights(spark, sf_dir):
-    g = studies.gram(gram_rows(spark, sf_dir), ["target"], [f"a{i}" for i in range(5)], "y")
+    g = studies.gram(gram_rows(spark, sf_dir), ["target"], XS, "y")
     return studies.style_weights(g, ["target"], 5).select("target", *[F.get("weights", F.lit(i)).alias(f"w{i}") for i in range(5)], "n")
 
 
-REGIME_CTE = f"""rg AS (SELECT d, pos, CASE WHEN m IS NULL THEN 'Unavailable' WHEN px > m THEN 'Uptrend' ELSE 'Downtrend' END || CASE WHEN coalesce(ret, 0) < 0 THEN ' down' ELSE ' up' END AS regime FROM (
-     SELECT d, pos, px, ret, CASE WHEN count(px) {ROWS(50)} >= 50 THEN avg(px) {ROWS(50)} END AS m, ord FROM rets) WHERE ord = 2)"""
+REGIME_CTE = """rg AS (SELECT d, CASE WHEN a50 IS NULL OR spread IS NULL THEN 'Unavailable' ELSE CASE WHEN a50 = 1 THEN 'Uptrend' ELSE 'Downtrend' END || ' | ' || CASE WHEN coalesce(rv63, 0) >= 0.70 THEN 'High vol' ELSE 'Low vol' END
+  || ' | ' || CASE WHEN spread < 0 THEN 'Inverted curve' ELSE 'Normal curve' END END AS regime FROM sig)"""
 
 
 @query("regime_hit_rate", duck(
-    f"""SELECT r.regime, count(*)::BIGINT AS n, {rd('avg((p.name = y.label)::INTEGER::DOUBLE)', 4)} AS rate FROM rg r JOIN path p ON p.d = r.d AND p.strategy = 'leader_63' JOIN labels_d y ON y.d = r.d
-        WHERE y.label IS NOT NULL GROUP BY 1""", LABELS, LEADERS, REGIME_CTE))
+    f"""SELECT r.regime, p.strategy, count(*)::BIGINT AS n, {rd('avg((p.name = y.label)::INTEGER::DOUBLE)', 4)} AS rate FROM rg r JOIN path p ON p.d = r.d JOIN labels_d y ON y.d = r.d
+        WHERE y.label IS NOT NULL GROUP BY 1, 2""", LABELS, LEADERS, SIGNALS, REGIME_CTE))
 def regime_hit_rate(spark, sf_dir):
-    dense = src.dense_panel(spark, sf_dir)
-    lab = op.forward_labels(dense, 21, 1).groupBy("d").agg(F.max("label").alias("label")).filter("label IS NOT NULL")
-    picks = leader_paths(spark, sf_dir).filter("strategy = 'leader_63'").select("d", "name")
-    w = op.by_entity()
-    c = op.with_returns(dense).withColumn("m", op.moving_average(F.col("px"), 50, w)).filter("ord = 2")
-    trend = F.when(F.col("m").isNull(), "Unavailable").when(F.col("px") > F.col("m"), "Uptrend").otherwise("Downtrend")
-    regimes = c.select("d", F.concat(trend, F.when(F.coalesce("ret", F.lit(0.0)) < 0, " down").otherwise(" up")).alias("regime"))
-    rows = regimes.join(picks, "d").join(lab, "d")
-    return rows.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("name") == F.col("label")).cast("double")), 4).alias("rate"))
+    """How often each leader's pick wins, by the regime of the day it was known in."""
+    dense = materialize(src.dense_panel(spark, sf_dir))
+    won = op.forward_labels(dense, 21, 1).groupBy("d").agg(F.max("label").alias("label")).filter("label IS NOT NULL")
+    picks = leader_paths(spark, sf_dir).select("strategy", "d", "name")
+    rows = regimes(signals(spark, sf_dir, dense)).select("d", "regime").join(picks, "d").join(won, "d")
+    return rows.groupBy("regime", "strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("name") == F.col("label")).cast("double")), 4).alias("rate"))
 
 
 @query("conditional_next", duck(
