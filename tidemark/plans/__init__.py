@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module, util
 
-AREAS = ("sources", "scalars", "calendars", "joins", "windows", "ranking", "statistics", "portfolio", "resampling", "features", "quota", "learning")
+AREAS = ("sources", "scalars", "calendars", "joins", "windows", "ranking", "statistics", "portfolio", "resampling", "features", "quota", "learning", "documents")
 
 
 def load_all() -> None:

@@ -138,15 +138,24 @@ def panel_pivot(spark, sf_dir):
 
 @query("staged_publish", duck("SELECT entity, d, px FROM panel"))
 def staged_publish(spark, sf_dir):
-    """A good version is published; a bad one afterwards fails its checks and the good one stays served."""
+    """A good version is published; a bad one fails its checks, a late one finds the pointer moved, and the good one stays served."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/publish-{uuid.uuid4().hex}"
-    panel = src.panel(spark, sf_dir).select("entity", "d", "px")
+    panel = materialize(src.panel(spark, sf_dir).select("entity", "d", "px"))
     checks = {"positive": F.col("px") > 0, "dated": F.col("d").isNotNull()}
-    good, _ = pb.publish(panel, root, checks)
-    served, failed = pb.publish(panel.withColumn("px", -F.col("px")), root, checks, keep=good)
-    if failed != ["positive"]:
-        raise RuntimeError(f"unexpected validation outcome: {failed}")
-    return pb.read_version(spark, served, panel.schema)
+    outcomes = [pb.publish(panel, root, checks)[1], pb.publish(panel.withColumn("px", -F.col("px")), root, checks)[1], pb.publish(panel.limit(1), root, checks, after=0)[1]]
+    if outcomes != [[], ["positive"], ["superseded"]]:
+        raise RuntimeError(f"unexpected outcomes: {outcomes}")
+    return pb.read_version(spark, pb.served(spark, root)[1], panel.schema)
+
+
+@query("file_audit")
+def file_audit(spark, sf_dir):
+    """The given files hashed by ranges against a manifest with one wrong digest, one unlisted file, one absent optional and one absent required."""
+    found = materialize(mf.tree_digests(spark, sf_dir, "*.parquet"))
+    listed = found.where("path <> 'supplier.parquet'").select("path", F.concat("digest", F.when(F.col("path") == "pages.parquet", "x").otherwise("")).alias("digest"))
+    extra = spark.createDataFrame([("archive.parquet", "0")], "path string, digest string")
+    required = spark.createDataFrame([("orders.parquet",), ("rates.parquet",)], "path string")
+    return mf.audit(listed.unionByName(extra), found, required).join(found, "path", "left").select("path", "status", "bytes", "ranges", "digest")
 
 
 @query("sink_roundtrip", duck(f"SELECT entity, month, {rd('wealth')} AS wealth FROM (SELECT entity, date_trunc('month', d)::DATE AS month, arg_max(w, d) AS wealth FROM wealth GROUP BY 1, 2)"))

@@ -1,12 +1,14 @@
 """An append-only log of model trials in the shared folder.
 
 A run is named by what determines its trials: the version of the data and the configurations. Its rows are written to
-a folder of their own and become visible by one row in the table of commits, so a failed or repeated write never shows
+a folder of their own and become visible by one commit file of the run, so a failed or repeated write never shows
 half a run or counts one twice. Nothing is changed or removed; `history` shows all runs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from functools import reduce
 
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
+from tidemark.sources.publish import Files
 
 TRIALS = "block int, family string, fold_start date, configuration string, loss double"
 COMMITS = "run string, folder string, trials bigint"
@@ -33,17 +36,21 @@ class TrialLog:
 
     def commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+            return self.spark.read.schema(COMMITS).json(f"{self.path}/runs")
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return self.spark.createDataFrame([], COMMITS)
 
     def append(self, run: str, trials: DataFrame) -> None:
+        """Writes the rows, then the run's commit, a file that can be created once: of jobs that fit the same run at a
+        time the first counts, and the others' rows are removed."""
         folder = f"rows-{uuid.uuid4().hex}"
         trials.select(*[c.split()[0] for c in TRIALS.split(", ")]).write.parquet(f"{self.path}/{folder}")
-        n = self._rows(folder).count()
-        self.spark.createDataFrame([(run, folder, n)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        commit = json.dumps({"run": run, "folder": folder, "trials": self._rows(folder).count()})
+        files = Files(self.spark, self.path)
+        if not files.create(f"{self.path}/runs", f"{hashlib.sha256(run.encode()).hexdigest()}.json", commit):
+            files.remove(f"{self.path}/{folder}")
 
     def _rows(self, folder: str) -> DataFrame:
         return self.spark.read.schema(TRIALS).parquet(f"{self.path}/{folder}")
