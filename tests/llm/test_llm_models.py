@@ -255,3 +255,22 @@ def test_rare_languages_are_learned(spark):
 
     many = spark.range(600).select(F.format_string("l%04d", "id").alias("lang"), F.explode(F.array(F.lit(-1), F.lit(3))).alias("gram"), (1 + F.col("id") % 2).alias("n"))
     assert len(fit(many)[0]) == 600
+
+
+def test_pairs_of_words_take_a_few_bytes():
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 60000), 20000)).encode()
+    _, names, before, own = ppl.terms(np.frombuffer(text, np.uint8), np.array([0, 30000, len(text)]), 9)
+    bits, ids = 2, rng.permutation(len(names)).astype(np.int64)
+    at, which, n, to = ppl.paired(before, own, ids, bits)
+    first, second = ids[before[at]], ids[own[at]] >> bits
+    bodies = [ppl.pair_body(first[i:j], second[i:j], n[i:j]) for i, j in ppl._bounds(to, bits)]
+    assert sum(map(len, bodies)) < 4 * len(at)
+    found = {}
+    for bucket, body in enumerate(bodies):
+        for x, y, k in zip(*(c.tolist() for c in ppl.pair_lists(body))):
+            found[x, y << bits | (bucket - x) & 3] = k
+    plain = {}
+    for x, y in zip(ids[before].tolist(), ids[own].tolist()):
+        plain[x, y] = plain.get((x, y), 0) + 1
+    assert found == plain and n.sum() == len(own) and (ids[own[at]][which] == ids[own]).all()

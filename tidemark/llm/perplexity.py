@@ -1,7 +1,7 @@
 """Quality rules with n-gram perplexity bands.
 
-Spark counts the word pairs of every document, by language, under 64-bit codes, and from them how many different words
-follow and precede each word. A document's words are scored by a modified Kneser-Ney model of those counts: pairs first,
+Spark numbers the words of all documents, by language, under 64-bit codes, counts the pairs of numbers, and from them how
+many different words follow and precede each word. A document's words are scored by a modified Kneser-Ney model of those counts: pairs first,
 then the number of words that precede a word, then the word's spelling under a Kneser-Ney model of 4-grams of character
 classes, so that a word nobody else uses has a probability too. What a document and its copies bring is taken off the counts
 before it is scored. Perplexity is over words. A document is rejected where its log-perplexity lies further above the upper
@@ -45,7 +45,9 @@ STATS = "doc_id bigint, model string, n_words bigint, word_chars bigint, n_symbo
 MODEL = "model string, size int, codes binary, log_p binary, log_back binary"
 NOTHING = pa.table({f.split()[0]: pa.array([], {"string": pa.string(), "double": pa.float64()}.get(f.split()[1], pa.int64())) for f in STATS.split(", ")})
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
-TEXT = np.uint32(1 << 31)
+RANK_BITS = 24
+# Kinds of answers; those of a spelling model's levels are negative.
+NAMES, PAIRS, WORDS = 0, 1, 2
 # Least distance between a quartile and the band's end, a word and a character.
 LEAST_WORDS, LEAST_SPELLING = 1.0, 0.1
 
@@ -249,28 +251,86 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[first], which, np.diff(np.append(first, len(key)))
 
 
-def pairs(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and for each the 64-bit codes of the word before it, of itself and of the pair; codes depend on the model's seed."""
+def terms(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the sorted 64-bit codes of the distinct ones and of a text's start, and by position the numbers of the word before and of the word; codes depend on the model's seed."""
     w = words(data, offsets)
-    key = mix(w.hash ^ U(seed))
-    before = np.empty_like(key)
-    before[1:] = key[:-1]
-    before[first_of_runs(w.row)] = mix(np.array([seed], U))[0]
-    return w, before, key, mix(before * U(0x9E3779B97F4A7C15) + key)
+    code = np.append(mix(w.hash ^ U(seed)), mix(np.array([seed], U)))
+    at, which, _ = _distinct(code)
+    own = which[:-1]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[first_of_runs(w.row)] = which[-1]
+    return w, code[at], before, own
+
+
+def text_codes(data: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    return mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ U(seed))
+
+
+def paired(before: np.ndarray, own: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_distinct of the pairs in the order they are dealt, by bucket and ids, and their buckets; a hot word's pairs lie in all buckets."""
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids)] = np.arange(len(ids))
+    at, which, n = _distinct(place[before] << 32 | place[own])
+    bucket = (ids[before[at]] + ids[own[at]]) & ((1 << bits) - 1)
+    order = np.argsort(bucket.astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")
+    dealt = np.empty_like(order)
+    dealt[order] = np.arange(len(order))
+    return at[order], dealt[which], n[order], bucket[order]
+
+
+def shrunk(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as compressed byte planes: small numbers and small differences leave little but zeros."""
+    codec = pa.Codec("zstd", compression_level=1)
+    bodies = [codec.compress(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes(), asbytes=True) for c in columns]
+    return np.array([(len(c), len(b)) for c, b in zip(columns, bodies)], np.int64).tobytes() + b"".join(bodies)
+
+
+def regrown(body: bytes, *kinds_of: type) -> list[np.ndarray]:
+    codec = pa.Codec("zstd")
+    out, at = [], 16 * len(kinds_of)
+    for (n, size), kind in zip(np.frombuffer(body, np.int64, 2 * len(kinds_of)).reshape(-1, 2).tolist(), kinds_of):
+        width = np.dtype(kind).itemsize
+        raw = np.frombuffer(codec.decompress(body[at:at + size], n * width), np.uint8) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind))
+        at += size
+    return out
+
+
+def rises(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _bounds(bucket: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Where each bucket's entries lie among those sorted by bucket, also of empty ones, so that every bucket answers every chunk."""
+    at = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
+    return list(zip(at[:-1], at[1:]))
+
 
+def _lead(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> U(64 - bits)).astype(np.int64)
 
-def _sent(w: Words, pair: np.ndarray, data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """_distinct of a chunk's pair codes and, behind them, the codes of its texts; and those codes."""
-    texts = mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ U(seed))
-    return *_distinct(np.concatenate([pair, texts])), texts
 
+def _dealt(source: int, bodies: list[bytes]) -> pa.Table:
+    """One row a bucket."""
+    return pa.table({"bucket": pa.array(np.arange(len(bodies), dtype=np.int32)), "chunk": pa.array(np.full(len(bodies), source, np.int32)), "body": pa.array(bodies, pa.binary())})
 
-def _dealt(chunk: int, keys: np.ndarray, bits: int, n: np.ndarray) -> pa.Table:
-    """One row a bucket, also of empty ones, so that every bucket answers every chunk; `n` has a row for each of the sorted keys."""
-    bounds = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits)), len(keys)).tolist()
-    spans = list(zip(bounds[:-1], bounds[1:]))
-    return pa.table({"bucket": pa.array(np.arange(1 << bits, dtype=np.int32)), "chunk": pa.array(np.full(1 << bits, chunk, np.int32)),
-                     "keys": pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())})
+
+def pair_body(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs sorted by both numbers: each first number once, as its rise; second numbers as rises behind the same first one."""
+    run = first_of_runs(first)
+    second = second.astype(np.int64)
+    rise = rises(second)
+    rise[run] = second[run]
+    return shrunk(rises(first[run].astype(np.int64)), np.diff(np.append(run, len(first))).astype(np.uint32), rise.astype(np.uint32), n.astype(np.uint32))
+
+
+def pair_lists(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rise, length, second, n = regrown(body, np.int64, np.uint32, np.uint32, np.uint32)
+    length = length.astype(np.int64)
+    run = np.cumsum(length) - length
+    total = np.cumsum(second, dtype=np.int64)
+    return np.repeat(np.cumsum(rise), length), total - np.repeat(total[run] - second[run], length), n
 
 
 def kinds(n: np.ndarray) -> np.ndarray:
@@ -329,9 +389,12 @@ def spelling(data: np.ndarray, offsets: np.ndarray, levels: list, window: np.nda
 def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
     """Statistics of all rows (doc_id, model, text) under the written character model and the counts of word pairs.
 
-    Documents lie in chunks of one model each. A chunk sends the code and count of each distinct pair and text to the code's bucket
-    and gets the sum over all chunks, in the order sent; one chunk of those that sent a pair answers for it and sends
-    what it brings to its two words. Buckets add the model's counts of counts to every answer.
+    Documents lie in chunks of one model each. A chunk sends the codes of its distinct words and texts to the codes' buckets,
+    which number the words, those of many chunks first, and count equal texts. Then it sends each distinct pair of
+    numbers with its count, which takes two or three bytes; the pair's bucket answers with the count of all other chunks, and
+    sums what its pairs bring to their words for the words' buckets, which answer last. Buckets add the model's counts of
+    counts to their answers. A word's number is its rank in its bucket before the bucket's bits; a bucket stands for at most
+    BUCKET_BYTES of text or thereabouts, so a rank needs fewer than RANK_BITS bits.
     """
     spark = rows.sparkSession
     size = [(r["model"], r["bytes"] or 0) for r in rows.groupBy("model").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("model").collect()]
@@ -349,57 +412,98 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
     def number(chunk):
         return np.searchsorted(firsts, chunk, side="right") - 1
 
-    def probe(key, table):
+    def ask(key, table):
         chunk = key[0].as_py()
         _, data, offsets = opened(table)
         seed = seeds[number(chunk)]
-        w, _, _, pair = pairs(data, offsets, seed)
-        at, _, n, texts = _sent(w, pair, data, offsets, seed)
-        return _dealt(chunk, np.concatenate([pair, texts])[at], bits, n.astype(np.uint32) | np.where(at >= len(pair), TEXT, np.uint32(0)))
-
-    def answer(fields):
-        """Sums of a key's `fields` counts over the chunks that sent it; the lowest bit of a pair's says who answers for it."""
-        def add(key, table):
-            chunk = np.asarray(table.column("chunk"))
-            keys, row = unpack(table, "keys", U)
-            n = unpack(table, "n", np.uint32)[0].reshape(-1, fields)
-            texts = n[:, 0] >= TEXT if fields == 1 else np.zeros(len(n), bool)
-            n = n & ~TEXT if fields == 1 else n
-            at, which, _ = _distinct(keys)
-            sums = np.stack([np.bincount(which, weights=n[:, f], minlength=len(at)) for f in range(fields)], axis=1).astype(np.int64)
-            models = number(chunk)
-            counted = counts_of_counts(np.where(texts[at], 0, sums[:, -1]), models[row[at]], len(names))
-            values = sums[which]
-            if fields == 1:
-                mine = np.zeros(len(keys), np.int64)
-                mine[at] = 1
-                values = values << 1 | mine[:, None]
-            bounds = row_starts(row, len(chunk)).tolist()
-            same = lambda x: pa.array(np.full(len(chunk), x, np.int32))
-            return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": same(key[0].as_py()), "fields": same(fields),
-                             "keys": pa.array([values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()), "stats": pa.array([counted[m].tobytes() for m in models.tolist()], pa.binary())})
-        return add
-
-    def read(table, fields):
-        part = table.filter(pc.equal(table.column("fields"), fields)).sort_by("bucket")
-        return unpack(part, "keys", np.int64)[0].reshape(-1, fields), unpack(part, "stats", np.int64)[0].reshape(-1, 6).sum(axis=0)
-
-    def bring(key, table, found):
-        """For each word of a chunk, by the pairs that the chunk sent: uses as a first word; by those it answers for: followers and preceding words."""
+        _, codes_of, _, _ = terms(data, offsets, seed)
+        texts = text_codes(data, offsets, seed)
+        at, _, n = _distinct(texts)
+        texts = texts[at]
+        spans = zip(_bounds(_lead(codes_of, bits), bits), _bounds(_lead(texts, bits), bits))
+        return _dealt(chunk, [shrunk(rises(codes_of[i:j]), rises(texts[k:m]), n[k:m].astype(np.uint32)) for (i, j), (k, m) in spans])
+
+    def numbered(table):
+        """Of a bucket's words: their ranks and the bounds of each row's, and a position of each rank; the copies of each row's texts."""
+        chunk = np.asarray(table.column("chunk"))
+        asked = [regrown(body, U, U, np.uint32) for body in table.column("body").to_pylist()]
+        keys, texts = (np.concatenate([np.cumsum(x[i], dtype=U) for x in asked]) for i in (0, 1))
+        at, which, spread = _distinct(keys)
+        order = np.argsort(-spread, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        t_at, t_which, _ = _distinct(texts)
+        copies = np.bincount(t_which, weights=np.concatenate([x[2] for x in asked]), minlength=len(t_at)).astype(np.int64)[t_which]
+        ends = lambda i: np.cumsum([0, *(len(x[i]) for x in asked)])
+        return chunk, rank[which], ends(0), at[order], copies, ends(1)
+
+    def told(kind, bucket, chunk, bodies, stats=None):
+        same = lambda x: pa.array(np.full(len(chunk), x, np.int32))
+        return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": same(bucket), "kind": same(kind), "body": pa.array(bodies, pa.binary()),
+                         "stats": pa.array([b""] * len(chunk) if stats is None else [stats[m].tobytes() for m in number(chunk).tolist()], pa.binary())})
+
+    def number_words(key, table):
+        chunk, rank, ends, *_ = numbered(table)
+        return told(NAMES, key[0].as_py(), chunk, [shrunk(rank[i:j].astype(np.uint32)) for i, j in zip(ends[:-1], ends[1:])])
+
+    def read(table, kind, *kinds_of):
+        """A chunk's answers over all buckets: the bucket of each value of the first column, the columns, and the counts of counts."""
+        part = table.filter(pc.equal(table.column("kind"), kind)).sort_by("bucket")
+        found = [regrown(body, *kinds_of) for body in part.column("body").to_pylist()]
+        bucket = np.repeat(np.asarray(part.column("bucket"), dtype=np.int64), [len(x[0]) for x in found])
+        return bucket, [np.concatenate(x) for x in zip(*found)], unpack(part, "stats", np.int64)[0].reshape(-1, 6).sum(axis=0)
+
+    def send(key, table, found):
         chunk = key[0].as_py()
         _, data, offsets = opened(table)
-        seed = seeds[number(chunk)]
-        w, before, own, pair = pairs(data, offsets, seed)
-        at, _, n, _ = _sent(w, pair, data, offsets, seed)
-        value = read(found, 1)[0][:, 0]
-        at, n, value = (x[at < len(pair)] for x in (at, n, value))
-        uses, mine = value >> 1, value & 1
-        both = np.concatenate([before[at], own[at]])
+        _, _, before, own = terms(data, offsets, seeds[number(chunk)])
+        bucket, (rank,), _ = read(found, NAMES, np.uint32)
+        rank = rank.astype(np.int64)
+        ids = rank << bits | bucket
+        at, _, n, to = paired(before, own, ids, bits)
+        first, second = ids[before[at]], rank[own[at]]
+        return _dealt(chunk, [pair_body(first[i:j], second[i:j], n[i:j]) for i, j in _bounds(to, bits)])
+
+    def tallied(table):
+        """A bucket's pairs: each row's chunk and length, counts, the number of each one's pair; a position of each pair, its code and its sum."""
+        sent_pairs = [pair_lists(body) for body in table.column("body").to_pylist()]
+        first, second, n = (np.concatenate(x) for x in zip(*sent_pairs))
+        code = first << RANK_BITS | second
+        at, which, _ = _distinct(code)
+        sums = np.bincount(which, weights=n, minlength=len(at)).astype(np.int64)
+        return np.asarray(table.column("chunk")), [len(x[2]) for x in sent_pairs], n, which, at, code[at], sums
+
+    def tally(key, table):
+        """The count of every pair in all other chunks."""
+        chunk, lengths, n, which, at, _, sums = tallied(table)
+        counted = counts_of_counts(sums, np.repeat(number(chunk), lengths)[at], len(names))
+        ends = np.cumsum([0, *lengths])
+        others = sums[which] - n
+        return told(PAIRS, key[0].as_py(), chunk, [shrunk(others[i:j]) for i, j in zip(ends[:-1], ends[1:])], counted)
+
+    def bring(key, table):
+        """What a bucket's pairs bring to their words: uses as a first word, followers seen once, twice and more often, preceding words."""
+        bucket, last = key[0].as_py(), (1 << bits) - 1
+        *_, code, sums = tallied(table)
+        first, second = code >> RANK_BITS, code & ((1 << RANK_BITS) - 1)
+        both = np.concatenate([(first & last) << RANK_BITS | first >> bits, ((bucket - first) & last) << RANK_BITS | second])
         some, which, _ = _distinct(both)
-        add = lambda i, y: np.bincount(i, weights=y, minlength=len(some))
-        v, x = which[:len(at)], which[len(at):]
-        columns = [add(v, n), *(add(v, mine * (kinds(uses) == k)) for k in (1, 2, 3)), add(x, mine)]
-        return _dealt(chunk, both[some], bits, np.stack(columns, axis=1).astype(np.uint32))
+        word, v, x = both[some], which[:len(first)], which[len(first):]
+        add = lambda i, y: np.bincount(i, weights=y, minlength=len(some)).astype(np.int64)
+        columns = [add(v, sums), *(add(v, kinds(sums) == k) for k in (1, 2, 3)), add(x, None)]
+        rank = word & ((1 << RANK_BITS) - 1)
+        return _dealt(bucket, [shrunk(rises(rank[i:j]), *(c[i:j] for c in columns)) for i, j in _bounds(word >> RANK_BITS, bits)])
+
+    def weigh(key, table, brought):
+        """The number of every word with its counts, and the copies of every text."""
+        chunk, rank, ends, at, copies, t_ends = numbered(table)
+        total = np.zeros((5, len(at)), np.int64)
+        for body in brought.column("body").to_pylist():
+            rise, *columns = regrown(body, *[np.int64] * 6)
+            total[:, np.cumsum(rise)] += np.stack(columns)
+        counted = counts_of_counts(total[4], np.repeat(number(chunk), np.diff(ends))[at], len(names))
+        rows_of = zip(ends[:-1], ends[1:], t_ends[:-1], t_ends[1:])
+        return told(WORDS, key[0].as_py(), chunk, [shrunk(rank[i:j].astype(np.uint32), copies[k:m], *total[:, rank[i:j]]) for i, j, k, m in rows_of], counted)
 
     levels_size = model.agg(F.sum(F.octet_length("codes") + F.octet_length("log_p") + F.octet_length("log_back"))).first()[0] or 0
     sent = spark.sparkContext.broadcast(loaded(model.collect())) if levels_size <= most_bytes else None
@@ -410,26 +514,26 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         if sent is not None:
             levels = sent.value.get(name)
         else:
-            own = found.filter(pc.less(found.column("fields"), 0))
+            given = found.filter(pc.less(found.column("kind"), 0))
             levels = loaded([{"model": name, "size": -1 - f, **dict(zip(("codes", "log_p", "log_back"), (k[:len(k) // 3], k[len(k) // 3:2 * (len(k) // 3)], k[2 * (len(k) // 3):])))}
-                             for f, k in zip(own.column("fields").to_pylist(), own.column("keys").to_pylist())]).get(name)
+                             for f, k in zip(given.column("kind").to_pylist(), given.column("body").to_pylist())]).get(name)
         ids, data, offsets = opened(table)
-        w, before, own, pair = pairs(data, offsets, seeds[number(chunk)])
-        at, which, _, texts = _sent(w, pair, data, offsets, seeds[number(chunk)])
-        value, of_pairs = read(found, 1)
-        words_of, of_words = read(found, 5)
-        uses, copies = np.split((value[:, 0] >> 1)[which], [len(pair)])
-        place = np.cumsum(at < len(pair)) - 1
-        at, which = at[at < len(pair)], place[which[:len(pair)]]
-        both = np.concatenate([before[at], own[at]])
-        _, word, _ = _distinct(both)
-        v, x = word[:len(at)][which], word[len(at):][which]
+        seed = seeds[number(chunk)]
+        w, codes_of, before, own = terms(data, offsets, seed)
+        texts = text_codes(data, offsets, seed)
+        bucket, (rank, copies, *words_of), of_words = read(found, WORDS, np.uint32, *[np.int64] * 6)
+        copies = copies[_distinct(texts)[1]]
+        words_of = np.stack(words_of, axis=1)
+        _, which, n, _ = paired(before, own, rank.astype(np.int64) << bits | bucket, bits)
+        _, (others,), of_pairs = read(found, PAIRS, np.int64)
+        uses = (others + n)[which]
         total, spelled, size = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.diff(offsets)
         if len(data):
             sums = spelling(data, offsets, levels, np.full(1 << (CLASS_BITS * ORDER), np.nan, np.float32))
             spelled[size > 0] = -np.diff(sums[offsets])[size > 0] / size[size > 0]
             base = sums[np.minimum(w.end + 1, offsets[w.row + 1])] - sums[w.start]
-            p = word_log_p(w, before, own, pair, len(ids), uses, words_of[v, 0], words_of[v, 1:4], words_of[x, 4], of_pairs, of_words, base, copies)
+            before_code, code = codes_of[before], codes_of[own]
+            p = word_log_p(w, before_code, code, mix(before_code * U(0x9E3779B97F4A7C15) + code), len(ids), uses, words_of[before, 0], words_of[before, 1:4], words_of[own, 4], of_pairs, of_words, base, copies)
             n = np.bincount(w.row, minlength=len(ids))
             total[n > 0] = -np.bincount(w.row, weights=p, minlength=len(ids))[n > 0] / n[n > 0]
         stats, i = [], 0
@@ -440,14 +544,17 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID), "model": pa.array([name] * len(ids), pa.string()),
                          **{k: pa.array(np.concatenate([s[k] for s in stats]), pa.int64()) for k in stats[0]}, "log_perplexity": pa.array(total, mask=np.isnan(total)), "log_spelling": pa.array(spelled, mask=np.isnan(spelled)), "print": pa.array(texts.view(np.int64))})
 
-    reply = "chunk int, bucket int, fields int, keys binary, stats binary"
-    sets = "bucket int, chunk int, keys binary, n binary"
-    used = docs.groupBy("chunk").applyInArrow(probe, sets).groupBy("bucket").applyInArrow(answer(1), reply)
-    around = docs.groupBy("chunk").cogroup(used.groupBy("chunk")).applyInArrow(bring, sets).groupBy("bucket").applyInArrow(answer(5), reply)
-    right = used.unionByName(around)
+    reply = "chunk int, bucket int, kind int, body binary, stats binary"
+    sets = "bucket int, chunk int, body binary"
+    asked = docs.groupBy("chunk").applyInArrow(ask, sets)
+    names_of = asked.groupBy("bucket").applyInArrow(number_words, reply)
+    sent_pairs = docs.groupBy("chunk").cogroup(names_of.groupBy("chunk")).applyInArrow(send, sets)
+    by_pair = sent_pairs.groupBy("bucket")
+    around = asked.groupBy("bucket").cogroup(by_pair.applyInArrow(bring, sets).groupBy("bucket")).applyInArrow(weigh, reply)
+    right = by_pair.applyInArrow(tally, reply).unionByName(around)
     if sent is None:
         spread = model.join(F.broadcast(amount), "model").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = right.unionByName(spread.select((F.col("first") + F.col("part")).alias("chunk"), F.lit(-1).alias("bucket"), (-1 - F.col("size")).alias("fields"), F.concat("codes", "log_p", "log_back").alias("keys"), F.lit(b"").alias("stats")))
+        right = right.unionByName(spread.select((F.col("first") + F.col("part")).alias("chunk"), F.lit(-1).alias("bucket"), (-1 - F.col("size")).alias("kind"), F.concat("codes", "log_p", "log_back").alias("body"), F.lit(b"").alias("stats")))
     return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, a, b: finish(key, a, b) if a.num_rows else NOTHING, STATS)
 
 
