@@ -48,3 +48,20 @@ def test_materialized_tables_use_the_named_folder(spark, sf_dir):
 
     df = materialize(src.table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < 5))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
+
+
+def test_queries_of_a_document_set_share_one_panel(spark, sf_dir, monkeypatch):
+    from tidemark.plans import load_all
+    from tidemark.plans.base import QUERIES
+    from tidemark.sources import tables as src
+
+    load_all()
+    names = ["returns_export", "scan_panel", "missed_best_days"]
+    apart = [sorted(map(str, QUERIES[n](spark, sf_dir).collect())) for n in names]
+    priced, calls = src.priced, []
+    monkeypatch.setattr(src, "priced", lambda *a: calls.append(a) or priced(*a))
+    with src.shared(spark, sf_dir):
+        together = [sorted(map(str, QUERIES[n](spark, sf_dir).collect())) for n in names]
+    assert together == apart and len(calls) == 1
+    QUERIES["scan_panel"](spark, sf_dir)
+    assert len(calls) == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from tidemark.plans.base import ORACLES, QUERIES, query
 from tidemark.plans.experiments import logged_trials
 from tidemark.session import checkpoint_dir
 from tidemark.sources import documents as dc
+from tidemark.sources import tables as src
 
 # Fixed values: (document, part): the query that fills it and its fields.
 SOURCES = {
@@ -75,11 +77,13 @@ def _part_sql(document: str, part: str) -> str:
 def all_rows(spark, sf_dir, sources=SOURCES) -> DataFrame:
     """The rows of every part; the plans are built side by side, as some of them write tables on the way.
 
-    The trial log is filled first, so that the parts that read it find it.
+    The panel and the order cube, which most parts read, are written once for all. The trial log is filled first, so
+    that the parts that read it find it.
     """
-    logged_trials(spark, sf_dir)
-    with ThreadPoolExecutor(4) as pool:
-        tables = dict(zip(sources, pool.map(lambda source: QUERIES[source[0]](spark, sf_dir), sources.values())))
+    with src.shared(spark, sf_dir), ThreadPoolExecutor(4) as pool:
+        logged_trials(spark, sf_dir)
+        built = [pool.submit(copy_context().run, QUERIES[name], spark, sf_dir) for name, _ in sources.values()]
+        tables = dict(zip(sources, (b.result() for b in built)))
     return reduce(DataFrame.unionByName, [dc.part_rows(tables[key], *key, schema) for key, (_, schema) in sources.items()])
 
 

@@ -40,10 +40,14 @@ def materialize(df: DataFrame) -> DataFrame:
     The written files survive a lost executor, cut the lineage, and give Catalyst real sizes, so joins
     against small derived tables are planned as broadcasts within the automatic threshold.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def written(df: DataFrame) -> str:
+    """The path of a table written to the shared folder, for those who read it more than once under their own column ids."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -6,12 +6,17 @@ Panel role: `lineitem` priced per region and day. Release, rate, risk-index and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from tidemark.operators.events import crossings, rested
-from tidemark.session import materialize
+from tidemark.session import materialize, written
 
 # Role letters by entity order; the first one is the safe asset.
 ROLES = ("g", "f", "c", "s", "i")
@@ -67,8 +72,30 @@ def priced(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, *measur
     return fact.join(dim, F.col(fact_key) == F.col(dim_key)).groupBy("entity", "ord", "d").agg(*sums)
 
 
+_SHARED: ContextVar[dict[tuple[str, str], tuple[StructType, str]]] = ContextVar("shared", default={})
+
+
+@contextmanager
+def shared(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """Inside, the panel and the order cube of these tables are written once and read by all queries of this context."""
+    tables = {(name, sf_dir): make(spark, sf_dir) for name, make in (("panel", panel), ("order_cube", order_cube))}
+    token = _SHARED.set({key: (df.schema, written(df)) for key, df in tables.items()})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+def read_shared(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | None:
+    found = _SHARED.get().get((name, sf_dir))
+    return found and spark.read.schema(found[0]).parquet(found[1])
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, ord, d, px), one row per entity and session; the log keeps returns small."""
+    found = read_shared(spark, "panel", sf_dir)
+    if found is not None:
+        return found
     fact = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity"
     )
@@ -91,7 +118,8 @@ def wide_panel_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel written once; its size is entities x days, whatever the size of the fact table."""
-    return materialize(panel(spark, sf_dir))
+    found = read_shared(spark, "panel", sf_dir)
+    return found if found is not None else materialize(panel(spark, sf_dir))
 
 
 def sessions(panel_df: DataFrame) -> DataFrame:
@@ -118,6 +146,9 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It has a handful of rows per day; jobs that need several series write it once.
     """
+    found = read_shared(spark, "order_cube", sf_dir)
+    if found is not None:
+        return found
     orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("obs_d"), "o_orderpriority", "o_orderstatus", "o_totalprice")
     return orders.groupBy("obs_d", "o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
 
