@@ -274,3 +274,37 @@ def test_pairs_of_words_take_a_few_bytes():
     for x, y in zip(ids[before].tolist(), ids[own].tolist()):
         plain[x, y] = plain.get((x, y), 0) + 1
     assert found == plain and n.sum() == len(own) and (ids[own[at]][which] == ids[own]).all()
+
+
+def test_pairs_numbered_by_frequency_take_little_more_than_a_byte():
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{int(x)}" for x in np.exp(rng.random(200000) * np.log(50000))).encode()
+    _, names, before, own = ppl.terms(np.frombuffer(text, np.uint8), np.array([0, 600000, len(text)]), 9)
+    uses = np.bincount(before, minlength=len(names)) + np.bincount(own, minlength=len(names))
+    bits, bucket = 2, (names >> np.uint64(62)).astype(np.int64)
+    rank = np.empty(len(names), np.int64)
+    for b in range(1 << bits):
+        rank[bucket == b] = ppl.by_frequency(uses[bucket == b])
+    ids = rank << bits | bucket
+    at, which, n, to = ppl.paired(before, own, ids, bits)
+    first, second = ids[before[at]], rank[own[at]]
+    bodies = [ppl.pair_body(first[i:j], second[i:j], n[i:j]) for i, j in ppl._bounds(to, bits)]
+    assert sum(map(len, bodies)) < 1.3 * len(at)
+    read = [np.concatenate(x) for x in zip(*map(ppl.pair_lists, bodies))]
+    assert all((x == y).all() for x, y in zip(read, (first, second, n)))
+
+
+def test_numbers_and_counts_of_words_come_back():
+    rng = np.random.default_rng(7)
+    weight = rng.zipf(1.5, 5000).astype(float)
+    rank = ppl.by_frequency(weight)
+    assert sorted(rank.tolist()) == list(range(5000)) and weight[rank < 8].min() >= weight[rank >= 8].max()
+    some = np.flatnonzero(rng.random(5000) < 0.3)
+    seen = rng.integers(0, 9, (3, 5000))
+    total = np.stack([seen[0] + 2 * seen[1] + 4 * seen[2], *seen, rng.integers(0, 40, 5000)])
+    body = ppl.shrunk(*ppl.ranked(rank[some], *ppl.around_body(total)[:, some]))
+    found, *columns = ppl.unranked(*ppl.regrown(body, np.uint8, np.uint32, *[np.int64] * 5))
+    assert (found == rank[some]).all() and (ppl.around_of(np.stack(columns)) == total[:, some]).all()
+    names = ppl.shrunk(*ppl.ranked(rank[some]))
+    assert len(names) < 0.8 * len(ppl.shrunk(rank[some].astype(np.uint32)))
+    assert all(len(x) == 0 for x in ppl.unranked(*ppl.regrown(ppl.shrunk(*ppl.ranked(rank[:0])), np.uint8, np.uint32)))

@@ -43,17 +43,18 @@ NO_ID = np.iinfo(np.int64).max
 BODY = "chunk int, raw bigint, body binary"
 
 
-def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "text", chunk: Column | None = None) -> DataFrame:
+def chunked(docs: DataFrame, sizes: Sizes, doc_id: str = "doc_id", text: str = "text", chunk: Column | None = None, level: int = 1, limit: int = 1 << 24) -> DataFrame:
     """(chunk, raw, body): compressed bundles of documents; NULL text becomes empty, NULL id becomes NO_ID.
 
-    The deal depends on the id only (or is the given column), so a rerun of any task finds the same chunks.
+    The deal depends on the id only (or is the given column), so a rerun of any task finds the same chunks. Bundles of one
+    task are cut from `limit` bytes of rows at a time and compressed at `level`.
     """
     by = F.pmod(F.xxhash64(doc_id), F.lit(sizes.chunks)) if chunk is None else chunk
     rows = docs.select(by.cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def bundle(stream):
-        codec = pa.Codec("zstd", compression_level=1)
-        for batches in gathered(stream):
+        codec = pa.Codec("zstd", compression_level=level)
+        for batches in gathered(stream, limit):
             table = pa.Table.from_batches(batches)
             chunk = np.asarray(table.column("chunk"))
             order = np.argsort(chunk, kind="stable")

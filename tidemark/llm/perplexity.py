@@ -39,6 +39,7 @@ from tidemark.session import materialize
 ORDER, CLASS_BITS = 4, 6
 REPEAT = 8
 SYMBOLS = b"#*$%&|<>"
+IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 OTHER, OWN = "", "="
 LEAST_TEXTS = 4
 STATS = "doc_id bigint, model string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double, log_spelling double, print bigint"
@@ -215,7 +216,7 @@ def base_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     w = words(data, offsets)
     first = row_starts(w.row, n)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
-    symbol = np.isin(data, np.frombuffer(SYMBOLS, np.uint8))
+    symbol = IS_SYMBOL[data]
     sums = lambda mark: np.diff(np.concatenate([[0], np.cumsum(mark)])[offsets])
     breaks = np.flatnonzero(data == 10)
     start = np.union1d(breaks + 1, offsets[:-1])
@@ -228,7 +229,8 @@ def base_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     start, end, row = start[some], end[some], row[some]
     again = ~first_seen(row, span_hashes(data, start, end))
     at, h = windows(w.hash, w.row, REPEAT, seed=70)
-    order = np.lexsort((h, w.row[at]))
+    order = np.argsort(h)
+    order = order[np.argsort(w.row[at][order].astype(np.min_scalar_type(n)), kind="stable")]
     r, h = w.row[at][order], h[order]
     same = (r[1:] == r[:-1]) & (h[1:] == h[:-1]) if len(h) else np.zeros(0, bool)
     twice = np.zeros(len(h), bool)
@@ -244,8 +246,14 @@ def base_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One position of each distinct key in key order, the number of each position's key, and the uses of each key."""
-    order = np.argsort(key)
-    first = first_of_runs(key[order])
+    digits = len(key).bit_length()
+    if len(key) and key.dtype == np.int64 and int(key.max()) < 1 << 63 - digits:
+        key = np.sort(key << digits | np.arange(len(key)))
+        order, key = key & (1 << digits) - 1, key >> digits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    first = first_of_runs(key)
     which = np.empty(len(key), np.int64)
     which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
     return order[first], which, np.diff(np.append(first, len(key)))
@@ -268,12 +276,13 @@ def text_codes(data: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
 
 
 def paired(before: np.ndarray, own: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """_distinct of the pairs in the order they are dealt, by bucket and ids, and their buckets; a hot word's pairs lie in all buckets."""
+    """_distinct of the pairs in the order they are dealt, by bucket, block and ids, and their buckets; a hot word's pairs lie in all buckets."""
     place = np.empty(len(ids), np.int64)
     place[np.argsort(ids)] = np.arange(len(ids))
-    at, which, n = _distinct(place[before] << 32 | place[own])
+    at, which, n = _distinct(place[before] * len(ids) + place[own])
     bucket = (ids[before[at]] + ids[own[at]]) & ((1 << bits) - 1)
-    order = np.argsort(bucket.astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")
+    order = np.argsort(block_of(width(ids)[before[at]], width(ids >> bits)[own[at]]), kind="stable")
+    order = order[np.argsort(bucket[order].astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")]
     dealt = np.empty_like(order)
     dealt[order] = np.arange(len(order))
     return at[order], dealt[which], n[order], bucket[order]
@@ -316,21 +325,112 @@ def _dealt(source: int, bodies: list[bytes]) -> pa.Table:
     return pa.table({"bucket": pa.array(np.arange(len(bodies), dtype=np.int32)), "chunk": pa.array(np.full(len(bodies), source, np.int32)), "body": pa.array(bodies, pa.binary())})
 
 
+def width(numbers: np.ndarray) -> np.ndarray:
+    """The number of binary digits."""
+    return np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
+
+
+def block_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.uint16) << np.uint16(8) | second
+
+
+def _least(digits: np.ndarray) -> np.ndarray:
+    """The smallest number of so many digits."""
+    return np.where(digits > 0, np.int64(1) << np.maximum(digits, 1) - 1, 0)
+
+
+def _low_bits(values: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """The last `digits` bits of each value, values of few bits first."""
+    parts = [np.zeros(0, np.uint8)]
+    for k in np.unique(digits[digits > 0]).tolist():
+        some = np.unpackbits(values[digits == k].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        parts.append(np.packbits(some[:, :k]))
+    return np.concatenate(parts)
+
+
+def _with_low_bits(values: np.ndarray, digits: np.ndarray, body: np.ndarray) -> np.ndarray:
+    out, i = values.astype(np.int64) << digits, 0
+    for k in np.unique(digits[digits > 0]).tolist():
+        found = np.flatnonzero(digits == k)
+        size = -(-len(found) * k // 8)
+        some = np.zeros((len(found), 64), np.uint8)
+        some[:, :k] = np.unpackbits(body[i:i + size], count=len(found) * k).reshape(-1, k)
+        out[found] |= np.packbits(some, axis=1, bitorder="little").view("<i8")[:, 0]
+        i += size
+    return out
+
+
 def pair_body(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs sorted by both numbers: each first number once, as its rise; second numbers as rises behind the same first one."""
-    run = first_of_runs(first)
-    second = second.astype(np.int64)
-    rise = rises(second)
-    rise[run] = second[run]
-    return shrunk(rises(first[run].astype(np.int64)), np.diff(np.append(run, len(first))).astype(np.uint32), rise.astype(np.uint32), n.astype(np.uint32))
+    """Pairs sorted by block and both numbers, as rises of their place in the block.
+
+    A block has the pairs whose numbers have the same widths. Numbers go by frequency, so a block's pairs lie about evenly
+    in it; a rise there takes little more than the bits of the mean rise, which are sent as they are.
+    """
+    first, second = first.astype(np.int64), second.astype(np.int64)
+    block = block_of(width(first), width(second))
+    run = first_of_runs(block)
+    length = np.diff(np.append(run, len(block)))
+    one, two = (block >> 8).astype(np.int64), (block & 255).astype(np.int64)
+    place = first - _least(one) << np.maximum(two, 1) - 1 | second - _least(two)
+    rise = rises(place)
+    rise[run] = place[run]
+    digits = np.maximum(width(np.floor(0.7 * place[run + length - 1] / length)).astype(np.int64) - 1, 0)
+    each = np.repeat(digits, length)
+    return shrunk(block[run], length.astype(np.uint32), digits.astype(np.uint8), (rise >> each).astype(np.uint32), n.astype(np.uint32), _low_bits(rise, each))
 
 
 def pair_lists(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rise, length, second, n = regrown(body, np.int64, np.uint32, np.uint32, np.uint32)
+    block, length, digits, rise, n, low = regrown(body, np.uint16, np.uint32, np.uint8, np.uint32, np.uint32, np.uint8)
     length = length.astype(np.int64)
     run = np.cumsum(length) - length
-    total = np.cumsum(second, dtype=np.int64)
-    return np.repeat(np.cumsum(rise), length), total - np.repeat(total[run] - second[run], length), n
+    rise = _with_low_bits(rise, np.repeat(digits.astype(np.int64), length), low)
+    total = np.cumsum(rise)
+    place = total - np.repeat(total[run] - rise[run], length)
+    one, two = np.repeat((block >> 8).astype(np.int64), length), np.repeat((block & 255).astype(np.int64), length)
+    bits = np.maximum(two, 1) - 1
+    return (place >> bits) + _least(one), (place & (np.int64(1) << bits) - 1) + _least(two), n
+
+
+def by_frequency(weight: np.ndarray) -> np.ndarray:
+    """Numbers of words that lie in key order: the heaviest get the smallest; numbers of one width are in key order."""
+    order = np.argsort(-weight, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    order = np.argsort(width(rank), kind="stable")
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def ranked(rank: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The numbers (see by_frequency) as widths in key order and rises in their own order, in which the columns follow."""
+    order = np.argsort(rank)
+    return [width(rank), rises(rank[order]).astype(np.uint32), *(c[order] for c in columns)]
+
+
+def unranked(digits: np.ndarray, rise: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(digits, kind="stable")
+    out = []
+    for c in (np.cumsum(rise, dtype=np.int64), *columns):
+        back = np.empty_like(c)
+        back[order] = c
+        out.append(back)
+    return out
+
+
+def around_body(total: np.ndarray) -> np.ndarray:
+    """Uses, followers seen once, twice and more often, preceding words: uses without the least that the followers take, the last less the followers."""
+    out = total.copy()
+    out[0] -= total[1] + 2 * total[2] + 3 * total[3]
+    out[4] -= total[1:4].sum(axis=0)
+    out[4] = out[4] << 1 ^ out[4] >> 63
+    return out
+
+
+def around_of(body: np.ndarray) -> np.ndarray:
+    out = body.copy()
+    out[0] += body[1] + 2 * body[2] + 3 * body[3]
+    out[4] = (body[4] >> 1 ^ -(body[4] & 1)) + body[1:4].sum(axis=0)
+    return out
 
 
 def kinds(n: np.ndarray) -> np.ndarray:
@@ -347,15 +447,15 @@ def word_log_p(w: Words, before: np.ndarray, key: np.ndarray, pair: np.ndarray,
                preceded: np.ndarray, of_pairs: np.ndarray, of_words: np.ndarray, base: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """Log-probability of each word after the word before it, by the counts of all other texts.
 
-    By position: corpus counts of the pair (`uses`), of the word before as a first word (`first_uses`), of its
+    Words (`before`, `key`) and pairs are the chunk's numbers of them. By position: corpus counts of the pair (`uses`), of the word before as a first word (`first_uses`), of its
     followers seen once, twice and more often, and of the words that precede the word (`preceded`); beside them the
     counts of counts of pairs and of preceding words. What the document and its copies (`copies` by row) bring is taken off each.
     """
     d2, d1 = discounts(of_pairs[:4]), discounts(of_words[:4])
-    by_row = lambda code, salt: _distinct(mix(code + mix(w.row.astype(U) * U(2) + U(salt))))
-    at, which, own = by_row(pair, 0)
-    v_at, v_which, v_own = by_row(before, 1)
-    w_at, w_which, _ = by_row(key, 0)
+    by_row = lambda number: _distinct(w.row.astype(np.int64) * (int(number.max(initial=0)) + 1) + number)
+    at, which, own = by_row(pair)
+    v_at, v_which, v_own = by_row(before)
+    w_at, w_which, _ = by_row(key)
     rest = uses[at] - own * copies[w.row[at]]
     left = np.maximum(first_uses[v_at] - v_own * copies[w.row[v_at]], 0).astype(np.float64)
     types = followers[v_at].astype(np.float64)
@@ -394,7 +494,7 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
     numbers with its count, which takes two or three bytes; the pair's bucket answers with the count of all other chunks, and
     sums what its pairs bring to their words for the words' buckets, which answer last. Buckets add the model's counts of
     counts to their answers. A word's number is its rank in its bucket before the bucket's bits; a bucket stands for at most
-    BUCKET_BYTES of text or thereabouts, so a rank needs fewer than RANK_BITS bits.
+    twice BUCKET_BYTES of text or thereabouts, so a rank needs fewer than RANK_BITS bits.
     """
     spark = rows.sparkSession
     size = [(r["model"], r["bytes"] or 0) for r in rows.groupBy("model").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("model").collect()]
@@ -404,10 +504,10 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
     firsts = np.cumsum([0, *parts])[:-1]
     names = [name for name, _ in size]
     seeds = [int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names]
-    bits = int(max(partitions(rows), all_bytes // BUCKET_BYTES, 2) - 1).bit_length()
+    bits = int(max(partitions(rows), all_bytes // BUCKET_BYTES, 2)).bit_length() - 1
     amount = spark.createDataFrame([(n, int(f), int(p)) for n, f, p in zip(names, firsts, parts)], "model string, first int, parts int")
     place = rows.join(F.broadcast(amount), "model")
-    docs = chunked(place, Sizes(sum(parts), bits), chunk=F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")))
+    docs = chunked(place, Sizes(sum(parts), bits), chunk=F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")), level=5, limit=1 << 25)
 
     def number(chunk):
         return np.searchsorted(firsts, chunk, side="right") - 1
@@ -416,26 +516,37 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         chunk = key[0].as_py()
         _, data, offsets = opened(table)
         seed = seeds[number(chunk)]
-        _, codes_of, _, _ = terms(data, offsets, seed)
+        _, codes_of, before, own = terms(data, offsets, seed)
+        uses = width(np.bincount(before, minlength=len(codes_of)) + np.bincount(own, minlength=len(codes_of)))
         texts = text_codes(data, offsets, seed)
         at, _, n = _distinct(texts)
         texts = texts[at]
         spans = zip(_bounds(_lead(codes_of, bits), bits), _bounds(_lead(texts, bits), bits))
-        return _dealt(chunk, [shrunk(rises(codes_of[i:j]), rises(texts[k:m]), n[k:m].astype(np.uint32)) for (i, j), (k, m) in spans])
+        return _dealt(chunk, [shrunk(rises(codes_of[i:j]), rises(texts[k:m]), n[k:m].astype(np.uint32), uses[i:j]) for (i, j), (k, m) in spans])
+
+    def by_model(chunk):
+        """The models of rows sorted by chunk, and the rows of each."""
+        of = number(chunk)
+        first = first_of_runs(of)
+        return of[first].tolist(), list(zip(first.tolist(), [*first[1:].tolist(), len(of)]))
 
     def numbered(table):
-        """Of a bucket's words: their ranks and the bounds of each row's, and a position of each rank; the copies of each row's texts."""
+        """Of a bucket's words: their ranks in their model and the bounds of each row's, each model's number of words; the copies of each row's texts."""
+        table = table.sort_by("chunk")
         chunk = np.asarray(table.column("chunk"))
-        asked = [regrown(body, U, U, np.uint32) for body in table.column("body").to_pylist()]
+        asked = [regrown(body, U, U, np.uint32, np.uint8) for body in table.column("body").to_pylist()]
         keys, texts = (np.concatenate([np.cumsum(x[i], dtype=U) for x in asked]) for i in (0, 1))
-        at, which, spread = _distinct(keys)
-        order = np.argsort(-spread, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        ends, t_ends = (np.cumsum([0, *(len(x[i]) for x in asked)]) for i in (0, 1))
+        uses = np.ldexp(1.0, np.concatenate([x[3] for x in asked]).astype(np.int32))
+        rank, found = np.empty(len(keys), np.int64), np.zeros(len(names), np.int64)
+        for model, (i, j) in zip(*by_model(chunk)):
+            part = slice(ends[i], ends[j])
+            at, which, _ = _distinct(keys[part])
+            rank[part] = by_frequency(np.bincount(which, weights=uses[part], minlength=len(at)))[which]
+            found[model] = len(at)
         t_at, t_which, _ = _distinct(texts)
         copies = np.bincount(t_which, weights=np.concatenate([x[2] for x in asked]), minlength=len(t_at)).astype(np.int64)[t_which]
-        ends = lambda i: np.cumsum([0, *(len(x[i]) for x in asked)])
-        return chunk, rank[which], ends(0), at[order], copies, ends(1)
+        return chunk, rank, ends, found, copies, t_ends
 
     def told(kind, bucket, chunk, bodies, stats=None):
         same = lambda x: pa.array(np.full(len(chunk), x, np.int32))
@@ -444,12 +555,12 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
 
     def number_words(key, table):
         chunk, rank, ends, *_ = numbered(table)
-        return told(NAMES, key[0].as_py(), chunk, [shrunk(rank[i:j].astype(np.uint32)) for i, j in zip(ends[:-1], ends[1:])])
+        return told(NAMES, key[0].as_py(), chunk, [shrunk(*ranked(rank[i:j])) for i, j in zip(ends[:-1], ends[1:])])
 
-    def read(table, kind, *kinds_of):
+    def read(table, kind, opened_body):
         """A chunk's answers over all buckets: the bucket of each value of the first column, the columns, and the counts of counts."""
         part = table.filter(pc.equal(table.column("kind"), kind)).sort_by("bucket")
-        found = [regrown(body, *kinds_of) for body in part.column("body").to_pylist()]
+        found = [opened_body(body) for body in part.column("body").to_pylist()]
         bucket = np.repeat(np.asarray(part.column("bucket"), dtype=np.int64), [len(x[0]) for x in found])
         return bucket, [np.concatenate(x) for x in zip(*found)], unpack(part, "stats", np.int64)[0].reshape(-1, 6).sum(axis=0)
 
@@ -457,53 +568,71 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         chunk = key[0].as_py()
         _, data, offsets = opened(table)
         _, _, before, own = terms(data, offsets, seeds[number(chunk)])
-        bucket, (rank,), _ = read(found, NAMES, np.uint32)
-        rank = rank.astype(np.int64)
+        bucket, (rank,), _ = read(found, NAMES, lambda body: unranked(*regrown(body, np.uint8, np.uint32)))
         ids = rank << bits | bucket
         at, _, n, to = paired(before, own, ids, bits)
         first, second = ids[before[at]], rank[own[at]]
         return _dealt(chunk, [pair_body(first[i:j], second[i:j], n[i:j]) for i, j in _bounds(to, bits)])
 
     def tallied(table):
-        """A bucket's pairs: each row's chunk and length, counts, the number of each one's pair; a position of each pair, its code and its sum."""
+        """A bucket's pairs: each row's chunk and length, counts, the number of each one's pair; the model of each pair, its code and its sum."""
+        table = table.sort_by("chunk")
+        chunk = np.asarray(table.column("chunk"))
         sent_pairs = [pair_lists(body) for body in table.column("body").to_pylist()]
         first, second, n = (np.concatenate(x) for x in zip(*sent_pairs))
         code = first << RANK_BITS | second
-        at, which, _ = _distinct(code)
-        sums = np.bincount(which, weights=n, minlength=len(at)).astype(np.int64)
-        return np.asarray(table.column("chunk")), [len(x[2]) for x in sent_pairs], n, which, at, code[at], sums
+        ends = np.cumsum([0, *(len(x[2]) for x in sent_pairs)])
+        which, codes_of, models = np.empty(len(code), np.int64), [], []
+        for model, (i, j) in zip(*by_model(chunk)):
+            part = slice(ends[i], ends[j])
+            at, of, _ = _distinct(code[part])
+            which[part] = of + sum(map(len, codes_of))
+            codes_of.append(code[part][at])
+            models.append(np.full(len(at), model))
+        code = np.concatenate(codes_of)
+        return chunk, ends, n, which, np.concatenate(models), code, np.bincount(which, weights=n, minlength=len(code)).astype(np.int64)
 
     def tally(key, table):
         """The count of every pair in all other chunks."""
-        chunk, lengths, n, which, at, _, sums = tallied(table)
-        counted = counts_of_counts(sums, np.repeat(number(chunk), lengths)[at], len(names))
-        ends = np.cumsum([0, *lengths])
+        chunk, ends, n, which, model, _, sums = tallied(table)
         others = sums[which] - n
-        return told(PAIRS, key[0].as_py(), chunk, [shrunk(others[i:j]) for i, j in zip(ends[:-1], ends[1:])], counted)
+        return told(PAIRS, key[0].as_py(), chunk, [shrunk(others[i:j]) for i, j in zip(ends[:-1], ends[1:])], counts_of_counts(sums, model, len(names)))
 
     def bring(key, table):
         """What a bucket's pairs bring to their words: uses as a first word, followers seen once, twice and more often, preceding words."""
         bucket, last = key[0].as_py(), (1 << bits) - 1
-        *_, code, sums = tallied(table)
+        *_, model, code, sums = tallied(table)
         first, second = code >> RANK_BITS, code & ((1 << RANK_BITS) - 1)
-        both = np.concatenate([(first & last) << RANK_BITS | first >> bits, ((bucket - first) & last) << RANK_BITS | second])
+        model_bits = len(names).bit_length()
+        word = lambda bucket_of, rank: (bucket_of << model_bits | model) << RANK_BITS | rank
+        both = np.concatenate([word(first & last, first >> bits), word((bucket - first) & last, second)])
         some, which, _ = _distinct(both)
-        word, v, x = both[some], which[:len(first)], which[len(first):]
+        both, v, x = both[some], which[:len(first)], which[len(first):]
         add = lambda i, y: np.bincount(i, weights=y, minlength=len(some)).astype(np.int64)
-        columns = [add(v, sums), *(add(v, kinds(sums) == k) for k in (1, 2, 3)), add(x, None)]
-        rank = word & ((1 << RANK_BITS) - 1)
-        return _dealt(bucket, [shrunk(rises(rank[i:j]), *(c[i:j] for c in columns)) for i, j in _bounds(word >> RANK_BITS, bits)])
+        seen = [add(v, kinds(sums) == k) for k in (1, 2, 3)]
+        columns = [add(v, sums - kinds(sums)), *seen, add(x, None)]
+        rank = both & ((1 << model_bits + RANK_BITS) - 1)
+        return _dealt(bucket, [shrunk(rises(rank[i:j]), *(c[i:j] for c in columns)) for i, j in _bounds(both >> model_bits + RANK_BITS, bits)])
 
     def weigh(key, table, brought):
         """The number of every word with its counts, and the copies of every text."""
-        chunk, rank, ends, at, copies, t_ends = numbered(table)
-        total = np.zeros((5, len(at)), np.int64)
+        chunk, rank, ends, sizes_of, copies, t_ends = numbered(table)
+        before = np.cumsum(sizes_of) - sizes_of
+        total = np.zeros((5, sizes_of.sum()), np.int64)
         for body in brought.column("body").to_pylist():
             rise, *columns = regrown(body, *[np.int64] * 6)
-            total[:, np.cumsum(rise)] += np.stack(columns)
-        counted = counts_of_counts(total[4], np.repeat(number(chunk), np.diff(ends))[at], len(names))
-        rows_of = zip(ends[:-1], ends[1:], t_ends[:-1], t_ends[1:])
-        return told(WORDS, key[0].as_py(), chunk, [shrunk(rank[i:j].astype(np.uint32), copies[k:m], *total[:, rank[i:j]]) for i, j, k, m in rows_of], counted)
+            word = np.cumsum(rise)
+            columns[0] = columns[0] + columns[1] + 2 * columns[2] + 3 * columns[3]
+            total[:, before[word >> RANK_BITS] + (word & ((1 << RANK_BITS) - 1))] += np.stack(columns)
+        counted = counts_of_counts(total[4], np.repeat(np.arange(len(names)), sizes_of), len(names))
+        sent_words = around_body(total)
+        bodies = [shrunk(*ranked(rank[i:j], *sent_words[:, before[m] + rank[i:j]]), copies[k:l])
+                  for m, i, j, k, l in zip(number(chunk).tolist(), ends[:-1], ends[1:], t_ends[:-1], t_ends[1:])]
+        return told(WORDS, key[0].as_py(), chunk, bodies, counted)
+
+    def words_told(body):
+        digits, rise, *columns, copies = regrown(body, np.uint8, np.uint32, *[np.int64] * 6)
+        return *unranked(digits, rise, *columns), copies
 
     levels_size = model.agg(F.sum(F.octet_length("codes") + F.octet_length("log_p") + F.octet_length("log_back"))).first()[0] or 0
     sent = spark.sparkContext.broadcast(loaded(model.collect())) if levels_size <= most_bytes else None
@@ -519,21 +648,20 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
                              for f, k in zip(given.column("kind").to_pylist(), given.column("body").to_pylist())]).get(name)
         ids, data, offsets = opened(table)
         seed = seeds[number(chunk)]
-        w, codes_of, before, own = terms(data, offsets, seed)
+        w, _, before, own = terms(data, offsets, seed)
         texts = text_codes(data, offsets, seed)
-        bucket, (rank, copies, *words_of), of_words = read(found, WORDS, np.uint32, *[np.int64] * 6)
+        bucket, (rank, *words_of, copies), of_words = read(found, WORDS, words_told)
         copies = copies[_distinct(texts)[1]]
-        words_of = np.stack(words_of, axis=1)
-        _, which, n, _ = paired(before, own, rank.astype(np.int64) << bits | bucket, bits)
-        _, (others,), of_pairs = read(found, PAIRS, np.int64)
+        words_of = around_of(np.stack(words_of)).T
+        _, which, n, _ = paired(before, own, rank << bits | bucket, bits)
+        _, (others,), of_pairs = read(found, PAIRS, lambda body: regrown(body, np.int64))
         uses = (others + n)[which]
         total, spelled, size = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.diff(offsets)
         if len(data):
             sums = spelling(data, offsets, levels, np.full(1 << (CLASS_BITS * ORDER), np.nan, np.float32))
             spelled[size > 0] = -np.diff(sums[offsets])[size > 0] / size[size > 0]
             base = sums[np.minimum(w.end + 1, offsets[w.row + 1])] - sums[w.start]
-            before_code, code = codes_of[before], codes_of[own]
-            p = word_log_p(w, before_code, code, mix(before_code * U(0x9E3779B97F4A7C15) + code), len(ids), uses, words_of[before, 0], words_of[before, 1:4], words_of[own, 4], of_pairs, of_words, base, copies)
+            p = word_log_p(w, before, own, which, len(ids), uses, words_of[before, 0], words_of[before, 1:4], words_of[own, 4], of_pairs, of_words, base, copies)
             n = np.bincount(w.row, minlength=len(ids))
             total[n > 0] = -np.bincount(w.row, weights=p, minlength=len(ids))[n > 0] / n[n > 0]
         stats, i = [], 0
