@@ -248,8 +248,11 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One position of each distinct key in key order, the number of each position's key, and the uses of each key."""
     digits = len(key).bit_length()
     if len(key) and key.dtype == np.int64 and int(key.max()) < 1 << 63 - digits:
-        key = np.sort(key << digits | np.arange(len(key)))
-        order, key = key & (1 << digits) - 1, key >> digits
+        key = key << digits
+        key |= np.arange(len(key))
+        key.sort()
+        order = key & (1 << digits) - 1
+        key >>= digits
     else:
         order = np.argsort(key)
         key = key[order]
@@ -649,6 +652,7 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         ids, data, offsets = opened(table)
         seed = seeds[number(chunk)]
         w, _, before, own = terms(data, offsets, seed)
+        w = w._replace(hash=w.hash[:0].copy())
         texts = text_codes(data, offsets, seed)
         bucket, (rank, *words_of, copies), of_words = read(found, WORDS, words_told)
         copies = copies[_distinct(texts)[1]]
@@ -656,11 +660,13 @@ def scored(rows: DataFrame, model: DataFrame, most_bytes: int = 256 << 20) -> Da
         _, which, n, _ = paired(before, own, rank << bits | bucket, bits)
         _, (others,), of_pairs = read(found, PAIRS, lambda body: regrown(body, np.int64))
         uses = (others + n)[which]
+        del others, n, bucket, rank
         total, spelled, size = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.diff(offsets)
         if len(data):
             sums = spelling(data, offsets, levels, np.full(1 << (CLASS_BITS * ORDER), np.nan, np.float32))
             spelled[size > 0] = -np.diff(sums[offsets])[size > 0] / size[size > 0]
             base = sums[np.minimum(w.end + 1, offsets[w.row + 1])] - sums[w.start]
+            del sums
             p = word_log_p(w, before, own, which, len(ids), uses, words_of[before, 0], words_of[before, 1:4], words_of[own, 4], of_pairs, of_words, base, copies)
             n = np.bincount(w.row, minlength=len(ids))
             total[n > 0] = -np.bincount(w.row, weights=p, minlength=len(ids))[n > 0] / n[n > 0]
